@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -68,7 +69,7 @@ def text_slices(batches: Iterator[pa.RecordBatch], most_bytes: int = 4 << 20) ->
     """Cut batches into slices of a bounded number of text bytes; the binary column `text` comes as bytes, null as empty."""
     for batch in batches:
         col = batch.column(batch.schema.get_field_index("text"))
-        sizes = np.nan_to_num(np.asarray(pa.compute.fill_null(pa.compute.binary_length(col), 0)), nan=0).astype(np.int64)
+        sizes = np.nan_to_num(np.asarray(pc.fill_null(pc.binary_length(col), 0)), nan=0).astype(np.int64)
         ends = np.cumsum(sizes)
         lo = 0
         while lo < batch.num_rows:
