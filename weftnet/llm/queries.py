@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from weftnet.llm import mixing, packing, tokens
+from weftnet.llm import license_scan, media, mixing, packing, tokens
 from weftnet.llm.common import table
 
 
@@ -24,14 +25,27 @@ def op3_bin_completion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer())
 
 
+def op6_media_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stored = media.store(table(spark, sf_dir, "documents"))
+    pages = media.sequences(media.document_pages(stored), "key")
+    placed = media.resolve(pages, media.features(stored), "key")
+    return placed.select(F.col("key").alias("doc_id"), F.col("caption").cast("long").alias("n_bytes"), *media.FEATURES.names[1:])
+
+
 def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op10_template_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents")).drop("spans")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_files": op2_token_files,
     "op3_bin_completion": op3_bin_completion,
+    "op6_media_sequences": op6_media_sequences,
     "op9_source_mix": op9_source_mix,
+    "op10_template_licenses": op10_template_licenses,
 }
 
 ORACLES: dict[str, str] = {
