@@ -19,7 +19,7 @@ from __future__ import annotations
 import struct
 import zlib
 from collections.abc import Iterator
-from itertools import chain
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -40,34 +40,66 @@ HEADER = struct.Struct("<4sIQII")
 
 # ---------------------------------------------------------------- ids of texts
 class ChunkEncoder:
-    """Ids of texts as little-endian unsigned 32-bit integers, with a bounded memo of frequent chunks."""
+    """Ids of texts as little-endian unsigned 32-bit integers, with a bounded memo of frequent chunks.
 
-    most, longest = 300_000, 64
+    New chunks of letters only are encoded many at a time: each is one word, whose last id is one that ends
+    a word. A comma or full stop after letters is a word of its own.
+    """
+
+    most, longest, together = 500_000, 64, 1000
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        vocab = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends[[k for x, k in vocab.items() if x.endswith("</w>")]] = True
         self.known: dict[bytes, bytes] = {}
+        self.mark = {x: self._ids([x.decode()])[0] for x in (b",", b".")}
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        plain = [x.lower().split() if b"<|" not in x else () for x in texts]
-        known = self.known
-        new = list(set(chain.from_iterable(plain)).difference(known))
-        known.update(zip(new, self._ids([x.decode("utf-8", "replace") for x in new]), strict=True))
-        out = [b"".join(map(known.__getitem__, x)) for x in plain]
-        for k, x in enumerate(texts):
-            if b"<|" in x:
-                out[k] = self._ids([x.decode("utf-8", "replace")])[0]
-        room = self.most - (len(known) - len(new))
-        for k, x in enumerate(new):
-            if k >= room or len(x) > self.longest:
-                del known[x]
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Ids of words that are letters only."""
+        out: list[bytes] = []
+        parts = [words[k : k + self.together] for k in range(0, len(words), self.together)]
+        for part, x in zip(parts, self.tokenizer.encode_batch_fast([" ".join(p) for p in parts], add_special_tokens=False), strict=True):
+            ids = np.array(x.ids, "<u4")
+            cuts = [0, *(4 * np.flatnonzero(self.ends[ids]) + 4).tolist()]
+            data = ids.tobytes()
+            out += [data[a:b] for a, b in zip(cuts, cuts[1:], strict=False)] if len(cuts) == len(part) + 1 and cuts[-1] == len(data) else self._ids(part)
         return out
 
+    def _new(self, chunks: list[bytes]) -> dict[bytes, bytes]:
+        """Ids of chunks that the memo lacks."""
+        texts = [x.decode("utf-8", "replace") for x in chunks]
+        bare = [x[:-1] if x[-1] in ".," else x for x in texts]
+        plain = [x.isalpha() for x in bare]
+        words = list({x for x, ok in zip(bare, plain, strict=True) if ok})
+        ids = dict(zip(words, self._words(words), strict=True))
+        other = [x for x, ok in zip(texts, plain, strict=True) if not ok]
+        rest = dict(zip(other, self._ids(other), strict=True))
+        return {c: (ids[b] if len(b) == len(t) else ids[b] + self.mark[c[-1:]]) if ok else rest[t] for c, t, b, ok in zip(chunks, texts, bare, plain, strict=True)}
+
+    def encode(self, texts: list[bytes]) -> list[bytes]:
+        chunks: list[bytes] = []
+        ends = [0]
+        for x in texts:
+            if b"<|" not in x:
+                chunks += x.lower().split()
+            ends.append(len(chunks))
+        found = list(map(self.known.get, chunks))
+        gaps = [k for k, x in enumerate(found) if x is None]
+        if gaps:
+            new = self._new(list({chunks[k] for k in gaps}))
+            for k in gaps:
+                found[k] = new[chunks[k]]
+            room = self.most - len(self.known)
+            self.known.update((x, ids) for x, ids in islice(new.items(), max(0, room)) if len(x) <= self.longest)
+        return [b"".join(found[a:b]) if b"<|" not in x else self._ids([x.decode("utf-8", "replace")])[0] for x, a, b in zip(texts, ends, ends[1:], strict=False)]
+
 
 _ENCODERS: dict[str, ChunkEncoder] = {}
 
@@ -81,6 +113,21 @@ def encode_texts(path: str, texts: list[bytes], end_id: int = END_ID) -> list[by
 
 
 # ---------------------------------------------------------------- Simple-8b
+def _bit_lengths(x: np.ndarray) -> np.ndarray:
+    """Bits of each integer, 16 at a time."""
+    bits = _SHORT[(x & np.uint64(0xFFFF)).astype(np.uint16)]
+    for shift in (16, 32, 48):
+        part = x >> np.uint64(shift)
+        if not part.any():
+            break
+        part = (part & np.uint64(0xFFFF)).astype(np.uint16)
+        bits = np.where(part > 0, _SHORT[part] + np.uint8(shift), bits)
+    return bits
+
+
+_SHORT = np.concatenate([[0], np.floor(np.log2(np.arange(1, 1 << 16))) + 1]).astype(np.uint8)
+
+
 def pack_words(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(word offsets of each block and the end, escapes of each block, words) of unsigned integers."""
     n = len(ids)
@@ -93,12 +140,7 @@ def pack_words(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     full[:n] = ids
     v[:, :BLOCK] = full.reshape(blocks, BLOCK)
     flat, width = v.ravel(), v.shape[1]
-    bits = np.zeros(len(flat), np.uint8)
-    for b in range(0, 64):
-        wider = flat >= np.uint64(1 << b)
-        if not wider.any():
-            break
-        bits[wider] = b + 1
+    bits = _bit_lengths(flat)
     # the widest selector that fits at each place: if one fits, every selector of fewer ids does too
     choice = np.full(len(flat), len(SELECTORS) - 1, np.uint8)
     choice[bits > 60] = ESCAPE
