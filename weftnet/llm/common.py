@@ -14,6 +14,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+#: Rows with whole texts in an Arrow batch.
+BATCH_ROWS = 1000
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One input table of a data folder."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -65,7 +69,7 @@ def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[d
     return df.mapInArrow(run, schema)
 
 
-def text_slices(batches: Iterator[pa.RecordBatch], most_bytes: int = 4 << 20) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+def text_slices(batches: Iterator[pa.RecordBatch], most_bytes: int = 2 << 20) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Cut batches into slices of a bounded number of text bytes; the binary column `text` comes as bytes, null as empty."""
     for batch in batches:
         col = batch.column(batch.schema.get_field_index("text"))
@@ -81,7 +85,11 @@ def text_slices(batches: Iterator[pa.RecordBatch], most_bytes: int = 4 << 20) ->
 
 
 def as_bytes(docs: DataFrame, *keep: str) -> DataFrame:
-    """The kept columns and the whole text as UTF-8 bytes."""
+    """The kept columns and the whole text as UTF-8 bytes.
+
+    Whole texts come in small Arrow batches from here on, so that workers hold a few MB at a time.
+    """
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     return docs.select(*keep, F.col("text").cast("binary").alias("text"))
 
 

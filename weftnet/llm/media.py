@@ -117,7 +117,7 @@ def sequences(pages: DataFrame, key: str = "page_id", html: str = "html") -> Dat
         for batch, texts in text_slices(batches):
             yield {key: batch.column(key), "items": [parse(x.decode("utf-8", "replace")) for x in texts]}
 
-    return arrow_map(pages.select(F.col(key).cast("long").alias(key), F.col(html).cast("binary").alias("text")), run, schema)
+    return arrow_map(as_bytes(pages.select(F.col(key).cast("long").alias(key), F.col(html).alias("text")), key), run, schema)
 
 
 # ---------------------------------------------------------------- the store
@@ -154,7 +154,7 @@ def store(docs: DataFrame, key: str = "doc_id", data: str = "text") -> DataFrame
             payloads = [padded(x) for x in texts]
             yield {"key": batch.column("key"), "n_bytes": [len(x) for x in texts], "digest": [hashlib.sha256(x).hexdigest() for x in payloads], "media": [to_media(x) for x in payloads]}
 
-    return persist(arrow_map(docs.select(F.col(key).cast("long").alias("key"), F.col(data).cast("binary").alias("text")), run, STORED))
+    return persist(arrow_map(as_bytes(docs.select(F.col(key).cast("long").alias("key"), F.col(data).alias("text")), "key"), run, STORED))
 
 
 def features(stored: DataFrame) -> DataFrame:

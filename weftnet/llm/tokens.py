@@ -46,7 +46,7 @@ class ChunkEncoder:
     a word. A comma or full stop after letters is a word of its own.
     """
 
-    most, longest, together = 500_000, 64, 1000
+    most, longest, together = 200_000, 64, 1000
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
