@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftnet.llm import license_scan, media, mixing, packing, tokens
+from weftnet.llm import license_scan, media, mixing, packing, quality, tokens, toxicity
 from weftnet.llm.common import table
 
 
@@ -25,6 +25,10 @@ def op3_bin_completion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer())
 
 
+def op5_fourier_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_media_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = media.store(table(spark, sf_dir, "documents"))
     pages = media.sequences(media.document_pages(stored), "key")
@@ -32,6 +36,10 @@ def op6_media_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select(F.col("key").alias("doc_id"), F.col("caption").cast("long").alias("n_bytes"), *media.FEATURES.names[1:])
 
 
+def op7_window_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -43,7 +51,9 @@ def op10_template_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_files": op2_token_files,
     "op3_bin_completion": op3_bin_completion,
+    "op5_fourier_quality": op5_fourier_quality,
     "op6_media_sequences": op6_media_sequences,
+    "op7_window_toxicity": op7_window_toxicity,
     "op9_source_mix": op9_source_mix,
     "op10_template_licenses": op10_template_licenses,
 }
