@@ -19,7 +19,8 @@ from __future__ import annotations
 import struct
 import zlib
 from collections.abc import Iterator
-from itertools import islice
+from itertools import compress, islice
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
@@ -43,15 +44,19 @@ class ChunkEncoder:
     """Ids of texts as little-endian unsigned 32-bit integers, with a bounded memo of frequent chunks.
 
     New chunks of letters only are encoded many at a time: each is one word, whose last id is one that ends
-    a word. A comma or full stop after letters is a word of its own.
+    a word. They are lowered and composed here, so that only the vocabulary's merges are left to do. A comma
+    or full stop after letters is a word of its own.
     """
 
-    most, longest, together = 200_000, 64, 1000
+    most, longest, together = 500_000, 64, 1000
 
     def __init__(self, path: str) -> None:
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.merges = Tokenizer.from_file(path)
+        self.merges.normalizer = None
+        self.merges.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         vocab = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[k for x, k in vocab.items() if x.endswith("</w>")]] = True
@@ -65,7 +70,9 @@ class ChunkEncoder:
         """Ids of words that are letters only."""
         out: list[bytes] = []
         parts = [words[k : k + self.together] for k in range(0, len(words), self.together)]
-        for part, x in zip(parts, self.tokenizer.encode_batch_fast([" ".join(p) for p in parts], add_special_tokens=False), strict=True):
+        joined = [" ".join(p).lower() for p in parts]
+        encoder = self.merges if all(x.isascii() or is_normalized("NFC", x) and "\u03c3" not in x and "\u03c2" not in x for x in joined) else self.tokenizer
+        for part, x in zip(parts, encoder.encode_batch_fast(joined, add_special_tokens=False), strict=True):
             ids = np.array(x.ids, "<u4")
             cuts = [0, *(4 * np.flatnonzero(self.ends[ids]) + 4).tolist()]
             data = ids.tobytes()
@@ -74,14 +81,14 @@ class ChunkEncoder:
 
     def _new(self, chunks: list[bytes]) -> dict[bytes, bytes]:
         """Ids of chunks that the memo lacks."""
-        texts = [x.decode("utf-8", "replace") for x in chunks]
-        bare = [x[:-1] if x[-1] in ".," else x for x in texts]
-        plain = [x.isalpha() for x in bare]
-        words = list({x for x, ok in zip(bare, plain, strict=True) if ok})
-        ids = dict(zip(words, self._words(words), strict=True))
-        other = [x for x, ok in zip(texts, plain, strict=True) if not ok]
-        rest = dict(zip(other, self._ids(other), strict=True))
-        return {c: (ids[b] if len(b) == len(t) else ids[b] + self.mark[c[-1:]]) if ok else rest[t] for c, t, b, ok in zip(chunks, texts, bare, plain, strict=True)}
+        bare = [x[:-1] if x[-1] in b",." else x for x in chunks]
+        texts = list(dict.fromkeys(bare))
+        words = b" ".join(texts).decode("utf-8", "replace").split(" ")
+        plain = [x.isalpha() for x in words]
+        ids = dict(zip(compress(texts, plain), self._words(list(compress(words, plain))), strict=True))
+        other = [c for c, b in zip(chunks, bare, strict=True) if b not in ids]
+        rest = dict(zip(other, self._ids([x.decode("utf-8", "replace") for x in other]), strict=True))
+        return {c: rest[c] if c in rest else ids[b] if len(b) == len(c) else ids[b] + self.mark[c[-1:]] for c, b in zip(chunks, bare, strict=True)}
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         chunks: list[bytes] = []
@@ -142,21 +149,17 @@ def pack_words(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     flat, width = v.ravel(), v.shape[1]
     bits = _bit_lengths(flat)
     # the widest selector that fits at each place: if one fits, every selector of fewer ids does too
-    choice = np.full(len(flat), len(SELECTORS) - 1, np.uint8)
-    choice[bits > 60] = ESCAPE
-    inside = (np.arange(len(flat)) % width) < BLOCK
-    left = np.flatnonzero(inside & (bits <= 60))
-    top, seen = bits[left].copy(), 1
+    choice = np.where(bits > 60, np.uint8(ESCAPE), np.uint8(len(SELECTORS) - 1))
+    top, seen = bits.copy(), 1
     for s in range(len(SELECTORS) - 2, -1, -1):
         count, wide = SELECTORS[s]
         while seen < count:
-            np.maximum(top, bits[np.minimum(left + seen, len(flat) - 1)], out=top)
+            np.maximum(top[:-seen], bits[seen:], out=top[:-seen])
             seen += 1
         fits = top <= wide
-        left, top = left[fits], top[fits]
-        choice[left] = s
-        if not len(left):
+        if not fits.any():
             break
+        choice[fits] = s
     per = np.ones(16, np.int64)
     per[: len(SELECTORS)] = [c for c, _ in SELECTORS]
     lengths = np.full(blocks, BLOCK)
