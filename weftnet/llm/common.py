@@ -156,3 +156,30 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             break
     leaves = now.select(F.col("b").alias("node"), F.col("a").alias("component"))
     return leaves.union(now.select(F.col("a").alias("node"), F.col("a").alias("component")).distinct())
+
+
+def runs(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[pa.Table]:
+    """The tables of equal integer keys in rows that come sorted by them; runs may span batches."""
+    held: list[pa.RecordBatch] = []
+    last: tuple | None = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        cols = [np.asarray(batch.column(batch.schema.get_field_index(k))) for k in keys]
+        change = np.zeros(batch.num_rows, bool)
+        for c in cols:
+            change[1:] |= c[1:] != c[:-1]
+        change[0] = last is None or tuple(c[0] for c in cols) != last
+        starts = np.flatnonzero(change).tolist()
+        if starts and starts[0] == 0 and held:
+            yield pa.Table.from_batches(held)
+            held = []
+        bounds = [0, *[s for s in starts if s], batch.num_rows]
+        for lo, hi in zip(bounds, bounds[1:], strict=False):
+            held.append(batch.slice(lo, hi - lo))
+            if hi < batch.num_rows:
+                yield pa.Table.from_batches(held)
+                held = []
+        last = tuple(c[-1] for c in cols)
+    if held:
+        yield pa.Table.from_batches(held)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftnet.llm import license_scan, media, mixing, packing, quality, tokens, toxicity
+from weftnet.llm import embed_dedup, license_scan, media, mixing, packing, quality, tokens, toxicity
 from weftnet.llm.common import table
 
 
@@ -17,6 +17,10 @@ def tokenizer(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_sorted_projections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.read_tokens(tokens.write_tokens(table(spark, sf_dir, "documents"), tokenizer()))
 
@@ -49,6 +53,7 @@ def op10_template_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_sorted_projections": op1_sorted_projections,
     "op2_token_files": op2_token_files,
     "op3_bin_completion": op3_bin_completion,
     "op5_fourier_quality": op5_fourier_quality,
