@@ -32,6 +32,8 @@ from weftnet.llm.common import arrow_map, as_bytes, persist, text_slices
 
 END_ID = 1
 BLOCK = 512
+#: Text bytes of a part of a shard.
+PART_BYTES = 1 << 19
 #: Fixed values: (ids, bits) of each selector of the 60-bit payload.
 SELECTORS = ((60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8), (6, 10), (5, 12), (4, 15), (3, 20), (2, 30), (1, 60))
 ESCAPE = 15
@@ -48,7 +50,7 @@ class ChunkEncoder:
     or full stop after letters is a word of its own.
     """
 
-    most, longest, together = 500_000, 64, 1000
+    most, longest, together = 300_000, 64, 1000
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer, pre_tokenizers
@@ -264,14 +266,14 @@ FOUND = T.StructType([T.StructField("shard", T.IntegerType()), T.StructField("pa
 def write_tokens(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> DataFrame:
     """Write the ids of docs(doc_id, text) in ascending doc_id order; returns the written shards.
 
-    A range partition is a shard, written in parts of a few MB of text each.
+    A range partition is a shard, written in parts of half a MB of text each.
     """
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         from pyspark import TaskContext
 
         shard = TaskContext.get().partitionId()
-        for part, (batch, texts) in enumerate(text_slices(batches)):
+        for part, (batch, texts) in enumerate(text_slices(batches, PART_BYTES)):
             ids = encode_texts(tokenizer, texts, end_id)
             yield {"shard": [shard], "part": [part], "n_ids": [sum(map(len, ids)) // 4], "data": [pack_shard(batch.column("doc_id").to_pylist(), ids)]}
 
