@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftnet.llm import embed_dedup, license_scan, media, mixing, packing, quality, tokens, toxicity
+from weftnet.llm import embed_dedup, license_scan, media, mixing, packing, quality, set_join, tokens, toxicity
 from weftnet.llm.common import table
 
 
@@ -29,6 +29,10 @@ def op3_bin_completion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer())
 
 
+def op4_set_relation_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return set_join.join(table(spark, sf_dir, "documents"))
+
+
 def op5_fourier_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -56,6 +60,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sorted_projections": op1_sorted_projections,
     "op2_token_files": op2_token_files,
     "op3_bin_completion": op3_bin_completion,
+    "op4_set_relation_join": op4_set_relation_join,
     "op5_fourier_quality": op5_fourier_quality,
     "op6_media_sequences": op6_media_sequences,
     "op7_window_toxicity": op7_window_toxicity,
