@@ -279,7 +279,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> DataF
 
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = as_bytes(docs, F.col("doc_id").cast("long").alias("doc_id")).repartitionByRange(n, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first())
-    return persist(arrow_map(ordered, encode, SHARD))
+    return persist(arrow_map(ordered, encode, SHARD), "snappy")  # the words are packed already
 
 
 def read_tokens(shards: DataFrame) -> DataFrame:
