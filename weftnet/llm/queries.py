@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftnet.llm import embed_dedup, license_scan, media, mixing, packing, quality, set_join, tokens, toxicity
+from weftnet.llm import embed_dedup, license_scan, media, mixing, packing, quality, set_join, suffix_dedup, tokens, toxicity
 from weftnet.llm.common import table
 
 
@@ -48,6 +48,10 @@ def op7_window_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_suffix_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedup(table(spark, sf_dir, "documents"))
+
+
 def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -64,6 +68,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_fourier_quality": op5_fourier_quality,
     "op6_media_sequences": op6_media_sequences,
     "op7_window_toxicity": op7_window_toxicity,
+    "op8_suffix_runs": op8_suffix_runs,
     "op9_source_mix": op9_source_mix,
     "op10_template_licenses": op10_template_licenses,
 }
