@@ -84,6 +84,25 @@ def mix(docs: DataFrame, seed: str = SEED, share: tuple[int, int] = (3, 2), weig
     return placed.select("doc_id", "source", "size", "source_size", "target", (F.expr(_taken("b")) - F.expr(_taken("a"))).cast("long").alias("taken"))
 
 
+def apply(docs: DataFrame, **options: object) -> DataFrame:
+    """The mix itself: rows of docs(doc_id, text, source, n_chars, ...) as often as it takes them.
+
+    A document of which more words than its size are taken stands there whole and again; one of which part is
+    taken is cut after its last word taken. Rows equal in doc_id, source and size share their words evenly.
+    Documents of which nothing is taken go.
+    """
+    each = mix(docs, **options).groupBy("doc_id", "source", "size").agg((F.sum("taken") / F.count("*")).cast("long").alias("taken"))
+    each = persist(each.where("taken > 0").select(F.col("doc_id").alias("id"), F.col("source").alias("line"), F.col("size").alias("words"), "taken"))
+    rows = docs.withColumn("size", word_count(F.col("text")))
+    rows = rows.join(each, rows["doc_id"].eqNullSafe(each["id"]) & rows["source"].eqNullSafe(each["line"]) & (rows["size"] == each["words"]))
+    whole = F.expr("array_repeat(cast(null as bigint), cast(taken div size as int))")
+    part = F.expr("if(taken % size = 0, cast(array() as array<bigint>), array(taken % size))")
+    rows = rows.withColumn("first", F.explode(F.concat(whole, part)))
+    head = F.array_join(F.slice(F.regexp_extract_all(F.col("text"), F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0)), F.lit(1), F.col("first").cast("int")), "")
+    rows = rows.withColumn("text", F.when(F.col("first").isNull(), F.col("text")).otherwise(head))
+    return rows.withColumn("n_chars", F.when(F.col("first").isNull(), F.col("n_chars")).otherwise(F.char_length("text"))).select(*docs.columns)
+
+
 def _taken(x: str) -> str:
     """Words taken before place x of a source's line; the last block also has what is left over."""
     i = f"least({x} div unit, m - 1)"

@@ -21,7 +21,7 @@ an empty table gives no rows.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -117,6 +117,24 @@ def maybe_in(packed: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return ok
 
 
+def parted(docs: DataFrame, keys: DataFrame, of: Callable[[pa.RecordBatch], np.ndarray]) -> tuple[DataFrame, DataFrame]:
+    """Rows whose key, by `of`, is surely none of keys(key), and the others, which need a join to tell."""
+    packed = docs.sparkSession.sparkContext.broadcast(member_filter(keys))
+    fields = {f.name: f for f in docs.schema}
+
+    def side(inside: bool) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+            for batch in batches:
+                ok = pa.array(maybe_in(packed.value, of(batch)) == inside)
+                yield {c: batch.column(c).filter(ok) for c in batch.schema.names}
+
+        schema = T.StructType([fields[c] if c != "text" else T.StructField("text", T.BinaryType()) for c in docs.columns])
+        rows = arrow_map(as_bytes(docs, *(c for c in docs.columns if c != "text")).select(*docs.columns), run, schema)
+        return rows.withColumn("text", F.col("text").cast("string")) if "text" in fields else rows
+
+    return side(False), side(True)
+
+
 # ---------------------------------------------------------------- sets of documents
 PROFILE = _schema("doc_id:long n:int k:long low:long chunk:int part:int data:binary")
 
@@ -378,3 +396,19 @@ def join(docs: DataFrame) -> DataFrame:
     name = persist(member.join(least, "comp").select("k", "component_id"))
     out = rows.join(name, "k", "left")
     return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def representatives(docs: DataFrame) -> DataFrame:
+    """The rows of docs(doc_id, text, ...) with one document of each component: that with its smallest doc_id.
+
+    Rows that share a doc_id are one document, of which the first by text stays; rows with a null doc_id stay.
+    """
+    groups = persist(join(docs))
+    ids = persist(groups.where("doc_id is not null").groupBy(F.col("doc_id").alias("key")).agg(F.max(F.col("component_id") == F.col("doc_id")).alias("stays"), F.count("*").alias("rows")))
+    dropped, again = ids.where("not stays").select("key"), ids.where("stays and rows > 1").select("key")
+    sure, unsure = parted(docs, dropped.union(again), lambda batch: np.asarray(batch.column("doc_id").fill_null(-1)))
+    unsure = unsure.join(dropped, F.col("doc_id") == F.col("key"), "left_anti")
+    if again.limit(1).count():
+        nth = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
+        unsure = unsure.withColumn("nth", nth).where("doc_id is null or nth = 1").drop("nth")
+    return sure.union(unsure)

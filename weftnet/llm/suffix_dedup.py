@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from weftnet.llm.common import arrow_map, as_bytes, persist, runs, text_slices
-from weftnet.llm.set_join import maybe_in, member_filter
+from weftnet.llm.set_join import maybe_in, member_filter, parted
 from weftnet.llm.shingles import _BASE, _INVERSE, _powers, mix
 
 LENGTH, GRAM = 50, 20
@@ -479,3 +479,47 @@ def dedup(docs: DataFrame) -> DataFrame:
         pick(F.lit(1), F.col("n_spans"), F.lit(0)).cast("long").alias("n_spans"),
         pick(F.lit(nothing), F.col("left"), F.col("sha256")).alias("kept_sha256"),
     )
+
+
+def cut(docs: DataFrame) -> DataFrame:
+    """The rows of docs(doc_id, text, n_chars, ...) without the removed bytes.
+
+    What a cut leaves of a character becomes U+FFFD, n_chars follows the new text, and rows of which nothing
+    but white space is left go. Rows that repeat nothing stay as they are.
+    """
+    rows, removed = find_repeats(docs)
+    whole = rows.where("copy").select("doc_id", "k", F.lit(None).cast("binary").alias("spans"))
+    changes = persist(removed.select("doc_id", "k", "spans").join(whole, ["doc_id", "k"], "left_anti").union(whole.distinct()))
+    keys = arrow_map(changes.select("doc_id", "k"), lambda batches: ({"key": _row_key(np.asarray(b.column(0)), np.asarray(b.column(1)))} for b in batches), _schema("key:long"))
+
+    def key(batch: pa.RecordBatch) -> np.ndarray:
+        k = np.array([text_key(x or b"") for x in batch.column("text").to_pylist()], np.int64)
+        return _row_key(np.asarray(batch.column("doc_id").fill_null(LAST)), k)
+
+    same, other = parted(docs, keys, key)
+    columns, schema_out = docs.columns, docs.schema
+    schema = T.StructType([*other.schema, T.StructField("rank", T.LongType()), T.StructField("k", T.LongType())])
+
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        for batch in batches:
+            cols = {c: batch.column(c) for c in batch.schema.names}
+            yield cols | {"rank": batch.column("doc_id").fill_null(LAST), "k": [text_key((x or "").encode()) for x in batch.column("text").to_pylist()]}
+
+    changed = changes.select(F.col("doc_id").alias("rank"), "k", "spans", F.lit(True).alias("known"))
+    joined = arrow_map(other, named, schema).join(changed, ["rank", "k"], "left").drop("rank", "k")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        for batch in batches:
+            texts, keep = batch.column("text").to_pylist(), []
+            chars = batch.column("n_chars").to_pylist()
+            for i, (s, known) in enumerate(zip(batch.column("spans").to_pylist(), batch.column("known").to_pylist(), strict=True)):
+                if known:
+                    texts[i] = kept_parts(texts[i].encode(), np.frombuffer(s, np.int64)).decode("utf-8", "replace") if s is not None else ""
+                    chars[i] = len(texts[i])
+                    if not texts[i].strip():
+                        continue
+                keep.append(i)
+            rows_ = batch.take(pa.array(keep, pa.int64()))
+            yield {c: rows_.column(c) for c in columns} | {"text": [texts[i] for i in keep], "n_chars": [chars[i] for i in keep]}
+
+    return same.union(arrow_map(joined, run, schema_out))

@@ -361,3 +361,21 @@ def classify(docs: DataFrame, labels: DataFrame, target: str = "toxic", threshol
 
     scored = arrow_map(as_bytes(docs, F.col("doc_id").cast("long").alias("doc_id")), run, SCORED)
     return scored.select("doc_id", (fold(F.col("doc_id")) == HELD_OUT).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def drop_toxic(docs: DataFrame, labels: DataFrame, target: str = "toxic", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs(doc_id, text, ...) that score below the threshold, unchanged."""
+    fitted = docs.sparkSession.sparkContext.broadcast(fit(*sample(docs, labels, target)))
+    rest = [c for c in docs.columns if c != "text"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        model = fitted.value
+        if model and id(model) not in _SCORERS:
+            _SCORERS.clear()
+            _SCORERS[id(model)] = Scorer(model[0])
+        for batch, texts in text_slices(batches):
+            ok = sigmoid(model[1] * _SCORERS[id(model)](texts) + model[2]) < threshold if model else np.ones(len(texts), bool)
+            yield {c: batch.column(c).filter(pa.array(ok)) for c in batch.schema.names}
+
+    kept = arrow_map(as_bytes(docs, *rest), run, T.StructType([*(docs.schema[c] for c in rest), T.StructField("text", T.BinaryType())]))
+    return kept.select(*(F.col(c).cast("string").alias(c) if c == "text" else c for c in docs.columns))
