@@ -85,5 +85,5 @@ def test_list_pairs_lose_nothing():
     n = np.sort(rng.integers(5, 60, 300))
     at, comp, k = rng.integers(0, 5, 300), rng.integers(0, 40, 300), np.arange(300)
     got = {(int(i), int(j)) for x, y in set_join._list_pairs(k, comp, n, at) for i, j in zip(x, y, strict=True)}
-    want = {(i, j) for i in range(300) for j in range(i + 1, 300) if comp[i] != comp[j] and 100 * n[i] >= 75 * n[j] and 175 * min(n[i] - at[i], n[j] - at[j]) >= 75 * (n[i] + n[j])}
+    want = {(i, j) for i in range(300) for j in range(i + 1, 300) if comp[i] != comp[j] and 100 * n[i] >= 75 * n[j] and 175 * (min(at[i], at[j]) + min(n[i] - at[i], n[j] - at[j])) >= 75 * (n[i] + n[j])}
     assert got == want

@@ -9,10 +9,11 @@ components of all links and loses none of them:
    give a prefix that any linked set's prefix must share. Prefix postings are dealt by hash as packed blocks.
 3. A list is skipped as a whole if its sets are one component by now. In what is left, blocks of postings
    sorted by size and position are skipped when their sizes or positions rule a link out, and only pairs
-   from different components become candidates.
+   from different components become candidates. A pair needs as many common prefix shingles as its sets'
+   remaining shingles leave open.
 4. Candidates are verified on their sets, a few per pair of components first: once two components are
-   joined, their other candidates' answers follow. In a run of candidates (S0, T), (S1, T), ... the overlap
-   of S1 with T is derived from that of S0 by the shingles in which S0 and S1 differ.
+   joined, their other candidates' answers follow. Of candidates (S, T0), (S, T1), ... with T0 and T1 of one
+   component the overlap with T1 is derived from that with T0 by the shingles in which T0 and T1 differ.
 
 Null and empty texts, and those of white space only, have the empty set and link with nothing. A row with a
 null doc_id takes part only through rows of equal sets. Repeated rows are copies. Extra columns are ignored;
@@ -40,6 +41,8 @@ NEAR = 6
 FILTER_BITS = 1 << 24
 #: Postings in a block of a list, and candidates verified first of each pair of components.
 BLOCK, FIRST = 64, 6
+#: Candidates of one set that are verified by one copy of it.
+PER_TASK = 64
 
 
 def _schema(text: str) -> T.StructType:
@@ -48,8 +51,11 @@ def _schema(text: str) -> T.StructType:
 
 
 def prefix_size(n: np.ndarray) -> np.ndarray:
-    """Shingles of a set of size n of which any linked set must share one."""
-    return n - -(-PERCENT * n // 100) + 1
+    """Shingles of a set of size n that are indexed: any linked set must share n // 4 + 1 or so of them.
+
+    One shared shingle would need n - 75 % + 1 of them; a quarter more tells near pairs from linked ones.
+    """
+    return np.minimum(n, n - -(-PERCENT * n // 100) + 1 + n // 4)
 
 
 def linked(overlap: int, a: int, b: int) -> bool:
@@ -176,7 +182,8 @@ def chosen_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             yield {"k": names[mine], "doc_id": ids.take(pa.array(mine)), "s": [sets[i].tobytes() for i in mine]}
 
     found = arrow_map(as_bytes(docs, F.col("doc_id").cast("long").alias("doc_id")), run, _schema("k:long doc_id:long s:binary"))
-    return found.join(wanted.select("k", "doc_id"), ["k", "doc_id"], "left_semi").dropDuplicates(["k"]).select("k", "s")
+    named = wanted.select("k", F.col("doc_id").alias("from"))
+    return found.join(named.hint("merge"), "k").where(F.col("doc_id") == F.col("from")).dropDuplicates(["k"]).select("k", "s")
 
 
 EDGE = _schema("a:long b:long")
@@ -211,7 +218,7 @@ def similar_first(docs: DataFrame, classes: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------- the index
 POSTED = _schema("bucket:int data:binary")
-PAIR = _schema("a:long b:long ca:long cb:long hits:int")
+PAIR = _schema("a:long b:long ca:long cb:long na:int nb:int hits:int")
 _DOC = np.dtype([("k", "<i8"), ("comp", "<i8"), ("n", "<u4"), ("here", "<u4")])
 _POST = np.dtype([("h", "<u4"), ("at", "<u2")])
 
@@ -257,19 +264,23 @@ def postings(docs: DataFrame, reps: DataFrame, levels: np.ndarray, buckets: int)
 
 
 def _list_pairs(k: np.ndarray, comp: np.ndarray, n: np.ndarray, at: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of one list's postings (sorted by size) that sizes, positions and components leave."""
+    """Pairs of one list's postings (sorted by size) that sizes, positions and components leave.
+
+    Linked sets have at most min(i, j) common shingles before places i and j, and at most min(n - i, m - j)
+    from there on, so every common prefix shingle of linked sets passes.
+    """
     blocks = [slice(a, min(a + BLOCK, len(k))) for a in range(0, len(k), BLOCK)]
-    bounds = [(int(n[b][0]), int(n[b][-1]), int((n[b] - at[b]).max()), int(comp[b].min()), int(comp[b].max())) for b in blocks]
+    bounds = [(int(n[b][0]), int(n[b][-1]), int(at[b].max()), int((n[b] - at[b]).max()), int(comp[b].min()), int(comp[b].max())) for b in blocks]
     for i, a in enumerate(blocks):
         for j in range(i, len(blocks)):
-            (lo_a, hi_a, left_a, c0, c1), (lo_b, _, left_b, d0, d1) = bounds[i], bounds[j]
+            (lo_a, hi_a, at_a, left_a, c0, c1), (lo_b, _, at_b, left_b, d0, d1) = bounds[i], bounds[j]
             if 100 * hi_a < PERCENT * lo_b:
                 break  # later blocks only have larger sets
-            if c0 == c1 == d0 == d1 or (100 + PERCENT) * min(left_a, left_b) < PERCENT * (lo_a + lo_b):
+            if c0 == c1 == d0 == d1 or (100 + PERCENT) * (min(at_a, at_b) + min(left_a, left_b)) < PERCENT * (lo_a + lo_b):
                 continue
             b = blocks[j]
-            na, nb = n[a][:, None], n[b][None]
-            room = np.minimum(na - at[a][:, None], nb - at[b][None])
+            na, nb, ia, ib = n[a][:, None], n[b][None], at[a][:, None], at[b][None]
+            room = np.minimum(ia, ib) + np.minimum(na - ia, nb - ib)
             ok = (100 * na >= PERCENT * nb) & (100 * nb >= PERCENT * na) & ((100 + PERCENT) * room >= PERCENT * (na + nb)) & (comp[a][:, None] != comp[b][None])
             if i == j:
                 ok = np.triu(ok, 1)
@@ -315,48 +326,57 @@ def candidates(posted: DataFrame, buckets: int) -> DataFrame:
 
     def pairs(d: np.ndarray, tally: dict) -> dict:
         i, j = np.array(list(tally), np.int64).T
-        return {"a": d["k"][i], "b": d["k"][j], "ca": d["comp"][i], "cb": d["comp"][j], "hits": list(tally.values())}
+        return {"a": d["k"][i], "b": d["k"][j], "ca": d["comp"][i], "cb": d["comp"][j], "na": d["n"][i].astype(np.int32), "nb": d["n"][j].astype(np.int32), "hits": list(tally.values())}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for t in runs(batches, ("bucket",)):
             yield from merge(t)
 
     found = arrow_map(posted.repartition(buckets, "bucket").sortWithinPartitions("bucket"), run, PAIR)
-    return persist(found.groupBy("a", "b").agg(F.max("ca").alias("ca"), F.max("cb").alias("cb"), F.sum("hits").alias("hits")))
+    found = found.groupBy("a", "b").agg(*(F.max(c).alias(c) for c in ("ca", "cb", "na", "nb")), F.sum("hits").alias("hits"))
+    # all common shingles up to the end of the prefix that ends first are hits; after it that set has so many left
+    left = [f"greatest(0, ({PERCENT} * {n} + 99) div 100 - 1 - {n} div 4)" for n in ("na", "nb")]
+    return persist(found.where(f"{100 + PERCENT} * (hits + greatest({left[0]}, {left[1]})) >= {PERCENT} * (na + nb)"))
 
 
 def verify(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
     """The (a, b) of pairs(a, b, ca, cb) that link, where one link of two components stands for the rest."""
-    names = pairs.select(F.explode(F.array("a", "b")).alias("k")).distinct()
-    sets = persist(chosen_sets(docs, persist(classes.join(names, "k", "left_semi").select("k", "doc_id"))))
-    rows = pairs.join(sets.select(F.col("k").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("k").alias("b"), F.col("s").alias("sb")), "b")
+    per = pairs.groupBy("a").agg(F.ceil(F.count("*") / PER_TASK).alias("salts"))
+    todo = persist(pairs.join(per, "a").select("a", F.pmod(F.xxhash64("b"), F.col("salts")).alias("salt"), "b", "ca", "cb"))
+    firsts = todo.select("a", "salt").distinct().select(F.col("a").alias("k"), "a", "salt", F.lit(0).alias("role"), *(F.lit(None).cast("long").alias(c) for c in ("ca", "cb")))
+    roles = persist(firsts.union(todo.select(F.col("b").alias("k"), "a", "salt", F.lit(1).alias("role"), "ca", "cb")))
+    wanted = persist(classes.join(roles.select("k").distinct(), "k", "left_semi").select("k", "doc_id"))
+    rows = chosen_sets(docs, wanted).join(roles.hint("merge"), "k")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        done: tuple[int, int] | None = None
-        target, base, common = None, np.zeros(0, np.uint64), 0
+        done: set[tuple[int, int]] = set()
+        a, s, comp, base, common = None, np.zeros(0, np.uint64), None, np.zeros(0, np.uint64), 0
         for batch in batches:
             out = []
-            for ca, cb, a, b, sa, sb in zip(*(batch.column(c).to_pylist() for c in ("ca", "cb", "a", "b", "sa", "sb")), strict=True):
-                if done == (ca, cb):
+            for key, role, ca, cb, k, data in zip(*(batch.column(c).to_pylist() for c in ("a", "role", "ca", "cb", "k", "s")), strict=True):
+                if role == 0:
+                    a, s, comp = key, np.frombuffer(data, np.uint64), None
                     continue
-                s, t = np.frombuffer(sa, np.uint64), np.frombuffer(sb, np.uint64)
-                if target == (ca, cb, b):
+                if (ca, cb) in done:
+                    continue
+                t = np.frombuffer(data, np.uint64)
+                if comp == cb:
                     # from the answer of a similar set: what only one of the two has
-                    gone, new = np.setdiff1d(base, s, assume_unique=True), np.setdiff1d(s, base, assume_unique=True)
-                    shared = common - overlap(gone, t) + overlap(new, t)
+                    gone, new = np.setdiff1d(base, t, assume_unique=True), np.setdiff1d(t, base, assume_unique=True)
+                    common += overlap(new, s) - overlap(gone, s)
                 else:
-                    shared = overlap(s, t)
-                    target, base, common = (ca, cb, b), s, shared
-                if linked(shared, len(s), len(t)):
-                    out.append((a, b))
-                    done = (ca, cb)
+                    common = overlap(t, s)
+                comp, base = cb, t
+                if linked(common, len(s), len(t)):
+                    out.append((a, k))
+                    done = done if len(done) < 100_000 else set()
+                    done.add((ca, cb))
             if out:
-                a, b = np.array(out, np.int64).T
-                yield {"a": a, "b": b}
+                x, y = np.array(out, np.int64).T
+                yield {"a": x, "b": y}
 
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    order = ["ca", "cb", "b", "a"]
-    return arrow_map(rows.repartitionByRange(n, *order).sortWithinPartitions(*order), run, EDGE)
+    return arrow_map(rows.repartition(n, "a", "salt").sortWithinPartitions("a", "salt", "role", "cb", "k"), run, EDGE)
 
 
 def _relabel(classes: DataFrame, comps: DataFrame) -> DataFrame:
