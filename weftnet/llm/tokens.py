@@ -32,8 +32,8 @@ from weftnet.llm.common import arrow_map, as_bytes, persist, text_slices
 
 END_ID = 1
 BLOCK = 512
-#: Text bytes of a part of a shard.
-PART_BYTES = 1 << 19
+#: Bytes of ids, before packing, of a part of a shard.
+PART_BYTES = 3 << 18
 #: Fixed values: (ids, bits) of each selector of the 60-bit payload.
 SELECTORS = ((60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8), (6, 10), (5, 12), (4, 15), (3, 20), (2, 30), (1, 60))
 ESCAPE = 15
@@ -50,7 +50,7 @@ class ChunkEncoder:
     or full stop after letters is a word of its own.
     """
 
-    most, longest, together = 300_000, 64, 1000
+    most, longest, together = 450_000, 64, 1000
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer, pre_tokenizers
@@ -266,16 +266,22 @@ FOUND = T.StructType([T.StructField("shard", T.IntegerType()), T.StructField("pa
 def write_tokens(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> DataFrame:
     """Write the ids of docs(doc_id, text) in ascending doc_id order; returns the written shards.
 
-    A range partition is a shard, written in parts of half a MB of text each.
+    A range partition is a shard, written in parts of about half a MB of packed words each.
     """
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         from pyspark import TaskContext
 
-        shard = TaskContext.get().partitionId()
-        for part, (batch, texts) in enumerate(text_slices(batches, PART_BYTES)):
-            ids = encode_texts(tokenizer, texts, end_id)
-            yield {"shard": [shard], "part": [part], "n_ids": [sum(map(len, ids)) // 4], "data": [pack_shard(batch.column("doc_id").to_pylist(), ids)]}
+        shard, part = TaskContext.get().partitionId(), 0
+        for batch, texts in text_slices(batches):
+            ids, doc_ids = encode_texts(tokenizer, texts, end_id), batch.column("doc_id").to_pylist()
+            ends = np.cumsum(list(map(len, ids)))
+            cuts = np.unique(np.searchsorted(ends, np.arange(0, ends[-1], PART_BYTES), side="left")).tolist() + [len(ids)]
+            cuts[0] = 0
+            for lo, hi in zip(cuts, cuts[1:], strict=False):
+                if hi > lo:
+                    yield {"shard": [shard], "part": [part], "n_ids": [sum(map(len, ids[lo:hi])) // 4], "data": [pack_shard(doc_ids[lo:hi], ids[lo:hi])]}
+                    part += 1
 
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = as_bytes(docs, F.col("doc_id").cast("long").alias("doc_id")).repartitionByRange(n, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first())
