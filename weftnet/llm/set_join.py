@@ -3,8 +3,9 @@
 Equal sets are one class. Classes link when 100 * |A and B| >= 75 * |A or B|; the join finds the connected
 components of all links and loses none of them:
 
-1. Similar sets first: classes are sorted by one min-hash and by size, and close neighbours are verified.
-   The components found so far are the answers that later steps need not derive again.
+1. Similar sets first: classes that share one of a few min-hashes are sorted by it and by size; of close
+   neighbours the one that looks most alike by its lowest hashes is verified. The components found so far
+   are the answers that later steps need not derive again.
 2. Index: the shingles of each set in one global order (frequent ones last, by a count sketch over all texts)
    give a prefix that any linked set's prefix must share. Prefix postings are dealt by hash as packed blocks.
 3. A list is skipped as a whole if its sets are one component by now. In what is left, blocks of postings
@@ -37,7 +38,8 @@ from weftnet.llm.shingles import Hasher, mix, set_key
 PERCENT = 75
 COUNTERS = 1 << 20
 CHUNKS = 16
-NEAR = 6
+#: Neighbours looked at, min-hashes, and lowest hashes kept of a set.
+NEAR, BANDS, LOWEST = 8, 8, 48
 FILTER_BITS = 1 << 24
 #: Postings in a block of a list, and candidates verified first of each pair of components.
 BLOCK, FIRST = 64, 6
@@ -142,7 +144,8 @@ def parted(docs: DataFrame, keys: DataFrame, of: Callable[[pa.RecordBatch], np.n
 
 
 # ---------------------------------------------------------------- sets of documents
-PROFILE = _schema("doc_id:long n:int k:long low:long chunk:int part:int data:binary")
+PROFILE = _schema("doc_id:long n:int k:long lows:binary chunk:int part:int data:binary")
+_TURNS = [np.uint64(k * 0x9E3779B97F4A7C15 & (1 << 64) - 1) for k in range(BANDS)]
 
 
 def profiles(docs: DataFrame) -> DataFrame:
@@ -156,11 +159,18 @@ def profiles(docs: DataFrame) -> DataFrame:
             sets = hasher.sets(texts)
             flat = mix(np.concatenate(sets)) if sets else np.zeros(0, np.uint64)
             count += np.bincount((flat % np.uint64(COUNTERS)).astype(np.int64), minlength=COUNTERS).astype(np.uint32)
-            ends = np.cumsum(list(map(len, sets)))
-            low = [int(flat[e - len(x) : e].min().view(np.int64)) if len(x) else None for x, e in zip(sets, ends.tolist(), strict=True)]
-            yield {"doc_id": batch.column("doc_id"), "n": list(map(len, sets)), "k": [set_key(x) if len(x) else None for x in sets], "low": low} | dict.fromkeys(("chunk", "part", "data"), [None] * len(sets))
+            sizes = np.array(list(map(len, sets)))
+            some = np.flatnonzero(sizes)
+            starts = (np.cumsum(sizes) - sizes)[some]
+            lows: list[bytes | None] = [None] * len(sets)
+            if len(some):
+                bands = np.stack([np.minimum.reduceat(mix(flat ^ turn), starts) for turn in _TURNS], 1)
+                for i, a, row in zip(some.tolist(), starts.tolist(), bands, strict=True):
+                    x = flat[a : a + sizes[i]]
+                    lows[i] = row.tobytes() + np.sort(np.partition(x, LOWEST - 1)[:LOWEST] if len(x) > LOWEST else x).tobytes()
+            yield {"doc_id": batch.column("doc_id"), "n": sizes, "k": [set_key(x) if len(x) else None for x in sets], "lows": lows} | dict.fromkeys(("chunk", "part", "data"), [None] * len(sets))
         chunks = count.reshape(CHUNKS, -1)
-        yield {"chunk": range(CHUNKS), "part": [TaskContext.get().partitionId()] * CHUNKS, "data": [x.tobytes() for x in chunks]} | dict.fromkeys(("doc_id", "n", "k", "low"), [None] * CHUNKS)
+        yield {"chunk": range(CHUNKS), "part": [TaskContext.get().partitionId()] * CHUNKS, "data": [x.tobytes() for x in chunks]} | dict.fromkeys(("doc_id", "n", "k", "lows"), [None] * CHUNKS)
 
     return persist(arrow_map(as_bytes(docs, F.col("doc_id").cast("long").alias("doc_id")), run, PROFILE))
 
@@ -189,31 +199,43 @@ def chosen_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 EDGE = _schema("a:long b:long")
 
 
+def alike(a: np.ndarray, b: np.ndarray) -> float:
+    """The estimated Jaccard index of two sets by their lowest hashes."""
+    both = np.union1d(a, b)[: min(LOWEST, max(len(a), len(b)))]
+    return float(np.isin(both, a, assume_unique=True).__and__(np.isin(both, b, assume_unique=True)).mean())
+
+
 def similar_first(docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Links among close neighbours in the order of min-hash and size: most of what near copies have."""
-    shared = persist(classes.groupBy("low").count().where("count > 1").select("low"))
-    wanted = persist(classes.join(shared, "low", "left_semi").select("k", "doc_id", "low", "n"))
-    rows = chosen_sets(docs, wanted).join(wanted.select("k", "low", "n"), "k")
+    """Links among close neighbours in the order of min-hashes and sizes: most of what near copies have."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        held: list[tuple[int, int, np.ndarray]] = []
+    def unfold(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch in batches:
-            out: list[tuple[int, int]] = []
-            for low, k, data in zip(*(batch.column(c).to_pylist() for c in ("low", "k", "s")), strict=True):
-                s = np.frombuffer(data, np.uint64)
-                held = [x for x in held[-NEAR:] if x[0] == low]
-                # the nearest that links is enough: it stands for the others
-                for _, other, t in reversed(held):
-                    if 100 * min(len(s), len(t)) >= PERCENT * max(len(s), len(t)) and linked(overlap(s, t), len(s), len(t)):
-                        out.append((other, k))
-                        break
-                held.append((low, k, s))
+            lows = np.stack([np.frombuffer(x, np.int64, BANDS) for x in batch.column("lows").to_pylist()]) if batch.num_rows else np.zeros((0, BANDS), np.int64)
+            for band in range(BANDS):
+                yield {"band": np.full(len(lows), band), "low": lows[:, band], "k": batch.column("k")}
+
+    def propose(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        held: list[tuple[tuple[int, int], int, int, np.ndarray]] = []
+        for batch in batches:
+            out = []
+            for band, low, n, k, lows in zip(*(batch.column(c).to_pylist() for c in ("band", "low", "n", "k", "lows")), strict=True):
+                mine = np.frombuffer(lows, np.uint64, -1, 8 * BANDS)
+                held = [x for x in held[-NEAR:] if x[0] == (band, low)]
+                best = max(((alike(mine, other), -i, name) for i, (_, name, m, other) in enumerate(reversed(held)) if 100 * m >= PERCENT * n), default=None)
+                if best and best[0] >= 0.7:
+                    out.append((min(best[2], k), max(best[2], k)))
+                held.append(((band, low), k, n, mine))
             if out:
                 a, b = np.array(out, np.int64).T
                 yield {"a": a, "b": b}
 
+    bands = persist(arrow_map(classes.select("k", "lows"), unfold, _schema("band:int low:long k:long")))
+    shared = persist(bands.groupBy("band", "low").count().where("count > 1").select("band", "low"))
+    near = persist(bands.join(shared.hint("merge"), ["band", "low"]))
+    rows = near.join(classes.select("k", "n", "lows").hint("merge"), "k")
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return arrow_map(rows.repartitionByRange(n, "low", "n", "k").sortWithinPartitions("low", "n", "k"), run, EDGE)
+    pairs = arrow_map(rows.repartitionByRange(n, "band", "low", "n", "k").sortWithinPartitions("band", "low", "n", "k"), propose, EDGE)
+    return verify(docs, classes, persist(pairs.distinct().select("a", "b", F.col("a").alias("ca"), F.col("b").alias("cb"))))
 
 
 # ---------------------------------------------------------------- the index
@@ -388,7 +410,7 @@ def join(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     both = profiles(docs)
-    rows = both.where("chunk is null").select("doc_id", "n", "k", "low")
+    rows = both.where("chunk is null").select("doc_id", "n", "k", "lows")
     counts = np.zeros((CHUNKS, COUNTERS // CHUNKS), np.uint32)
     for chunk, data in _summed(both.where("chunk is not null").select("chunk", "part", "data"), "count"):
         counts[chunk] = np.frombuffer(data, np.uint32)
@@ -396,7 +418,7 @@ def join(docs: DataFrame) -> DataFrame:
     noise = max(4.0, 4.0 * float(counts.mean()))
     by_plain = np.where(counts > noise, np.log2(np.maximum(counts, 1) / noise) + 1, 0).astype(np.uint8)
 
-    classes = persist(rows.where("k is not null").groupBy("k").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("low").alias("low")))
+    classes = persist(rows.where("k is not null").groupBy("k").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"), F.max("lows").alias("lows")))
     named = classes.where("doc_id is not null")
     links = persist(similar_first(docs, named))
     labelled = persist(_relabel(named, components(links)))
