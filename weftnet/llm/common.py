@@ -14,8 +14,18 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-#: Rows with whole texts in an Arrow batch.
-BATCH_ROWS = 1000
+#: Rows with whole texts in an Arrow batch; bytes of a row group of scratch tables.
+BATCH_ROWS, ROW_GROUP = 1000, 16 << 20
+
+_STATE: dict = {}
+
+
+def worker_state(key: object, make: Callable[[], object]) -> object:
+    """What a Python worker keeps between tasks: one state at a time, so that operators don't add up."""
+    if key not in _STATE:
+        _STATE.clear()
+        _STATE[key] = make()
+    return _STATE[key]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,7 +48,7 @@ def persist(df: DataFrame, codec: str = "zstd") -> DataFrame:
     """Cut the lineage with a written table in the shared folder; the result survives lost executors."""
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/weftnet-{uuid.uuid4().hex}"
-    df.write.option("compression", codec).parquet(path)
+    df.write.option("compression", codec).option("parquet.block.size", ROW_GROUP).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch_path = path
     return out

@@ -4,7 +4,7 @@ Equal sets are one class. Classes link when 100 * |A and B| >= 75 * |A or B|; th
 components of all links and loses none of them:
 
 1. Similar sets first: classes that share one of a few min-hashes are sorted by it and by size; of close
-   neighbours the one that looks most alike by its lowest hashes is verified. The components found so far
+   neighbours the two that look most alike by their lowest hashes are verified. The components found so far
    are the answers that later steps need not derive again.
 2. Index: the shingles of each set in one global order (frequent ones last, by a count sketch over all texts)
    give a prefix that any linked set's prefix must share. Prefix postings are dealt by hash as packed blocks.
@@ -45,6 +45,8 @@ FILTER_BITS = 1 << 24
 BLOCK, FIRST = 64, 6
 #: Candidates of one set that are verified by one copy of it.
 PER_TASK = 64
+#: Postings that a bucket of the index holds if there are partitions enough.
+BUCKET_POSTINGS = 2_000_000
 
 
 def _schema(text: str) -> T.StructType:
@@ -221,9 +223,8 @@ def similar_first(docs: DataFrame, classes: DataFrame) -> DataFrame:
             for band, low, n, k, lows in zip(*(batch.column(c).to_pylist() for c in ("band", "low", "n", "k", "lows")), strict=True):
                 mine = np.frombuffer(lows, np.uint64, -1, 8 * BANDS)
                 held = [x for x in held[-NEAR:] if x[0] == (band, low)]
-                best = max(((alike(mine, other), -i, name) for i, (_, name, m, other) in enumerate(reversed(held)) if 100 * m >= PERCENT * n), default=None)
-                if best and best[0] >= 0.7:
-                    out.append((min(best[2], k), max(best[2], k)))
+                best = sorted(((-alike(mine, other), i, name) for i, (_, name, m, other) in enumerate(reversed(held)) if 100 * m >= PERCENT * n))
+                out += [(min(name, k), max(name, k)) for score, _, name in best[:2] if score <= -0.7]
                 held.append(((band, low), k, n, mine))
             if out:
                 a, b = np.array(out, np.int64).T
@@ -291,6 +292,19 @@ def _list_pairs(k: np.ndarray, comp: np.ndarray, n: np.ndarray, at: np.ndarray)
     Linked sets have at most min(i, j) common shingles before places i and j, and at most min(n - i, m - j)
     from there on, so every common prefix shingle of linked sets passes.
     """
+    _, name, count = np.unique(comp, return_inverse=True, return_counts=True)
+    main = name == count.argmax()
+    if 2 * count.max() > len(k) > BLOCK:
+        # one component has most of the list: only the others meet what they may link with
+        for x in np.flatnonzero(~main).tolist():
+            lo, hi = np.searchsorted(n, -(-PERCENT * n[x] // 100)), np.searchsorted(n, 100 * n[x] // PERCENT, side="right")
+            m, j = n[lo:hi], at[lo:hi]
+            room = np.minimum(at[x], j) + np.minimum(n[x] - at[x], m - j)
+            y = lo + np.flatnonzero(((100 + PERCENT) * room >= PERCENT * (n[x] + m)) & (comp[lo:hi] != comp[x]))
+            y = y[main[y] | (y > x)]
+            if len(y):
+                yield np.full(len(y), x), y
+        return
     blocks = [slice(a, min(a + BLOCK, len(k))) for a in range(0, len(k), BLOCK)]
     bounds = [(int(n[b][0]), int(n[b][-1]), int(at[b].max()), int((n[b] - at[b]).max()), int(comp[b].min()), int(comp[b].max())) for b in blocks]
     for i, a in enumerate(blocks):
@@ -408,7 +422,6 @@ def _relabel(classes: DataFrame, comps: DataFrame) -> DataFrame:
 def join(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id) of each row of docs(doc_id, text)."""
     spark = docs.sparkSession
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     both = profiles(docs)
     rows = both.where("chunk is null").select("doc_id", "n", "k", "lows")
     counts = np.zeros((CHUNKS, COUNTERS // CHUNKS), np.uint32)
@@ -420,6 +433,8 @@ def join(docs: DataFrame) -> DataFrame:
 
     classes = persist(rows.where("k is not null").groupBy("k").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"), F.max("lows").alias("lows")))
     named = classes.where("doc_id is not null")
+    postings_ = int(classes.agg(F.sum("n")).first()[0] or 0) // 2
+    buckets = max(8, min(int(spark.conf.get("spark.sql.shuffle.partitions")), postings_ // BUCKET_POSTINGS))
     links = persist(similar_first(docs, named))
     labelled = persist(_relabel(named, components(links)))
     found = candidates(postings(docs, labelled, by_plain, buckets), buckets)

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weftnet.llm.common import arrow_map, as_bytes, persist, text_slices
+from weftnet.llm.common import arrow_map, as_bytes, persist, text_slices, worker_state
 
 END_ID = 1
 BLOCK = 512
@@ -110,15 +110,11 @@ class ChunkEncoder:
         return [b"".join(found[a:b]) if b"<|" not in x else self._ids([x.decode("utf-8", "replace")])[0] for x, a, b in zip(texts, ends, ends[1:], strict=False)]
 
 
-_ENCODERS: dict[str, ChunkEncoder] = {}
-
-
 def encode_texts(path: str, texts: list[bytes], end_id: int = END_ID) -> list[bytes]:
     """Ids of each text with the end id, as bytes; one memo per Python worker."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = ChunkEncoder(path)
+    encoder = worker_state(("tokens", path), lambda: ChunkEncoder(path))
     end = np.array([end_id], "<u4").tobytes()
-    return [x + end for x in _ENCODERS[path].encode(texts)]
+    return [x + end for x in encoder.encode(texts)]
 
 
 # ---------------------------------------------------------------- Simple-8b

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weftnet.llm.common import arrow_map, as_bytes, text_slices
+from weftnet.llm.common import arrow_map, as_bytes, text_slices, worker_state
 from weftnet.llm.quality import HELD_OUT, fold, labelled
 
 #: Most labelled rows that training reads of each kind.
@@ -343,7 +343,6 @@ def fit(texts: list[bytes], toxic: np.ndarray, weight: np.ndarray) -> tuple[Netw
 
 
 SCORED = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("score", T.DoubleType())])
-_SCORERS: dict[int, Scorer] = {}
 
 
 def classify(docs: DataFrame, labels: DataFrame, target: str = "toxic", threshold: float = THRESHOLD) -> DataFrame:
@@ -352,11 +351,9 @@ def classify(docs: DataFrame, labels: DataFrame, target: str = "toxic", threshol
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         model = fitted.value
-        if model and id(model) not in _SCORERS:
-            _SCORERS.clear()
-            _SCORERS[id(model)] = Scorer(model[0])
+        scorer = worker_state(("toxicity", id(model)), lambda: Scorer(model[0])) if model else None
         for batch, texts in text_slices(batches):
-            score = sigmoid(model[1] * _SCORERS[id(model)](texts) + model[2]) if model else np.zeros(len(texts))
+            score = sigmoid(model[1] * scorer(texts) + model[2]) if model else np.zeros(len(texts))
             yield {"doc_id": batch.column("doc_id"), "score": score}
 
     scored = arrow_map(as_bytes(docs, F.col("doc_id").cast("long").alias("doc_id")), run, SCORED)
@@ -370,11 +367,9 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, target: str = "toxic", thresh
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         model = fitted.value
-        if model and id(model) not in _SCORERS:
-            _SCORERS.clear()
-            _SCORERS[id(model)] = Scorer(model[0])
+        scorer = worker_state(("toxicity", id(model)), lambda: Scorer(model[0])) if model else None
         for batch, texts in text_slices(batches):
-            ok = sigmoid(model[1] * _SCORERS[id(model)](texts) + model[2]) < threshold if model else np.ones(len(texts), bool)
+            ok = sigmoid(model[1] * scorer(texts) + model[2]) < threshold if model else np.ones(len(texts), bool)
             yield {c: batch.column(c).filter(pa.array(ok)) for c in batch.schema.names}
 
     kept = arrow_map(as_bytes(docs, *rest), run, T.StructType([*(docs.schema[c] for c in rest), T.StructField("text", T.BinaryType())]))
