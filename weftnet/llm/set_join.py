@@ -253,7 +253,7 @@ def postings(docs: DataFrame, reps: DataFrame, levels: np.ndarray, buckets: int)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         hasher, level = Hasher(), shared.value
-        for batch, texts in text_slices(batches, 8 << 20):
+        for batch, texts in text_slices(batches, 3 << 20):
             heads, posts, dealt = [], [], []
             for s, k, comp in zip(hasher.sets(texts), batch.column("k").to_pylist(), batch.column("comp").to_pylist(), strict=True):
                 if not len(s) or set_key(s) != k:  # another row with this doc_id

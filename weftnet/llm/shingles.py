@@ -45,7 +45,7 @@ class Hasher:
         """The sorted distinct shingle hashes of each text."""
         data = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
         if len(self.up) <= len(data):
-            self.up, self.down = _powers(_BASE, 2 * len(data)), _powers(_INVERSE, 2 * len(data))
+            self.up, self.down = _powers(_BASE, len(data) + len(data) // 8 + 1), _powers(_INVERSE, len(data) + len(data) // 8 + 1)
         ink = ~_SPACE[data]
         edge = np.flatnonzero(np.diff(np.concatenate([[False], ink]).view(np.int8)))
         starts, ends = edge[::2], edge[1::2]

@@ -42,7 +42,7 @@ LENGTH, GRAM = 50, 20
 BACK = LENGTH - GRAM
 KEY = LENGTH + BACK + 2  # the suffix, what stands before it backwards, and how many bytes each has
 LAST = (1 << 63) - 1
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 
 
 def _schema(text: str) -> T.StructType:
@@ -78,7 +78,7 @@ class Minimisers:
             return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
         n = len(data)
         if len(self.up) <= n:
-            self.up, self.down = _powers(_BASE, 2 * n), _powers(_INVERSE, 2 * n)
+            self.up, self.down = _powers(_BASE, n + n // 8 + 1), _powers(_INVERSE, n + n // 8 + 1)
         run = np.zeros(n + 1, np.uint64)
         np.cumsum((data.astype(np.uint64) + np.uint64(1)) * self.up[:n], dtype=np.uint64, out=run[1:])
         grams = mix((run[GRAM:] - run[:-GRAM]) * self.down[: n - GRAM + 1])
