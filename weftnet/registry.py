@@ -1,4 +1,5 @@
 """Registered queries of the network engine and their SQL."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from weftnet.queries import ORACLES, QUERIES, flagship
+
+__all__ = ["ORACLES", "QUERIES", "flagship"]
