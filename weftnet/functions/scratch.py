@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -22,7 +23,7 @@ def log_factorials(n: int) -> np.ndarray:
     return np.concatenate([[0.0], np.cumsum(np.log(np.arange(1, n + 1)))])
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def hypergeometric_tail(x: pd.Series, m: pd.Series, n: pd.Series, total: pd.Series) -> pd.Series:
     """P(X >= x) drawing n of `total` of which m are marked; 1 at x = 0."""
     if not len(x):
