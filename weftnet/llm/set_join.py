@@ -46,7 +46,9 @@ BLOCK, FIRST = 64, 6
 #: Candidates of one set that are verified by one copy of it.
 PER_TASK = 64
 #: Postings that a bucket of the index holds if there are partitions enough.
-BUCKET_POSTINGS = 2_000_000
+BUCKET_POSTINGS = 1_000_000
+#: Text bytes that are hashed at once.
+SLICE_BYTES = 1 << 20
 
 
 def _schema(text: str) -> T.StructType:
@@ -100,15 +102,15 @@ def _bits_of(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (x % np.uint64(FILTER_BITS)).astype(np.int64), ((x >> np.uint64(32)) % np.uint64(FILTER_BITS)).astype(np.int64)
 
 
-def member_filter(keys: DataFrame) -> np.ndarray:
-    """A Bloom filter of fixed size over an integer column: false hits cost shuffle, never a result."""
+def member_filter(keys: DataFrame, of: Callable[[pa.RecordBatch], np.ndarray] = lambda batch: np.asarray(batch.column(0))) -> np.ndarray:
+    """A Bloom filter of fixed size over the keys that `of` gives: false hits cost shuffle, never a result."""
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         from pyspark import TaskContext
 
         bits = np.zeros(FILTER_BITS, bool)
         for batch in batches:
-            for at in _bits_of(np.asarray(batch.column(0))):
+            for at in _bits_of(of(batch)):
                 bits[at] = True
         packed = np.packbits(bits).reshape(CHUNKS, -1)
         some = [k for k in range(CHUNKS) if packed[k].any()]
@@ -127,18 +129,23 @@ def maybe_in(packed: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return ok
 
 
-def parted(docs: DataFrame, keys: DataFrame, of: Callable[[pa.RecordBatch], np.ndarray]) -> tuple[DataFrame, DataFrame]:
-    """Rows whose key, by `of`, is surely none of keys(key), and the others, which need a join to tell."""
-    packed = docs.sparkSession.sparkContext.broadcast(member_filter(keys))
+def parted(docs: DataFrame, packed: np.ndarray, of: Callable[[pa.RecordBatch], np.ndarray], key: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Rows whose key, by `of`, is surely not in a filter, and the others, which need a join to tell.
+
+    With `key`, the others get a column of that name with their keys.
+    """
+    packed = docs.sparkSession.sparkContext.broadcast(packed)
     fields = {f.name: f for f in docs.schema}
 
     def side(inside: bool) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
             for batch in batches:
-                ok = pa.array(maybe_in(packed.value, of(batch)) == inside)
-                yield {c: batch.column(c).filter(ok) for c in batch.schema.names}
+                keys = of(batch)
+                ok = maybe_in(packed.value, keys) == inside
+                yield {c: batch.column(c).filter(pa.array(ok)) for c in batch.schema.names} | ({key: keys[ok]} if key else {})
 
-        schema = T.StructType([fields[c] if c != "text" else T.StructField("text", T.BinaryType()) for c in docs.columns])
+        extra = [T.StructField(key, T.LongType())] if inside and key else []
+        schema = T.StructType([fields[c] if c != "text" else T.StructField("text", T.BinaryType()) for c in docs.columns] + extra)
         rows = arrow_map(as_bytes(docs, *(c for c in docs.columns if c != "text")).select(*docs.columns), run, schema)
         return rows.withColumn("text", F.col("text").cast("string")) if "text" in fields else rows
 
@@ -157,7 +164,7 @@ def profiles(docs: DataFrame) -> DataFrame:
         from pyspark import TaskContext
 
         hasher, count = Hasher(), np.zeros(COUNTERS, np.uint32)
-        for batch, texts in text_slices(batches):
+        for batch, texts in text_slices(batches, SLICE_BYTES):
             sets = hasher.sets(texts)
             flat = mix(np.concatenate(sets)) if sets else np.zeros(0, np.uint64)
             count += np.bincount((flat % np.uint64(COUNTERS)).astype(np.int64), minlength=COUNTERS).astype(np.uint32)
@@ -181,11 +188,11 @@ def chosen_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """(k, s): the sets of the wanted (k, doc_id), read from their documents."""
     spark = docs.sparkSession
     key = lambda k, d: k ^ (d * np.int64(0x1E3779B97F4A7C15))
-    packed = spark.sparkContext.broadcast(member_filter(arrow_map(wanted.select("k", "doc_id"), lambda batches: ({"key": key(np.asarray(b.column(0)), np.asarray(b.column(1)))} for b in batches), _schema("key:long"))))
+    packed = spark.sparkContext.broadcast(member_filter(wanted.select("k", "doc_id"), lambda b: key(np.asarray(b.column(0)), np.asarray(b.column(1)))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         hasher = Hasher()
-        for batch, texts in text_slices(batches):
+        for batch, texts in text_slices(batches, SLICE_BYTES):
             sets = hasher.sets(texts)
             names = np.array([set_key(x) for x in sets], np.int64)
             ids = batch.column("doc_id")
@@ -253,7 +260,7 @@ def postings(docs: DataFrame, reps: DataFrame, levels: np.ndarray, buckets: int)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         hasher, level = Hasher(), shared.value
-        for batch, texts in text_slices(batches, 3 << 20):
+        for batch, texts in text_slices(batches, SLICE_BYTES):
             heads, posts, dealt = [], [], []
             for s, k, comp in zip(hasher.sets(texts), batch.column("k").to_pylist(), batch.column("comp").to_pylist(), strict=True):
                 if not len(s) or set_key(s) != k:  # another row with this doc_id
@@ -463,7 +470,7 @@ def representatives(docs: DataFrame) -> DataFrame:
     groups = persist(join(docs))
     ids = persist(groups.where("doc_id is not null").groupBy(F.col("doc_id").alias("key")).agg(F.max(F.col("component_id") == F.col("doc_id")).alias("stays"), F.count("*").alias("rows")))
     dropped, again = ids.where("not stays").select("key"), ids.where("stays and rows > 1").select("key")
-    sure, unsure = parted(docs, dropped.union(again), lambda batch: np.asarray(batch.column("doc_id").fill_null(-1)))
+    sure, unsure = parted(docs, member_filter(dropped.union(again)), lambda batch: np.asarray(batch.column("doc_id").fill_null(-1)))
     unsure = unsure.join(dropped, F.col("doc_id") == F.col("key"), "left_anti")
     if again.limit(1).count():
         nth = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))

@@ -43,6 +43,7 @@ BACK = LENGTH - GRAM
 KEY = LENGTH + BACK + 2  # the suffix, what stands before it backwards, and how many bytes each has
 LAST = (1 << 63) - 1
 SLICE_BYTES = 2 << 20
+_TURN = 0x1E3779B97F4A7C15
 
 
 def _schema(text: str) -> T.StructType:
@@ -113,19 +114,28 @@ def _rows(docs: DataFrame) -> DataFrame:
 
 
 def _row_key(doc_id: np.ndarray, k: np.ndarray) -> np.ndarray:
-    return k ^ (doc_id * np.int64(0x1E3779B97F4A7C15))
+    return k ^ (doc_id * np.int64(_TURN))
+
+
+def _filter(wanted: DataFrame) -> np.ndarray:
+    return member_filter(wanted.select("doc_id", "k"), lambda b: _row_key(np.asarray(b.column(0)), np.asarray(b.column(1))))
+
+
+def _chosen(packed: np.ndarray, batch: pa.RecordBatch, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """(doc_id, k, text) of the rows that a filter lets through."""
+    ids, k = np.asarray(batch.column("doc_id")), np.array(list(map(text_key, texts)), np.int64)
+    mine = np.flatnonzero(maybe_in(packed, _row_key(ids, k)))
+    return ids[mine], k[mine], [texts[i] for i in mine]
 
 
 def some_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """(doc_id, k, text) of at least the wanted (doc_id, k): a filter of fixed size lets few others through."""
-    keys = arrow_map(wanted.select("doc_id", "k"), lambda batches: ({"key": _row_key(np.asarray(b.column(0)), np.asarray(b.column(1)))} for b in batches), _schema("key:long"))
-    packed = docs.sparkSession.sparkContext.broadcast(member_filter(keys))
+    packed = docs.sparkSession.sparkContext.broadcast(_filter(wanted))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch, texts in text_slices(batches):
-            k = np.array(list(map(text_key, texts)), np.int64)
-            mine = np.flatnonzero(maybe_in(packed.value, _row_key(np.asarray(batch.column("doc_id")), k)))
-            yield {"doc_id": batch.column("doc_id").take(pa.array(mine)), "k": k[mine], "text": [texts[i] for i in mine]}
+            ids, k, mine = _chosen(packed.value, batch, texts)
+            yield {"doc_id": ids, "k": k, "text": mine}
 
     return arrow_map(_rows(docs), run, _schema("doc_id:long k:long text:binary"))
 
@@ -144,14 +154,15 @@ def _dealt(buckets: np.ndarray, count: int) -> Iterator[tuple[int, np.ndarray]]:
             yield b, order[lo:hi]
 
 
-def shared_places(texts: DataFrame, buckets: int) -> DataFrame:
-    """(doc_id, k, places): minimisers of each document whose gram other documents have too."""
+def shared_places(docs: DataFrame, wanted: DataFrame, buckets: int) -> DataFrame:
+    """(doc_id, k, places): minimisers of each wanted document whose gram other documents have too."""
+    packed = docs.sparkSession.sparkContext.broadcast(_filter(wanted))
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         find = Minimisers()
         for batch, slice_ in text_slices(batches, SLICE_BYTES):
+            ids, ks, slice_ = _chosen(packed.value, batch, slice_)
             text, place, gram = find(slice_)
-            ids, ks = np.asarray(batch.column("doc_id")), np.asarray(batch.column("k"))
             out = []
             for b, rows in _dealt((gram % np.uint64(buckets)).astype(np.int64), buckets):
                 who, here = np.unique(text[rows], return_counts=True)
@@ -190,7 +201,7 @@ def shared_places(texts: DataFrame, buckets: int) -> DataFrame:
             first = np.flatnonzero(np.concatenate([[True], (x["doc"][1:] != x["doc"][:-1]) | (x["k"][1:] != x["k"][:-1])]))
             yield {"doc_id": x["doc"][first].copy(), "k": x["k"][first].copy(), "places": [np.unique(part["at"]).astype("<u4").tobytes() for part in np.split(x, first[1:])]}
 
-    posted = arrow_map(texts, post, BLOB).repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    posted = arrow_map(_rows(docs), post, BLOB).repartition(buckets, "bucket").sortWithinPartitions("bucket")
     homes = arrow_map(posted, shared, BLOB).repartition(buckets, "bucket").sortWithinPartitions("bucket")
     return persist(arrow_map(homes, gather, _schema("doc_id:long k:long places:binary")))
 
@@ -450,8 +461,7 @@ def find_repeats(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     groups = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
     rows = profiles(docs)
     classes = persist(rows.where(f"n_bytes >= {LENGTH}").groupBy("k").agg(F.min("doc_id").alias("doc_id")))
-    texts = some_texts(docs, classes)
-    places = shared_places(texts, groups)
+    places = shared_places(docs, classes, groups)
     found = sorted_runs(some_texts(docs, places).join(places, ["doc_id", "k"]), groups)
     removed = spans(found, merged(found, groups), groups)
     first = classes.withColumnRenamed("doc_id", "first")
@@ -490,23 +500,22 @@ def cut(docs: DataFrame) -> DataFrame:
     rows, removed = find_repeats(docs)
     whole = rows.where("copy").select("doc_id", "k", F.lit(None).cast("binary").alias("spans"))
     changes = persist(removed.select("doc_id", "k", "spans").join(whole, ["doc_id", "k"], "left_anti").union(whole.distinct()))
-    keys = arrow_map(changes.select("doc_id", "k"), lambda batches: ({"key": _row_key(np.asarray(b.column(0)), np.asarray(b.column(1)))} for b in batches), _schema("key:long"))
 
     def key(batch: pa.RecordBatch) -> np.ndarray:
         k = np.array([text_key(x or b"") for x in batch.column("text").to_pylist()], np.int64)
         return _row_key(np.asarray(batch.column("doc_id").fill_null(LAST)), k)
 
-    same, other = parted(docs, keys, key)
+    same, other = parted(docs, _filter(changes), key, "row_key")
     columns, schema_out = docs.columns, docs.schema
-    schema = T.StructType([*other.schema, T.StructField("rank", T.LongType()), T.StructField("k", T.LongType())])
 
-    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch in batches:
-            cols = {c: batch.column(c) for c in batch.schema.names}
-            yield cols | {"rank": batch.column("doc_id").fill_null(LAST), "k": [text_key((x or "").encode()) for x in batch.column("text").to_pylist()]}
+            ids = batch.column("doc_id")
+            yield {"rank": ids, "row_key": _row_key(np.asarray(ids), np.asarray(batch.column("k"))), "spans": batch.column("spans")}
 
-    changed = changes.select(F.col("doc_id").alias("rank"), "k", "spans", F.lit(True).alias("known"))
-    joined = arrow_map(other, named, schema).join(changed, ["rank", "k"], "left").drop("rank", "k")
+    changed = arrow_map(changes, keyed, _schema("rank:long row_key:long spans:binary")).withColumn("known", F.lit(True))
+    rank = F.coalesce(F.col("doc_id"), F.lit(LAST))
+    joined = other.withColumn("rank", rank).join(changed, ["row_key", "rank"], "left").drop("row_key", "rank")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch in batches:
