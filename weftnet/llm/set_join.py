@@ -45,6 +45,8 @@ FILTER_BITS = 1 << 24
 BLOCK, FIRST = 64, 6
 #: Candidates of one set that are verified by one copy of it.
 PER_TASK = 64
+#: One shingle in so many is indexed beyond the least prefix.
+EXTRA = 16
 #: Postings that a bucket of the index holds if there are partitions enough.
 BUCKET_POSTINGS = 1_000_000
 #: Text bytes that are hashed at once.
@@ -57,11 +59,12 @@ def _schema(text: str) -> T.StructType:
 
 
 def prefix_size(n: np.ndarray) -> np.ndarray:
-    """Shingles of a set of size n that are indexed: any linked set must share n // 4 + 1 or so of them.
+    """Shingles of a set of size n that are indexed.
 
-    One shared shingle would need n - 75 % + 1 of them; a quarter more tells near pairs from linked ones.
+    n - 75 % + 1 of them meet any linked set; a few more tell near pairs from linked ones, but not so many
+    that passages of frequent shingles, which come last, get in.
     """
-    return np.minimum(n, n - -(-PERCENT * n // 100) + 1 + n // 4)
+    return np.minimum(n, n - -(-PERCENT * n // 100) + 1 + n // EXTRA)
 
 
 def linked(overlap: int, a: int, b: int) -> bool:
@@ -378,7 +381,7 @@ def candidates(posted: DataFrame, buckets: int) -> DataFrame:
     found = arrow_map(posted.repartition(buckets, "bucket").sortWithinPartitions("bucket"), run, PAIR)
     found = found.groupBy("a", "b").agg(*(F.max(c).alias(c) for c in ("ca", "cb", "na", "nb")), F.sum("hits").alias("hits"))
     # all common shingles up to the end of the prefix that ends first are hits; after it that set has so many left
-    left = [f"greatest(0, ({PERCENT} * {n} + 99) div 100 - 1 - {n} div 4)" for n in ("na", "nb")]
+    left = [f"greatest(0, ({PERCENT} * {n} + 99) div 100 - 1 - {n} div {EXTRA})" for n in ("na", "nb")]
     return persist(found.where(f"{100 + PERCENT} * (hits + greatest({left[0]}, {left[1]})) >= {PERCENT} * (na + nb)"))
 
 
