@@ -50,7 +50,7 @@ class ChunkEncoder:
     or full stop after letters is a word of its own.
     """
 
-    most, longest, together = 450_000, 64, 1000
+    most, longest, together = 600_000, 64, 1000
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer, pre_tokenizers
