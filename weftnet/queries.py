@@ -182,7 +182,7 @@ def clr(spark, d):
 
 @query("clr_threshold", "SELECT study, gene_a, gene_b, round(clr, 6) AS clr FROM (SELECT *, quantile_cont(round(clr, 9), 0.95) OVER (PARTITION BY study) AS cut FROM clr) WHERE round(clr, 9) >= cut")
 def clr_threshold(spark, d):
-    return pairs.above_percentile(pairs.clr(_mi(spark, d)).withColumn("clr", F.round("clr", 9)), "clr").select(*EDGE, r6("clr"))
+    return pairs.above_percentile(pairs.clr(_mi(spark, d)).withColumn("place", F.round("clr", 9)), "place").select(*EDGE, r6("clr"))
 
 
 @query("sparsify", """SELECT study, gene, count(*) AS n_kept, round(sum(mi), 5) AS total FROM (SELECT study, gene, mi, quantile_cont(mi, 0.95) OVER (PARTITION BY study, gene) AS cut
