@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -24,6 +25,7 @@ def worker_state(key: object, make: Callable[[], object]) -> object:
     """What a Python worker keeps between tasks: one state at a time, so that operators don't add up."""
     if key not in _STATE:
         _STATE.clear()
+        release()
         _STATE[key] = make()
     return _STATE[key]
 
@@ -64,6 +66,14 @@ def discard(*frames: DataFrame) -> None:
             where.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def release() -> None:
+    """Give freed memory back to the system: workers live on after a task, beside those of other operators."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[dict]], schema: T.StructType) -> DataFrame:
     """mapInArrow for functions that yield dicts of columns; empty outputs are left out."""
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -71,6 +81,10 @@ def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[d
     out = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from records(batches)
+        release()
+
+    def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for cols in fn(batches):
             arrays = [x if isinstance(x, pa.Array) else pa.array(x, type=f.type, from_pandas=True) for x, f in ((cols[f.name], f) for f in out)]
             if len(arrays[0]):
