@@ -90,3 +90,23 @@ def test_windows_cover():
         mine = text == k
         seen = {p for a, m in zip(first[mine], length[mine]) for p in range(a, a + m)}
         assert seen == set(range(n)) and mine.any()
+
+
+def test_unspaced_text_is_read_to_its_end():
+    """Toxic wording late in a text without ASCII blanks moves the score."""
+    rng = np.random.default_rng(5)
+    signs = [chr(0x4E00 + 7 * k) for k in range(200)]
+    texts, toxic = [], np.arange(600) % 3 == 0
+    for y in toxic:
+        t = list(rng.choice(signs, rng.integers(150, 400)))
+        at = int(rng.integers(100, len(t)))
+        texts.append("".join(t[:at] + list("毒骂恶贱") * bool(y) + t[at:]).encode())
+    scorer = toxicity.Scorer(toxicity.train(texts[:450], toxic[:450]))
+    assert auc(toxic[450:], scorer(texts[450:])) > 0.95
+    for text in ("漢字\u3000" * 300, "wort\u00a0" * 300, "x" * 3000):
+        a, b = (scorer([t.encode()])[0] for t in (text, text[:-40] + "毒骂恶贱" * 3 + text[-40:]))
+        assert a != b
+    whole = "".join(signs).encode()
+    assert b"".join(toxicity.words_of(whole)) == whole and max(map(len, toxicity.words_of(whole))) <= toxicity.LONGEST
+    assert b"".join(toxicity.words_of(b"\x80" * 100)) == b"\x80" * 100
+    assert toxicity.words_of("a\u00a0B\u3000c".encode()) == [b"a", b"b", b"c"]

@@ -6,7 +6,9 @@ window of a text; attention pools their states into one logit per window, and a
 highest window. The network is trained on the driver on a bounded sample of labelled rows (`MOST_TOXIC`,
 `MOST_CLEAN`), where a text stands for its highest window (multiple-instance learning), and calibrated on a
 part of that sample with weights that restore the share of toxic rows. Scoring goes over all windows of all
-whole texts; labels, lang, source and doc_id are no inputs.
+whole texts; labels, lang, source and doc_id are no inputs. Words part at ASCII blanks and punctuation and at
+Unicode blanks; a word of more than `LONGEST` bytes (text written without blanks) becomes consecutive pieces
+that are words of their own, so windows slide over all of it.
 
 Null and empty texts are one empty window. Labels that are null are ignored; a document with several labels
 is toxic if most of them say so. Rows with a null doc_id are scored, never trained on, never held out.
@@ -15,6 +17,7 @@ Without labels of both kinds every score is 0. Extra columns are ignored; an emp
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -41,13 +44,23 @@ MOST_KNOWN = 150_000
 TABLE = bytes((c + 32 if 65 <= c <= 90 else c) if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 
 
+#: Blanks beyond ASCII, which part words as ASCII blanks do.
+BLANKS = re.compile(rb"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
+#: Words of more bytes than LONGEST are cut into pieces of at most 12 bytes, between UTF-8 characters where they are whole.
+LONGEST = 40
+PIECE = re.compile(rb".{1,12}(?![\x80-\xbf])|.{1,12}", re.DOTALL)
+
+
 def words_of(text: bytes) -> list[bytes]:
-    return text.translate(TABLE).split()
+    words = (text if text.isascii() else BLANKS.sub(b" ", text)).translate(TABLE).split()
+    if max(map(len, words), default=0) <= LONGEST:
+        return words
+    return [x for w in words for x in (PIECE.findall(w) if len(w) > LONGEST else (w,))]
 
 
 def trigrams(word: bytes) -> list[int]:
     """Buckets of the character trigrams of a word with its borders."""
-    w = b"<%b>" % word[:64]
+    w = b"<%b>" % word
     return [zlib.crc32(w[k : k + 3]) % CHAR_BUCKETS for k in range(len(w) - 2)] or [0]
 
 
