@@ -57,3 +57,32 @@ def test_against_brute_force(spark, vectors):
 
 def test_passes_grow_slowly():
     assert ed.passes_for(1000) < ed.passes_for(10**6) < 5 * ed.passes_for(1000)
+
+
+def test_clustered_label(spark):
+    """Vectors around one direction share their leading bits; planted pairs among them are found all the same."""
+    rng = np.random.default_rng(8)
+    centre = rng.normal(size=64) / 8
+    base = centre + rng.normal(size=(3000, 64)) / 8 * 0.5
+    base /= np.linalg.norm(base, axis=1)[:, None]
+    off = rng.normal(size=(400, 64))
+    off -= (off * base[:400]).sum(1)[:, None] * base[:400]
+    off /= np.linalg.norm(off, axis=1)[:, None]
+    rows = [(k, v.tolist(), 0) for k, v in enumerate(np.vstack([base, 0.935 * base[:400] + np.sqrt(1 - 0.935**2) * off]))]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = {r["vec_id"]: r for r in ed.near_duplicates(df).collect()}
+    assert all(got[k]["n_links"] >= 1 and got[k]["component_id"] == got[3000 + k]["component_id"] for k in range(400))
+
+
+def test_whole_ranges_equal_brute_force(spark):
+    """Blocks of dense ranges, and of labels compared whole, unite what brute force unites."""
+    from weftnet.llm.common import components, persist
+
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=12) + rng.normal(size=(500, 12)) * 0.45
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    want = {r[0]: r[2] for r in brute([(k, v.tolist(), 0) for k, v in enumerate(x)], 0.97)}
+    classes = persist(spark.createDataFrame([(k, 0, v.tobytes()) for k, v in enumerate(x)], "cid long, label long, vec binary"))
+    for passes in (40, 200):
+        got = {r["node"]: r["component"] for r in components(ed.link_dense(classes, passes, 1, 0.97, 8, 100)).collect()}
+        assert {k: got.get(k, k) for k in want} == want

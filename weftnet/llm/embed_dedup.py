@@ -6,6 +6,11 @@ Pairs at or above the threshold (cosine in double precision) are united within a
 of passes follows from the wanted recall and the size of the largest label, so it grows with the data
 (about n ** 0.18 at a cosine of 0.93). Equal vectors of a label are one weighted vector from the start.
 
+Where vectors cluster, more of them share the leading bits than a window holds. Such ranges are compared whole,
+in blocks, so a pair that shares the leading bits in some pass is found however the vectors lie, and the recall
+doesn't depend on an even spread. A label whose ranges would take more comparisons than all its pairs is
+compared whole once instead. Both are quadratic in a cluster.
+
 Links are then counted exactly inside every component: a component whose vectors all lie within half the
 threshold's angle of their mean links completely and is counted without comparing; every other component is
 compared in blocks. Only vectors of one component can link, up to pairs that all passes missed.
@@ -32,6 +37,7 @@ THRESHOLD = 0.93
 WINDOW = 32
 RECALL = 0.9995
 BLOCK = 256
+RANGE_BLOCK = 2048
 SEED = 5
 HASH_BITS = 64
 
@@ -43,16 +49,22 @@ def _fields(*names: str) -> list[T.StructField]:
 
 ROW = T.StructType(_fields("l vec_id", "l label", "b vec"))
 SORTED = T.StructType(_fields("i pass", "l label", "b hash", "l cid", "b vec"))
+RANGE = T.StructType(_fields("i pass", "l label", "b prefix", "l cid"))
 FOUND = T.StructType(_fields("l a", "l b", "l border", "i side", "i place", "i pass", "l label", "b vec"))
 
 
+def prefix_bits(largest: int, window: int = WINDOW) -> int:
+    """Leading hash bits that leave at most about a window of evenly spread vectors."""
+    return min(HASH_BITS, max(1, math.ceil(math.log2(max(2, largest) / window))))
+
+
 def passes_for(largest: int, threshold: float = THRESHOLD, recall: float = RECALL, window: int = WINDOW) -> int:
     """Passes after which a pair at the threshold has met with the wanted probability.
 
-    A pair meets in a pass if the hash prefix that leaves about a window of vectors is equal on both sides.
+    A pair meets in a pass if the leading bits are equal on both sides.
     """
     same = 1 - math.acos(threshold) / math.pi
-    meet = same ** max(1.0, math.log2(max(2, largest) / window))
+    meet = same ** prefix_bits(largest, window)
     return max(4, math.ceil(math.log(1 - recall) / math.log(1 - meet)))
 
 
@@ -77,7 +89,9 @@ def tidy(vectors: DataFrame) -> DataFrame:
     return persist(arrow_map(cols, run, ROW))
 
 
-def _hashed(classes: DataFrame, passes: int) -> DataFrame:
+def _hashed(classes: DataFrame, passes: int, bits: int | None = None) -> DataFrame:
+    """A row for each vector and pass: with the whole hash and the vector, or with the leading bits alone."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         planes: dict[tuple[int, int], np.ndarray] = {}
         for batch in batches:
@@ -91,11 +105,12 @@ def _hashed(classes: DataFrame, passes: int) -> DataFrame:
                 for p in range(passes):
                     if (p, size) not in planes:
                         planes[p, size] = np.random.default_rng((SEED, p, size)).normal(size=(size // 8, HASH_BITS))
-                    bits = np.packbits(x @ planes[p, size] > 0, axis=1)
+                    signs = np.packbits((x @ planes[p, size] > 0)[:, :bits], axis=1)
                     # vectors of another length sort apart: their length leads the hash
-                    yield {"pass": np.full(len(mine), p), "label": part.column("label"), "hash": [size.to_bytes(4, "big") + b.tobytes() for b in bits], "cid": part.column("cid"), "vec": part.column("vec")}
+                    hashes = [size.to_bytes(4, "big") + b.tobytes() for b in signs]
+                    yield {"pass": np.full(len(mine), p), "label": part.column("label"), "hash": hashes, "prefix": hashes, "cid": part.column("cid"), "vec": part.column("vec")}
 
-    return arrow_map(classes, run, SORTED)
+    return arrow_map(classes, run, SORTED if bits is None else RANGE)
 
 
 class _Union:
@@ -180,6 +195,54 @@ def link(classes: DataFrame, passes: int, threshold: float = THRESHOLD, window:
     return pairs.union(arrow_map(borders, across, T.StructType(_fields("l a", "l b"))))
 
 
+def _united(x: np.ndarray, y: np.ndarray, ids: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Edges that unite the linked pairs of a row of x and a row of y; ids of x's rows, then of y's."""
+    ok = np.vstack([x[k : k + 512] @ y.T >= threshold for k in range(0, len(x), 512)])
+    rows, cols = np.flatnonzero(ok.any(1)), np.flatnonzero(ok.any(0))
+    ok = ok[np.ix_(rows, cols)]
+    ids = ids[np.concatenate([rows, len(x) + cols])]
+    top, left = np.arange(len(rows), dtype=np.int32), np.arange(len(rows), len(ids), dtype=np.int32)
+    none, moved = np.int32(len(ids)), bool(len(rows))
+    while moved:
+        low = np.min([np.where(ok[k : k + 512], top[k : k + 512, None], none).min(0) for k in range(0, len(top), 512)], axis=0)
+        low = np.minimum(left, low)
+        high = np.minimum(top, np.concatenate([np.where(ok[k : k + 512], low, none).min(1) for k in range(0, len(top), 512)]))
+        moved = bool((low < left).any() or (high < top).any())
+        top, left = high, low
+    roots = np.concatenate([top, left])
+    use = ids != ids[roots]
+    return ids[use], ids[roots][use]
+
+
+def link_dense(classes: DataFrame, passes: int, bits: int, threshold: float = THRESHOLD, window: int = WINDOW, block: int = RANGE_BLOCK) -> DataFrame:
+    """(a, b) edges that unite all linked pairs in ranges of equal leading bits that no window holds."""
+    n = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = ["pass", "label", "prefix"]
+    hashed = persist(_hashed(classes, passes, bits))
+    dense = persist(hashed.groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") > window + 1))
+    size = F.col("prefix").substr(1, 4).alias("size")
+    pairs = F.sum(F.col("n").cast("double") * F.col("n"))
+    total = hashed.where("pass = 0").groupBy("label", size).agg(F.count("*").alias("all"))
+    whole = persist(dense.groupBy("label", size).agg(pairs.alias("pairs")).join(total, ["label", "size"]).where(F.col("pairs") >= F.col("all").cast("double") * F.col("all")).select("label", "size", "all"))
+    some = hashed.join(dense, keys).withColumn("size", size).join(whole.drop("all"), ["label", "size"], "left_anti").select(*keys, "cid", "n")
+    every = hashed.where("pass = 0").withColumn("size", size).join(whole, ["label", "size"]).select("pass", "label", F.col("size").alias("prefix"), "cid", F.col("all").alias("n"))
+    dealt = some.union(every).withColumn("blocks", F.ceil(F.col("n") / block).cast("int")).withColumn("mine", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
+    dealt = dealt.join(classes.select("label", "cid", "vec"), ["label", "cid"]).where(F.length("vec") == F.conv(F.hex(F.col("prefix").substr(1, 4)), 16, 10).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select(*keys, F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"), "mine", "cid", "vec")
+    order = [*keys, "lo", "hi"]
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        for t in runs(batches, tuple(order)):
+            x = np.frombuffer(b"".join(t["vec"].to_pylist())).reshape(t.num_rows, -1)
+            cid, mine = np.asarray(t["cid"]), np.asarray(t["mine"])
+            one, two = mine == t["lo"][0].as_py(), mine == t["hi"][0].as_py()
+            a, b = _united(x[one], x[two], np.concatenate([cid[one], cid[two]]), threshold)
+            yield {"a": a, "b": b}
+
+    return arrow_map(dealt.repartition(n, *order).sortWithinPartitions(*order), compare, T.StructType(_fields("l a", "l b")))
+
+
 COUNT = T.StructType(_fields("l cid", "l links"))
 
 
@@ -247,7 +310,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, recall: fl
     rows_key = F.xxhash64("label", "vec"), F.md5(F.col("vec"))
     classes = persist(rows.where("vec is not null").groupBy("label", "vec").agg(F.min("vec_id").alias("cid"), F.count("*").alias("weight")))
     largest = classes.groupBy("label").count().agg(F.max("count")).first()[0] or 0
-    edges = link(classes, passes_for(largest, threshold, recall, window), threshold, window)
+    passes = passes_for(largest, threshold, recall, window)
+    edges = link(classes, passes, threshold, window).union(link_dense(classes, passes, prefix_bits(largest, window), threshold, window))
     joined = components(edges)
     members = persist(classes.join(joined.withColumnRenamed("node", "cid"), "cid").select("component", "cid", "weight", "vec"))
     links = count_links(members, threshold)
