@@ -44,3 +44,14 @@ def test_all_orders_enter(spark, folder, name):
     cols, want = by_sql(PART_ORACLES[name], folder(lineitem="select * replace (l_orderkey * 40 as l_orderkey) from t"))
     got = QUERIES[name](spark, FOLDER).collect()
     assert want and rows(cols, got) == rows(cols, want)
+
+
+MODULES = ("enrichment", "enrichment_top5", "hit_manifest", "genes_in_terms", "ortholog_map", "gene_metadata_collapse", "membership_largest", "module_sizes", "parent_recolour")
+
+
+@pytest.mark.parametrize("name", MODULES)
+def test_every_supplier_is_a_module(spark, folder, name):
+    """Suppliers of any key are modules: the SQL has the same suppliers with small keys."""
+    cols, want = by_sql(PART_ORACLES[name], FOLDER)
+    got = QUERIES[name](spark, folder(lineitem="select * replace (l_suppkey + 60 as l_suppkey) from t")).collect()
+    assert want and rows(cols, got, {c: 60 for c in cols if c in ("module", "parent_module")}) == rows(cols, want)

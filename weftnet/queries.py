@@ -375,7 +375,7 @@ def mcode_modules(spark, d):
     return graph.mcode(_graph(spark, d)).select("module", F.col("v").alias("gene"), r6("weight"))
 
 
-@query("membership_largest", "SELECT gene, module FROM (SELECT gene, module, count(*) OVER (PARTITION BY module) AS size FROM mods) QUALIFY row_number() OVER (PARTITION BY gene ORDER BY size DESC, module) = 1")
+@query("membership_largest", "SELECT gene, module FROM (SELECT gene, module, count(*) OVER (PARTITION BY module) AS size FROM mods) QUALIFY row_number() OVER (PARTITION BY gene ORDER BY size DESC, module) = 1", part=True)
 def membership_largest(spark, d):
     m = t.modules(spark, d).select(F.lit(0).alias("graph"), "module", F.col("gene").alias("v"))
     return graph.membership(m).select(F.col("v").alias("gene"), "module")
@@ -416,7 +416,7 @@ def knn_edges(spark, d):
     return graph.neighbours(x, 5)
 
 
-@query("parent_recolour", "SELECT DISTINCT module, CASE WHEN module % 3 = 1 THEN module - 1 ELSE module END AS parent_module FROM mods")
+@query("parent_recolour", "SELECT DISTINCT module, CASE WHEN module % 3 = 1 THEN module - 1 ELSE module END AS parent_module FROM mods", part=True)
 def parent_recolour(spark, d):
     m = t.modules(spark, d).select("module").distinct()
     table = m.where("module % 3 = 1").select((F.col("module") - 1).alias("parent_module"), F.col("module").alias("child_module"))
@@ -436,7 +436,7 @@ def library_manifest(spark, d):
     return enrich.manifest(t.gene_sets(spark, d))
 
 
-@query("module_sizes", "SELECT module, count(*) AS size FROM mods GROUP BY module")
+@query("module_sizes", "SELECT module, count(*) AS size FROM mods GROUP BY module", part=True)
 def module_sizes(spark, d):
     return t.modules(spark, d).groupBy("module").agg(F.count("*").alias("size"))
 
@@ -445,37 +445,37 @@ def _hits(spark, d, fdr=2.0):
     return enrich.annotate(t.modules(spark, d), t.gene_sets(spark, d), fdr=fdr)
 
 
-@query("enrichment", "SELECT module, set_name, n_module, n_set, overlap, genes, round(p_value, 6) AS p_value, round(p_adjusted, 6) AS p_adjusted FROM annotated")
+@query("enrichment", "SELECT module, set_name, n_module, n_set, overlap, genes, round(p_value, 6) AS p_value, round(p_adjusted, 6) AS p_adjusted FROM annotated", part=True)
 def enrichment(spark, d):
     return _hits(spark, d).select("module", "set_name", "n_module", "n_set", "overlap", "genes", r6("p_value"), r6("p_adjusted"))
 
 
-@query("enrichment_top5", "SELECT module, set_name, rank FROM (SELECT module, set_name, row_number() OVER (PARTITION BY module ORDER BY round(p_adjusted, 9), round(p_value, 9), set_name) AS rank FROM annotated) WHERE rank <= 5")
+@query("enrichment_top5", "SELECT module, set_name, rank FROM (SELECT module, set_name, row_number() OVER (PARTITION BY module ORDER BY round(p_adjusted, 9), round(p_value, 9), set_name) AS rank FROM annotated) WHERE rank <= 5", part=True)
 def enrichment_top5(spark, d):
     h = _hits(spark, d).withColumns({c: F.round(c, 9) for c in ("p_adjusted", "p_value")})
     return enrich.top_hits(h).select("module", "set_name", "rank")
 
 
-@query("hit_manifest", "SELECT library, count(DISTINCT set_name) AS n_sets, count(*) FILTER (module IS NOT NULL) AS n_hits, count(DISTINCT module) AS n_modules FROM (SELECT DISTINCT library, set_name FROM sets) LEFT JOIN (SELECT * FROM annotated WHERE p_adjusted < 0.999) USING (set_name) GROUP BY library")
+@query("hit_manifest", "SELECT library, count(DISTINCT set_name) AS n_sets, count(*) FILTER (module IS NOT NULL) AS n_hits, count(DISTINCT module) AS n_modules FROM (SELECT DISTINCT library, set_name FROM sets) LEFT JOIN (SELECT * FROM annotated WHERE p_adjusted < 0.999) USING (set_name) GROUP BY library", part=True)
 def hit_manifest(spark, d):
     s = t.gene_sets(spark, d)
     hits = enrich.with_library(_hits(spark, d, 0.999), s)
     return enrich.hit_manifest(hits, enrich.manifest(s)).select("library", "n_sets", "n_hits", "n_modules")
 
 
-@query("genes_in_terms", "SELECT module, set_name, string_agg(gene::VARCHAR, ';' ORDER BY gene::VARCHAR) AS genes FROM mods JOIN sets USING (gene) WHERE library = 'types' GROUP BY 1, 2")
+@query("genes_in_terms", "SELECT module, set_name, string_agg(gene::VARCHAR, ';' ORDER BY gene::VARCHAR) AS genes FROM mods JOIN sets USING (gene) WHERE library = 'types' GROUP BY 1, 2", part=True)
 def genes_in_terms(spark, d):
     return enrich.genes_in_terms(t.modules(spark, d), t.gene_sets(spark, d).where("library = 'types'"))
 
 
-@query("ortholog_map", "SELECT module, count(DISTINCT m.gene) AS n_source, count(DISTINCT CASE WHEN p_name <> '' THEN p.p_partkey END) AS n_mapped, count(DISTINCT p_name) AS n_target FROM mods m LEFT JOIN (SELECT * FROM part WHERE p_partkey % 3 > 0) p ON p.p_partkey = m.gene GROUP BY module")
+@query("ortholog_map", "SELECT module, count(DISTINCT m.gene) AS n_source, count(DISTINCT CASE WHEN p_name <> '' THEN p.p_partkey END) AS n_mapped, count(DISTINCT p_name) AS n_target FROM mods m LEFT JOIN (SELECT * FROM part WHERE p_partkey % 3 > 0) p ON p.p_partkey = m.gene GROUP BY module", part=True)
 def ortholog_map(spark, d):
     m = enrich.tidy_map(t.table(spark, d, "part").where("p_partkey % 3 > 0"), "p_partkey", "p_name")
     mods = t.modules(spark, d).withColumn("gene", F.col("gene").cast("string"))
     return enrich.mapping_summary(mods, m)
 
 
-@query("gene_metadata_collapse", "SELECT s.gene, coalesce(types, '') AS p_type, coalesce(brands, '') AS p_brand FROM (SELECT DISTINCT gene::VARCHAR AS gene FROM mods) s LEFT JOIN (SELECT p_name AS gene, string_agg(DISTINCT p_type, ';' ORDER BY p_type) AS types, string_agg(DISTINCT p_brand, ';' ORDER BY p_brand) AS brands FROM part GROUP BY p_name UNION ALL SELECT (p_partkey % 100)::VARCHAR, string_agg(DISTINCT p_type, ';' ORDER BY p_type), string_agg(DISTINCT p_brand, ';' ORDER BY p_brand) FROM part GROUP BY 1) USING (gene)")
+@query("gene_metadata_collapse", "SELECT s.gene, coalesce(types, '') AS p_type, coalesce(brands, '') AS p_brand FROM (SELECT DISTINCT gene::VARCHAR AS gene FROM mods) s LEFT JOIN (SELECT p_name AS gene, string_agg(DISTINCT p_type, ';' ORDER BY p_type) AS types, string_agg(DISTINCT p_brand, ';' ORDER BY p_brand) AS brands FROM part GROUP BY p_name UNION ALL SELECT (p_partkey % 100)::VARCHAR, string_agg(DISTINCT p_type, ';' ORDER BY p_type), string_agg(DISTINCT p_brand, ';' ORDER BY p_brand) FROM part GROUP BY 1) USING (gene)", part=True)
 def gene_metadata_collapse(spark, d):
     p = t.table(spark, d, "part")
     both = p.select(F.col("p_name").alias("key"), "p_type", "p_brand").union(p.select((F.col("p_partkey") % 100).cast("string"), "p_type", "p_brand"))

@@ -40,6 +40,6 @@ def gene_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def modules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parts that one of the first suppliers delivers, in large orders."""
-    li = table(spark, sf_dir, "lineitem").where("l_suppkey <= 30 and l_quantity >= 25")
+    """Parts that a supplier delivers, in large orders: one module for each supplier."""
+    li = table(spark, sf_dir, "lineitem").where("l_quantity >= 25")
     return li.select(F.col("l_suppkey").alias("module"), F.col("l_partkey").alias("gene")).distinct()
