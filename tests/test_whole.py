@@ -55,3 +55,29 @@ def test_every_supplier_is_a_module(spark, folder, name):
     cols, want = by_sql(PART_ORACLES[name], FOLDER)
     got = QUERIES[name](spark, folder(lineitem="select * replace (l_suppkey + 60 as l_suppkey) from t")).collect()
     assert want and rows(cols, got, {c: 60 for c in cols if c in ("module", "parent_module")}) == rows(cols, want)
+
+
+def test_all_runs_are_correlated(spark, folder):
+    """Runs of any id: the SQL has the same runs with small ids."""
+    cols, want = by_sql(PART_ORACLES["sample_spearman"], folder(embeddings="select * replace (vec_id - 400 as vec_id) from t where vec_id between 400 and 459"))
+    got = QUERIES["sample_spearman"](spark, folder(embeddings="select * from t where vec_id between 400 and 459")).collect()
+    assert len(want) > 1000 and rows(cols, got, {"run_a": 400, "run_b": 400}) == rows(cols, want)
+
+
+def test_every_scored_pair_has_a_p_value(spark, folder):
+    """All pairs are tested, and the five top pairs that the SQL has are among them."""
+    d = folder(embeddings="select * from t where label < 2")
+    cols, want = by_sql(PART_ORACLES["pvalue_per_pair"], d)
+    got = QUERIES["pvalue_per_pair"](spark, d).collect()
+    assert want and set(rows(cols, want)) <= set(rows(cols, got))
+    scored = QUERIES["mi_pairs"](spark, d).collect()
+    assert len(got) == len(scored) > len(want) and {(r["study"], r["gene_a"], r["gene_b"]) for r in got} == {(r["study"], r["gene_a"], r["gene_b"]) for r in scored}
+
+
+def test_neural_information_of_all_candidates(spark, folder):
+    d = folder(embeddings="select label, vec_id, embedding[:12] as embedding from t where label < 2")
+    got = {(r["study"], r["gene_a"], r["gene_b"]) for r in QUERIES["neural_mi"](spark, d).collect()}
+    sql = "select a.study, a.gene as gene_a, b.gene as gene_b from x a join x b on a.study = b.study and a.run = b.run and a.gene < b.gene group by all having abs(corr(a.x, b.x)) > 0.1"
+    x = "select label as study, vec_id as run, 'G' || lpad((i - 1)::varchar, 2, '0') as gene, embedding[i]::double as x from (select *, unnest(range(1, len(embedding) + 1)) as i from embeddings)"
+    want = by_sql(f"with x as ({x}) {sql}", d)[1]
+    assert len(want) > 10 and got == {(r["study"], r["gene_a"], r["gene_b"]) for r in want}

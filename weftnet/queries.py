@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftnet import stand_in as t
@@ -197,7 +197,7 @@ def sparsify(spark, d):
 @query("neural_mi")
 def neural_mi(spark, d):
     z = prep.zscores(t.expression(spark, d))
-    few = pairs.prescreen(t.expression(spark, d), "pearson", 0.1, 5)
+    few = pairs.prescreen(t.expression(spark, d), "pearson", 0.1)
     return pairs.neural_information(z, few).select(*EDGE, r6("mi"))
 
 
@@ -256,12 +256,11 @@ _PAIR_SQL = f"""pr AS (SELECT study, gene_a, gene_b, mi FROM mi QUALIFY row_numb
 
 @query("pvalue_per_pair")
 def pvalue_per_pair(spark, d):
-    by = Window.partitionBy("study").orderBy(F.round("mi", 9).desc(), "gene_a", "gene_b")
-    top = _mi(spark, d).withColumn("nth", F.row_number().over(by)).where("nth <= 5").drop("nth", "mi_mm")
-    return significance.p_values_per_pair(top, significance.pair_null(_bins(spark, d), top, PAIR_PERMS, SEED)).select(*EDGE, r6("p_value"))
+    scored = _mi(spark, d).drop("mi_mm")
+    return significance.p_values_per_pair(scored, significance.pair_null(_bins(spark, d), scored, PAIR_PERMS, SEED)).select(*EDGE, r6("p_value"))
 
 
-ORACLES["pvalue_per_pair"] = with_parts(
+PART_ORACLES["pvalue_per_pair"] = with_parts(
     f"SELECT pr.study, pr.gene_a, pr.gene_b, round((1 + count(*) FILTER (round(pn.mi, 9) >= round(pr.mi, 9))) / (1 + count(*)), 6) AS p_value FROM mi JOIN bins ON false RIGHT JOIN pr ON false JOIN pn ON pn.study = pr.study AND pn.gene_a = pr.gene_a AND pn.gene_b = pr.gene_b GROUP BY 1, 2, 3"
 ).replace(" SELECT pr.study, pr.gene_a, pr.gene_b, round((1", f", {' '.join(_PAIR_SQL.split())} SELECT pr.study, pr.gene_a, pr.gene_b, round((1").replace("FROM mi JOIN bins ON false RIGHT JOIN pr ON false JOIN pn", "FROM pr JOIN pn")
 
@@ -493,9 +492,9 @@ ORACLES["sample_quantile_curves"] = with_parts("SELECT run, unnest(range(0, 11))
 
 
 @query("sample_spearman", """SELECT a.run AS run_a, b.run AS run_b, round(corr(a.k, b.k), 6) + 0.0 AS r, round(greatest(0, least(2, 1 - corr(a.k, b.k))), 6) AS distance FROM (SELECT run, gene, rank() OVER (PARTITION BY run ORDER BY x) + (count(*) OVER (PARTITION BY run, x) - 1) / 2 AS k FROM expr WHERE run < 60) a
-  JOIN (SELECT run, gene, rank() OVER (PARTITION BY run ORDER BY x) + (count(*) OVER (PARTITION BY run, x) - 1) / 2 AS k FROM expr WHERE run < 60) b ON a.gene = b.gene AND a.run < b.run GROUP BY 1, 2""")
+  JOIN (SELECT run, gene, rank() OVER (PARTITION BY run ORDER BY x) + (count(*) OVER (PARTITION BY run, x) - 1) / 2 AS k FROM expr WHERE run < 60) b ON a.gene = b.gene AND a.run < b.run GROUP BY 1, 2""", part=True)
 def sample_spearman(spark, d):
-    return qc.sample_spearman(t.expression(spark, d).where("run < 60")).select("run_a", "run_b", r6("r"), r6("distance"))
+    return qc.sample_spearman(t.expression(spark, d)).select("run_a", "run_b", r6("r"), r6("distance"))
 
 
 @query("rolling_diagnostics", """SELECT event_type, pos, CASE WHEN n >= least_n THEN round(med, 6) END AS median, CASE WHEN n >= least_n THEN round(q1, 6) END AS q10, CASE WHEN n >= least_n THEN round(q9, 6) END AS q90 FROM (
