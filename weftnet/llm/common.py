@@ -117,6 +117,33 @@ def as_bytes(docs: DataFrame, *keep: str) -> DataFrame:
     return docs.select(*keep, F.col("text").cast("binary").alias("text"))
 
 
+def private(df: DataFrame, name: str) -> str:
+    """A column name like the given one that the table lacks, by Spark's rule that case doesn't count."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def united(ok: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges that unite the linked pairs of a matrix; ids of its rows, then of its columns."""
+    rows, cols = np.flatnonzero(ok.any(1)), np.flatnonzero(ok.any(0))
+    size = len(ok)
+    ok = ok[np.ix_(rows, cols)]
+    ids = ids[np.concatenate([rows, size + cols])]
+    top, left = np.arange(len(rows), dtype=np.int32), np.arange(len(rows), len(ids), dtype=np.int32)
+    none, moved = np.int32(len(ids)), bool(len(rows))
+    while moved:
+        low = np.min([np.where(ok[k : k + 512], top[k : k + 512, None], none).min(0) for k in range(0, len(top), 512)], axis=0)
+        low = np.minimum(left, low)
+        high = np.minimum(top, np.concatenate([np.where(ok[k : k + 512], low, none).min(1) for k in range(0, len(top), 512)]))
+        moved = bool((low < left).any() or (high < top).any())
+        top, left = high, low
+    roots = np.concatenate([top, left])
+    use = ids != ids[roots]
+    return ids[use], ids[roots][use]
+
+
 def binary_array(values: list[bytes]) -> pa.Array:
     return pa.array(values, type=pa.binary())
 

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weftnet.llm.common import arrow_map, components, persist, runs
+from weftnet.llm.common import arrow_map, components, persist, runs, united
 
 THRESHOLD = 0.93
 WINDOW = 32
@@ -197,21 +197,7 @@ def link(classes: DataFrame, passes: int, threshold: float = THRESHOLD, window:
 
 def _united(x: np.ndarray, y: np.ndarray, ids: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
     """Edges that unite the linked pairs of a row of x and a row of y; ids of x's rows, then of y's."""
-    ok = np.vstack([x[k : k + 512] @ y.T >= threshold for k in range(0, len(x), 512)])
-    rows, cols = np.flatnonzero(ok.any(1)), np.flatnonzero(ok.any(0))
-    ok = ok[np.ix_(rows, cols)]
-    ids = ids[np.concatenate([rows, len(x) + cols])]
-    top, left = np.arange(len(rows), dtype=np.int32), np.arange(len(rows), len(ids), dtype=np.int32)
-    none, moved = np.int32(len(ids)), bool(len(rows))
-    while moved:
-        low = np.min([np.where(ok[k : k + 512], top[k : k + 512, None], none).min(0) for k in range(0, len(top), 512)], axis=0)
-        low = np.minimum(left, low)
-        high = np.minimum(top, np.concatenate([np.where(ok[k : k + 512], low, none).min(1) for k in range(0, len(top), 512)]))
-        moved = bool((low < left).any() or (high < top).any())
-        top, left = high, low
-    roots = np.concatenate([top, left])
-    use = ids != ids[roots]
-    return ids[use], ids[roots][use]
+    return united(np.vstack([x[k : k + 512] @ y.T >= threshold for k in range(0, len(x), 512)]), ids)
 
 
 def link_dense(classes: DataFrame, passes: int, bits: int, threshold: float = THRESHOLD, window: int = WINDOW, block: int = RANGE_BLOCK) -> DataFrame:
