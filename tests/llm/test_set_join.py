@@ -114,7 +114,7 @@ def test_texts_that_are_mostly_a_passage(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     want = brute(rows)
     assert len({x for *_, x in want}) > 100  # many groups that only partly unite
-    for options in ({}, {"sample": 1, "common": 2, "frequent": 4}, {"sample": 1, "common": 2, "frequent": 40}, {"sample": 2, "common": 1, "frequent": 1}):
+    for options in ({"sample": 1, "common": 2, "frequent": 4}, {"sample": 1, "common": 2, "frequent": 40}, {"sample": 2, "common": 1, "frequent": 1}):
         assert sorted(map(tuple, set_join.join(docs, **options).collect())) == want, options
 
 

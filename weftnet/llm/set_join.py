@@ -55,9 +55,11 @@ PER_TASK = 64
 #: One shingle in so many is indexed beyond the least prefix.
 EXTRA = 16
 #: Postings that a bucket of the index holds if there are partitions enough, and pairs that it tallies at once.
-BUCKET_POSTINGS, TALLY = 4_000_000, 2_000_000
-#: Sets in a block of a family, and shingles in a slice of a block's matrix.
-CORE_BLOCK, CORE_SLICE = 1024, 2048
+BUCKET_POSTINGS, TALLY = 1_500_000, 2_000_000
+#: Sets in a block of a family: the fewest, the most, and the blocks of a family from which on they grow.
+CORE_BLOCK, MOST_BLOCK, BLOCKS = 256, 4096, 64
+#: Shingles in a slice of a block's matrix.
+CORE_SLICE = 2048
 #: Text bytes that are hashed at once.
 SLICE_BYTES = 1 << 20
 
@@ -460,7 +462,7 @@ def candidates(posted: DataFrame, buckets: int) -> DataFrame:
                 for t in runs(chain([batch.slice(split)], batches), ("bucket",)):
                     yield from merge(t)
 
-    return persist(arrow_map(posted.repartition(buckets, "bucket").sortWithinPartitions(F.col("data").isNotNull(), "bucket"), run, FOUND))
+    return persist(arrow_map(posted.repartition(2 * buckets, "bucket").sortWithinPartitions(F.col("data").isNotNull(), "bucket"), run, FOUND))
 
 
 def likely(found: DataFrame, buckets: int) -> DataFrame:
@@ -535,7 +537,8 @@ def core_links(cores: DataFrame, block: int = CORE_BLOCK) -> DataFrame:
     across = starred.where("b is null").select("a", "h").join(tops, "h").select("a", "b")
     family = components(starred.where("b is not null").select("a", "b").union(across))
     grouped = persist(leads.join(family.select(F.col("node").alias("k"), F.col("component").alias("family")), "k"))
-    sizes = grouped.groupBy("family").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    each = F.least(F.lit(MOST_BLOCK), F.greatest(F.lit(block), F.ceil(F.count("*") / BLOCKS)))
+    sizes = grouped.groupBy("family").agg(F.ceil(F.count("*") / each).cast("int").alias("blocks"))
     dealt = grouped.join(sizes, "family").withColumn("mine", F.pmod(F.xxhash64("k"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     keys = ["family", "lo", "hi"]
@@ -616,21 +619,14 @@ def join(docs: DataFrame, sample: int = SAMPLE, common: int = COMMON, frequent:
     postings_ = int(classes.agg(F.sum("n")).first()[0] or 0) // 3
     buckets = max(8, min(int(spark.conf.get("spark.sql.shuffle.partitions")), postings_ // BUCKET_POSTINGS))
     links = persist(similar_first(docs, named))
-    comps = persist(components(links))
-    labelled = persist(_relabel(named, comps))
+    labelled = persist(_relabel(named, components(links)))
     found = candidates(postings(docs, labelled, *filters, buckets), buckets)
+    links = links.union(verify(docs, named, persist(likely(found, buckets))))
     cores = found.where("b is null").select(F.col("a").alias("k"), F.col("na").alias("n"), "core")
-    pairs = persist(likely(found, buckets))
     if cores.limit(1).count():
-        links = persist(links.union(core_links(cores)))
-        comps = persist(components(links))
-        now = _relabel(named, comps).select("k", "comp")
-        pairs = pairs.select("a", "b").join(now.select(F.col("k").alias("a"), F.col("comp").alias("ca")), "a").join(now.select(F.col("k").alias("b"), F.col("comp").alias("cb")), "b").where("ca <> cb")
-        pairs = persist(pairs.select("a", "b", "ca", "cb"))
+        links = links.union(core_links(cores))
+    comps = persist(components(links))
     discard(found)
-    if pairs.limit(1).count():
-        links = persist(links.union(verify(docs, named, pairs)))
-        comps = persist(components(links))
     member = persist(_relabel(classes, comps).select("k", "comp", "doc_id"))
     least = persist(member.groupBy("comp").agg(F.min("doc_id").alias("component_id")))
     name = persist(member.join(least, "comp").select("k", "component_id"))
