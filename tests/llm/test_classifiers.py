@@ -1,3 +1,5 @@
+import zlib
+
 import numpy as np
 import pytest
 
@@ -50,11 +52,15 @@ def test_isotonic():
     assert np.allclose(got, [0.25, 0.25, 0.625, 0.625, 1])
 
 
+def inputs(net, words):
+    return net.inputs(net.rows_of(words), toxicity.Grams(words))
+
+
 def test_gradients():
     """Backpropagation against finite differences."""
     net = toxicity.Network({b"a": 1, b"b": 2}, np.array([0.5, -0.5]))
     index, lengths, y = np.array([[0, 1, 2, 1], [2, 2, 0, 0]]), np.array([4, 2]), np.array([1.0, 0])
-    vectors = net.inputs([b"zz", b"a", b"b"])[0]
+    vectors = inputs(net, [b"zz", b"a", b"b"])
     _, grad, d_v = net.learn(vectors, index, lengths, y, np.ones(2))
     for name, g in grad.items():
         p = net.p[name].reshape(-1)
@@ -76,7 +82,7 @@ def test_scoring_equals_training_pass():
     words = [b"zz", b"a", b"b", b"q1"]
     index, lengths = np.array([[0, 1, 2, 3], [2, 2, 0, 0]]), np.array([4, 2])
     table = net.projections(words)
-    vectors = net.inputs(words)[0]
+    vectors = inputs(net, words)
     logit = net.logits(table, index, lengths)
     for k in range(2):
         loss = net.learn(vectors, index[k : k + 1], lengths[k : k + 1], np.ones(1), np.ones(1))[0]
@@ -110,3 +116,100 @@ def test_unspaced_text_is_read_to_its_end():
     assert b"".join(toxicity.words_of(whole)) == whole and max(map(len, toxicity.words_of(whole))) <= toxicity.LONGEST
     assert b"".join(toxicity.words_of(b"\x80" * 100)) == b"\x80" * 100
     assert toxicity.words_of("a\u00a0B\u3000c".encode()) == [b"a", b"b", b"c"]
+
+
+def test_grams():
+    """Means and gradients of trigram vectors equal those word by word."""
+    rng = np.random.default_rng(1)
+    words = [b"", b"a", b"abc", b"abcabcabc", b"zebra"]
+    grams, vectors = toxicity.Grams(words), rng.normal(size=(toxicity.CHAR_BUCKETS, 3))
+    assert np.allclose(grams.means(vectors), [vectors[toxicity.trigrams(w)].mean(0) for w in words])
+    pick = np.array([3, 1, 4])
+    assert np.allclose(grams.some(pick).means(vectors), grams.means(vectors)[pick])
+    d, want = rng.normal(size=(3, 3)), np.zeros_like(vectors)
+    for g, k in zip(d, pick, strict=True):
+        for gram in toxicity.trigrams(words[k]):
+            want[gram] += g / len(toxicity.trigrams(words[k]))
+    assert np.allclose(grams.some(pick).spread(d, toxicity.CHAR_BUCKETS), want)
+
+
+def slow_logit(net, words):
+    """One window's logit, step by step, from the definition."""
+    p, h = net.p, toxicity.HIDDEN
+    x = []
+    for w in words:
+        x.append(np.concatenate([p["word"][net.vocabulary.get(w, 0)], p["char"][toxicity.trigrams(w)].mean(0)]))
+    states = {}
+    for way in "fb":
+        s, out = np.zeros(h), {}
+        for k in range(len(x)) if way == "f" else range(len(x) - 1, -1, -1):
+            g, u = x[k] @ p["x" + way] + p["c" + way], p["u" + way]
+            z = 1 / (1 + np.exp(-(g[:h] + s @ u[:, :h])))
+            r = 1 / (1 + np.exp(-(g[h : 2 * h] + s @ u[:, h : 2 * h])))
+            c = np.tanh(g[2 * h :] + r * (s @ u[:, 2 * h :]))
+            s = (1 - z) * c + z * s
+            out[k] = s
+        states[way] = out
+    both = [np.concatenate([states["f"][k], states["b"][k]]) for k in range(len(x))]
+    a = np.exp([b @ p["query"] for b in both])
+    return float(sum(w * b for w, b in zip(a / a.sum(), both, strict=True)) @ p["out"] + p["bias"][0])
+
+
+def test_query_equals_a_slow_twin(corpus):
+    """Every row's score from a network fitted on the same sample, window by window and step by step."""
+    docs, labels, _ = corpus
+    net, slope, shift = toxicity.fit(*toxicity.sample(docs, labels))
+    got = toxicity.classify(docs, labels).collect()
+    texts = sorted(((str(r["doc_id"]), r["text"]) for r in docs.collect()), key=str)
+    want = []
+    for doc_id, text in texts[::5] + texts[-5:]:
+        words = toxicity.words_of((text or "").encode())
+        ends = sorted({min(k + toxicity.WINDOW, len(words)) for k in range(0, max(1, len(words) - toxicity.WINDOW + toxicity.STRIDE), toxicity.STRIDE)})
+        best = max(slow_logit(net, words[max(0, e - toxicity.WINDOW) : e] or [b""]) if words else net.logits(np.zeros((1, 6 * toxicity.HIDDEN), np.float32), np.zeros((1, toxicity.WINDOW), int), np.array([0]))[0] for e in ends)
+        want.append((doc_id, 1 / (1 + np.exp(-(slope * best + shift)))))
+    scores = {}
+    for r in got:
+        scores.setdefault(str(r["doc_id"]), []).append(r["score"])
+    assert want and all(min(abs(x - s) for x in scores[d]) < 1e-4 for d, s in want)
+
+
+def test_sample_is_bounded(corpus, monkeypatch):
+    docs, labels, _ = corpus
+    whole = toxicity.sample(docs, labels)[0]
+    monkeypatch.setattr(toxicity, "MOST_BYTES", 20_000)
+    monkeypatch.setattr(toxicity, "MOST_TEXT", 500)
+    some = toxicity.sample(docs.union(docs), labels)[0]
+    assert len(whole) > len(some) > 20 and sum(map(len, some)) <= 20_000 and max(map(len, some)) <= 500
+
+
+def test_quality_equals_a_plain_twin(corpus):
+    """The whole path in one process: one matrix of features, one solve, isotonic rates by the min-max formula."""
+    docs, labels, _ = corpus
+    got = quality.classify(docs, labels).collect()
+    rows = [(r["doc_id"], r["text"] or "") for r in docs.collect()]
+    marks = {}
+    for r in labels.collect():
+        if r["doc_id"] is not None and r["quality"] is not None:
+            marks.setdefault(r["doc_id"], []).append(r["quality"])
+    x = np.array([quality.statistics(t.encode()) for _, t in rows], np.float32).astype(float)
+    rest = np.array([zlib.crc32(str(d).encode()) % quality.FOLDS if d is not None else -1 for d, _ in rows])
+    known = np.array([d in marks and f != quality.HELD_OUT for (d, _), f in zip(rows, rest, strict=True)])
+    y = np.array([np.mean(marks.get(d, [0])) for d, _ in rows])
+    mean, scale = x[known].mean(0), x[known].std(0)
+    rng = np.random.default_rng(quality.SEED)
+    project = rng.normal(0, 1 / (quality.WIDTH * np.sqrt(x.shape[1])), (x.shape[1], quality.FOURIER))
+    phase = rng.uniform(0, 2 * np.pi, quality.FOURIER)
+    z = np.clip((x - mean) / np.where(scale > 1e-6, scale, 1), -4, 4)
+    f = np.hstack([np.cos(z @ project + phase) * np.sqrt(2 / quality.FOURIER), z / 10, np.ones((len(x), 1))])
+    fitted, held = known & (rest != quality.CALIBRATION), known & (rest == quality.CALIBRATION)
+    w = np.linalg.solve(f[fitted].T @ f[fitted] + quality.RIDGE * known.sum() / f.shape[1] * np.eye(f.shape[1]), f[fitted].T @ y[fitted])
+    raw = f @ w
+    bins = np.clip(((raw + 1) / 3 * quality.BINS).astype(int), 0, quality.BINS - 1)
+    used = np.unique(bins[held])
+    n = np.array([(bins[held] == b).sum() for b in used], float)
+    wins, at = (np.array([v[held][bins[held] == b].sum() for b in used]) for v in (y, raw))
+    rate = lambda i, j: (wins[i : j + 1] + 0.01).sum() / (n[i : j + 1] + 0.02).sum()
+    level = [max(min(rate(i, j) for j in range(k, len(used))) for i in range(k + 1)) for k in range(len(used))]
+    score = 0.998 * np.interp(raw, at / n, level) + 0.002 / (1 + np.exp(-4 * (raw - 0.5)))
+    want = sorted((str(d), round(float(s), 4)) for (d, _), s in zip(rows, score, strict=True))
+    assert np.allclose([s for _, s in want], [s for _, s in sorted((str(r["doc_id"]), round(r["score"], 4)) for r in got)], atol=2e-3)

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import ctypes
 import tempfile
+import threading
+import time
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -18,11 +20,19 @@ from pyspark.sql import types as T
 #: Rows with whole texts in an Arrow batch; bytes of a row group of scratch tables.
 BATCH_ROWS, ROW_GROUP = 1000, 16 << 20
 
+#: Seconds after which an idle Python worker gives up what it keeps between tasks.
+IDLE_SECONDS = 3
+
 _STATE: dict = {}
+_LOCK = threading.Lock()
+_TASK = {"turn": 0, "map": ""}
 
 
 def worker_state(key: object, make: Callable[[], object]) -> object:
-    """What a Python worker keeps between tasks: one state at a time, so that operators don't add up."""
+    """What a Python worker keeps between tasks of one map: one state at a time, dropped when the worker is idle.
+
+    `key` must name the content (a path, a uuid made on the driver), not a memory address.
+    """
     if key not in _STATE:
         _STATE.clear()
         release()
@@ -30,6 +40,32 @@ def worker_state(key: object, make: Callable[[], object]) -> object:
     return _STATE[key]
 
 
+def _begin(name: str) -> None:
+    """A task of the named map begins: what other maps left behind goes."""
+    with _LOCK:
+        _TASK["turn"] += 1
+        if _TASK["map"] != name and _STATE:
+            _STATE.clear()
+            release()
+        _TASK["map"] = name
+
+
+def _end() -> None:
+    """A task ends: freed memory goes back at once, and the state with it if no task follows soon."""
+    release()
+    turn = _TASK["turn"]
+
+    def forget() -> None:
+        time.sleep(IDLE_SECONDS)
+        with _LOCK:
+            if _TASK["turn"] == turn:
+                _STATE.clear()
+        release()
+
+    if _STATE:
+        threading.Thread(target=forget, daemon=True).start()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One input table of a data folder."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -78,11 +114,12 @@ def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[d
     """mapInArrow for functions that yield dicts of columns; empty outputs are left out."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    out = to_arrow_schema(schema)
+    out, name = to_arrow_schema(schema), uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _begin(name)
         yield from records(batches)
-        release()
+        _end()
 
     def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for cols in fn(batches):
@@ -178,6 +215,8 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
 
 
 EDGE = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
+#: Edges of which one task makes the last forest, instead of rounds of shuffles.
+ONE_TASK = 100_000
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -185,11 +224,15 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
     Partition-local forests shrink the edges, then alternating large-star and small-star rounds
     join every node to its smallest neighbour until nothing moves. All state is distributed; each
-    round is a written table. Nulls and self-loops are ignored; nodes without edges are absent.
+    round is a written table. Once no more than `ONE_TASK` edges are left, one task unites them.
+    Nulls and self-loops are ignored; nodes without edges are absent.
     """
     tidy = edges.select(F.col(a).cast("long").alias("a"), F.col(b).cast("long").alias("b")).where("a is not null and b is not null and a <> b")
     now = persist(arrow_map(tidy, _forest, EDGE).distinct())
     while True:
+        if now.limit(ONE_TASK + 1).count() <= ONE_TASK:
+            now = persist(arrow_map(now.coalesce(1), _forest, EDGE))
+            break
         both = now.select("a", "b").union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = persist(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")))
         # large star: neighbours above a node move to the smallest node around it

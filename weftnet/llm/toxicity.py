@@ -4,7 +4,8 @@ A word's input joins a learned vector of the word (for the words that training k
 vectors of its hashed character trigrams. Two gated recurrent passes, one each way, read every overlapping
 window of a text; attention pools their states into one logit per window, and a text's score comes from its
 highest window. The network is trained on the driver on a bounded sample of labelled rows (`MOST_TOXIC`,
-`MOST_CLEAN`), where a text stands for its highest window (multiple-instance learning), and calibrated on a
+`MOST_CLEAN`, `MOST_BYTES` in all, none longer than `MOST_TEXT`; of rows with one doc_id the first by text),
+where a text stands for its highest window (multiple-instance learning), and calibrated on a
 part of that sample with weights that restore the share of toxic rows. Scoring goes over all windows of all
 whole texts; labels, lang, source and doc_id are no inputs. Words part at ASCII blanks and punctuation and at
 Unicode blanks; a word of more than `LONGEST` bytes (text written without blanks) becomes consecutive pieces
@@ -12,19 +13,21 @@ that are words of their own, so windows slide over all of it.
 
 Null and empty texts are one empty window. Labels that are null are ignored; a document with several labels
 is toxic if most of them say so. Rows with a null doc_id are scored, never trained on, never held out.
-Without labels of both kinds every score is 0. Extra columns are ignored; an empty table gives no rows.
+Without labels of both kinds every score is 0. Extra columns are ignored by `classify` and kept as they are by
+`drop_toxic`, whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import re
+import uuid
 import zlib
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -33,6 +36,8 @@ from weftnet.llm.quality import HELD_OUT, fold, labelled
 
 #: Most labelled rows that training reads of each kind.
 MOST_TOXIC, MOST_CLEAN = 2500, 3500
+#: Most bytes of all texts that training reads, and of one.
+MOST_BYTES, MOST_TEXT = 24 << 20, 256 << 10
 HIDDEN, WORD_DIM, CHAR_DIM, CHAR_BUCKETS = 8, 8, 6, 1024
 WINDOW, STRIDE = 24, 12
 MOST_WORDS, LEAST_DOCS = 4000, 3
@@ -64,6 +69,32 @@ def trigrams(word: bytes) -> list[int]:
     return [zlib.crc32(w[k : k + 3]) % CHAR_BUCKETS for k in range(len(w) - 2)] or [0]
 
 
+class Grams:
+    """The trigrams of many words, flat, with where each word's begin."""
+
+    def __init__(self, words: list[bytes]) -> None:
+        per = list(map(trigrams, words))
+        self.size = np.array(list(map(len, per)), np.int64)
+        self.start = np.cumsum(self.size) - self.size
+        self.flat = np.array([g for x in per for g in x], np.int64)
+
+    def some(self, words: np.ndarray) -> "Grams":
+        """Those of the words with these numbers."""
+        out = object.__new__(Grams)
+        out.size = self.size[words]
+        out.start = np.cumsum(out.size) - out.size
+        out.flat = self.flat[np.repeat(self.start[words] - out.start, out.size) + np.arange(out.size.sum())]
+        return out
+
+    def means(self, vectors: np.ndarray) -> np.ndarray:
+        return np.add.reduceat(vectors[self.flat], self.start) / self.size[:, None] if len(self.size) else np.zeros((0, vectors.shape[1]))
+
+    def spread(self, grads: np.ndarray, buckets: int) -> np.ndarray:
+        """Gradients of the trigram vectors from those of the means."""
+        each = np.repeat(grads / self.size[:, None], self.size, axis=0)
+        return np.stack([np.bincount(self.flat, each[:, k], buckets) for k in range(grads.shape[1])], 1)
+
+
 def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
@@ -87,25 +118,18 @@ class Network:
             self.p["u" + way] = rng.normal(0, 1 / np.sqrt(HIDDEN), (HIDDEN, 3 * HIDDEN))
             self.p["c" + way] = np.zeros(3 * HIDDEN)
 
-    def inputs(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(vectors, word rows, trigram shares) of distinct words."""
-        rows = np.array([self.vocabulary.get(w, 0) for w in words], np.int64)
-        shares = np.zeros((len(words), CHAR_BUCKETS))
-        for k, w in enumerate(words):
-            grams = trigrams(w)
-            np.add.at(shares[k], grams, 1 / len(grams))
-        return np.hstack([self.p["word"][rows], shares @ self.p["char"]]), rows, shares
+    def inputs(self, rows: np.ndarray, grams: "Grams") -> np.ndarray:
+        """Vectors of words with these word rows and trigrams."""
+        return np.hstack([self.p["word"][rows], grams.means(self.p["char"])])
 
     def projections(self, words: list[bytes]) -> np.ndarray:
         """Both passes' gate inputs of distinct words, for scoring."""
-        rows = np.array([self.vocabulary.get(w, 0) for w in words], np.int64)
-        grams = list(map(trigrams, words))
-        sizes = np.array(list(map(len, grams)))
-        flat = np.array([g for x in grams for g in x])
-        chars = np.add.reduceat(self.p["char"][flat], np.cumsum(sizes) - sizes) / sizes[:, None]
-        v = np.hstack([self.p["word"][rows], chars])
+        v = self.inputs(self.rows_of(words), Grams(words))
         return np.hstack([v @ self.p["xf"] + self.p["cf"], v @ self.p["xb"] + self.p["cb"]]).astype(np.float32)
 
+    def rows_of(self, words: list[bytes]) -> np.ndarray:
+        return np.array([self.vocabulary.get(w, 0) for w in words], np.int64)
+
     # -- training: forward and backward over windows of word indices (n, t) and lengths
     def learn(self, vectors: np.ndarray, index: np.ndarray, lengths: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, dict[str, np.ndarray], np.ndarray]:
         p, h = self.p, HIDDEN
@@ -161,8 +185,8 @@ class Network:
             grad["x" + way] = np.tensordot(x, d_g, ((0, 1), (0, 1)))
             grad["c" + way] = d_g.sum((0, 1))
             d_x += d_g @ p["x" + way].T
-        d_v = np.zeros_like(vectors)
-        np.add.at(d_v, index.ravel(), d_x.reshape(-1, d_x.shape[2]))
+        flat = d_x.reshape(-1, d_x.shape[2])
+        d_v = np.stack([np.bincount(index.ravel(), flat[:, k], len(vectors)) for k in range(flat.shape[1])], 1)
         return loss, grad, d_v
 
     # -- scoring
@@ -279,6 +303,7 @@ def train(texts: list[bytes], toxic: np.ndarray, epochs: int = EPOCHS) -> Networ
     level = run[first + lengths] - run[first]
     moments: dict[str, list[np.ndarray]] = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in net.p.items()}
     step = 0
+    grams, rows_of = Grams([b"", *distinct]), net.rows_of([b"", *distinct])
     starts = np.flatnonzero(np.concatenate([[True], text[1:] != text[:-1]]))
     for epoch in range(epochs):
         if epoch:
@@ -292,14 +317,14 @@ def train(texts: list[bytes], toxic: np.ndarray, epochs: int = EPOCHS) -> Networ
             index = flat[first[part, None] + np.arange(WINDOW)]
             index[np.arange(WINDOW) >= lengths[part, None]] = 0
             used, local = np.unique(index, return_inverse=True)
-            vectors, rows, shares = net.inputs([distinct[u - 1] if u else b"" for u in used])
+            mine, rows = grams.some(used), rows_of[used]
+            vectors = net.inputs(rows, mine)
             if not used[0]:
                 vectors[0] = 0
             _, grad, d_v = net.learn(vectors, local.reshape(index.shape), lengths[part], toxic[text[part]].astype(float), np.ones(len(part)))
-            grad["word"] = np.zeros_like(net.p["word"])
-            np.add.at(grad["word"], rows, d_v[:, :WORD_DIM])
+            grad["word"] = np.stack([np.bincount(rows, d_v[:, j], len(net.p["word"])) for j in range(WORD_DIM)], 1)
             grad["word"][0] = 0
-            grad["char"] = shares.T @ d_v[:, WORD_DIM:]
+            grad["char"] = mine.spread(d_v[:, WORD_DIM:], CHAR_BUCKETS)
             step += 1
             rate = RATE * (1 - epoch / epochs) + 0.002
             for name, g in grad.items():
@@ -334,8 +359,11 @@ def sample(docs: DataFrame, labels: DataFrame, target: str = "toxic") -> tuple[l
     ids = [(r["doc_id"], r["toxic"]) for p in parts for r in p.collect()]
     if not ids:
         return [], np.zeros(0, bool), np.zeros(0)
-    chosen = docs.sparkSession.createDataFrame(ids, "doc_id long, toxic boolean")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).join(F.broadcast(chosen), "doc_id").collect()  # at most MOST_TOXIC + MOST_CLEAN ids
+    chosen = docs.sparkSession.createDataFrame(ids, "doc_id long, toxic boolean")  # at most MOST_TOXIC + MOST_CLEAN rows
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).where(F.coalesce(F.octet_length("text"), F.lit(0)) <= MOST_TEXT)
+    one = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+    sofar = F.sum(F.coalesce(F.octet_length("text"), F.lit(0))).over(Window.orderBy(place, "doc_id"))  # over the chosen rows alone
+    rows = one.withColumn("sofar", sofar).where(F.col("sofar") <= MOST_BYTES).select("doc_id", "toxic", "text").collect()
     rows.sort(key=lambda r: (zlib.crc32(str(r["doc_id"]).encode()), r["doc_id"], r["text"] or b""))
     toxic = np.array([r["toxic"] for r in rows], bool)
     share = {kind: total.get(kind, 0) / max(1, int((toxic == kind).sum())) for kind in (True, False)}
@@ -360,11 +388,11 @@ SCORED = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("sco
 
 def classify(docs: DataFrame, labels: DataFrame, target: str = "toxic", threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, held_out, score, predicted) of each row of docs(doc_id, text)."""
-    fitted = docs.sparkSession.sparkContext.broadcast(fit(*sample(docs, labels, target)))
+    fitted, name = docs.sparkSession.sparkContext.broadcast(fit(*sample(docs, labels, target))), uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         model = fitted.value
-        scorer = worker_state(("toxicity", id(model)), lambda: Scorer(model[0])) if model else None
+        scorer = worker_state(("toxicity", name), lambda: Scorer(model[0])) if model else None
         for batch, texts in text_slices(batches):
             score = sigmoid(model[1] * scorer(texts) + model[2]) if model else np.zeros(len(texts))
             yield {"doc_id": batch.column("doc_id"), "score": score}
@@ -375,12 +403,12 @@ def classify(docs: DataFrame, labels: DataFrame, target: str = "toxic", threshol
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, target: str = "toxic", threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs(doc_id, text, ...) that score below the threshold, unchanged."""
-    fitted = docs.sparkSession.sparkContext.broadcast(fit(*sample(docs, labels, target)))
+    fitted, name = docs.sparkSession.sparkContext.broadcast(fit(*sample(docs, labels, target))), uuid.uuid4().hex
     rest = [c for c in docs.columns if c != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         model = fitted.value
-        scorer = worker_state(("toxicity", id(model)), lambda: Scorer(model[0])) if model else None
+        scorer = worker_state(("toxicity", name), lambda: Scorer(model[0])) if model else None
         for batch, texts in text_slices(batches):
             ok = sigmoid(model[1] * scorer(texts) + model[2]) < threshold if model else np.ones(len(texts), bool)
             yield {c: batch.column(c).filter(pa.array(ok)) for c in batch.schema.names}
