@@ -131,3 +131,16 @@ def test_run(spark, tmp_path, docs):
     docs.limit(0).write.parquet(f"{tmp_path}/none/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/none/labels.parquet")
     assert corpus_pipeline.run(spark, f"{tmp_path}/none").collect() == []
+
+
+def test_clashing_columns(spark, docs):
+    """Extra columns of any name come out as they went in, and change nothing else."""
+    names = ["id", "size", "taken", "first", "line", "words", "row_key", "rank", "spans", "known", "k", "key", "nth", "stays", "place", "head", "of", "row"]
+    few = docs.where("doc_id < 40 or doc_id > 1000")
+    wide = few.selectExpr("*", *(f"cast(coalesce(doc_id, 0) * 100 + {n} as int) as `{c}`" for n, c in enumerate(names)))
+    for stage in (set_join.representatives, suffix_dedup.cut, mixing.apply):
+        got, want = stage(wide), stage(few)
+        assert got.columns == wide.columns
+        found = got.collect()
+        assert sorted(map(str, (tuple(r)[:5] for r in found))) == sorted(map(str, map(tuple, want.collect())))
+        assert all(r[c] == (r["doc_id"] or 0) * 100 + n for r in found for n, c in enumerate(names))

@@ -7,7 +7,8 @@ blocks of its line a source contributes follows from its quota and a seeded offs
 floor(((i + 1) K + o) / M) - floor((i K + o) / M) times, which spreads K takes evenly over M blocks.
 
 Null texts have size 0, null sources are one source (ordered last), repeated rows are rows of their
-own, a null doc_id is laid out like any other. Extra columns are ignored. An empty table gives no rows.
+own, a null doc_id is laid out like any other. Extra columns are ignored (`apply` keeps them). An empty table
+gives no rows.
 """
 
 from __future__ import annotations
@@ -89,18 +90,21 @@ def apply(docs: DataFrame, **options: object) -> DataFrame:
 
     A document of which more words than its size are taken stands there whole and again; one of which part is
     taken is cut after its last word taken. Rows equal in doc_id, source and size share their words evenly.
-    Documents of which nothing is taken go.
+    Documents of which nothing is taken go. Extra columns are kept as they are, whatever their names.
     """
-    each = mix(docs, **options).groupBy("doc_id", "source", "size").agg((F.sum("taken") / F.count("*")).cast("long").alias("taken"))
-    each = persist(each.where("taken > 0").select(F.col("doc_id").alias("id"), F.col("source").alias("line"), F.col("size").alias("words"), "taken"))
-    rows = docs.withColumn("size", word_count(F.col("text")))
-    rows = rows.join(each, rows["doc_id"].eqNullSafe(each["id"]) & rows["source"].eqNullSafe(each["line"]) & (rows["size"] == each["words"]))
+    each = mix(docs.select("doc_id", "text", "source"), **options).groupBy("doc_id", "source", "size").agg((F.sum("taken") / F.count("*")).cast("long").alias("taken"))
+    each = persist(each.where("taken > 0").select(F.struct("doc_id", "source", "size").alias("of"), "taken"))
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    rows = rows.withColumn("size", word_count(F.col("row.text")))
+    same = F.col("row.doc_id").eqNullSafe(F.col("of.doc_id")) & F.col("row.source").eqNullSafe(F.col("of.source")) & (F.col("size") == F.col("of.size"))
+    rows = rows.join(each, same).drop("of")
     whole = F.expr("array_repeat(cast(null as bigint), cast(taken div size as int))")
     part = F.expr("if(taken % size = 0, cast(array() as array<bigint>), array(taken % size))")
     rows = rows.withColumn("first", F.explode(F.concat(whole, part)))
-    head = F.array_join(F.slice(F.regexp_extract_all(F.col("text"), F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0)), F.lit(1), F.col("first").cast("int")), "")
-    rows = rows.withColumn("text", F.when(F.col("first").isNull(), F.col("text")).otherwise(head))
-    return rows.withColumn("n_chars", F.when(F.col("first").isNull(), F.col("n_chars")).otherwise(F.char_length("text"))).select(*docs.columns)
+    head = F.array_join(F.slice(F.regexp_extract_all(F.col("row.text"), F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0)), F.lit(1), F.col("first").cast("int")), "")
+    new = {"text": F.when(F.col("first").isNull(), F.col("row.text")).otherwise(F.col("head")), "n_chars": F.when(F.col("first").isNull(), F.col("row.n_chars")).otherwise(F.char_length("head"))}
+    rows = rows.withColumn("head", F.when(F.col("first").isNotNull(), head))
+    return rows.select(*((new[c] if c in new else F.col("row").getField(c)).alias(c) for c in docs.columns))
 
 
 def _taken(x: str) -> str:

@@ -495,8 +495,10 @@ def cut(docs: DataFrame) -> DataFrame:
     """The rows of docs(doc_id, text, n_chars, ...) without the removed bytes.
 
     What a cut leaves of a character becomes U+FFFD, n_chars follows the new text, and rows of which nothing
-    but white space is left go. Rows that repeat nothing stay as they are.
+    but white space is left go. Rows that repeat nothing stay as they are. Extra columns are kept as they are,
+    whatever their names.
     """
+    named, docs = docs, docs.toDF(*(c if c in ("doc_id", "text", "n_chars") else f"_{k}" for k, c in enumerate(docs.columns)))
     rows, removed = find_repeats(docs)
     whole = rows.where("copy").select("doc_id", "k", F.lit(None).cast("binary").alias("spans"))
     changes = persist(removed.select("doc_id", "k", "spans").join(whole, ["doc_id", "k"], "left_anti").union(whole.distinct()))
@@ -531,4 +533,4 @@ def cut(docs: DataFrame) -> DataFrame:
             rows_ = batch.take(pa.array(keep, pa.int64()))
             yield {c: rows_.column(c) for c in columns} | {"text": [texts[i] for i in keep], "n_chars": [chars[i] for i in keep]}
 
-    return same.union(arrow_map(joined, run, schema_out))
+    return same.union(arrow_map(joined, run, schema_out)).toDF(*named.columns)
