@@ -165,7 +165,7 @@ def test_query_equals_a_slow_twin(corpus):
     for doc_id, text in texts[::5] + texts[-5:]:
         words = toxicity.words_of((text or "").encode())
         ends = sorted({min(k + toxicity.WINDOW, len(words)) for k in range(0, max(1, len(words) - toxicity.WINDOW + toxicity.STRIDE), toxicity.STRIDE)})
-        best = max(slow_logit(net, words[max(0, e - toxicity.WINDOW) : e] or [b""]) if words else net.logits(np.zeros((1, 6 * toxicity.HIDDEN), np.float32), np.zeros((1, toxicity.WINDOW), int), np.array([0]))[0] for e in ends)
+        best = max(slow_logit(net, words[max(0, e - toxicity.WINDOW) : e] or [b""]) if words else net.logits(np.zeros((2, 1, 3 * toxicity.HIDDEN), np.float32), np.zeros((1, toxicity.WINDOW), int), np.array([0]))[0] for e in ends)
         want.append((doc_id, 1 / (1 + np.exp(-(slope * best + shift)))))
     scores = {}
     for r in got:

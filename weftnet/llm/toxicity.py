@@ -22,16 +22,17 @@ from __future__ import annotations
 import re
 import uuid
 import zlib
-from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weftnet.llm.common import arrow_map, as_bytes, text_slices, worker_state
+from weftnet.llm.common import arrow_map, as_bytes, release, text_slices, worker_state
 from weftnet.llm.quality import HELD_OUT, fold, labelled
 
 #: Most labelled rows that training reads of each kind.
@@ -73,16 +74,20 @@ class Grams:
     """The trigrams of many words, flat, with where each word's begin."""
 
     def __init__(self, words: list[bytes]) -> None:
-        per = list(map(trigrams, words))
-        self.size = np.array(list(map(len, per)), np.int64)
-        self.start = np.cumsum(self.size) - self.size
-        self.flat = np.array([g for x in per for g in x], np.int64)
+        sizes, parts = [], []
+        for k in range(0, len(words), 10_000):
+            per = list(map(trigrams, words[k : k + 10_000]))
+            sizes.append(np.fromiter(map(len, per), np.int32, len(per)))
+            parts.append(np.fromiter(chain.from_iterable(per), np.uint16))
+        self.size = np.concatenate(sizes) if sizes else np.zeros(0, np.int32)
+        self.start = np.cumsum(self.size, dtype=np.int64) - self.size
+        self.flat = np.concatenate(parts) if parts else np.zeros(0, np.uint16)
 
     def some(self, words: np.ndarray) -> "Grams":
         """Those of the words with these numbers."""
         out = object.__new__(Grams)
         out.size = self.size[words]
-        out.start = np.cumsum(out.size) - out.size
+        out.start = np.cumsum(out.size, dtype=np.int64) - out.size
         out.flat = self.flat[np.repeat(self.start[words] - out.start, out.size) + np.arange(out.size.sum())]
         return out
 
@@ -124,8 +129,11 @@ class Network:
 
     def projections(self, words: list[bytes]) -> np.ndarray:
         """Both passes' gate inputs of distinct words, for scoring."""
-        v = self.inputs(self.rows_of(words), Grams(words))
-        return np.hstack([v @ self.p["xf"] + self.p["cf"], v @ self.p["xb"] + self.p["cb"]]).astype(np.float32)
+        return self.projected(self.rows_of(words), Grams(words))
+
+    def projected(self, rows: np.ndarray, grams: "Grams") -> np.ndarray:
+        v = self.inputs(rows, grams)
+        return np.stack([v @ self.p["x" + way] + self.p["c" + way] for way in "fb"]).astype(np.float32)
 
     def rows_of(self, words: list[bytes]) -> np.ndarray:
         return np.array([self.vocabulary.get(w, 0) for w in words], np.int64)
@@ -191,13 +199,13 @@ class Network:
 
     # -- scoring
     def logits(self, table: np.ndarray, index: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-        """Logits of windows: gate inputs by word row, word rows (n, t), lengths."""
+        """Logits of windows: gate inputs by pass and word row, word rows (n, t), lengths."""
         h, p = HIDDEN, {k: self.p[k].astype(np.float32) for k in ("uf", "ub", "query", "out", "bias")}
         n, t = index.shape
         both = np.empty((t, n, 2 * h), np.float32)
         ragged = bool((lengths < t).any())
         for w, way in enumerate("fb"):
-            half = np.ascontiguousarray(table[:, w * 3 * h : (w + 1) * 3 * h])
+            half = table[w]
             u = p["u" + way]
             s = np.zeros((n, h), np.float32)
             for k in range(t) if way == "f" else range(t - 1, -1, -1):
@@ -244,7 +252,7 @@ class Scorer:
     def __init__(self, net: Network) -> None:
         self.net = net
         self.known: dict[bytes, int] = {}
-        self.table = np.zeros((1, 6 * HIDDEN), np.float32)
+        self.table = np.zeros((2, 1, 3 * HIDDEN), np.float32)
 
     def __call__(self, texts: list[bytes], size: int = 4096) -> np.ndarray:
         words: list[bytes] = []
@@ -256,14 +264,14 @@ class Scorer:
         gaps = [k for k, x in enumerate(found) if x is None]
         table = self.table
         if gaps:
-            new = {w: len(table) + k for k, w in enumerate(dict.fromkeys(words[k] for k in gaps))}
+            new = {w: table.shape[1] + k for k, w in enumerate(dict.fromkeys(words[k] for k in gaps))}
             for k in gaps:
                 found[k] = new[words[k]]
-            table = np.vstack([table, self.net.projections(list(new))])
+            table = np.concatenate([table, self.net.projections(list(new))], 1)
             room = MOST_KNOWN - len(self.known)
             if room > 0:
                 self.known.update(list(new.items())[:room])
-                self.table = table[: len(self.known) + 1].copy()
+                self.table = table[:, : len(self.known) + 1].copy()
         rows = np.array([*found, *[0] * WINDOW], np.int64)
         counts = np.diff(ends)
         text, first, lengths = windows(counts)
@@ -279,35 +287,40 @@ class Scorer:
 def train(texts: list[bytes], toxic: np.ndarray, epochs: int = EPOCHS) -> Network:
     """Fit the network; each text stands for its highest window under the network so far."""
     rng = np.random.default_rng(SEED)
-    split = list(map(words_of, texts))
-    tally = (Counter(), Counter())
-    for words, y in zip(split, toxic, strict=True):
-        tally[int(y)].update(set(words))
-    n = np.array([(~toxic).sum() + 2, toxic.sum() + 2], float)
-    odds = {}
-    for w in tally[1] | tally[0]:
-        c, k = tally[0][w], tally[1][w]
-        if c + k >= LEAST_DOCS:
-            odds[w] = float(np.log((k + 0.5) / n[1]) - np.log((c + 0.5) / n[0])) * (c + k) / (c + k + 8)
-    chosen = sorted(odds, key=lambda w: (-abs(odds[w]) * np.sqrt(tally[0][w] + tally[1][w]), w))[:MOST_WORDS]
-    prior = np.array([odds[w] for w in chosen])
-    net = Network({w: k + 1 for k, w in enumerate(chosen)}, np.clip(prior, -3, 6) / 2)
-    distinct = sorted({w for words in split for w in words})
-    number = {w: k + 1 for k, w in enumerate(distinct)}
-    flat = np.array([number[w] for words in split for w in words] + [0] * WINDOW)
-    counts = np.array(list(map(len, split)))
+    number: dict[bytes, int] = {b"": 0}
+    parts, kinds = [], [[np.zeros(0, np.int32)], [np.zeros(0, np.int32)]]
+    for x, y in zip(texts, toxic, strict=True):
+        words = words_of(x)
+        parts.append(np.fromiter((number.setdefault(w, len(number)) for w in words), np.int32, len(words)))
+        kinds[int(y)].append(np.unique(parts[-1]))
+    distinct = list(number)
+    del number
+    clean, bad = (np.bincount(np.concatenate(x), minlength=len(distinct)) for x in kinds)  # documents with each word
+    held = clean + bad
+    odds = (np.log((bad + 0.5) / (toxic.sum() + 2)) - np.log((clean + 0.5) / ((~toxic).sum() + 2))) * held / (held + 8)
+    odds[held < LEAST_DOCS] = 0
+    known = np.flatnonzero(held >= LEAST_DOCS).tolist()
+    chosen = sorted(known, key=lambda k: (-abs(odds[k]) * np.sqrt(held[k]), distinct[k]))[:MOST_WORDS]
+    net = Network({distinct[k]: i + 1 for i, k in enumerate(chosen)}, np.clip(odds[chosen], -3, 6) / 2)
+    flat = np.concatenate([*parts, np.zeros(WINDOW, np.int32)])
+    counts = np.array(list(map(len, parts)))
+    del parts, kinds
     text, first, lengths = windows(counts)
     first = first + (np.cumsum(counts) - counts)[text]
-    weight_of = np.concatenate([[0], [max(0.0, odds.get(w, 0.0)) for w in distinct]])
-    run = np.concatenate([[0], np.cumsum(weight_of[flat])])
+    run = np.concatenate([[0], np.cumsum(np.maximum(0, odds)[flat])])
     level = run[first + lengths] - run[first]
+    del run
     moments: dict[str, list[np.ndarray]] = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in net.p.items()}
     step = 0
-    grams, rows_of = Grams([b"", *distinct]), net.rows_of([b"", *distinct])
+    grams, rows_of = Grams(distinct), net.rows_of(distinct)
+    table = np.zeros((2, len(distinct), 3 * HIDDEN), np.float32)
+    del distinct
     starts = np.flatnonzero(np.concatenate([[True], text[1:] != text[:-1]]))
     for epoch in range(epochs):
-        if epoch:
-            table = np.vstack([np.zeros((1, 6 * HIDDEN), np.float32)] + [net.projections(distinct[k : k + 20000]) for k in range(0, len(distinct), 20000)])
+        if epoch % 2:  # every other epoch the windows are ranked anew
+            for k in range(1, table.shape[1], 20_000):
+                some = np.arange(k, min(k + 20_000, table.shape[1]))
+                table[:, some] = net.projected(rows_of[some], grams.some(some))
             level = np.concatenate([net.logits(table, flat[first[k : k + 4096, None] + np.arange(WINDOW)], lengths[k : k + 4096]) for k in range(0, len(text), 4096)])
         order = np.lexsort((-level, text))
         pick = np.concatenate([order[starts], rng.choice(np.flatnonzero(~toxic[text]), min(len(texts) // 2, int((~toxic[text]).sum())), replace=False)])
@@ -364,10 +377,11 @@ def sample(docs: DataFrame, labels: DataFrame, target: str = "toxic") -> tuple[l
     one = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
     sofar = F.sum(F.coalesce(F.octet_length("text"), F.lit(0))).over(Window.orderBy(place, "doc_id"))  # over the chosen rows alone
     rows = one.withColumn("sofar", sofar).where(F.col("sofar") <= MOST_BYTES).select("doc_id", "toxic", "text").collect()
-    rows.sort(key=lambda r: (zlib.crc32(str(r["doc_id"]).encode()), r["doc_id"], r["text"] or b""))
-    toxic = np.array([r["toxic"] for r in rows], bool)
+    rows = [(r["doc_id"], r["toxic"], bytes(r["text"] or b"")) for r in rows]
+    rows.sort(key=lambda r: (zlib.crc32(str(r[0]).encode()), r[0]))
+    toxic = np.array([r[1] for r in rows], bool)
     share = {kind: total.get(kind, 0) / max(1, int((toxic == kind).sum())) for kind in (True, False)}
-    return [bytes(r["text"] or b"") for r in rows], toxic, np.array([share[bool(t)] for t in toxic])
+    return [r[2] for r in rows], toxic, np.array([share[bool(t)] for t in toxic])
 
 
 def fit(texts: list[bytes], toxic: np.ndarray, weight: np.ndarray) -> tuple[Network, float, float] | None:
@@ -383,12 +397,19 @@ def fit(texts: list[bytes], toxic: np.ndarray, weight: np.ndarray) -> tuple[Netw
     return net, *calibrate(level, toxic[use].astype(float), weight[use])
 
 
+def _shared(docs: DataFrame, labels: DataFrame, target: str) -> tuple[Broadcast, str]:
+    """The fitted network on every executor, and a name of it; what training took goes back to the system."""
+    fitted = docs.sparkSession.sparkContext.broadcast(fit(*sample(docs, labels, target)))
+    release()
+    return fitted, uuid.uuid4().hex
+
+
 SCORED = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("score", T.DoubleType())])
 
 
 def classify(docs: DataFrame, labels: DataFrame, target: str = "toxic", threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, held_out, score, predicted) of each row of docs(doc_id, text)."""
-    fitted, name = docs.sparkSession.sparkContext.broadcast(fit(*sample(docs, labels, target))), uuid.uuid4().hex
+    fitted, name = _shared(docs, labels, target)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         model = fitted.value
@@ -403,7 +424,7 @@ def classify(docs: DataFrame, labels: DataFrame, target: str = "toxic", threshol
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, target: str = "toxic", threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs(doc_id, text, ...) that score below the threshold, unchanged."""
-    fitted, name = docs.sparkSession.sparkContext.broadcast(fit(*sample(docs, labels, target))), uuid.uuid4().hex
+    fitted, name = _shared(docs, labels, target)
     rest = [c for c in docs.columns if c != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
