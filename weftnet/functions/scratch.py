@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -19,6 +20,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def folder(spark: SparkSession, name: str) -> str:
+    """A new path in the session's shared folder; a local one only where the session names none."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
+    if not base:
+        base = "file://" + tempfile.mkdtemp(prefix="weftnet-")
+        spark.sparkContext.setCheckpointDir(base)
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def log_factorials(n: int) -> np.ndarray:
     return np.concatenate([[0.0], np.cumsum(np.log(np.arange(1, n + 1)))])
 

@@ -11,11 +11,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftnet.functions.scratch import cut
 from weftnet.operators.graph import components, induced, mcode
 
 
-def _move(adj: list[dict[int, float]], k: list[float], two_m: float, resolution: float, label: list[int], allowed: list[int] | None = None) -> bool:
-    """Local moves in fixed order until none gains; with `allowed`, only within equal marks."""
+def _move(adj: list[dict[int, float]], k: list[float], two_m: float, resolution: float, label: list[int]) -> bool:
+    """Local moves in fixed order until none gains."""
     total: dict[int, float] = {}
     for v, c in enumerate(label):
         total[c] = total.get(c, 0) + k[v]
@@ -28,7 +29,7 @@ def _move(adj: list[dict[int, float]], k: list[float], two_m: float, resolution:
             total[c] -= k[v]
             to: dict[int, float] = {c: 0.0}
             for u, w in adj[v].items():
-                if u != v and (allowed is None or allowed[u] == allowed[v]):
+                if u != v:
                     to[label[u]] = to.get(label[u], 0) + w
             gain = lambda d: to[d] - resolution * k[v] * total[d] / two_m  # noqa: B023, E731
             best = max(sorted(to), key=lambda d: (round(gain(d), 12), d == c))
@@ -52,6 +53,35 @@ def _merged(adj: list[dict[int, float]], k: list[float], label: list[int]) -> tu
     return out, weight, new
 
 
+def _refined(adj: list[dict[int, float]], k: list[float], two_m: float, resolution: float, label: list[int]) -> list[int]:
+    """Split communities into well-connected parts: lone vertices join a part of their community with the largest gain.
+
+    Both must be well connected: at least `resolution * K (S - K) / 2m` of weight goes to the rest of the community,
+    where K and S are the degrees of the vertex or part, and of the community.
+    """
+    whole: dict[int, float] = {}
+    for v, c in enumerate(label):
+        whole[c] = whole.get(c, 0) + k[v]
+    out = [sum(w for u, w in row.items() if u != v and label[u] == label[v]) for v, row in enumerate(adj)]  # weight to the rest, by part
+    own, part, total, alone = list(out), list(range(len(adj))), list(k), [True] * len(adj)
+    bound = lambda degree, c: resolution * degree * (whole[c] - degree) / two_m - 1e-12
+    for v, row in enumerate(adj):
+        c = label[v]
+        if not alone[v] or own[v] < bound(k[v], c):
+            continue
+        to: dict[int, float] = {}
+        for u, w in row.items():
+            if u != v and label[u] == c:
+                to[part[u]] = to.get(part[u], 0) + w
+        gains = {d: w - resolution * k[v] * total[d] / two_m for d, w in to.items() if d != v and out[d] >= bound(total[d], c)}
+        best = max(sorted(gains), key=lambda d: round(gains[d], 12), default=None)  # noqa: B023
+        if best is not None and gains[best] >= 0:
+            part[v], alone[v], alone[best] = best, False, False
+            total[best] += k[v]
+            out[best] += own[v] - 2 * to[best]
+    return part
+
+
 def partition(edges: list[tuple[int, int, float]], n: int, two_m: float, resolution: float = 1.0, refine: bool = False) -> list[int]:
     """Community labels of vertices 0..n-1; `refine` splits communities before they are merged (Leiden)."""
     adj: list[dict[int, float]] = [{} for _ in range(n)]
@@ -60,14 +90,10 @@ def partition(edges: list[tuple[int, int, float]], n: int, two_m: float, resolut
         adj[b][a] = adj[b].get(a, 0) + w
     k = [sum(r.values()) for r in adj]
     where, label = list(range(n)), list(range(n))
-    for _ in range(50):
+    while True:  # every round but the last has fewer vertices
         before = list(label)
         _move(adj, k, two_m, resolution, label)
-        if refine:
-            fine = list(range(len(adj)))
-            _move(adj, k, two_m, resolution, fine, allowed=label)
-        else:
-            fine = label
+        fine = _refined(adj, k, two_m, resolution, label) if refine else label
         coarse: dict[int, int] = dict(zip(fine, label, strict=True))
         order = list(dict.fromkeys(fine))
         smaller = len(order) < len(adj)
@@ -121,17 +147,23 @@ def modularity(edges: DataFrame, modules: DataFrame, resolution: float = 1.0) ->
 def refine_modules(modules: DataFrame, edges: DataFrame, larger_than: int, method: str = "mcode", **options: object) -> tuple[DataFrame, DataFrame]:
     """Split modules above a size on their induced graphs; (modules renumbered, parent-child table).
 
-    A module that yields no submodules stays. New ids follow parent ids, then submodule ids.
+    A module that yields no submodules stays. New ids follow parent ids, then submodule ids. The table has a row
+    for every new module: parent_module, child_module, parent_size, child_size, refined, and name, which is
+    `M<parent>.<nth>` for submodules and `M<parent>` for modules that stay.
     """
     sized = modules.withColumn("size", F.count("*").over(Window.partitionBy("graph", "module")))
     large = sized.where(F.col("size") > larger_than).select("graph", "module", "v")
     sub_edges = induced(edges, large).select(F.struct("graph", "module").alias("graph"), "a", "b")
     sub_edges = sub_edges.select(F.to_json("graph").alias("graph"), "a", "b")
     found = (mcode(sub_edges, **options) if method == "mcode" else communities(sub_edges, method, **options)).select(F.from_json("graph", f"graph {edges.schema['graph'].dataType.simpleString()}, module int").alias("g"), F.col("module").alias("child"), "v")
-    found = found.select("g.graph", F.col("g.module").alias("parent"), "child", "v")
+    found = cut(found.select("g.graph", F.col("g.module").alias("parent"), "child", "v"))
     split = found.select("graph", F.col("parent").alias("module")).distinct()
     rest = modules.join(split, ["graph", "module"], "left_anti").select("graph", F.col("module").alias("parent"), F.lit(-1).alias("child"), "v")
     both = found.union(rest)
-    ids = both.select("graph", "parent", "child").distinct().withColumn("module", F.row_number().over(Window.partitionBy("graph").orderBy("parent", "child")) - 1)
+    ids = both.groupBy("graph", "parent", "child").agg(F.count("*").alias("child_size")).withColumn("module", F.row_number().over(Window.partitionBy("graph").orderBy("parent", "child")) - 1)
     out = both.join(ids, ["graph", "parent", "child"])
-    return out.select("graph", "module", "v"), ids.where("child >= 0").select("graph", F.col("parent").alias("parent_module"), F.col("module").alias("child_module"))
+    before = modules.groupBy("graph", F.col("module").alias("parent")).agg(F.count("*").alias("parent_size"))
+    nth = F.row_number().over(Window.partitionBy("graph", "parent").orderBy("child"))
+    name = F.when(F.col("child") >= 0, F.concat(F.lit("M"), F.col("parent").cast("string"), F.lit("."), nth.cast("string"))).otherwise(F.concat(F.lit("M"), F.col("parent").cast("string")))
+    table = ids.join(before, ["graph", "parent"]).select("graph", F.col("parent").alias("parent_module"), F.col("module").alias("child_module"), "parent_size", "child_size", (F.col("child") >= 0).alias("refined"), name.alias("name"))
+    return out.select("graph", "module", "v"), table

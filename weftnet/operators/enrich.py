@@ -26,8 +26,10 @@ def manifest(sets: DataFrame) -> DataFrame:
     return sets.groupBy("library").agg(F.countDistinct("set_name").alias("n_sets"), F.countDistinct("gene").alias("n_genes")).withColumn("slug", slug(F.col("library")))
 
 
-def annotate(modules: DataFrame, sets: DataFrame, background: DataFrame | None = None, fdr: float = 0.05, least: int = 2) -> DataFrame:
-    """modules(module, gene) x sets(set_name, gene) against background(gene), by default all module genes.
+def annotate(modules: DataFrame, sets: DataFrame, background: DataFrame | None = None, fdr: float = 0.05, least: int = 2, least_ids: int | None = None) -> DataFrame:
+    """modules(module, gene) x sets(set_name, gene) against background(gene), by default all module genes.
+
+    Modules of fewer than `least_ids` background genes (by default `least`) are not tested.
 
     The smaller side of the overlap comes from an equi-join on genes, so pairs without overlap never exist.
     Adjusted over the rows with enough overlap.
@@ -35,13 +37,13 @@ def annotate(modules: DataFrame, sets: DataFrame, background: DataFrame | None =
     bg = (modules if background is None else background).select("gene").distinct()
     total = bg.agg(F.count("*").alias("n_background"))
     m = modules.select("module", "gene").distinct().join(bg, "gene", "left_semi")
-    m = m.withColumn("n_module", F.count("*").over(Window.partitionBy("module"))).where(F.col("n_module") >= least)
+    m = m.withColumn("n_module", F.count("*").over(Window.partitionBy("module"))).where(F.col("n_module") >= (least if least_ids is None else least_ids))
     s = sets.select("set_name", "gene").distinct().join(bg, "gene", "left_semi")
     s = s.withColumn("n_set", F.count("*").over(Window.partitionBy("set_name")))
     hit = m.join(s, "gene").groupBy("module", "set_name", "n_module", "n_set").agg(F.count("*").alias("overlap"), F.array_join(F.array_sort(F.collect_list(F.col("gene").cast("string"))), ";").alias("genes"))
     hit = hit.where(F.col("overlap") >= least).crossJoin(F.broadcast(total))
     tested = hit.withColumn("p_value", hypergeometric_tail("overlap", "n_set", "n_module", "n_background"))
-    return bh_adjusted(tested, (), "p_value", ("module", "set_name")).where(F.col("p_adjusted") < fdr)
+    return bh_adjusted(tested).where(F.col("p_adjusted") < fdr)
 
 
 def top_hits(hits: DataFrame, n: int = 5) -> DataFrame:
@@ -51,8 +53,9 @@ def top_hits(hits: DataFrame, n: int = 5) -> DataFrame:
 
 
 def with_library(hits: DataFrame, sets: DataFrame) -> DataFrame:
-    """The library of each hit's set, unknown without one."""
-    return hits.join(sets.select("set_name", "library").distinct(), "set_name", "left").withColumn("library", F.coalesce("library", F.lit("unknown")))
+    """The library of each hit's set, unknown without one, and its description if the sets have any."""
+    about = sets.groupBy("set_name", "library").agg(*([F.max("description").alias("description")] if "description" in sets.columns else [F.lit(1).alias("one")]))
+    return hits.join(about.drop("one"), "set_name", "left").withColumn("library", F.coalesce("library", F.lit("unknown")))
 
 
 def hit_manifest(hits: DataFrame, books: DataFrame) -> DataFrame:

@@ -41,20 +41,23 @@ def local_density(edges: DataFrame) -> DataFrame:
     return d.select("graph", "v", "degree", "triangles", ((F.col("degree") + F.col("triangles")) / (F.col("degree") * (F.col("degree") + 1) / 2)).alias("density"))
 
 
-def coreness(edges: DataFrame, most_rounds: int = 1000) -> DataFrame:
-    """The fixpoint of h-indices over neighbours' values, which is the core level."""
+def coreness(edges: DataFrame) -> DataFrame:
+    """The fixpoint of h-indices over neighbours' values, which is the core level.
+
+    Neighbours are counted by value first, so a hub is as many rows as its neighbours have levels. Levels only
+    fall, so the loop ends at the fixpoint.
+    """
     both = cut(both_ways(edges))
     level = cut(both.groupBy("graph", "v").agg(F.count("*").alias("core")))
-    for _ in range(most_rounds):
-        seen = both.join(level.select("graph", F.col("v").alias("u"), F.col("core").alias("c")), ["graph", "u"])
-        rank = F.row_number().over(Window.partitionBy("graph", "v").orderBy(F.col("c").desc()))
-        now = seen.withColumn("rank", rank).groupBy("graph", "v").agg(F.max(F.least("c", "rank")).alias("core"))
+    while True:
+        seen = both.join(level.select("graph", F.col("v").alias("u"), F.col("core").alias("c")), ["graph", "u"]).groupBy("graph", "v", "c").agg(F.count("*").alias("n"))
+        at_least = F.sum("n").over(Window.partitionBy("graph", "v").orderBy(F.col("c").desc()))
+        now = seen.withColumn("rank", at_least).groupBy("graph", "v").agg(F.max(F.least("c", "rank")).alias("core"))
         now = cut(now.select("graph", "v", F.col("core").cast("long").alias("core")))
         moved = now.join(level.withColumnRenamed("core", "old"), ["graph", "v"]).where("core <> old").limit(1).count()
         level = now
         if not moved:
-            break
-    return level
+            return level
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -11,17 +11,22 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weftnet.functions import ranks
+from weftnet.functions.scratch import cut
+
 #: Genes of a block: two blocks of vectors and one product are what a task holds.
 BLOCK = 256
 
 
-def block_pairs(x: DataFrame, col: str, kernel: Callable[[np.ndarray, np.ndarray], dict[str, np.ndarray]], outputs: dict[str, str], block: int = BLOCK) -> DataFrame:
+def block_pairs(x: DataFrame, col: str, kernel: Callable[[np.ndarray, np.ndarray], dict[str, np.ndarray]], outputs: dict[str, str], block: int = BLOCK, only: Callable[[dict[str, np.ndarray]], np.ndarray] | None = None, wanted: DataFrame | None = None) -> DataFrame:
     """(study, gene_a, gene_b, outputs) of all gene pairs of a study, gene_a < gene_b.
 
-    `kernel(a, b)` gets two blocks of vectors over the study's runs in one order and returns matrices.
+    `kernel(a, b)` gets two blocks of vectors over the study's runs in one order and returns matrices. Pairs
+    that `only` masks out never become rows. With wanted(study, gene_a, gene_b), only those pairs, and no cell
+    of the grid without any is scored.
     """
     vec = x.groupBy("study", "gene").agg(F.sort_array(F.collect_list(F.struct("run", F.col(col).cast("double").alias("v")))).alias("s")).select("study", "gene", F.col("s.v").alias("v"))
     per = vec.groupBy("study").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
@@ -29,6 +34,12 @@ def block_pairs(x: DataFrame, col: str, kernel: Callable[[np.ndarray, np.ndarray
     # each block goes to every cell of the upper grid that needs it
     cells = vec.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     cells = cells.select("study", F.least("blk", "other").alias("lo"), F.greatest("blk", "other").alias("hi"), "blk", "gene", "v")
+    if wanted is not None:
+        at = vec.select("study", "gene", "blk")
+        a, b = (at.withColumnsRenamed({"gene": f"gene_{k}", "blk": f"blk_{k}"}) for k in "ab")
+        used = wanted.join(a, ["study", "gene_a"]).join(b, ["study", "gene_b"])
+        used = used.select("study", F.least("blk_a", "blk_b").alias("lo"), F.greatest("blk_a", "blk_b").alias("hi")).distinct()
+        cells = cells.join(used, ["study", "lo", "hi"], "left_semi")
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("gene", kind="stable")
@@ -37,6 +48,8 @@ def block_pairs(x: DataFrame, col: str, kernel: Callable[[np.ndarray, np.ndarray
         ga, gb = a["gene"].to_numpy(), b["gene"].to_numpy()
         found = kernel(np.array(a["v"].tolist()), np.array(b["v"].tolist()))
         keep = ga[:, None] < gb[None] if lo == hi else np.ones((len(ga), len(gb)), bool)
+        if only is not None:
+            keep = keep & only(found)
         i, j = np.nonzero(keep)
         x, y = ga[i], gb[j]
         swap = x > y
@@ -44,7 +57,8 @@ def block_pairs(x: DataFrame, col: str, kernel: Callable[[np.ndarray, np.ndarray
         return pd.DataFrame(out | {name: m[i, j] for name, m in found.items()})
 
     schema = f"study {x.schema['study'].dataType.simpleString()}, gene_a string, gene_b string, " + ", ".join(f"{n} {t}" for n, t in outputs.items())
-    return cells.groupBy("study", "lo", "hi").applyInPandas(run, schema)
+    scored = cells.groupBy("study", "lo", "hi").applyInPandas(run, schema)
+    return scored if wanted is None else scored.join(wanted.select("study", "gene_a", "gene_b"), ["study", "gene_a", "gene_b"], "left_semi")
 
 
 def _contingency(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -64,9 +78,9 @@ def _mi(a: np.ndarray, b: np.ndarray) -> dict[str, np.ndarray]:
     return {"mi": terms.sum((2, 3)), "mi_mm": terms.sum((2, 3)) + correction}
 
 
-def mutual_information(bins: DataFrame, block: int = BLOCK) -> DataFrame:
+def mutual_information(bins: DataFrame, block: int = BLOCK, wanted: DataFrame | None = None) -> DataFrame:
     """Plug-in mutual information in nats (mi) and with Miller-Madow entropies (mi_mm)."""
-    return block_pairs(bins, "bin", _mi, {"mi": "double", "mi_mm": "double"}, block)
+    return block_pairs(bins, "bin", _mi, {"mi": "double", "mi_mm": "double"}, block, wanted=wanted)
 
 
 def _pearson(a: np.ndarray, b: np.ndarray) -> dict[str, np.ndarray]:
@@ -78,21 +92,22 @@ def _pearson(a: np.ndarray, b: np.ndarray) -> dict[str, np.ndarray]:
     return {"r": np.clip(out[0] @ out[1].T, -1, 1)}
 
 
-def correlation(x: DataFrame, method: str = "pearson", block: int = BLOCK) -> DataFrame:
-    """Correlation of every pair; 0 for constant genes."""
+def correlation(x: DataFrame, method: str = "pearson", block: int = BLOCK, above: float | None = None) -> DataFrame:
+    """Correlation of every pair, 0 for constant genes; with `above`, of those with a larger |r|."""
+    only = None if above is None else (lambda found: np.abs(found["r"]) > above)
     if method == "spearman":
         from weftnet.operators.prep import average_ranks
 
-        return block_pairs(average_ranks(x), "rank", _pearson, {"r": "double"}, block)
-    return block_pairs(x, "x", _pearson, {"r": "double"}, block)
+        return block_pairs(average_ranks(x), "rank", _pearson, {"r": "double"}, block, only)
+    return block_pairs(x, "x", _pearson, {"r": "double"}, block, only)
 
 
 def prescreen(x: DataFrame, method: str = "pearson", threshold: float = 0.3, most: int | None = None) -> DataFrame:
     """Pairs with |r| above the threshold; per study at most `most` of the largest."""
-    kept = correlation(x, method).withColumn("r_abs", F.abs("r")).where(F.col("r_abs") > threshold)
+    kept = correlation(x, method, above=threshold).withColumn("r_abs", F.abs("r"))
     if most:
-        by = Window.partitionBy("study").orderBy(F.round("r_abs", 9).desc(), "gene_a", "gene_b")
-        kept = kept.withColumn("nth", F.row_number().over(by)).where(F.col("nth") <= most).drop("nth")
+        kept = cut(kept.withColumn("place", F.round("r_abs", 9)))
+        kept = ranks.largest(kept, "place", most, ("gene_a", "gene_b")).drop("place")
     return kept
 
 
@@ -114,8 +129,8 @@ def clr(pairs: DataFrame, col: str = "mi") -> DataFrame:
 
 def above_percentile(pairs: DataFrame, col: str, share: float = 0.95) -> DataFrame:
     """Pairs at or above a percentile of their study."""
-    cut = pairs.groupBy("study").agg(F.percentile(col, share).alias("cut"))
-    return pairs.join(cut, "study").where(F.col(col) >= F.col("cut"))
+    pairs = cut(pairs)  # scored once, read by each step of the percentile
+    return pairs.join(ranks.percentile(pairs, col, share), "study").where(F.col(col) >= F.col("cut"))
 
 
 def sparsify(pairs: DataFrame, col: str, share: float = 0.95) -> DataFrame:
@@ -123,8 +138,8 @@ def sparsify(pairs: DataFrame, col: str, share: float = 0.95) -> DataFrame:
     both = pairs.select("study", F.col("gene_a").alias("gene"), F.col("gene_b").alias("other"), col).union(pairs.select("study", F.col("gene_b").alias("gene"), F.col("gene_a").alias("other"), col))
     own = both.select("study", "gene").distinct().select("study", "gene", F.col("gene").alias("other"), F.lit(0.0).alias(col))
     whole = both.union(own)
-    cut = whole.groupBy("study", "gene").agg(F.percentile(col, share).alias("cut"))
-    return whole.join(cut, ["study", "gene"]).select("study", "gene", "other", F.when(F.col(col) >= F.col("cut"), F.col(col)).otherwise(0.0).alias("value"))
+    own_cut = whole.groupBy("study", "gene").agg(F.percentile(col, share).alias("cut"))  # of one gene's row
+    return whole.join(own_cut, ["study", "gene"]).select("study", "gene", "other", F.when(F.col(col) >= F.col("cut"), F.col(col)).otherwise(0.0).alias("value"))
 
 
 def _neural(width: int, epochs: int, rate: float, seed: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
@@ -140,6 +155,10 @@ def _neural(width: int, epochs: int, rate: float, seed: int) -> Callable[[Iterat
             m, v = [np.zeros_like(q) for q in w + c], [np.zeros_like(q) for q in w + c]
             ema = np.ones((p, 1))
 
+            def shuffled(values: np.ndarray) -> np.ndarray:
+                """Every pair's values in an order of its own."""
+                return np.take_along_axis(values, rng.random(values.shape).argsort(1), 1)
+
             def forward(z: np.ndarray) -> list[np.ndarray]:
                 out = [z]
                 for k in range(3):
@@ -158,19 +177,21 @@ def _neural(width: int, epochs: int, rate: float, seed: int) -> Callable[[Iterat
 
             for step in range(1, epochs + 1):
                 joint = forward(np.stack([x, y], 2))
-                apart = forward(np.stack([x, y[:, rng.permutation(n)]], 2))
+                apart = forward(np.stack([x, shuffled(y)], 2))
                 e = np.exp(np.clip(apart[-1][..., 0], -20, 20))
                 ema = e.mean(1, keepdims=True) if step == 1 else 0.99 * ema + 0.01 * e.mean(1, keepdims=True)
                 up = backward(joint, np.full((p, n, 1), -1 / n))
                 down = backward(apart, (e / n / np.maximum(ema, 1e-6))[..., None])
-                for k, g in enumerate(a + b for a, b in zip(up, down, strict=True)):
-                    g = np.clip(g, -1, 1)
+                grads = [a + b for a, b in zip(up, down, strict=True)]
+                norm = np.sqrt(sum((g**2).sum((1, 2), keepdims=True) for g in grads))  # of each pair's whole gradient
+                for k, g in enumerate(grads):
+                    g = g * np.minimum(1, 1 / np.maximum(norm, 1e-12))
                     m[k] = 0.9 * m[k] + 0.1 * g
                     v[k] = 0.999 * v[k] + 0.001 * g**2
                     q = w[k] if k < 3 else c[k - 3]
                     q -= rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-8)
             t = forward(np.stack([x, y], 2))[-1][..., 0].mean(1)
-            bounds = [t - np.log(np.exp(np.clip(forward(np.stack([x, y[:, rng.permutation(n)]], 2))[-1][..., 0], -20, 20)).mean(1)) for _ in range(5)]
+            bounds = [t - np.log(np.exp(np.clip(forward(np.stack([x, shuffled(y)], 2))[-1][..., 0], -20, 20)).mean(1)) for _ in range(5)]
             yield rows[["study", "gene_a", "gene_b"]].assign(mi=np.maximum(0, np.mean(bounds, 0)))
 
     return run
@@ -201,7 +222,7 @@ def regulator_importance(x: DataFrame, rounds: int = 50, rate: float = 0.1, seed
     Each target is one group; the regulators' matrix of its study comes along once per block of targets.
     """
     vec = x.groupBy("study", "gene").agg(F.sort_array(F.collect_list(F.struct("run", "x"))).alias("s")).select("study", "gene", F.col("s.x").alias("v"))
-    per = vec.groupBy("study").agg(F.ceil(F.count("*") / 64).cast("int").alias("blocks"))
+    per = vec.groupBy("study").agg(F.least(F.lit(128), F.ceil(F.count("*") / 64)).cast("int").alias("blocks"))  # copies of a study's matrix
     cells = vec.join(per, "study").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("mine", F.pmod(F.hash("gene"), F.col("blocks")) == F.col("block"))
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:

@@ -13,9 +13,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftnet.functions.ranks import place
+from weftnet.functions.scratch import cut
+
 #: Values that are compared are rounded to this many places first: the last bits of sums must not decide ties.
 PLACES = 9
-#: Null values that may be broadcast; beyond, a window counts them.
+#: Distinct null values that may be broadcast; beyond, bins of values count them.
 MOST_BROADCAST = 5_000_000
 
 
@@ -85,35 +88,42 @@ def pair_null(bins: DataFrame, pairs: DataFrame, n: int, seed: int = 42) -> Data
             if out:
                 yield pd.concat(out)
 
-    return rows.repartition("study", "gene_a").mapInPandas(run, f"study {study}, gene_a string, gene_b string, perm int, mi double")
+    return rows.repartition("study", "gene_a").sortWithinPartitions("study").mapInPandas(run, f"study {study}, gene_a string, gene_b string, perm int, mi double")
 
 
 def p_values(pairs: DataFrame, null: DataFrame) -> DataFrame:
     """Share of the study's null values at or above each score, which can be 0."""
-    null = null.select("study", F.round("mi", PLACES).alias("mi"))
+    null = cut(null.groupBy("study", F.round("mi", PLACES).alias("mi_r")).agg(F.count("*").alias("n")))
     seen = pairs.withColumn("mi_r", F.round("mi", PLACES))
     if null.count() <= MOST_BROADCAST:
-        rows = null.collect()  # at most MOST_BROADCAST values
-        by: dict = {}
-        for r in rows:
-            by.setdefault(r["study"], []).append(r["mi"])
-        shared = null.sparkSession.sparkContext.broadcast({s: np.sort(v) for s, v in by.items()})
+        rows = null.toPandas()  # at most MOST_BROADCAST values
+        by = {}
+        for s, part in rows.groupby("study"):
+            part = part.sort_values("mi_r")
+            by[s] = part["mi_r"].to_numpy(), np.append(part["n"].to_numpy()[::-1].cumsum()[::-1], 0)
+        shared = null.sparkSession.sparkContext.broadcast(by)
 
         @F.pandas_udf("double")
         def share(study: pd.Series, mi: pd.Series) -> pd.Series:
             out = np.full(len(mi), np.nan)
             for s, at in study.groupby(study).groups.items():
-                v = shared.value.get(s)
-                if v is not None:
+                if s in shared.value:
+                    v, above = shared.value[s]
                     k = study.index.get_indexer(at)
-                    out[k] = (len(v) - np.searchsorted(v, mi.to_numpy()[k], side="left")) / len(v)
+                    out[k] = above[np.searchsorted(v, mi.to_numpy()[k], side="left")] / above[0]
             return pd.Series(out)
 
         return seen.withColumn("p_value", F.nanvl(share("study", "mi_r"), F.lit(None).cast("double"))).drop("mi_r")
-    both = seen.select("study", "mi_r", F.lit(0).alias("is_null")).distinct().union(null.select("study", F.col("mi").alias("mi_r"), F.lit(1)))
-    at_least = Window.partitionBy("study").orderBy(F.col("mi_r").desc()).rangeBetween(Window.unboundedPreceding, 0)
-    counted = both.withColumn("p_value", F.sum("is_null").over(at_least) / F.sum("is_null").over(Window.partitionBy("study"))).where("is_null = 0").drop("is_null")
-    return seen.join(counted, ["study", "mi_r"]).drop("mi_r")
+    # equal bins between the null's extremes: higher bins count whole, a value's own bin value by value
+    ends = null.groupBy("study").agg(F.min("mi_r").alias("lo"), F.max("mi_r").alias("hi"), F.sum("n").alias("all"))
+    values = seen.select("study", "mi_r").distinct().withColumn("n", F.lit(0).cast("long")).union(null.select("study", "mi_r", "n"))
+    inner = F.least(F.greatest("mi_r", "lo"), F.col("hi"))
+    binned = values.join(ends, "study").withColumn("bin", place(inner, F.col("lo"), F.col("hi")))
+    higher = F.sum("n").over(Window.partitionBy("study").orderBy(F.col("bin").desc())) - F.col("n")
+    bins = binned.groupBy("study", "bin").agg(F.sum("n").alias("n")).select("study", "bin", higher.alias("higher"))
+    own = F.sum("n").over(Window.partitionBy("study", "bin").orderBy(F.col("mi_r").desc()).rangeBetween(Window.unboundedPreceding, 0))
+    counted = binned.withColumn("own", own).join(bins, ["study", "bin"]).select("study", "mi_r", ((F.col("own") + F.col("higher")) / F.col("all")).alias("p_value")).distinct()
+    return seen.join(counted, ["study", "mi_r"], "left").drop("mi_r")
 
 
 def p_values_per_pair(pairs: DataFrame, null: DataFrame) -> DataFrame:
@@ -142,19 +152,42 @@ def significant(pairs: DataFrame, p: float = 0.001) -> DataFrame:
     return pairs.where(F.col("p_value") < p)
 
 
-def bh_adjusted(tests: DataFrame, by: tuple[str, ...] = (), p: str = "p_value", ties: tuple[str, ...] = ()) -> DataFrame:
-    """Benjamini-Hochberg p-values, monotone: min(1, least p m / rank from the end)."""
-    group = Window.partitionBy(*by)
-    ranked = tests.withColumn("rank", F.row_number().over(group.orderBy(p, *ties))).withColumn("m", F.count("*").over(group))
-    down = group.orderBy(F.col("rank").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    return ranked.withColumn("p_adjusted", F.least(F.lit(1.0), F.min(F.col(p) * F.col("m") / F.col("rank")).over(down))).drop("rank", "m")
+def _ranked(tests: DataFrame, by: tuple[str, ...], p: str) -> DataFrame:
+    """(by, p, n, rank, m, bin): each distinct p with its rows, the rank of the last of them, and all rows.
+
+    Bins of the logarithm of p are counted first, so a window spans the bins of a group or one bin.
+    """
+    bin_ = F.when(F.col(p) > 0, F.least(F.lit(4096), F.floor(-4 * F.log2(F.col(p))))).otherwise(F.lit(4097)).cast("int")  # falls as p rises
+    d = cut(tests.where(F.col(p).isNotNull()).groupBy(*by, F.col(p).cast("double").alias(p)).agg(F.count("*").alias("n")).withColumn("bin", bin_))
+    of = Window.partitionBy(*by)
+    bins = d.groupBy(*by, "bin").agg(F.sum("n").alias("in_bin"))
+    bins = bins.select(*by, "bin", (F.sum("in_bin").over(of.orderBy(F.col("bin").desc())) - F.col("in_bin")).alias("before"), F.sum("in_bin").over(of).alias("m"))
+    rank = F.col("before") + F.sum("n").over(Window.partitionBy(*by, "bin").orderBy(p))
+    return d.join(bins, [*by, "bin"]).select(*by, p, "n", rank.alias("rank"), "m", "bin")
+
+
+def bh_adjusted(tests: DataFrame, by: tuple[str, ...] = (), p: str = "p_value") -> DataFrame:
+    """Benjamini-Hochberg p-values, monotone: min(1, least p m / rank from the end); null without a p-value.
+
+    Of equal p-values the last rank decides, so only distinct ones are ranked.
+    """
+    d = _ranked(tests, by, p).withColumn("q", F.col(p) * F.col("m") / F.col("rank"))
+    later = F.min("least").over(Window.partitionBy(*by).orderBy("bin").rowsBetween(Window.unboundedPreceding, -1))  # bins of larger p
+    bins = d.groupBy(*by, "bin").agg(F.min("q").alias("least")).select(*by, "bin", later.alias("later"))
+    own = F.min("q").over(Window.partitionBy(*by, "bin").orderBy(F.col(p).desc()))
+    adjusted = d.withColumn("own", own).join(bins, [*by, "bin"]).select(*by, p, F.least(F.lit(1.0), "own", "later").alias("p_adjusted"))
+    return tests.join(adjusted, [*by, p], "left").select(*tests.columns, "p_adjusted")
 
 
 def bh_edges(pairs: DataFrame, alpha: float = 0.05) -> DataFrame:
-    """Edges up to the largest p with p <= rank / m * alpha; p_adjusted = min(1, p m / rank among those)."""
-    by = Window.partitionBy("study")
-    order = by.orderBy("p_value", "gene_a", "gene_b")
-    ranked = pairs.withColumn("rank", F.row_number().over(order)).withColumn("m", F.count("*").over(by))
-    ranked = ranked.withColumn("cutoff", F.max(F.when(F.col("p_value") <= F.col("rank") / F.col("m") * alpha, F.col("p_value"))).over(by))
-    kept = ranked.where(F.col("p_value") <= F.col("cutoff"))
-    return kept.select("study", "gene_a", "gene_b", "mi", "p_value", F.least(F.lit(1.0), F.col("p_value") * F.col("m") / F.col("rank")).alias("p_adjusted"))
+    """Edges up to the largest p with p <= rank / m * alpha; p_adjusted = min(1, p m / rank among those).
+
+    Ranks of equal p-values follow the names; a p-value of 0 needs none.
+    """
+    d = _ranked(pairs, ("study",), "p_value")
+    cutoff = d.where(F.col("p_value") <= F.col("rank") / F.col("m") * alpha).groupBy("study").agg(F.max("p_value").alias("cutoff"))
+    d = d.join(cutoff, "study").where("p_value <= cutoff").select("study", "p_value", "m", (F.col("rank") - F.col("n")).alias("before"))
+    kept = pairs.join(d, ["study", "p_value"])
+    out = lambda rows, adjusted: rows.select("study", "gene_a", "gene_b", "mi", "p_value", adjusted.alias("p_adjusted"))
+    rank = F.col("before") + F.row_number().over(Window.partitionBy("study", "p_value").orderBy("gene_a", "gene_b"))
+    return out(kept.where("p_value = 0"), F.lit(0.0)).union(out(kept.where("p_value > 0"), F.least(F.lit(1.0), F.col("p_value") * F.col("m") / rank)))

@@ -12,7 +12,7 @@ PARTS = {
     "counts": "SELECT l_partkey AS gene, l_suppkey AS run, sum(l_quantity) AS count FROM lineitem GROUP BY 1, 2",
     "meta": "SELECT s_suppkey AS run, n_name AS project FROM supplier JOIN nation ON s_nationkey = n_nationkey",
     "sets": "SELECT 'brands' AS library, p_brand AS set_name, p_partkey AS gene FROM part UNION ALL SELECT 'types', p_type, p_partkey FROM part UNION ALL SELECT 'sizes', 'size ' || p_size, p_partkey FROM part",
-    "mods": "SELECT DISTINCT l_suppkey AS module, l_partkey AS gene FROM lineitem WHERE l_suppkey <= 30 AND l_quantity >= 25",
+    "mods": "SELECT DISTINCT l_suppkey AS module, l_partkey AS gene FROM lineitem WHERE l_quantity >= 25",
     "libs": "SELECT run, sum(count) AS lib_size FROM counts GROUP BY run",
     "rle_genes": "SELECT gene, avg(ln(count)) AS log_mean FROM counts WHERE count > 0 GROUP BY gene HAVING count(*) = (SELECT count(DISTINCT run) FROM dense)",
     "dense": "SELECT gene % 40 AS gene, run % 25 AS run, sum(count) AS count FROM counts GROUP BY 1, 2",
@@ -34,6 +34,7 @@ PARTS = {
     "clr": "SELECT mi.study, gene_a, gene_b, mi, sqrt(((mi - a.mean) / a.sd) ** 2 + ((mi - b.mean) / b.sd) ** 2) / sqrt(2) AS clr FROM mi JOIN mi_stat a ON a.study = mi.study AND a.gene = gene_a JOIN mi_stat b ON b.study = mi.study AND b.gene = gene_b",
     "gsize": "SELECT study, count(DISTINCT gene) AS g FROM expr GROUP BY 1",
     "trials": f"SELECT study, perm, i, (i + 1 + p % (g - 1)) % g AS j FROM (SELECT study, perm, g, ('0x' || substr(md5('{SEED}|' || study || '|' || perm || '|i'), 1, 8))::BIGINT % g AS i, ('0x' || substr(md5('{SEED}|' || study || '|' || perm || '|j'), 1, 8))::BIGINT AS p FROM gsize, (SELECT unnest(range(0, {PERMS})) AS perm))",
+    "self_trials": f"SELECT study, perm, ('0x' || substr(md5('{SEED}|' || study || '|' || perm || '|i'), 1, 8))::BIGINT % g AS i, ('0x' || substr(md5('{SEED}|' || study || '|' || perm || '|j'), 1, 8))::BIGINT % g AS j FROM gsize, (SELECT unnest(range(0, {PERMS})) AS perm)",
     "vals": "SELECT study, run, bin, dense_rank() OVER (PARTITION BY study ORDER BY gene) - 1 AS ord, dense_rank() OVER (PARTITION BY study ORDER BY run) AS place FROM bins",
     "runs": "SELECT DISTINCT study, run FROM bins",
     "mixed": f"SELECT study, perm, run, row_number() OVER (PARTITION BY study, perm ORDER BY md5('{SEED}|' || study || '|' || perm || '|' || run), run) AS place FROM runs, (SELECT unnest(range(0, {PERMS})) AS perm)",
@@ -42,13 +43,20 @@ PARTS = {
     "cells": "SELECT r.study, r.perm, r.bi, b.bin AS bj, count(*) AS c FROM run_of r JOIN vals b ON b.study = r.study AND b.ord = r.j AND b.run = r.run GROUP BY ALL",
     "cells_n": "SELECT *, sum(c) OVER (PARTITION BY study, perm) AS n, sum(c) OVER (PARTITION BY study, perm, bi) AS ci, sum(c) OVER (PARTITION BY study, perm, bj) AS cj FROM cells",
     "null_mi": "SELECT study, perm, sum(c / n * ln(c * n / (ci * cj))) AS mi FROM cells_n GROUP BY 1, 2",
+    "self_first": "SELECT t.study, t.perm, t.j, a.place, a.bin AS bi FROM self_trials t JOIN vals a ON a.study = t.study AND a.ord = t.i",
+    "self_cells": "SELECT f.study, f.perm, f.bi, b.bin AS bj, count(*) AS c FROM self_first f JOIN mixed m ON m.study = f.study AND m.perm = f.perm AND m.place = f.place JOIN vals b ON b.study = f.study AND b.ord = f.j AND b.run = m.run GROUP BY ALL",
+    "self_null": "SELECT study, perm, sum(c / n * ln(c * n / (ci * cj))) AS mi FROM (SELECT *, sum(c) OVER (PARTITION BY study, perm) AS n, sum(c) OVER (PARTITION BY study, perm, bi) AS ci, sum(c) OVER (PARTITION BY study, perm, bj) AS cj FROM self_cells) GROUP BY 1, 2",
     "sig_all": f"SELECT mi.study, gene_a, gene_b, mi.mi, (SELECT count(*) FROM null_mi u WHERE u.study = mi.study AND round(u.mi, 9) >= round(mi.mi, 9)) / {PERMS} AS p_value FROM mi",
     "sig": f"SELECT * FROM sig_all WHERE p_value < {P}",
     "cons": "SELECT gene_a, gene_b, count(DISTINCT study) AS n_studies, avg(mi) AS mean_mi, avg(-log10(p_value + 1e-12)) AS mean_nlp FROM sig GROUP BY 1, 2 HAVING count(DISTINCT study) >= 2",
     "adj": "SELECT gene_a AS v, gene_b AS u FROM cons UNION SELECT gene_b, gene_a FROM cons",
     "deg": "SELECT v, count(*) AS degree FROM adj GROUP BY 1",
     "tri": "SELECT v, count(*) AS triangles FROM (SELECT unnest([x.gene_a, x.gene_b, y.gene_b]) AS v FROM cons x JOIN cons y ON x.gene_b = y.gene_a JOIN cons z ON z.gene_a = x.gene_a AND z.gene_b = y.gene_b) GROUP BY 1",
-    "top_parts": "SELECT a.l_partkey AS a, b.l_partkey AS b FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_partkey < b.l_partkey WHERE a.l_orderkey % 40 = 0 GROUP BY 1, 2",
+    "cons_reach": "SELECT v, v AS c FROM adj UNION SELECT adj.u, cons_reach.c FROM cons_reach JOIN adj ON adj.v = cons_reach.v WHERE cons_reach.c < adj.u",
+    "cons_comp": "SELECT v, min(c) AS component FROM cons_reach GROUP BY v",
+    "near_edges": "SELECT a.s_suppkey AS a, b.s_suppkey AS b FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey AND a.s_suppkey < b.s_suppkey WHERE (a.s_suppkey * 7 + b.s_suppkey * 3) % (2 + a.s_nationkey % 4) > 0 OR a.s_nationkey % 4 = 3 UNION SELECT s_suppkey, s_suppkey + 1 FROM supplier WHERE s_suppkey % 5 = 0 AND s_suppkey + 1 IN (SELECT s_suppkey FROM supplier)",
+    "near_adj": "SELECT a AS v, b AS u FROM near_edges UNION SELECT b, a FROM near_edges",
+    "top_parts": "SELECT a.l_partkey AS a, b.l_partkey AS b FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_partkey < b.l_partkey GROUP BY 1, 2",
     "bg": "SELECT DISTINCT gene FROM mods",
     "mod_n": "SELECT module, gene, count(*) OVER (PARTITION BY module) AS n_module FROM mods",
     "set_n": "SELECT set_name, gene, count(*) OVER (PARTITION BY set_name) AS n_set FROM (SELECT DISTINCT set_name, gene FROM sets JOIN bg USING (gene))",
@@ -57,6 +65,31 @@ PARTS = {
     "ranked_p": "SELECT *, row_number() OVER (ORDER BY p_value, module, set_name) AS rk, count(*) OVER () AS m FROM tested",
     "annotated": "SELECT *, least(1, min(p_value * m / rk) OVER (ORDER BY rk DESC ROWS UNBOUNDED PRECEDING)) AS p_adjusted FROM ranked_p",
 }
+#: Rounds of h-indices in SQL; core levels of the registered graphs are settled by then.
+ROUNDS = 24
+
+
+def core_sql(adj: str, out: str) -> dict[str, str]:
+    """Named parts: core levels as h-indices of neighbours' levels, round by round."""
+    parts = {f"{out}_0": f"SELECT v, count(*) AS core FROM {adj} GROUP BY 1"}
+    for k in range(1, ROUNDS + 1):
+        parts[f"{out}_{k}"] = f"SELECT v, max(least(c, rk)) AS core FROM (SELECT e.v, l.core AS c, row_number() OVER (PARTITION BY e.v ORDER BY l.core DESC) AS rk FROM {adj} e JOIN {out}_{k - 1} l ON l.v = e.u) GROUP BY 1"
+    return parts | {out: f"SELECT * FROM {out}_{ROUNDS}"}
+
+
+PARTS |= core_sql("adj", "cons_core") | core_sql("near_adj", "near_core")
+PARTS |= {
+    "near_deg": "SELECT v, count(*) AS degree FROM near_adj GROUP BY 1",
+    "near_tri": "SELECT x.v, count(*) AS triangles FROM near_adj x JOIN near_adj y ON y.v = x.v AND x.u < y.u JOIN near_adj z ON z.v = x.u AND z.u = y.u GROUP BY 1",
+    "near_weight": "SELECT v, core * (degree + coalesce(triangles, 0)) / (degree * (degree + 1) / 2) AS weight FROM near_core JOIN near_deg USING (v) LEFT JOIN near_tri USING (v)",
+    "near_kept": "SELECT v, weight FROM near_weight WHERE weight >= 0.2 * (SELECT max(weight) FROM near_weight)",
+    "kept_adj": "SELECT e.v, e.u FROM near_adj e JOIN near_kept x ON x.v = e.v JOIN near_kept y ON y.v = e.u",
+    "kept_reach": "SELECT v, v AS c FROM kept_adj UNION SELECT kept_adj.u, kept_reach.c FROM kept_reach JOIN kept_adj ON kept_adj.v = kept_reach.v WHERE kept_reach.c < kept_adj.u",
+    "kept_comp": "SELECT v, min(c) AS component FROM kept_reach GROUP BY v",
+    "kept_good": "SELECT component, max(weight) AS top FROM kept_comp JOIN near_kept USING (v) GROUP BY 1 HAVING count(*) >= 3 AND (SELECT count(*) / 2 FROM kept_adj e JOIN kept_comp k ON k.v = e.v WHERE k.component = kept_comp.component) / (count(*) * (count(*) - 1) / 2) >= 0.3",
+    "kept_ids": "SELECT component, row_number() OVER (ORDER BY round(top, 9) DESC, component) - 1 AS module FROM kept_good",
+}
+
 ORDER = list(PARTS)
 
 

@@ -7,7 +7,7 @@ import json
 import time
 from dataclasses import asdict, dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftnet.functions.scratch import cut
@@ -86,19 +86,29 @@ def prepared(expression: DataFrame, metadata: DataFrame, s: Settings, excluded:
     return prep.studies(x, metadata, s.least_samples).select("study", "gene", "run", "x")
 
 
+def content(x: DataFrame) -> str:
+    """A fingerprint of expression values: rows, and the exclusive or of their hashes."""
+    r = x.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("study", "gene", "run", "x")).alias("h")).first()
+    return f"{r['n']}-{r['h']}"
+
+
 def scored(x: DataFrame, s: Settings, cache: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """(pairs with mi and p_value, null) of every study; scores come from the cache if it fits the settings."""
+    """(pairs with mi and p_value, null) of every study; scores come from the cache if it fits settings and input.
+
+    With a prescreen only its candidates are scored.
+    """
     bins = cut(prep.quantile_bins(x, s.bins))
     spark = x.sparkSession
-    found = readers.cached(spark, cache, s.fingerprint()) if cache else None
+    made = f"{s.fingerprint()}-{content(x)}" if cache else ""
+    found = readers.cached(spark, cache, made) if cache else None
     if found is None:
-        found = pairs.mutual_information(bins).drop("mi_mm")
+        keep = None
         if s.prescreen.method:
-            keep = pairs.prescreen(x, s.prescreen.method, s.prescreen.threshold, s.prescreen.most_pairs)
-            found = found.join(keep.select("study", "gene_a", "gene_b"), ["study", "gene_a", "gene_b"], "left_semi")
+            keep = cut(pairs.prescreen(x, s.prescreen.method, s.prescreen.threshold, s.prescreen.most_pairs).select("study", "gene_a", "gene_b"))
+        found = pairs.mutual_information(bins, wanted=keep).drop("mi_mm")
         if cache:
-            writers.cache(found, cache, s.fingerprint())
-            found = readers.cached(spark, cache, s.fingerprint())
+            writers.cache(found, cache, made)
+            found = readers.cached(spark, cache, made)
         else:
             found = cut(found)
     if s.pair_permutations:
@@ -162,17 +172,20 @@ def likelihood_network(expression: DataFrame, bins: int = 5, share: float = 0.95
     return edges, community.communities(net, method)
 
 
-def save(result: Result, path: str, sets: DataFrame | None = None) -> None:
-    """Every table of a run below one folder."""
+def save(result: Result, path: str, about: DataFrame | None = None) -> None:
+    """Every table of a run below one folder; about(gene, ...) has metadata of genes for the annotated tables."""
+    ends = result.master.select(F.explode(F.array("gene_a", "gene_b")).alias("gene")).distinct()
+    genes = ends.withColumn("ord", F.row_number().over(Window.orderBy("gene")))  # genes of a network: tens of thousands
     writers.tsv(result.edges.orderBy("p_value"), f"{path}/edges", by="study")
     writers.tsv(result.stats.orderBy("graph"), f"{path}/study_net_stats")
-    writers.tsv(result.master, f"{path}/master_edges")
+    writers.master(result.master, cut(genes), path)
     writers.graphml(result.master, f"{path}/master_graphml", weight="edge_weight")
-    writers.module_table(result.modules, f"{path}/master_modules")
+    writers.module_graphs(result.master, result.modules, f"{path}/module_graphml")
+    writers.node_tables(result.modules, path, about)
     if result.bh is not None:
         writers.tsv(result.bh, f"{path}/edges_bh_fdr", by="study")
     if result.parents is not None:
-        writers.tsv(result.parents, f"{path}/module_parent_child_mapping")
+        writers.tsv(result.parents.orderBy("parent_module", "child_module"), f"{path}/module_parent_child_mapping")
     if result.annotation is not None:
         writers.enrichment(result.annotation, f"{path}/enrichment")
         writers.tsv(enrich.top_hits(result.annotation), f"{path}/enrichment_top5")

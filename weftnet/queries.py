@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weftnet import stand_in as t
 from weftnet.operators import community, consensus, enrich, graph, normalise, pairs, prep, qc, significance
 from weftnet.oracles import PAIR_PERMS, PERMS, SEED, P, with_parts
+from weftnet.sources import readers, writers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -128,9 +129,9 @@ def mad_topk(spark, d):
     return prep.top_by_mad(t.expression(spark, d), 20).select("gene", r6("mad"))
 
 
-@query("quantile_bins", "SELECT study, gene, bin, count(*) AS n FROM bins GROUP BY 1, 2, 3")
+@query("quantile_bins", "SELECT study, gene, run, bin::INTEGER AS bin FROM bins")
 def quantile_bins(spark, d):
-    return prep.quantile_bins(t.expression(spark, d)).groupBy("study", "gene", "bin").agg(F.count("*").alias("n"))
+    return prep.quantile_bins(t.expression(spark, d))
 
 
 # ------------------------------------------------------------------ pairs
@@ -172,9 +173,9 @@ def prescreen_cap(spark, d):
     return pairs.prescreen(t.expression(spark, d), "pearson", 0.1, 50).select(*EDGE, r6("r_abs"))
 
 
-@query("all_pairs", "SELECT study, count(*) AS n_pairs FROM mi GROUP BY study")
+@query("all_pairs", "SELECT a.study, a.gene AS gene_a, b.gene AS gene_b FROM (SELECT DISTINCT study, gene FROM expr) a JOIN (SELECT DISTINCT study, gene FROM expr) b ON a.study = b.study AND a.gene < b.gene")
 def all_pairs(spark, d):
-    return pairs.all_pairs(t.expression(spark, d).select("study", "gene").distinct()).groupBy("study").agg(F.count("*").alias("n_pairs"))
+    return pairs.all_pairs(t.expression(spark, d).select("study", "gene").distinct()).select(*EDGE)
 
 
 @query("clr", "SELECT study, gene_a, gene_b, round(clr, 6) AS clr FROM clr")
@@ -225,14 +226,14 @@ def perm_null(spark, d):
     return _null(spark, d).select("study", "perm", r6("mi"))
 
 
-@query("perm_null_self_pairs")
+@query("perm_null_self_pairs", "SELECT study, perm, round(mi, 6) + 0.0 AS mi FROM self_null")
 def perm_null_self_pairs(spark, d):
     return significance.global_null(_bins(spark, d), PERMS, SEED, self_pairs=True).select("study", "perm", r6("mi"))
 
 
-@query("null_summary", "SELECT study, count(*) AS n, round(avg(mi), 6) AS mean, round(stddev_pop(mi), 6) AS std, round(min(mi), 6) AS min, round(max(mi), 6) AS max, round(quantile_cont(mi, 0.99), 6) AS p99 FROM null_mi GROUP BY study")
+@query("null_summary", "SELECT study, count(*) AS n, round(avg(mi), 6) AS mean, round(stddev_pop(mi), 6) AS std, round(min(mi), 6) AS min, round(max(mi), 6) AS max, round(quantile_cont(mi, 0.95), 6) AS threshold, round(quantile_cont(mi, 0.95), 6) AS p95, round(quantile_cont(mi, 0.99), 6) AS p99, round(quantile_cont(mi, 0.999), 6) AS p999 FROM null_mi GROUP BY study")
 def null_summary(spark, d):
-    return significance.threshold_at(_null(spark, d), P).select("study", "n", *(r6(c) for c in ("mean", "std", "min", "max", "p99")))
+    return significance.threshold_at(_null(spark, d), P).select("study", "n", *(r6(c) for c in ("mean", "std", "min", "max", "threshold", "p95", "p99", "p999")))
 
 
 @query("null_histogram", "SELECT study, least(19, floor((m - lo) / (hi - lo) * 20))::INTEGER AS bin, count(*) AS n FROM (SELECT study, round(mi, 9) AS m, min(round(mi, 9)) OVER (PARTITION BY study) AS lo, max(round(mi, 9)) OVER (PARTITION BY study) AS hi FROM null_mi) GROUP BY 1, 2")
@@ -245,7 +246,7 @@ def pvalue_global(spark, d):
     return _tested(spark, d).select(*EDGE, r6("p_value"))
 
 
-_PAIR_SQL = f"""pr AS (SELECT study, gene_a, gene_b, mi FROM mi QUALIFY row_number() OVER (PARTITION BY study ORDER BY round(mi, 9) DESC, gene_a, gene_b) <= 5),
+_PAIR_SQL = f"""pr AS (SELECT study, gene_a, gene_b, mi FROM mi),
   mx AS (SELECT study, perm, run, row_number() OVER (PARTITION BY study, perm ORDER BY md5('{SEED}|' || study || '|' || perm || '|' || run), run) AS place FROM (SELECT DISTINCT study, run FROM bins), (SELECT unnest(range(0, {PAIR_PERMS})) AS perm)),
   pl AS (SELECT study, gene, run, bin, dense_rank() OVER (PARTITION BY study ORDER BY run) AS place FROM bins),
   c1 AS MATERIALIZED (SELECT pr.study, pr.gene_a, pr.gene_b, a.bin AS bi, a.place FROM pr JOIN pl a ON a.study = pr.study AND a.gene = pr.gene_a), c2 AS MATERIALIZED (SELECT c1.*, mx.perm, mx.run FROM c1 JOIN mx ON mx.study = c1.study AND mx.place = c1.place),
@@ -260,7 +261,7 @@ def pvalue_per_pair(spark, d):
     return significance.p_values_per_pair(scored, significance.pair_null(_bins(spark, d), scored, PAIR_PERMS, SEED)).select(*EDGE, r6("p_value"))
 
 
-PART_ORACLES["pvalue_per_pair"] = with_parts(
+ORACLES["pvalue_per_pair"] = with_parts(
     f"SELECT pr.study, pr.gene_a, pr.gene_b, round((1 + count(*) FILTER (round(pn.mi, 9) >= round(pr.mi, 9))) / (1 + count(*)), 6) AS p_value FROM mi JOIN bins ON false RIGHT JOIN pr ON false JOIN pn ON pn.study = pr.study AND pn.gene_a = pr.gene_a AND pn.gene_b = pr.gene_b GROUP BY 1, 2, 3"
 ).replace(" SELECT pr.study, pr.gene_a, pr.gene_b, round((1", f", {' '.join(_PAIR_SQL.split())} SELECT pr.study, pr.gene_a, pr.gene_b, round((1").replace("FROM mi JOIN bins ON false RIGHT JOIN pr ON false JOIN pn", "FROM pr JOIN pn")
 
@@ -272,7 +273,7 @@ def significant_edges(spark, d):
 
 @query("bh_adjusted", "SELECT study, gene_a, gene_b, round(least(1, min(p_value * m / rk) OVER (PARTITION BY study ORDER BY rk DESC ROWS UNBOUNDED PRECEDING)), 6) AS p_adjusted FROM (SELECT *, row_number() OVER (PARTITION BY study ORDER BY p_value, gene_a, gene_b) AS rk, count(*) OVER (PARTITION BY study) AS m FROM sig_all)")
 def bh_adjusted(spark, d):
-    return significance.bh_adjusted(_tested(spark, d), ("study",), "p_value", ("gene_a", "gene_b")).select(*EDGE, r6("p_adjusted"))
+    return significance.bh_adjusted(_tested(spark, d), ("study",)).select(*EDGE, r6("p_adjusted"))
 
 
 @query("bh_edges", """SELECT study, gene_a, gene_b, round(mi, 6) AS mi, round(p_value, 6) AS p_value, round(least(1, p_value * m / rk), 6) AS p_adjusted FROM (SELECT *, max(CASE WHEN p_value <= rk / m * 0.5 THEN p_value END) OVER (PARTITION BY study) AS cutoff
@@ -364,29 +365,46 @@ def components(spark, d):
 PART_ORACLES["components"] = PART_ORACLES["components"].replace(" SELECT v, component FROM (SELECT DISTINCT", ", e2 AS (SELECT a, b FROM top_parts UNION SELECT b, a FROM top_parts), reach AS (SELECT a AS v, a AS c FROM e2 UNION SELECT e2.b, reach.c FROM reach JOIN e2 ON e2.a = reach.v WHERE reach.c < e2.b) SELECT v, component FROM (SELECT DISTINCT", 1)
 
 
-@query("kcore")
+@query("kcore", "SELECT v AS gene, core FROM cons_core")
 def kcore(spark, d):
     return graph.coreness(_graph(spark, d)).select(F.col("v").alias("gene"), "core")
 
 
-@query("mcode_modules")
+def _near_suppliers(spark, d):
+    """Suppliers of a nation, more or less densely linked, and a few links between nations."""
+    p = t.table(spark, d, "supplier").select("s_suppkey", "s_nationkey")
+    a, b = p.withColumnRenamed("s_suppkey", "a"), p.withColumnRenamed("s_suppkey", "b")
+    linked = F.expr("(a * 7 + b * 3) % (2 + s_nationkey % 4) > 0 or s_nationkey % 4 = 3")
+    inside = a.join(b, "s_nationkey").where("a < b").where(linked).select("a", "b")
+    chain = p.where("s_suppkey % 5 = 0").select(F.col("s_suppkey").alias("a"), (F.col("s_suppkey") + 1).alias("b")).join(p.select(F.col("s_suppkey").alias("b")), "b", "left_semi").select("a", "b")
+    return inside.union(chain).distinct().select(F.lit(0).alias("graph"), "a", "b")
+
+
+@query("mcode_modules", "SELECT module, v AS supplier, round(weight, 6) AS weight FROM kept_comp JOIN kept_ids USING (component) JOIN near_kept USING (v)")
 def mcode_modules(spark, d):
-    return graph.mcode(_graph(spark, d)).select("module", F.col("v").alias("gene"), r6("weight"))
+    return graph.mcode(_near_suppliers(spark, d)).select(F.col("module").cast("long").alias("module"), F.col("v").alias("supplier"), r6("weight"))
 
 
-@query("membership_largest", "SELECT gene, module FROM (SELECT gene, module, count(*) OVER (PARTITION BY module) AS size FROM mods) QUALIFY row_number() OVER (PARTITION BY gene ORDER BY size DESC, module) = 1", part=True)
+@query("kcore_suppliers", "SELECT v AS supplier, core FROM near_core")
+def kcore_suppliers(spark, d):
+    return graph.coreness(_near_suppliers(spark, d)).select(F.col("v").alias("supplier"), "core")
+
+
+@query("membership_largest", "SELECT gene, module FROM (SELECT gene, module, count(*) OVER (PARTITION BY module) AS size FROM mods) QUALIFY row_number() OVER (PARTITION BY gene ORDER BY size DESC, module) = 1")
 def membership_largest(spark, d):
     m = t.modules(spark, d).select(F.lit(0).alias("graph"), "module", F.col("gene").alias("v"))
     return graph.membership(m).select(F.col("v").alias("gene"), "module")
 
 
-@query("topology", "SELECT 64 AS n_nodes, (SELECT count(*) FROM cons) AS n_edges, round((SELECT count(*) FROM cons) / (64 * 63 / 2), 6) AS density, 64 - (SELECT count(*) FROM deg) AS n_singletons")
+@query("topology", """SELECT 64 AS n_nodes, (SELECT count(*) FROM cons) AS n_edges, round((SELECT count(*) FROM cons) / (64 * 63 / 2), 6) AS density, 64 - (SELECT count(*) FROM deg) AS n_singletons,
+  (SELECT count(DISTINCT component) FROM cons_comp) + 64 - (SELECT count(*) FROM deg) AS n_components, coalesce((SELECT max(n) FROM (SELECT count(*) AS n FROM cons_comp GROUP BY component)), 1) AS giant_size,
+  round(coalesce((SELECT max(n) FROM (SELECT count(*) AS n FROM cons_comp GROUP BY component)), 1) / 64, 6) AS giant_fraction""")
 def topology(spark, d):
     genes = t.expression(spark, d).select(F.lit(0).alias("graph"), F.col("gene").alias("v")).distinct()
-    return graph.topology(_graph(spark, d), genes).select("n_nodes", "n_edges", r6("density"), "n_singletons")
+    return graph.topology(_graph(spark, d), genes).select("n_nodes", "n_edges", r6("density"), "n_singletons", "n_components", "giant_size", r6("giant_fraction"))
 
 
-@query("induced_subgraph", "SELECT a.module, count(*) AS n_edges FROM top_parts e JOIN mods a ON a.gene = e.a JOIN mods b ON b.gene = e.b AND b.module = a.module GROUP BY 1", part=True)
+@query("induced_subgraph", "SELECT a.module, count(*) AS n_edges FROM top_parts e JOIN mods a ON a.gene = e.a JOIN mods b ON b.gene = e.b AND b.module = a.module GROUP BY 1")
 def induced_subgraph(spark, d):
     m = t.modules(spark, d).select(F.lit(0).alias("graph"), "module", F.col("gene").alias("v"))
     return graph.induced(_ordered_together(spark, d), m).groupBy("module").agg(F.count("*").alias("n_edges"))
@@ -404,8 +422,10 @@ def leiden(spark, d):
 
 @query("refine_modules")
 def refine_modules(spark, d):
-    e = _graph(spark, d)
-    return community.refine_modules(community.communities(e, "leiden", 0.5), e, 8, "leiden")[0].select("module", F.col("v").alias("gene"))
+    """Connected suppliers split into their dense parts: parent and child sizes, which of them were split."""
+    e = _near_suppliers(spark, d)
+    whole = graph.components(e).select("graph", F.dense_rank().over(Window.partitionBy("graph").orderBy("component")).alias("module"), "v")
+    return community.refine_modules(whole, e, 8, "leiden")[1].drop("graph")
 
 
 @query("knn_edges", """SELECT DISTINCT study, least(v, u) AS gene_a, greatest(v, u) AS gene_b FROM (SELECT a.study, a.gene AS v, b.gene AS u, round(sqrt(sum((a.x - b.x) ** 2)), 9) AS dist
@@ -415,7 +435,7 @@ def knn_edges(spark, d):
     return graph.neighbours(x, 5)
 
 
-@query("parent_recolour", "SELECT DISTINCT module, CASE WHEN module % 3 = 1 THEN module - 1 ELSE module END AS parent_module FROM mods", part=True)
+@query("parent_recolour", "SELECT DISTINCT module, CASE WHEN module % 3 = 1 THEN module - 1 ELSE module END AS parent_module FROM mods")
 def parent_recolour(spark, d):
     m = t.modules(spark, d).select("module").distinct()
     table = m.where("module % 3 = 1").select((F.col("module") - 1).alias("parent_module"), F.col("module").alias("child_module"))
@@ -435,7 +455,7 @@ def library_manifest(spark, d):
     return enrich.manifest(t.gene_sets(spark, d))
 
 
-@query("module_sizes", "SELECT module, count(*) AS size FROM mods GROUP BY module", part=True)
+@query("module_sizes", "SELECT module, count(*) AS size FROM mods GROUP BY module")
 def module_sizes(spark, d):
     return t.modules(spark, d).groupBy("module").agg(F.count("*").alias("size"))
 
@@ -444,37 +464,37 @@ def _hits(spark, d, fdr=2.0):
     return enrich.annotate(t.modules(spark, d), t.gene_sets(spark, d), fdr=fdr)
 
 
-@query("enrichment", "SELECT module, set_name, n_module, n_set, overlap, genes, round(p_value, 6) AS p_value, round(p_adjusted, 6) AS p_adjusted FROM annotated", part=True)
+@query("enrichment", "SELECT module, set_name, n_module, n_set, overlap, genes, round(p_value, 6) AS p_value, round(p_adjusted, 6) AS p_adjusted FROM annotated")
 def enrichment(spark, d):
     return _hits(spark, d).select("module", "set_name", "n_module", "n_set", "overlap", "genes", r6("p_value"), r6("p_adjusted"))
 
 
-@query("enrichment_top5", "SELECT module, set_name, rank FROM (SELECT module, set_name, row_number() OVER (PARTITION BY module ORDER BY round(p_adjusted, 9), round(p_value, 9), set_name) AS rank FROM annotated) WHERE rank <= 5", part=True)
+@query("enrichment_top5", "SELECT module, set_name, rank FROM (SELECT module, set_name, row_number() OVER (PARTITION BY module ORDER BY round(p_adjusted, 9), round(p_value, 9), set_name) AS rank FROM annotated) WHERE rank <= 5")
 def enrichment_top5(spark, d):
     h = _hits(spark, d).withColumns({c: F.round(c, 9) for c in ("p_adjusted", "p_value")})
     return enrich.top_hits(h).select("module", "set_name", "rank")
 
 
-@query("hit_manifest", "SELECT library, count(DISTINCT set_name) AS n_sets, count(*) FILTER (module IS NOT NULL) AS n_hits, count(DISTINCT module) AS n_modules FROM (SELECT DISTINCT library, set_name FROM sets) LEFT JOIN (SELECT * FROM annotated WHERE p_adjusted < 0.999) USING (set_name) GROUP BY library", part=True)
+@query("hit_manifest", "SELECT library, count(DISTINCT set_name) AS n_sets, count(*) FILTER (module IS NOT NULL) AS n_hits, count(DISTINCT module) AS n_modules FROM (SELECT DISTINCT library, set_name FROM sets) LEFT JOIN (SELECT * FROM annotated WHERE p_adjusted < 0.999) USING (set_name) GROUP BY library")
 def hit_manifest(spark, d):
     s = t.gene_sets(spark, d)
     hits = enrich.with_library(_hits(spark, d, 0.999), s)
     return enrich.hit_manifest(hits, enrich.manifest(s)).select("library", "n_sets", "n_hits", "n_modules")
 
 
-@query("genes_in_terms", "SELECT module, set_name, string_agg(gene::VARCHAR, ';' ORDER BY gene::VARCHAR) AS genes FROM mods JOIN sets USING (gene) WHERE library = 'types' GROUP BY 1, 2", part=True)
+@query("genes_in_terms", "SELECT module, set_name, string_agg(gene::VARCHAR, ';' ORDER BY gene::VARCHAR) AS genes FROM mods JOIN sets USING (gene) WHERE library = 'types' GROUP BY 1, 2")
 def genes_in_terms(spark, d):
     return enrich.genes_in_terms(t.modules(spark, d), t.gene_sets(spark, d).where("library = 'types'"))
 
 
-@query("ortholog_map", "SELECT module, count(DISTINCT m.gene) AS n_source, count(DISTINCT CASE WHEN p_name <> '' THEN p.p_partkey END) AS n_mapped, count(DISTINCT p_name) AS n_target FROM mods m LEFT JOIN (SELECT * FROM part WHERE p_partkey % 3 > 0) p ON p.p_partkey = m.gene GROUP BY module", part=True)
+@query("ortholog_map", "SELECT module, count(DISTINCT m.gene) AS n_source, count(DISTINCT CASE WHEN p_name <> '' THEN p.p_partkey END) AS n_mapped, count(DISTINCT p_name) AS n_target FROM mods m LEFT JOIN (SELECT * FROM part WHERE p_partkey % 3 > 0) p ON p.p_partkey = m.gene GROUP BY module")
 def ortholog_map(spark, d):
     m = enrich.tidy_map(t.table(spark, d, "part").where("p_partkey % 3 > 0"), "p_partkey", "p_name")
     mods = t.modules(spark, d).withColumn("gene", F.col("gene").cast("string"))
     return enrich.mapping_summary(mods, m)
 
 
-@query("gene_metadata_collapse", "SELECT s.gene, coalesce(types, '') AS p_type, coalesce(brands, '') AS p_brand FROM (SELECT DISTINCT gene::VARCHAR AS gene FROM mods) s LEFT JOIN (SELECT p_name AS gene, string_agg(DISTINCT p_type, ';' ORDER BY p_type) AS types, string_agg(DISTINCT p_brand, ';' ORDER BY p_brand) AS brands FROM part GROUP BY p_name UNION ALL SELECT (p_partkey % 100)::VARCHAR, string_agg(DISTINCT p_type, ';' ORDER BY p_type), string_agg(DISTINCT p_brand, ';' ORDER BY p_brand) FROM part GROUP BY 1) USING (gene)", part=True)
+@query("gene_metadata_collapse", "SELECT s.gene, coalesce(types, '') AS p_type, coalesce(brands, '') AS p_brand FROM (SELECT DISTINCT gene::VARCHAR AS gene FROM mods) s LEFT JOIN (SELECT p_name AS gene, string_agg(DISTINCT p_type, ';' ORDER BY p_type) AS types, string_agg(DISTINCT p_brand, ';' ORDER BY p_brand) AS brands FROM part GROUP BY p_name UNION ALL SELECT (p_partkey % 100)::VARCHAR, string_agg(DISTINCT p_type, ';' ORDER BY p_type), string_agg(DISTINCT p_brand, ';' ORDER BY p_brand) FROM part GROUP BY 1) USING (gene)")
 def gene_metadata_collapse(spark, d):
     p = t.table(spark, d, "part")
     both = p.select(F.col("p_name").alias("key"), "p_type", "p_brand").union(p.select((F.col("p_partkey") % 100).cast("string"), "p_type", "p_brand"))
@@ -491,8 +511,8 @@ def sample_quantile_curves(spark, d):
 ORACLES["sample_quantile_curves"] = with_parts("SELECT run, unnest(range(0, 11))::INTEGER AS point, round(unnest(quantile_cont(x, [0.0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0])), 6) + 0.0 AS value FROM expr GROUP BY run")
 
 
-@query("sample_spearman", """SELECT a.run AS run_a, b.run AS run_b, round(corr(a.k, b.k), 6) + 0.0 AS r, round(greatest(0, least(2, 1 - corr(a.k, b.k))), 6) AS distance FROM (SELECT run, gene, rank() OVER (PARTITION BY run ORDER BY x) + (count(*) OVER (PARTITION BY run, x) - 1) / 2 AS k FROM expr WHERE run < 60) a
-  JOIN (SELECT run, gene, rank() OVER (PARTITION BY run ORDER BY x) + (count(*) OVER (PARTITION BY run, x) - 1) / 2 AS k FROM expr WHERE run < 60) b ON a.gene = b.gene AND a.run < b.run GROUP BY 1, 2""", part=True)
+@query("sample_spearman", """SELECT a.run AS run_a, b.run AS run_b, round(corr(a.k, b.k), 6) + 0.0 AS r, round(greatest(0, least(2, 1 - corr(a.k, b.k))), 6) AS distance FROM (SELECT run, gene, rank() OVER (PARTITION BY run ORDER BY x) + (count(*) OVER (PARTITION BY run, x) - 1) / 2 AS k FROM expr) a
+  JOIN (SELECT run, gene, rank() OVER (PARTITION BY run ORDER BY x) + (count(*) OVER (PARTITION BY run, x) - 1) / 2 AS k FROM expr) b ON a.gene = b.gene AND a.run < b.run GROUP BY 1, 2""")
 def sample_spearman(spark, d):
     return qc.sample_spearman(t.expression(spark, d)).select("run_a", "run_b", r6("r"), r6("distance"))
 
@@ -513,11 +533,11 @@ def batch_diagnostics(spark, d):
     return qc.batch_summary(t.table(spark, d, "events"), "event_type", "event_id", "value").select("event_type", "batch", "n", r6("mean"), r6("std"), "max")
 
 
-@query("windowed_diagnostics", "SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(avg(value), 6) AS mean, max(value) AS max FROM events GROUP BY 1, 2")
+@query("windowed_diagnostics", "SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) + 0.0 AS std, max(value) AS max FROM events GROUP BY 1, 2")
 def windowed_diagnostics(spark, d):
     from weftnet.streaming.diagnostics import windowed_summary
 
-    return windowed_summary(t.table(spark, d, "events")).select("start", "event_type", "n", r6("mean"), "max")
+    return windowed_summary(t.table(spark, d, "events")).select("start", "event_type", "n", r6("mean"), r6("std"), "max")
 
 
 @query("pca")
@@ -530,3 +550,135 @@ def flagship(spark, d):
     e = consensus.edge_weights(_edges(spark, d))
     n = e.groupBy("gene_a", "gene_b").agg(F.countDistinct("study").alias("n_studies"), F.avg("mi").alias("mean_mi"), F.avg("weight").alias("mean_neglog10p"))
     return n.where("n_studies >= 2").select("gene_a", "gene_b", "n_studies", r6("mean_mi"), r6("mean_neglog10p"))
+
+
+@query("pca_metadata", "SELECT DISTINCT label AS study, count(DISTINCT vec_id) AS n FROM embeddings GROUP BY label")
+def pca_metadata(spark, d):
+    """Coordinates joined with their samples' metadata; SQL has the number of samples of each study."""
+    about = t.table(spark, d, "embeddings").select(F.col("vec_id").alias("run"), F.col("label").alias("study"))
+    joined = qc.described(qc.principal_components(t.expression(spark, d))[0], about)
+    return joined.where("pc1 is not null and pc2 is not null").groupBy("study").agg(F.countDistinct("run").alias("n"))
+
+
+@query("pca_variance", "SELECT round(sum(z * z) / count(DISTINCT gene), 6) AS total FROM (SELECT gene, (x - avg(x) OVER (PARTITION BY gene)) / stddev_samp(x) OVER (PARTITION BY gene) AS z FROM expr)")
+def pca_variance(spark, d):
+    """All components together have the variance of the standardised genes, and their shares sum to 1."""
+    x = t.expression(spark, d)
+    k = min(x.select("gene").distinct().count(), x.select("run").distinct().count())
+    scores, share = qc.principal_components(x, k)
+    squares = sum(F.col(f"pc{i + 1}") * F.col(f"pc{i + 1}") for i in range(k))
+    return scores.agg((F.sum(squares) / k).alias("total")).crossJoin(share.agg(F.sum("share").alias("shares"))).select(F.round(F.col("total") * F.round("shares", 9), 6).alias("total"))
+
+
+# ------------------------------------------------------------------ sinks read back by sources
+def _folder(spark, name):
+    from weftnet.functions.scratch import folder
+
+    return folder(spark, name)
+
+
+@query("wide_matrix_read_back", "SELECT gene::VARCHAR AS gene, run::VARCHAR AS run, count AS x FROM dense")
+def wide_matrix_read_back(spark, d):
+    path = _folder(spark, "wide")
+    writers.wide(_dense(spark, d).select(F.col("gene").cast("string").alias("gene"), F.col("run").cast("string").alias("run"), F.col("count").alias("x")), path)
+    return readers.wide_matrix(spark, path).where("x is not null").select("gene", "run", "x")
+
+
+@query("edge_table_read_back", "SELECT study, gene_a, gene_b, round(mi, 6) AS mi, round(p_value, 6) AS p_value FROM sig")
+def edge_table_read_back(spark, d):
+    path = _folder(spark, "edges")
+    writers.tsv(_edges(spark, d), path, by="study")
+    return readers.edge_list(spark, path).select(F.col("study").cast("int").alias("study"), "gene_a", "gene_b", r6("mi"), r6("p_value"))
+
+
+@query("bh_table_read_back", "SELECT study, count(*) AS n FROM sig_all GROUP BY 1")
+def bh_table_read_back(spark, d):
+    path = _folder(spark, "bh")
+    writers.tsv(significance.bh_edges(_tested(spark, d), 1.0), path, by="study")
+    return readers.edge_list(spark, path).groupBy(F.col("study").cast("int").alias("study")).agg(F.count("*").alias("n"))
+
+
+@query("matrix_market_read_back", "SELECT gene_a, gene_b, n_studies::DOUBLE AS value FROM cons UNION ALL SELECT gene_b, gene_a, n_studies FROM cons")
+def matrix_market_read_back(spark, d):
+    path = _folder(spark, "mtx")
+    genes = t.expression(spark, d).select("gene").distinct().withColumn("ord", F.row_number().over(Window.orderBy("gene")))
+    writers.matrix_market(consensus.consensus(_edges(spark, d), 2), genes, path, "n_studies")
+    return readers.matrix_market(spark, path, genes.select("ord", "gene")).select("gene_a", "gene_b", "value")
+
+
+@query("module_table_read_back", "SELECT module, gene::VARCHAR AS gene FROM mods")
+def module_table_read_back(spark, d):
+    path = _folder(spark, "modules")
+    writers.module_table(t.modules(spark, d), path)
+    return readers.modules(spark, path).select(F.col("module").cast("long").alias("module"), "gene")
+
+
+@query("module_graphml_read_back", "SELECT module, count(*) FILTER (kind = 'node') AS n_nodes, count(*) FILTER (kind = 'edge') AS n_edges FROM (SELECT s_nationkey AS module, 'node' AS kind FROM supplier UNION ALL SELECT x.s_nationkey, 'edge' FROM near_edges JOIN supplier x ON x.s_suppkey = a JOIN supplier y ON y.s_suppkey = b AND y.s_nationkey = x.s_nationkey) GROUP BY 1")
+def module_graphml_read_back(spark, d):
+    path = _folder(spark, "graphml")
+    modules = t.table(spark, d, "supplier").select(F.col("s_nationkey").alias("module"), F.col("s_suppkey").alias("gene"))
+    writers.module_graphs(_near_suppliers(spark, d).select(F.col("a").alias("gene_a"), F.col("b").alias("gene_b")), modules, path)
+    lines = spark.read.text(path)
+    return lines.groupBy(F.col("module").cast("int").alias("module")).agg(F.count_if(F.col("value").startswith("<node")).alias("n_nodes"), F.count_if(F.col("value").startswith("<edge")).alias("n_edges"))
+
+
+@query("gene_sets_read_back", "SELECT library, set_name, count(DISTINCT gene) AS n_genes FROM sets GROUP BY 1, 2")
+def gene_sets_read_back(spark, d):
+    paths = []
+    for name in ("brands", "types", "sizes"):
+        rows = t.gene_sets(spark, d).where(F.col("library") == name).groupBy("set_name").agg(F.array_join(F.collect_list(F.col("gene").cast("string")), "\t").alias("genes"))
+        paths.append(f"{_folder(spark, 'sets')}/{name}.gmt")
+        rows.select(F.concat_ws("\t", "set_name", F.lit("about"), "genes").alias("value")).write.text(paths[-1])
+    return readers.gmt(spark, paths).groupBy("library", "set_name").agg(F.countDistinct("gene").alias("n_genes"))
+
+
+@query("ortholog_table_read_back", "SELECT DISTINCT p_partkey::VARCHAR AS src, trim(p_name) AS tgt FROM part WHERE trim(p_name) <> ''")
+def ortholog_table_read_back(spark, d):
+    path = _folder(spark, "orthologs")
+    writers.tsv(t.table(spark, d, "part").select(F.col("p_partkey").alias("pig_gene"), F.col("p_name").alias("human_gene")), path)
+    return readers.ortholog_map(spark, path, "pig_gene", "human_gene")
+
+
+@query("metadata_read_back", "SELECT s_suppkey::INTEGER AS run, n_name AS project FROM supplier JOIN nation ON s_nationkey = n_nationkey")
+def metadata_read_back(spark, d):
+    path = _folder(spark, "metadata")
+    writers.tsv(t.metadata(spark, d).select(F.col("run").alias("Run"), F.col("project").alias("BioProject")), path)
+    return readers.metadata(spark, path).select(F.col("Run").cast("int").alias("run"), F.col("BioProject").alias("project"))
+
+
+@query("sniffed_table_read_back", "SELECT p_partkey::VARCHAR AS gene, string_agg(DISTINCT p_type, ';') AS p_type FROM part GROUP BY 1")
+def sniffed_table_read_back(spark, d):
+    path = _folder(spark, "sniffed")
+    writers.tsv(t.table(spark, d, "part").select(F.col("p_partkey").alias("gene"), "p_type"), path)
+    return enrich.collapsed(readers.sniffed(spark, path), "gene", ["p_type"])
+
+
+@query("names_read_back", "SELECT DISTINCT trim(p_name) AS gene FROM part WHERE trim(p_name) <> ''")
+def names_read_back(spark, d):
+    path = _folder(spark, "names")
+    t.table(spark, d, "part").select(F.concat(F.lit(" "), "p_name", F.lit(" ")).alias("value")).union(spark.createDataFrame([("",), ("  ",)], "value string")).write.text(path)
+    return readers.names(spark, path)
+
+
+@query("score_cache_read_back", "SELECT study, gene_a, gene_b, round(mi, 6) AS mi FROM mi")
+def score_cache_read_back(spark, d):
+    """The second reading comes from the cache, which fits the settings and the values."""
+    from weftnet.plans.pipeline import Settings, scored
+
+    path, x, s = _folder(spark, "cache"), t.expression(spark, d), Settings(permutations=20)
+    scored(x, s, path)
+    return scored(x, s, path)[0].select(*EDGE, r6("mi"))
+
+
+@query("network_comparison", "SELECT 4 AS n_lines, 'edges in both: ' || count(*) FILTER (a AND b) AS first_line FROM (SELECT gene_a, gene_b, bool_or(s = 0) AS a, bool_or(s = 1) AS b FROM (SELECT gene_a, gene_b, study % 2 AS s FROM sig) GROUP BY 1, 2)")
+def network_comparison(spark, d):
+    e = _edges(spark, d)
+    lines = writers.comparison(e.where("study % 2 = 0"), e.where("study % 2 = 1"))
+    return lines.agg(F.count("*").alias("n_lines"), F.min_by("line", "o").alias("first_line"))
+
+
+@query("prescreened_scores", "SELECT mi.study, mi.gene_a, mi.gene_b, round(mi, 6) AS mi FROM mi JOIN pear ON pear.study = mi.study AND pear.gene_a = mi.gene_a AND pear.gene_b = mi.gene_b WHERE abs(r) > 0.15")
+def prescreened_scores(spark, d):
+    """Information of the prescreen's candidates alone."""
+    wanted = pairs.prescreen(t.expression(spark, d), "pearson", 0.15).select(*EDGE)
+    return pairs.mutual_information(_bins(spark, d), wanted=wanted).select(*EDGE, r6("mi"))

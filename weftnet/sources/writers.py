@@ -52,16 +52,81 @@ def graphml(edges: DataFrame, path: str, nodes: DataFrame | None = None, weight:
     line(0, head).union(node).union(edge).union(line(3, "</graph></graphml>")).orderBy("o", "k").coalesce(1).select("value").write.mode("overwrite").text(path)
 
 
+def module_graphs(edges: DataFrame, modules: DataFrame, path: str) -> None:
+    """The GraphML of each module's induced network, a folder per module."""
+    ends = [modules.select("module", F.col("gene").alias(f"gene_{k}")) for k in "ab"]
+    inside = edges.select("gene_a", "gene_b").join(ends[0], "gene_a").join(ends[1], ["module", "gene_b"])
+    ids = modules.select("module").distinct()
+    name = lambda c: _escape(F.col(c).cast("string"))
+    head = F.concat(F.lit('<graphml xmlns="http://graphml.graphdrawing.org/xmlns"><graph id="M'), F.col("module").cast("string"), F.lit('" edgedefault="undirected">'))
+    rows = ids.select("module", F.lit(0).alias("o"), F.lit("").alias("k"), head.alias("value"))
+    rows = rows.union(modules.select("module", F.lit(1), F.col("gene").cast("string"), F.concat(F.lit('<node id="'), name("gene"), F.lit('"/>'))))
+    rows = rows.union(inside.select("module", F.lit(2), F.concat_ws("\t", "gene_a", "gene_b"), F.concat(F.lit('<edge source="'), name("gene_a"), F.lit('" target="'), name("gene_b"), F.lit('"/>'))))
+    rows = rows.union(ids.select("module", F.lit(3), F.lit(""), F.lit("</graph></graphml>")))
+    rows.repartition("module").sortWithinPartitions("module", "o", "k").select("module", "value").write.mode("overwrite").partitionBy("module").text(path)
+
+
+def master(edges: DataFrame, genes: DataFrame, path: str) -> None:
+    """The sorted edge list, the weighted one, and adjacency, weights and study counts as sparse matrices."""
+    tsv(edges.orderBy(F.desc("n_studies"), F.desc("edge_weight"), "gene_a", "gene_b"), f"{path}/master_edges")
+    tsv(edges.select("gene_a", "gene_b", "edge_weight").orderBy(F.desc("edge_weight"), "gene_a", "gene_b"), f"{path}/master_weighted_edges")
+    for name, value in (("adjacency", None), ("weights", "edge_weight"), ("n_studies", "n_studies")):
+        matrix_market(edges, genes, f"{path}/master_{name}_mtx", value)
+
+
+def node_tables(modules: DataFrame, path: str, about: DataFrame | None = None, key: str = "gene") -> None:
+    """Module table, node table, and both with metadata about genes where there is any."""
+    module_table(modules, f"{path}/master_modules")
+    tsv(modules.select("gene", "module").orderBy("gene", "module"), f"{path}/master_node_modules")
+    if about is not None:
+        from weftnet.operators.enrich import with_metadata
+
+        columns = [c for c in about.columns if c != key]
+        tsv(with_metadata(modules, about, key, columns).orderBy("module", "gene"), f"{path}/master_modules_annotated")
+
+
+def likelihood(edges: DataFrame, modules: DataFrame, genes: DataFrame, path: str, weight: str = "clr") -> None:
+    """Edges, weighted edges, sparse matrix, GraphML and modules of the whole-matrix network."""
+    tsv(edges.select("gene_a", "gene_b").orderBy("gene_a", "gene_b"), f"{path}/likelihood_edges")
+    tsv(edges.select("gene_a", "gene_b", F.col(weight).alias("edge_weight")).orderBy(F.desc("edge_weight"), "gene_a", "gene_b"), f"{path}/likelihood_weighted_edges")
+    matrix_market(edges, genes, f"{path}/likelihood_mtx", weight)
+    graphml(edges, f"{path}/likelihood_graphml", weight=weight)
+    module_table(modules, f"{path}/likelihood_modules")
+
+
+def comparison(a: DataFrame, b: DataFrame, names: tuple[str, str] = ("a", "b")) -> DataFrame:
+    """Lines of text that compare two networks."""
+    from weftnet.operators.consensus import compare
+
+    line = lambda text, c: F.concat(F.lit(text + ": "), F.col(c).cast("string"))
+    lines = [line("edges in both", "n_both"), line(f"edges in {names[0]} alone", "n_only_a"), line(f"edges in {names[1]} alone", "n_only_b"), F.concat(F.lit("Jaccard index: "), F.format_number("jaccard", 4))]
+    return compare(a, b).select(F.posexplode(F.array(*lines)).alias("o", "line")).orderBy("o")
+
+
+def first_generation(modules: DataFrame, submodules: DataFrame, ids: DataFrame, path: str, hits: DataFrame | None = None) -> None:
+    """Module sizes, submodules (name, gene), the map of gene names, and the enrichment of each submodule."""
+    tsv(modules.groupBy("module").agg(F.count("*").alias("size")).orderBy(F.desc("size"), "module"), f"{path}/module_sizes")
+    tsv(submodules.select("name", "gene").orderBy("name", "gene"), f"{path}/submodules")
+    tsv(ids.orderBy(*ids.columns), f"{path}/gene_ids")
+    if hits is not None:
+        tsv(hits.orderBy("p_adjusted", "set_name"), f"{path}/submodule_enrichment", by="module")
+
+
 def module_table(modules: DataFrame, path: str) -> None:
     """Gene and Module (M and the id)."""
     tsv(modules.select(F.col("gene").alias("Gene"), F.concat(F.lit("M"), F.col("module").cast("string")).alias("Module")).orderBy("Module", "Gene"), path, one_file=True)
 
 
 def enrichment(hits: DataFrame, path: str) -> None:
-    """A folder per library with its hits."""
+    """A folder per library with its hits, the columns that the tables have, and the test of each library."""
     from weftnet.operators.enrich import slug
 
-    tsv(hits.withColumn("slug", slug(F.col("library"))), path, by="slug")
+    spark = hits.sparkSession
+    named = hits.withColumn("slug", slug(F.col("library")))
+    tsv(named, path, by="slug")
+    spark.createDataFrame([(c,) for c in hits.columns], "value string").coalesce(1).write.mode("overwrite").text(f"{path}_columns_used")
+    method = named.groupBy("library", "slug").agg(F.count("*").alias("n_hits")).withColumns({"test": F.lit("hypergeometric, upper tail"), "adjustment": F.lit("Benjamini-Hochberg over all libraries")})
+    tsv(method.orderBy("library"), f"{path}_methods_used", one_file=True)
 
 
 def cache(df: DataFrame, path: str, fingerprint: str) -> None:
