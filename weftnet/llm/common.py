@@ -44,7 +44,7 @@ def _begin(name: str) -> None:
     """A task of the named map begins: what other maps left behind goes."""
     with _LOCK:
         _TASK["turn"] += 1
-        if _TASK["map"] != name and _STATE:
+        if _TASK["map"] != name:
             _STATE.clear()
             release()
         _TASK["map"] = name

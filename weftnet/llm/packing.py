@@ -31,6 +31,9 @@ NODES = 60_000
 #: Fillings tried at each node, and lengths looked at when one is extended.
 WIDTH, REACH = 6, 24
 
+#: Chunks that a worker remembers the ids of, and text bytes that are encoded at once.
+MEMO, SLICE_BYTES = 150_000, 1 << 20
+
 Pattern = tuple[tuple[tuple[int, int], ...], int]
 
 
@@ -221,9 +224,9 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
     """Each document's ids, cut into pieces of the capacity."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        for batch, texts in text_slices(batches):
+        for batch, texts in text_slices(batches, SLICE_BYTES):
             rows: dict[str, list] = {f.name: [] for f in PIECE}
-            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encode_texts(tokenizer, texts, end_id), strict=True):
+            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encode_texts(tokenizer, texts, end_id, MEMO), strict=True):
                 for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at : at + 4 * capacity]
                     for name, x in zip(rows, (doc_id, k, at // 4, len(part) // 4, zlib.crc32(part)), strict=True):

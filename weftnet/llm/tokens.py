@@ -50,11 +50,12 @@ class ChunkEncoder:
     or full stop after letters is a word of its own.
     """
 
-    most, longest, together = 600_000, 64, 1000
+    longest, together, at_once = 64, 1000, 16
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, most: int = 600_000) -> None:
         from tokenizers import Tokenizer, pre_tokenizers
 
+        self.most = most
         self.tokenizer = Tokenizer.from_file(path)
         self.merges = Tokenizer.from_file(path)
         self.merges.normalizer = None
@@ -74,8 +75,9 @@ class ChunkEncoder:
         parts = [words[k : k + self.together] for k in range(0, len(words), self.together)]
         joined = [" ".join(p).lower() for p in parts]
         encoder = self.merges if all(x.isascii() or is_normalized("NFC", x) and "\u03c3" not in x and "\u03c2" not in x for x in joined) else self.tokenizer
-        for part, x in zip(parts, encoder.encode_batch_fast(joined, add_special_tokens=False), strict=True):
-            ids = np.array(x.ids, "<u4")
+        # a few at once: an encoding takes far more room than its ids
+        found = (np.array(x.ids, "<u4") for k in range(0, len(joined), self.at_once) for x in encoder.encode_batch_fast(joined[k : k + self.at_once], add_special_tokens=False))
+        for part, ids in zip(parts, found, strict=True):
             cuts = [0, *(4 * np.flatnonzero(self.ends[ids]) + 4).tolist()]
             data = ids.tobytes()
             out += [data[a:b] for a, b in zip(cuts, cuts[1:], strict=False)] if len(cuts) == len(part) + 1 and cuts[-1] == len(data) else self._ids(part)
@@ -110,9 +112,9 @@ class ChunkEncoder:
         return [b"".join(found[a:b]) if b"<|" not in x else self._ids([x.decode("utf-8", "replace")])[0] for x, a, b in zip(texts, ends, ends[1:], strict=False)]
 
 
-def encode_texts(path: str, texts: list[bytes], end_id: int = END_ID) -> list[bytes]:
-    """Ids of each text with the end id, as bytes; one memo per Python worker."""
-    encoder = worker_state(("tokens", path), lambda: ChunkEncoder(path))
+def encode_texts(path: str, texts: list[bytes], end_id: int = END_ID, most: int = 600_000) -> list[bytes]:
+    """Ids of each text with the end id, as bytes; one memo of at most `most` chunks per Python worker."""
+    encoder = worker_state(("tokens", path, most), lambda: ChunkEncoder(path, most))
     end = np.array([end_id], "<u4").tobytes()
     return [x + end for x in encoder.encode(texts)]
 
