@@ -25,10 +25,14 @@ from weftnet.llm.common import arrow_map, as_bytes, text_slices
 #: Phrases and their labels.
 PHRASES = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
 
+#: Parts of published licences that several of them share.
+_BSD_CONDITIONS = "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met [[1]] redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer [[2]] redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"
+_BSD_DISCLAIMER = "this software is provided by {{2-12}} as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed in no event shall {{2-12}} be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services loss of use data or profits or business interruption however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such damage"
+
 #: Published licence wording with markup.
 TEMPLATES = {
     "mit-notice": "[[this work is]] {released|licensed|distributed|available} under the [[terms of the]] [[expat]] mit license",
-    "mit-text": "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice [[including the next paragraph]] shall be included in all copies or substantial portions of the software",
+    "mit-text": "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice [[including the next paragraph]] shall be included in all copies or substantial portions of the software the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement in no event shall {{2-12}} be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software",
     "apache-2.0": "[[this work is]] {licensed|released|distributed} under the [[terms of the]] apache license version 2 0",
     "apache-2.0-header": "licensed under the apache license version 2 0 the license you may not use {{1-4}} except in compliance with the license you may obtain a copy of the license at {{1-12}} unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied see the license for the specific language governing permissions and limitations under the license",
     "gpl-notice": "[[this {{1-3}} is]] {licensed|released|distributed} under the [[terms of the]] gnu general public license [[version {{1-2}}]]",
@@ -36,9 +40,9 @@ TEMPLATES = {
     "cc-by-4.0": "{licensed|released|available} under [[a|the]] [[creative commons]] cc by {4|3|2} {0|5} [[international]] [[license]]",
     "cc-by-sa": "[[licensed under]] [[a|the]] cc by sa {{1-2}}",
     "cc-by-nc": "[[licensed under]] [[a|the]] cc by nc {{1-2}}",
-    "isc": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",
-    "bsd-2-clause": "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met [[1]] redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer [[2]] redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution",
-    "bsd-3-clause": "[[3]] neither the name of {{1-12}} nor the names of {{1-4}} contributors may be used to endorse or promote products derived from this software without specific prior written permission",
+    "isc": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies the software is provided as is and {{2-12}} disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness in no event shall {{2-12}} be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of this software",
+    "bsd-2-clause": f"{_BSD_CONDITIONS} {_BSD_DISCLAIMER}",
+    "bsd-3-clause": f"{_BSD_CONDITIONS} [[3]] neither the name of {{{{1-12}}}} nor the names of {{{{1-4}}}} contributors may be used to endorse or promote products derived from this software without specific prior written permission {_BSD_DISCLAIMER}",
     "mpl-2.0": "this source code form is subject to the terms of the mozilla public license v 2 0",
     "unlicense": "this is free and unencumbered software released into the public domain",
 }
