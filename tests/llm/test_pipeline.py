@@ -115,6 +115,24 @@ def test_mix_targets(spark, docs):
         assert abs(sum(r["taken"] for r in by[s]) - target[s]) <= max(2, 0.01 * target[s])
 
 
+def test_shard_quotas(spark, docs):
+    """Highest quotients, granted one by one in a plain loop, shard after shard."""
+    blocks, shards = 500, 5
+    target = {r["source"]: r["target"] for r in mixing.mix(docs).collect()}
+    total = sum(len(word_list(r["text"])) for r in docs.collect())
+    each = max(1, -(-3 * total // (2 * blocks)))
+    house = round(1.5 * total / each)
+    order = sorted((s for s in target if target[s] > 0), key=lambda s: (s is None, s or ""))
+    seats, want = dict.fromkeys(order, 0), {}
+    for k in range(house):
+        best = max(order, key=lambda s: (target[s] / (2 * seats[s] + 1), -order.index(s)))
+        seats[best] += 1
+        key = (best, k * shards // house)
+        want[key] = want.get(key, 0) + 1
+    got = {(r["source"], r["shard"]): r["blocks"] for r in mixing.shard_quotas(docs, blocks=blocks, shards=shards).collect()}
+    assert got == want
+
+
 def test_run(spark, tmp_path, docs):
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(k, 1, int(k % 9 == 0)) for k in range(100)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")

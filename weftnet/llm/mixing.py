@@ -6,6 +6,11 @@ consecutive grants fill the shards of the mix, so each shard has an integer quot
 blocks of its line a source contributes follows from its quota and a seeded offset: block i is taken
 floor(((i + 1) K + o) / M) - floor((i K + o) / M) times, which spreads K takes evenly over M blocks.
 
+Granting by highest quotients gives the same quotas as rounding each target divided by one common divisor.
+Sources of few blocks are cut finer (`FINEST` blocks), and their quotas are taken in that second form, with
+their block as the divisor, so that their words come near their targets too; a source at its limit is taken
+twice whole. `shard_quotas` gives the integer block quotas of each shard and source.
+
 Null texts have size 0, null sources are one source (ordered last), repeated rows are rows of their
 own, a null doc_id is laid out like any other. Extra columns are ignored (`apply` keeps them). An empty table
 gives no rows.
@@ -60,6 +65,12 @@ def quotas(plan: DataFrame, blocks: int = BLOCKS, shards: int = SHARDS, share: t
     return ranked.where("rank < house").groupBy("ord", F.floor(F.col("rank") * shards / F.col("house")).cast("int").alias("shard")).agg(F.count("*").alias("blocks"))
 
 
+def shard_quotas(docs: DataFrame, share: tuple[int, int] = (3, 2), weights: tuple[int, ...] = WEIGHTS, blocks: int = BLOCKS, shards: int = SHARDS) -> DataFrame:
+    """(source, shard, blocks) of docs(text, source): how many blocks of each source each shard of the mix has."""
+    plan = persist(targets(docs.select("source", word_count(F.col("text")).alias("size")), share, weights))
+    return plan.select("source", "ord").join(quotas(plan, blocks, shards, share), "ord").select("source", "shard", "blocks")
+
+
 def mix(docs: DataFrame, seed: str = SEED, share: tuple[int, int] = (3, 2), weights: tuple[int, ...] = WEIGHTS, blocks: int = BLOCKS, shards: int = SHARDS) -> DataFrame:
     """(doc_id, source, size, source_size, target, taken) of each row of docs(doc_id, text, source)."""
     place = F.md5(F.concat(F.lit(seed + "|"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).cast("binary"))
