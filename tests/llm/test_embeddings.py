@@ -86,3 +86,36 @@ def test_whole_ranges_equal_brute_force(spark):
     for passes in (40, 200):
         got = {r["node"]: r["component"] for r in components(ed.link_dense(classes, passes, 1, 0.97, 8, 100)).collect()}
         assert {k: got.get(k, k) for k in want} == want
+
+
+def test_dense_labels_lose_no_links(spark):
+    """Labels of mean cosine 0, 0.8, 0.86 and 0.9 with planted pairs just above the threshold, against brute force."""
+    rng = np.random.default_rng(11)
+    rows, dim = [], 64
+    for label, mean in enumerate((0.0, 0.8, 0.86, 0.9)):
+        centre = rng.normal(size=dim)
+        centre /= np.linalg.norm(centre)
+        x = np.sqrt(mean) * centre + np.sqrt(1 - mean) * rng.normal(size=(1200, dim)) / np.sqrt(dim)
+        x /= np.linalg.norm(x, axis=1)[:, None]
+        off = rng.normal(size=(100, dim))
+        off -= (off * x[:100]).sum(1)[:, None] * x[:100]
+        off /= np.linalg.norm(off, axis=1)[:, None]
+        x = np.vstack([x, 0.935 * x[:100] + np.sqrt(1 - 0.935**2) * off])
+        rows += [(len(rows) + k, v.tolist(), label) for k, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in ed.near_duplicates(df).collect()}
+    for label in range(4):
+        ids = np.array([r[0] for r in rows if r[2] == label])
+        x = np.array([r[1] for r in rows if r[2] == label])
+        x /= np.linalg.norm(x, axis=1)[:, None]
+        ok = x @ x.T >= 0.93
+        np.fill_diagonal(ok, False)
+        names = ids.copy()
+        while True:
+            low = np.minimum(names, np.where(ok, names[None], ids.max()).min(1))
+            if (low == names).all():
+                break
+            names = low
+        links = ok.sum(1)
+        assert links.sum() >= 200
+        assert [got[i] for i in ids] == list(zip(links.tolist(), names.tolist(), strict=True))
