@@ -32,7 +32,7 @@ NODES = 60_000
 WIDTH, REACH = 6, 24
 
 #: Chunks that a worker remembers the ids of, and text bytes that are encoded at once.
-MEMO, SLICE_BYTES = 150_000, 1 << 20
+MEMO, SLICE_BYTES = 100_000, 1 << 19
 
 Pattern = tuple[tuple[tuple[int, int], ...], int]
 

@@ -621,7 +621,7 @@ def join(docs: DataFrame, sample: int = SAMPLE, common: int = COMMON, frequent:
     links = persist(similar_first(docs, named))
     labelled = persist(_relabel(named, components(links)))
     found = candidates(postings(docs, labelled, *filters, buckets), buckets)
-    links = links.union(verify(docs, named, persist(likely(found, buckets))))
+    links = links.union(persist(verify(docs, named, persist(likely(found, buckets)))))  # written first: one Python map a task
     cores = found.where("b is null").select(F.col("a").alias("k"), F.col("na").alias("n"), "core")
     if cores.limit(1).count():
         links = links.union(core_links(cores))

@@ -129,7 +129,10 @@ def _chosen(packed: np.ndarray, batch: pa.RecordBatch, texts: list[bytes]) -> tu
 
 
 def some_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(doc_id, k, text) of at least the wanted (doc_id, k): a filter of fixed size lets few others through."""
+    """(doc_id, k, text) of at least the wanted (doc_id, k): a filter of fixed size lets few others through.
+
+    Joins with it are merged, so that a task has one Python map and an executor no more workers than cores.
+    """
     packed = docs.sparkSession.sparkContext.broadcast(_filter(wanted))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
@@ -462,7 +465,7 @@ def find_repeats(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     rows = profiles(docs)
     classes = persist(rows.where(f"n_bytes >= {LENGTH}").groupBy("k").agg(F.min("doc_id").alias("doc_id")))
     places = shared_places(docs, classes, groups)
-    found = sorted_runs(some_texts(docs, places).join(places, ["doc_id", "k"]), groups)
+    found = sorted_runs(some_texts(docs, places).join(places.hint("merge"), ["doc_id", "k"]), groups)
     removed = spans(found, merged(found, groups), groups)
     first = classes.withColumnRenamed("doc_id", "first")
     rows = persist(rows.join(first, "k", "left").select("doc_id", "k", "n_bytes", "sha256", F.coalesce(F.col("doc_id") > F.col("first"), F.lit(False)).alias("copy")))
@@ -477,7 +480,7 @@ def dedup(docs: DataFrame) -> DataFrame:
         for batch in batches:
             yield {"doc_id": batch.column("doc_id"), "k": batch.column("k"), "left": [hashlib.sha256(kept_parts(t, np.frombuffer(s, np.int64))).hexdigest() for t, s in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True)]}
 
-    left = arrow_map(some_texts(docs, removed).join(removed.select("doc_id", "k", "spans"), ["doc_id", "k"]), run, _schema("doc_id:long k:long left:string"))
+    left = arrow_map(some_texts(docs, removed).join(removed.select("doc_id", "k", "spans").hint("merge"), ["doc_id", "k"]), run, _schema("doc_id:long k:long left:string"))
     left = persist(left.dropDuplicates(["doc_id", "k"]).join(removed.drop("spans"), ["doc_id", "k"]))
     nothing = hashlib.sha256(b"").hexdigest()
     out = rows.join(left, ["doc_id", "k"], "left")
@@ -517,7 +520,7 @@ def cut(docs: DataFrame) -> DataFrame:
 
     changed = arrow_map(changes, keyed, _schema("rank:long row_key:long spans:binary")).withColumn("known", F.lit(True))
     rank = F.coalesce(F.col("doc_id"), F.lit(LAST))
-    joined = other.withColumn("rank", rank).join(changed, ["row_key", "rank"], "left").drop("row_key", "rank")
+    joined = other.withColumn("rank", rank).join(changed.hint("merge"), ["row_key", "rank"], "left").drop("row_key", "rank")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch in batches:
