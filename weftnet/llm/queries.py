@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftnet.llm import embed_dedup, license_scan, media, mixing, packing, quality, set_join, suffix_dedup, tokens, toxicity
+from weftnet.llm import divergence, embed_dedup, license_scan, media, mixing, packing, quality, set_join, suffix_dedup, tokens, topk, toxicity
 from weftnet.llm.common import table
 
 
@@ -60,6 +60,14 @@ def op10_template_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(table(spark, sf_dir, "documents")).drop("spans")
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+def op12_maxscore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sorted_projections": op1_sorted_projections,
     "op2_token_files": op2_token_files,
@@ -71,8 +79,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_suffix_runs": op8_suffix_runs,
     "op9_source_mix": op9_source_mix,
     "op10_template_licenses": op10_template_licenses,
+    "op11_source_divergence": op11_source_divergence,
+    "op12_maxscore": op12_maxscore,
 }
 
 ORACLES: dict[str, str] = {
     "op9_source_mix": mixing.mix_sql(),
+    "op11_source_divergence": divergence.audit_sql(),
+    "op12_maxscore": topk.top_k_sql(),
 }
