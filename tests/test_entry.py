@@ -16,6 +16,7 @@ def test_entry_without(tmp_path, gone):
     for name in ("__spark_entry__.py", "corpus_pipeline.py", "bench.py"):
         if (ROOT / name).exists():
             shutil.copy(ROOT / name, tmp_path / name)
+    shutil.copytree(ROOT / "jobs", tmp_path / "jobs", ignore=shutil.ignore_patterns("__pycache__"))
     shutil.copytree(ROOT / "weftnet", tmp_path / "weftnet", ignore=shutil.ignore_patterns("__pycache__"))
     for name in gone:
         path = tmp_path / name

@@ -1,4 +1,7 @@
-"""Count normalisation on long tables (gene, run, count): filters, library factors, log counts per million."""
+"""Count normalisation on long tables (gene, run, count): filters, library factors, log counts per million.
+
+With `by`, a table holds several matrices, one for each value of those columns, and each is treated on its own.
+"""
 
 from __future__ import annotations
 
@@ -6,15 +9,20 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def _each(df: DataFrame, other: DataFrame, by: tuple[str, ...]) -> DataFrame:
+    """df with the one row that `other` has for its matrix."""
+    return df.join(other, list(by)) if by else df.crossJoin(F.broadcast(other))  # one row
+
+
 def zero_filled(counts: DataFrame) -> DataFrame:
     """Every (gene, run) of the matrix, 0 where a run lacks the gene."""
     grid = counts.select("gene").distinct().crossJoin(F.broadcast(counts.select("run").distinct()))  # runs: samples of a study
     return grid.join(counts, ["gene", "run"], "left").select("gene", "run", F.coalesce("count", F.lit(0.0)).alias("count"))
 
 
-def expressed_genes(counts: DataFrame, least_samples: int = 10, above: float = 1) -> DataFrame:
+def expressed_genes(counts: DataFrame, least_samples: int = 10, above: float = 1, by: tuple[str, ...] = ()) -> DataFrame:
     """genes with a count above `above` in enough samples."""
-    return counts.groupBy("gene").agg(F.count_if(F.col("count") > above).alias("n_samples")).where(F.col("n_samples") >= least_samples)
+    return counts.groupBy(*by, "gene").agg(F.count_if(F.col("count") > above).alias("n_samples")).where(F.col("n_samples") >= least_samples)
 
 
 def varying_genes(counts: DataFrame, n_runs: int) -> DataFrame:
@@ -24,9 +32,9 @@ def varying_genes(counts: DataFrame, n_runs: int) -> DataFrame:
     return g.select("gene", var.alias("variance")).where(F.col("variance") > 1e-12)
 
 
-def library_sizes(counts: DataFrame, above: float = 0) -> DataFrame:
+def library_sizes(counts: DataFrame, above: float = 0, by: tuple[str, ...] = ()) -> DataFrame:
     """Column sums above a limit."""
-    return counts.groupBy("run").agg(F.sum("count").alias("lib_size")).where(F.col("lib_size") > above)
+    return counts.groupBy(*by, "run").agg(F.sum("count").alias("lib_size")).where(F.col("lib_size") > above)
 
 
 def outlier_runs(libs: DataFrame, low: float = 0.6, high: float = 1.7, mads: float = 3.0) -> DataFrame:
@@ -39,15 +47,15 @@ def outlier_runs(libs: DataFrame, low: float = 0.6, high: float = 1.7, mads: flo
     return out.select("run", "lib_size", "factor", bad.alias("is_outlier"))
 
 
-def rle_factors(counts: DataFrame) -> DataFrame:
+def rle_factors(counts: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """Median ratios to the geometric mean over genes present in every run, per library size, with geometric mean 1."""
-    runs = counts.select("run").distinct().agg(F.count("*").alias("n_runs"))
+    runs = counts.select(*by, "run").distinct().groupBy(*by).agg(F.count("*").alias("n_runs"))
     present = counts.where("count > 0")
-    genes = present.groupBy("gene").agg(F.avg(F.ln("count")).alias("log_mean"), F.count("*").alias("k")).crossJoin(F.broadcast(runs)).where("k = n_runs")
-    ratio = present.join(genes, "gene").groupBy("run").agg(F.median(F.exp(F.ln("count") - F.col("log_mean"))).alias("ratio"))
-    f = ratio.join(counts.groupBy("run").agg(F.sum("count").alias("lib_size")), "run").withColumn("raw", F.col("ratio") / F.col("lib_size"))
-    centre = f.agg(F.exp(F.avg(F.ln("raw"))).alias("centre"))
-    return f.crossJoin(F.broadcast(centre)).select("run", "lib_size", (F.col("raw") / F.col("centre")).alias("factor"))
+    genes = _each(present.groupBy(*by, "gene").agg(F.avg(F.ln("count")).alias("log_mean"), F.count("*").alias("k")), runs, by).where("k = n_runs")
+    ratio = present.join(genes, [*by, "gene"]).groupBy(*by, "run").agg(F.median(F.exp(F.ln("count") - F.col("log_mean"))).alias("ratio"))
+    f = ratio.join(counts.groupBy(*by, "run").agg(F.sum("count").alias("lib_size")), [*by, "run"]).withColumn("raw", F.col("ratio") / F.col("lib_size"))
+    centre = f.groupBy(*by).agg(F.exp(F.avg(F.ln("raw"))).alias("centre"))
+    return _each(f, centre, by).select(*by, "run", "lib_size", (F.col("raw") / F.col("centre")).alias("factor"))
 
 
 def tmm_factors(counts: DataFrame, trim_m: float = 0.3, trim_a: float = 0.05) -> DataFrame:
@@ -93,9 +101,9 @@ def norm_factors(counts: DataFrame, most_spread: float = 5.0) -> DataFrame:
     return both.select("run", F.when(F.col("spread") > most_spread, F.col("rle")).otherwise(F.col("factor")).alias("factor"))
 
 
-def log_cpm(counts: DataFrame, libs: DataFrame) -> DataFrame:
+def log_cpm(counts: DataFrame, libs: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """A4: log2((count + 2) / (lib * factor + 4) * 1e6); libs has run, lib_size, factor."""
-    return counts.join(libs, "run").select("gene", "run", F.log2((F.col("count") + 2) / (F.col("lib_size") * F.col("factor") + 4) * 1e6).alias("log_cpm"))
+    return counts.join(libs, [*by, "run"]).select(*by, "gene", "run", F.log2((F.col("count") + 2) / (F.col("lib_size") * F.col("factor") + 4) * 1e6).alias("log_cpm"))
 
 
 def tidy_values(x: DataFrame, col: str) -> DataFrame:

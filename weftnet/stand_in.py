@@ -15,7 +15,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def expression(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "embeddings").select(F.col("label").alias("study"), F.col("vec_id").alias("run"), F.posexplode("embedding").alias("pos", "x"))
+    return as_expression(table(spark, sf_dir, "embeddings"))
+
+
+def as_expression(vectors: DataFrame) -> DataFrame:
+    """(study, gene, run, x) of vectors (label, vec_id, embedding)."""
+    e = vectors.select(F.col("label").alias("study"), F.col("vec_id").alias("run"), F.posexplode("embedding").alias("pos", "x"))
     return e.select("study", F.concat(F.lit("G"), F.lpad(F.col("pos").cast("string"), 2, "0")).alias("gene"), "run", F.col("x").cast("double").alias("x"))
 
 
