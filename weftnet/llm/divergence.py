@@ -19,6 +19,7 @@ from __future__ import annotations
 import uuid
 from collections import Counter
 from collections.abc import Callable, Iterator
+from itertools import chain
 from operator import itemgetter
 
 import numpy as np
@@ -27,7 +28,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weftnet.llm.common import arrow_map, as_bytes, discard, persist, text_slices, worker_state
+from weftnet.llm.common import arrow_map, as_bytes, binary_array, discard, persist, text_slices, worker_state
 
 #: Documents of a language that have a kept term; ranks of terms that are reported.
 LEAST, TOP = 30, 50
@@ -61,12 +62,17 @@ def _named(docs: DataFrame) -> DataFrame:
     return docs.select(empty("lang"), empty("source"), "text")
 
 
+def _repeated(values: list[str], many: list[int]) -> pa.Array:
+    return pa.chunked_array([pa.repeat(pa.scalar(v, pa.string()), n) for v, n in zip(values, many, strict=True)], pa.string()).combine_chunks()
+
+
 def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
     """Documents of each language with each term, of bounded chunks of documents."""
     seen: dict[str, Counter] = {}
 
     def flush() -> dict:
-        out = {"lang": [x for x, c in seen.items() for _ in c], "term": [t for c in seen.values() for t in c], "n": [n for c in seen.values() for n in c.values()]}
+        sizes = list(map(len, seen.values()))
+        out = {"lang": _repeated(list(seen), sizes), "term": binary_array([t for c in seen.values() for t in c]), "n": np.fromiter(chain.from_iterable(c.values() for c in seen.values()), np.int64, sum(sizes))}
         seen.clear()
         return out
 
@@ -107,15 +113,16 @@ def _automaton(terms: list[bytes]) -> object:
 
 def _recounter(shared: object, name: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[dict]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        automata = worker_state(name, lambda: {lang: _automaton(terms) for lang, terms in shared.value.items()})
+        automata, names = worker_state(name, lambda: ({lang: _automaton(terms) for lang, terms in shared.value.items()}, {lang: binary_array(terms) for lang, terms in shared.value.items()}))
         found: dict[tuple[str, str], Counter] = {}
 
         def flush() -> dict:
+            sizes = list(map(len, found.values()))
             out = {
-                "lang": [k[0] for k, c in found.items() for _ in c],
-                "source": [k[1] for k, c in found.items() for _ in c],
-                "term": [shared.value[k[0]][t] for k, c in found.items() for t in c],
-                "n": [n for c in found.values() for n in c.values()],
+                "lang": _repeated([k[0] for k in found], sizes),
+                "source": _repeated([k[1] for k in found], sizes),
+                "term": pa.chunked_array([names[k[0]].take(pa.array(list(c), pa.int64())) for k, c in found.items()], pa.binary()).combine_chunks(),
+                "n": np.fromiter(chain.from_iterable(c.values() for c in found.values()), np.int64, sum(sizes)),
             }
             found.clear()
             return out
