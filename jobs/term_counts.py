@@ -88,10 +88,12 @@ def matrix(counts: DataFrame, s: Settings) -> DataFrame:
 
 
 def run(spark: SparkSession, documents: str, output: str, checkpoint: str, settings: Settings = Settings()) -> DataFrame:
-    """Take the new files of the folder `documents`, bring the matrices up to date and return them."""
+    """Take the new files of `documents` (a folder, or one file), bring the matrices up to date and return them."""
     schema = spark.read.parquet(documents).schema
+    documents = documents.rstrip("/")
+    itself = f"{documents[:-1]}[{documents[-1]}]"  # as a pattern, which a stream also takes for a single file
     # no file is too old: one that arrives late counts as any other
-    files = spark.readStream.schema(schema).option("maxFilesPerTrigger", settings.files_per_batch).option("maxFileAge", "36500d").parquet(documents)
+    files = spark.readStream.schema(schema).option("maxFilesPerTrigger", settings.files_per_batch).option("maxFileAge", "36500d").parquet(itself)
 
     def take(batch: DataFrame, number: int) -> None:
         common.write_parts(term_counts(batch).withColumn("batch", F.lit(number).cast("long")), f"{output}/counts", ("batch",), settings.files, "gene")
@@ -116,7 +118,7 @@ def run(spark: SparkSession, documents: str, output: str, checkpoint: str, setti
 
 
 def main() -> None:
-    paths = {"documents": "folder of Parquet files (text, lang, source)", "output": "folder of the output", "checkpoint": "folder of the stream's checkpoint", "config": "JSON file of settings"}
+    paths = {"documents": "folder of Parquet files (text, lang, source), or one such file", "output": "folder of the output", "checkpoint": "folder of the stream's checkpoint", "config": "JSON file of settings"}
     common.command(__doc__, paths, lambda spark, a: run(spark, a.documents, a.output, a.checkpoint, common.settings(spark, Settings, a.config)))
 
 
