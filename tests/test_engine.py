@@ -9,7 +9,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from weftnet.operators import community, consensus, enrich, graph, normalise, pairs, prep, qc, significance
+from weftnet.operators import boosting, community, consensus, enrich, graph, normalise, pairs, prep, qc, significance
 from weftnet.sources import readers, writers
 
 
@@ -314,9 +314,9 @@ def test_regulators(spark):
     rng = np.random.default_rng(8)
     m = rng.normal(size=(6, 60))
     m[3] = m[0] + 0.05 * rng.normal(size=60)
-    imp = pairs.regulator_importance(long_table(spark, m))
+    imp = boosting.regulator_importance(long_table(spark, m))
     top = imp.where("target = 'g03'").orderBy(F.desc("importance")).first()
-    assert top["regulator"] == "g00" and pairs.importance_edges(imp).where("gene_a = 'g00' and gene_b = 'g03'").count() == 1
+    assert top["regulator"] == "g00" and boosting.importance_edges(imp).where("gene_a = 'g00' and gene_b = 'g03'").count() == 1
 
 
 def test_streaming_equals_table(spark, tmp_path):

@@ -214,50 +214,3 @@ def neural_information(z: DataFrame, pairs: DataFrame, width: int = 16, epochs:
 
     study = z.schema["study"].dataType.simpleString()
     return parts.mapInPandas(same_length, f"study {study}, gene_a string, gene_b string, mi double")
-
-
-def regulator_importance(x: DataFrame, rounds: int = 50, rate: float = 0.1, seed: int = 42) -> DataFrame:
-    """M1: boosted regression stumps per target gene over all other genes; importance is the summed gain.
-
-    Each target is one group; the regulators' matrix of its study comes along once per block of targets.
-    """
-    vec = x.groupBy("study", "gene").agg(F.sort_array(F.collect_list(F.struct("run", "x"))).alias("s")).select("study", "gene", F.col("s.x").alias("v"))
-    per = vec.groupBy("study").agg(F.least(F.lit(128), F.ceil(F.count("*") / 64)).cast("int").alias("blocks"))  # copies of a study's matrix
-    cells = vec.join(per, "study").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("mine", F.pmod(F.hash("gene"), F.col("blocks")) == F.col("block"))
-
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("gene", kind="stable")
-        genes, m = rows["gene"].to_numpy(), np.array(rows["v"].tolist())
-        n = m.shape[1]
-        order = np.argsort(m, axis=1, kind="stable")
-        ties = np.take_along_axis(m, order, 1)
-        split = ties[:, 1:] > ties[:, :-1]
-        left = np.arange(1, n)
-        out = []
-        for t in np.flatnonzero(rows["mine"].to_numpy()):
-            res = m[t] - m[t].mean()
-            gain = np.zeros(len(genes))
-            for _ in range(rounds):
-                s = np.cumsum(res[order], axis=1)[:, :-1]
-                score = np.where(split, s**2 / left + (res.sum() - s) ** 2 / (n - left), -1) - res.sum() ** 2 / n
-                score[t] = -1
-                g, k = np.unravel_index(int(score.argmax()), score.shape)
-                if score[g, k] <= 1e-12:
-                    break
-                gain[g] += score[g, k]
-                low = order[g, : k + 1]
-                step = np.full(n, (res.sum() - s[g, k]) / (n - k - 1))
-                step[low] = s[g, k] / (k + 1)
-                res = res - rate * step
-            for g in np.flatnonzero(gain > 0):
-                out.append((key[0], genes[g], genes[t], gain[g]))
-        return pd.DataFrame(out, columns=["study", "regulator", "target", "importance"])
-
-    study = x.schema["study"].dataType.simpleString()
-    return cells.groupBy("study", "block").applyInPandas(run, f"study {study}, regulator string, target string, importance double")
-
-
-def importance_edges(importance: DataFrame, share: float = 0.95) -> DataFrame:
-    """M2: undirected edges of the importances at or above a percentile."""
-    kept = above_percentile(importance, "importance", share)
-    return kept.where("regulator <> target").select("study", F.least("regulator", "target").alias("gene_a"), F.greatest("regulator", "target").alias("gene_b")).distinct()

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weftnet import stand_in as t
-from weftnet.operators import community, consensus, enrich, graph, normalise, pairs, prep, qc, significance
+from weftnet.operators import boosting, community, consensus, enrich, graph, normalise, pairs, prep, qc, significance
 from weftnet.oracles import PAIR_PERMS, PERMS, SEED, P, with_parts
 from weftnet.sources import readers, writers
 
@@ -205,7 +205,7 @@ def neural_mi(spark, d):
 @query("regulator_importance")
 def regulator_importance(spark, d):
     x = t.expression(spark, d).withColumn("study", F.lit("all"))
-    return pairs.importance_edges(pairs.regulator_importance(x))
+    return boosting.importance_edges(boosting.regulator_importance(x))
 
 
 # ------------------------------------------------------------------ significance
