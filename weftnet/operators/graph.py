@@ -121,19 +121,34 @@ def topology(edges: DataFrame, genes: DataFrame) -> DataFrame:
     return out.select("graph", "n_nodes", "n_edges", F.when(pairs > 0, F.col("n_edges") / pairs).otherwise(0.0).alias("density"), (F.col("linked") + alone).alias("n_components"), giant.alias("giant_size"), (giant / F.col("n_nodes")).alias("giant_fraction"), alone.alias("n_singletons"))
 
 
-def neighbours(x: DataFrame, k: int = 15) -> DataFrame:
-    """Undirected k-nearest-neighbour edges by Euclidean distance; x(study, gene, other, value) are rows of a matrix."""
-    from weftnet.operators.pairs import block_pairs
+def neighbours(x: DataFrame, k: int = 15, block: int = 256) -> DataFrame:
+    """Undirected k-nearest-neighbour edges by Euclidean distance; x(study, gene, other, value) are rows of a matrix.
 
-    def distance(a, b):  # noqa: ANN001, ANN202
-        import numpy as np
-
-        d = (a**2).sum(1)[:, None] + (b**2).sum(1)[None] - 2 * a @ b.T
-        return {"d": np.sqrt(np.maximum(d, 0))}
-
-    d = block_pairs(x.select("study", "gene", F.col("other").alias("run"), "value"), "value", distance, {"d": "double"})
-    both = d.select("study", F.col("gene_a").alias("v"), F.col("gene_b").alias("u"), "d").union(d.select("study", F.col("gene_b").alias("v"), F.col("gene_a").alias("u"), "d"))
-    near = both.withColumn("nth", F.row_number().over(Window.partitionBy("study", "v").orderBy(F.round("d", 9), "u"))).where(F.col("nth") <= k)
+    A pair of blocks gives the k nearest of each gene in the other block, and these are merged: never all pairs.
+    """
+    import numpy as np
+    import pandas as pd
+
+    from weftnet.operators.pairs import fold, grid, vectors
+
+    def nearest(study, a, b):  # noqa: ANN001, ANN202
+        """The k nearest in the other block of each gene of either block, ties by name."""
+        x, y = vectors(a), vectors(b)
+        d = np.round(np.sqrt(np.maximum((x**2).sum(1)[:, None] + (y**2).sum(1)[None] - 2 * x @ y.T, 0)), 9)
+        same = len(a) and len(b) and a["gene"].iloc[0] == b["gene"].iloc[0]
+        if same:
+            np.fill_diagonal(d, np.inf)
+        out = []
+        for rows, others, m in ((a, b, d),) if same else ((a, b, d), (b, a, d.T)):
+            at = np.argsort(m, axis=1, kind="stable")[:, : min(k, m.shape[1])]
+            near = np.take_along_axis(m, at, 1)
+            i, j = np.nonzero(np.isfinite(near))
+            out.append(pd.DataFrame({"study": study, "v": rows["gene"].to_numpy()[i], "u": others["gene"].to_numpy()[at[i, j]], "d": near[i, j]}))
+        return pd.concat(out)
+
+    cells, _ = grid(x.select("study", "gene", F.col("other").alias("run"), "value"), "value", block)
+    found = fold(cells, nearest, "v string, u string, d double")
+    near = found.withColumn("nth", F.row_number().over(Window.partitionBy("study", "v").orderBy("d", "u"))).where(F.col("nth") <= k)
     return near.select("study", F.least("v", "u").alias("gene_a"), F.greatest("v", "u").alias("gene_b")).distinct()
 
 

@@ -21,6 +21,33 @@ from weftnet.functions.scratch import cut
 BLOCK = 256
 
 
+def grid(x: DataFrame, col: str, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+    """(study, lo, hi, blk, gene, v): each block of genes in every cell of the upper grid that needs it; and (study, gene, v, blocks, blk)."""
+    vec = x.groupBy("study", "gene").agg(F.sort_array(F.collect_list(F.struct("run", F.col(col).cast("double").alias("v")))).alias("s")).select("study", "gene", F.col("s.v").alias("v"))
+    per = vec.groupBy("study").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    vec = vec.join(per, "study").withColumn("blk", F.pmod(F.hash("gene"), F.col("blocks")))
+    cells = vec.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return cells.select("study", F.least("blk", "other").alias("lo"), F.greatest("blk", "other").alias("hi"), "blk", "gene", "v"), vec
+
+
+def fold(cells: DataFrame, fn: Callable[[object, pd.DataFrame, pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
+    """What `fn(study, rows of a block, rows of the other)` makes of each cell, genes in order of name; twice the same rows on the diagonal.
+
+    For results that are smaller than all pairs: sums for each gene, the nearest of each gene, pairs above a limit.
+    """
+
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("gene", kind="stable")
+        study, lo, hi = key
+        return fn(study, rows[rows["blk"] == lo], rows[rows["blk"] == hi])
+
+    return cells.groupBy("study", "lo", "hi").applyInPandas(run, f"study {cells.schema['study'].dataType.simpleString()}, {schema}")
+
+
+def vectors(rows: pd.DataFrame) -> np.ndarray:
+    return np.array(rows["v"].tolist())
+
+
 def block_pairs(x: DataFrame, col: str, kernel: Callable[[np.ndarray, np.ndarray], dict[str, np.ndarray]], outputs: dict[str, str], block: int = BLOCK, only: Callable[[dict[str, np.ndarray]], np.ndarray] | None = None, wanted: DataFrame | None = None) -> DataFrame:
     """(study, gene_a, gene_b, outputs) of all gene pairs of a study, gene_a < gene_b.
 
@@ -28,12 +55,7 @@ def block_pairs(x: DataFrame, col: str, kernel: Callable[[np.ndarray, np.ndarray
     that `only` masks out never become rows. With wanted(study, gene_a, gene_b), only those pairs, and no cell
     of the grid without any is scored.
     """
-    vec = x.groupBy("study", "gene").agg(F.sort_array(F.collect_list(F.struct("run", F.col(col).cast("double").alias("v")))).alias("s")).select("study", "gene", F.col("s.v").alias("v"))
-    per = vec.groupBy("study").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    vec = vec.join(per, "study").withColumn("blk", F.pmod(F.hash("gene"), F.col("blocks")))
-    # each block goes to every cell of the upper grid that needs it
-    cells = vec.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    cells = cells.select("study", F.least("blk", "other").alias("lo"), F.greatest("blk", "other").alias("hi"), "blk", "gene", "v")
+    cells, vec = grid(x, col, block)
     if wanted is not None:
         at = vec.select("study", "gene", "blk")
         a, b = (at.withColumnsRenamed({"gene": f"gene_{k}", "blk": f"blk_{k}"}) for k in "ab")

@@ -134,6 +134,49 @@ def p_values_per_pair(pairs: DataFrame, null: DataFrame) -> DataFrame:
     return both.groupBy(*keys, "mi").agg(((1 + F.count_if(hit)) / (1 + F.count("*"))).alias("p_value"))
 
 
+def pair_tests(bins: DataFrame, n: int, seed: int = 42, wanted: DataFrame | None = None, block: int = 256) -> DataFrame:
+    """P3, W2 in one: (study, gene_a, gene_b, mi, p_value) of all pairs, or the wanted ones.
+
+    A cell of two blocks of genes scores all its pairs, then again with the second gene's runs in each of n orders,
+    and adds up how often the null reaches the score: a row a pair, whatever n is. The orders are those of `pair_null`.
+    """
+    from weftnet.operators.pairs import _mi, fold, grid, vectors
+
+    cells, vec = grid(bins, "bin", block)
+    if wanted is not None:
+        at = vec.select("study", "gene", "blk")
+        a, b = (at.withColumnsRenamed({"gene": f"gene_{k}", "blk": f"blk_{k}"}) for k in "ab")
+        used = wanted.join(a, ["study", "gene_a"]).join(b, ["study", "gene_b"]).select("study", F.least("blk_a", "blk_b").alias("lo"), F.greatest("blk_a", "blk_b").alias("hi")).distinct()
+        cells = cells.join(used, ["study", "lo", "hi"], "left_semi")
+    # a row of each cell, without a gene, has the study's runs
+    runs = bins.groupBy("study").agg(F.sort_array(F.collect_set("run")).alias("runs"))
+    heads = cells.select("study", "lo", "hi").distinct().join(runs, "study").select("study", "lo", "hi", F.col("lo").alias("blk"), F.lit(None).cast("string").alias("gene"), F.lit(None).cast("array<double>").alias("v"), "runs")
+    cells = cells.withColumn("runs", F.lit(None).cast(runs.schema["runs"].dataType)).union(heads)
+
+    def count(study: object, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        import hashlib
+
+        names = next(r for r in a["runs"] if r is not None)
+        a, b = a[a["gene"].notna()], b[b["gene"].notna()]
+        if not len(a) or not len(b):
+            return pd.DataFrame(columns=["study", "gene_a", "gene_b", "mi", "p_value"])
+        ga, gb, x, y = a["gene"].to_numpy(), b["gene"].to_numpy(), vectors(a), vectors(b)
+        mi = _mi(x, y)["mi"]
+        score, hits, ahead = np.round(mi, PLACES), np.zeros(mi.shape, np.int64), ga[:, None] < gb[None]
+        same = ga[0] == gb[0]
+        for p in range(n):
+            order = np.array(sorted(range(len(names)), key=lambda k: (hashlib.md5(f"{seed}|{study}|{p}|{names[k]}".encode()).hexdigest(), names[k])))  # noqa: B023
+            hits += ahead & (np.round(_mi(x, y[:, order])["mi"], PLACES) >= score)
+            if not same and not ahead.all():  # the later name is in the first block
+                hits += ~ahead & (np.round(_mi(x[:, order], y)["mi"], PLACES) >= score)
+        i, j = np.nonzero(ahead if same else np.ones(mi.shape, bool))
+        swap = ga[i] > gb[j]
+        return pd.DataFrame({"study": study, "gene_a": np.where(swap, gb[j], ga[i]), "gene_b": np.where(swap, ga[i], gb[j]), "mi": mi[i, j], "p_value": (1 + hits[i, j]) / (1 + n)})
+
+    found = fold(cells, count, "gene_a string, gene_b string, mi double, p_value double")
+    return found if wanted is None else found.join(wanted.select("study", "gene_a", "gene_b"), ["study", "gene_a", "gene_b"], "left_semi")
+
+
 def threshold_at(null: DataFrame, p: float) -> DataFrame:
     """Summary of each study's null and the score that p-value p needs."""
     q = F.percentile("mi", F.array(F.lit(1 - p), F.lit(0.95), F.lit(0.99), F.lit(0.999)))

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftnet.functions.scratch import cut
-from weftnet.operators import community, consensus, enrich, graph, pairs, prep, significance
+from weftnet.operators import community, consensus, enrich, graph, likelihood, pairs, prep, significance
 from weftnet.sources import readers, writers
 
 
@@ -112,8 +112,8 @@ def scored(x: DataFrame, s: Settings, cache: str | None = None) -> tuple[DataFra
         else:
             found = cut(found)
     if s.pair_permutations:
-        null = significance.pair_null(bins, found, s.pair_permutations, s.seed)
-        return significance.p_values_per_pair(found, null), null
+        tested = significance.pair_tests(bins, s.pair_permutations, s.seed, found.select("study", "gene_a", "gene_b") if s.prescreen.method else None)
+        return tested, significance.pair_null(bins, found, s.pair_permutations, s.seed)  # the null itself only if it is read
     null = cut(significance.global_null(bins, s.permutations, s.seed))
     return significance.p_values(found, null), null
 
@@ -166,8 +166,7 @@ def run(expression: DataFrame, metadata: DataFrame, settings: Settings = Setting
 def likelihood_network(expression: DataFrame, bins: int = 5, share: float = 0.95, method: str = "louvain") -> tuple[DataFrame, DataFrame]:
     """The whole-matrix network: information of all pairs over all samples, likelihood, percentile cut, communities."""
     x = expression.select(F.lit("all").alias("study"), "gene", "run", "x")
-    c = cut(pairs.clr(pairs.mutual_information(prep.quantile_bins(x, bins))))
-    edges = pairs.above_percentile(c, "clr", share)
+    edges = cut(likelihood.edges(prep.quantile_bins(x, bins), share))
     net = edges.select(F.lit(0).alias("graph"), F.col("gene_a").alias("a"), F.col("gene_b").alias("b"))
     return edges, community.communities(net, method)
 

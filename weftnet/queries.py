@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weftnet import stand_in as t
-from weftnet.operators import boosting, community, consensus, enrich, graph, normalise, pairs, prep, qc, significance
+from weftnet.operators import boosting, community, consensus, enrich, graph, likelihood, normalise, pairs, prep, qc, significance
 from weftnet.oracles import PAIR_PERMS, PERMS, SEED, P, with_parts
 from weftnet.sources import readers, writers
 
@@ -185,7 +185,7 @@ def clr(spark, d):
 
 @query("clr_threshold", "SELECT study, gene_a, gene_b, round(clr, 6) AS clr FROM (SELECT *, quantile_cont(round(clr, 9), 0.95) OVER (PARTITION BY study) AS cut FROM clr) WHERE round(clr, 9) >= cut")
 def clr_threshold(spark, d):
-    return pairs.above_percentile(pairs.clr(_mi(spark, d)).withColumn("place", F.round("clr", 9)), "place").select(*EDGE, r6("clr"))
+    return likelihood.edges(_bins(spark, d)).select(*EDGE, r6("clr"))
 
 
 @query("sparsify", """SELECT study, gene, count(*) AS n_kept, round(sum(mi), 5) AS total FROM (SELECT study, gene, mi, quantile_cont(mi, 0.95) OVER (PARTITION BY study, gene) AS cut
@@ -257,8 +257,7 @@ _PAIR_SQL = f"""pr AS (SELECT study, gene_a, gene_b, mi FROM mi),
 
 @query("pvalue_per_pair")
 def pvalue_per_pair(spark, d):
-    scored = _mi(spark, d).drop("mi_mm")
-    return significance.p_values_per_pair(scored, significance.pair_null(_bins(spark, d), scored, PAIR_PERMS, SEED)).select(*EDGE, r6("p_value"))
+    return significance.pair_tests(_bins(spark, d), PAIR_PERMS, SEED).select(*EDGE, r6("p_value"))
 
 
 ORACLES["pvalue_per_pair"] = with_parts(
