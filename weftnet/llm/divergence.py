@@ -213,16 +213,14 @@ def _compare(part: pa.Table) -> pa.Table:
 
 
 def distances(groups: DataFrame, counts: DataFrame, bucket: int = BUCKET) -> DataFrame:
-    """(lang, source, item, q, value) of every two sources of a language; groups(lang, source, size, v, p0), counts with p."""
-    nth = (F.row_number().over(Window.partitionBy("lang").orderBy("source")) - 1).cast("long")
-    sources = persist(groups.select("lang", "source", "v", "p0", nth.alias("idx")))
-    size = counts.groupBy("lang").agg(F.count("*").alias("postings"))
-    grid = sources.groupBy("lang").agg(F.count("*").alias("n")).join(size, "lang", "left")
-    grid = grid.select("lang", F.greatest(F.lit(1), F.ceil(F.coalesce("postings", F.lit(0)) / bucket)).cast("int").alias("buckets"), F.ceil(F.col("n") / TILE).cast("int").alias("tiles"))
+    """(lang, source, item, value) of every two sources of a language; groups(lang, source, terms, v, p0), counts with p."""
+    nth, of = (F.row_number().over(Window.partitionBy("lang").orderBy("source")) - 1).cast("long"), Window.partitionBy("lang")
+    buckets = F.greatest(F.lit(1), F.ceil(F.sum("terms").over(of) / bucket)).cast("int")
+    sources = persist(groups.select("lang", "source", "v", "p0", nth.alias("idx"), buckets.alias("buckets"), F.ceil(F.count("*").over(of) / TILE).cast("int").alias("tiles")))
     upto = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
-    posts = counts.join(sources.select("lang", "source", "idx"), ["lang", "source"]).join(grid, "lang")
+    posts = counts.select("lang", "source", "term", "p").join(sources.select("lang", "source", "idx", "buckets", "tiles"), ["lang", "source"])
     posts = posts.select("lang", F.pmod(F.xxhash64("term"), "buckets").cast("int").alias("bucket"), upto("tiles").alias("tile"), "idx", "term", "p")
-    ends = sources.join(grid, "lang").withColumn("bucket", upto("buckets")).select("lang", "bucket", upto("tiles").alias("tile"), "idx", F.lit(None).cast("binary").alias("term"), F.col("p0").alias("p"))
+    ends = sources.withColumn("bucket", upto("buckets")).select("lang", "bucket", upto("tiles").alias("tile"), "idx", F.lit(None).cast("binary").alias("term"), F.col("p0").alias("p"))
     sums = posts.union(ends).groupBy("lang", "bucket", "tile").applyInArrow(_compare, "lang string, a long, b long, value long").groupBy("lang", "a", "b").agg(F.sum("value").alias("value"))
     a = sources.select("lang", F.col("idx").alias("a"), "source", "v", F.col("p0").alias("p0_a"))
     b = sources.select("lang", F.col("idx").alias("b"), F.col("source").alias("item"), F.col("p0").alias("p0_b"))
@@ -235,12 +233,13 @@ def audit(docs: DataFrame, least: int = LEAST, top: int = TOP) -> DataFrame:
     kept = persist(vocabulary(docs, least))
     counts = persist(occurrences(docs, kept))
     per = kept.groupBy("lang").agg(F.count("*").alias("v"))
-    groups = _named(docs).select("lang", "source").distinct().join(counts.groupBy("lang", "source").agg(F.sum("n").alias("size")), ["lang", "source"], "left").join(per, "lang", "left").fillna(0, ["size", "v"])
-    groups = persist(groups.withColumn("p0", _share(F.lit(0), "size", "v")))
+    sizes = counts.groupBy("lang", "source").agg(F.sum("n").alias("size"), F.count("*").alias("terms"))
+    groups = _named(docs).select("lang", "source").distinct().join(sizes, ["lang", "source"], "left").join(per, "lang", "left").fillna(0, ["size", "terms", "v"])
+    # the language's size comes along with each source, so postings, of which a language may have most, meet no table by language alone
+    groups = persist(groups.withColumns({"p0": _share(F.lit(0), "size", "v"), "whole": F.sum("size").over(Window.partitionBy("lang"))}))
     discard(kept)
-    own = counts.join(groups, ["lang", "source"]).select("lang", "source", "term", "n", "v", _share("n", "size", "v").alias("p"))
-    whole = counts.groupBy("lang", "term").agg(F.sum("n").alias("n")).join(groups.groupBy("lang").agg(F.sum("size").alias("size"), F.max("v").alias("v")), "lang")
-    whole = whole.select("lang", "term", _share("n", "size", "v").alias("q"))
+    own = counts.join(groups, ["lang", "source"]).select("lang", "source", "term", "n", "v", "whole", _share("n", "size", "v").alias("p"))
+    whole = own.groupBy("lang", "term").agg(F.sum("n").alias("n"), F.first("whole").alias("size"), F.first("v").alias("v")).select("lang", "term", _share("n", "size", "v").alias("q"))
     order = lambda rows: rows.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "source").orderBy(F.col("value").desc(), "item")).cast("int"))
     typical = own.join(whole, ["lang", "term"]).where("p > q").select("lang", "source", F.lit("term").alias("part"), F.col("term").cast("string").alias("item"), (F.col("p") - F.col("q")).alias("value"))
     apart = distances(groups, own).select("lang", "source", F.lit("pair").alias("part"), "item", "value")
