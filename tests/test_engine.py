@@ -186,6 +186,28 @@ def test_modularity_of_communities(spark):
     assert split.select("module").distinct().count() == 4 and table.count() == 4
 
 
+@pytest.mark.parametrize("method", ["louvain", "leiden"])
+def test_components_larger_than_a_task(spark, method):
+    """Moves over tables come close to the sequential ones; small components stay as they are."""
+    rng = np.random.default_rng(11)
+    group = rng.integers(0, 8, 160)
+    edges = [(0, a, b) for a in range(160) for b in range(a) if rng.random() < (0.35 if group[a] == group[b] else 0.02)]
+    edges += [(0, 1000 + a, 1000 + b) for a, b in itertools.combinations(range(5), 2)] + [(1, a, b) for g, a, b in edges[:300]]
+    df = spark.createDataFrame(edges, "graph int, a long, b long")
+    q = lambda m: {r["graph"]: r["modularity"] for r in community.modularity(df, m).collect()}
+    alone, spread = community.communities(df, method, least_size=1), community.communities(df, method, least_size=1, task_edges=100).cache()
+    want, got = q(alone), q(spread)
+    assert all(got[g] >= 0.98 * want[g] for g in want), (want, got)
+    assert spread.count() == alone.count() == spread.select("graph", "v").distinct().count()
+    five = spread.where("v >= 1000").select("module").distinct().collect()
+    assert len(five) == 1 and spread.where((F.col("graph") == 0) & (F.col("module") == five[0][0])).count() == 5
+    nothing = community.communities(df, method, least_size=1, task_edges=0).cache()  # not even a merged vertex fits: moves alone
+    assert q(nothing)[0] >= 0.95 * want[0] and nothing.count() == alone.count()
+    if method == "leiden":  # connected communities
+        inner = graph.induced(df, spread).select(F.concat_ws("|", "graph", "module").alias("graph"), "a", "b")
+        assert graph.components(inner).groupBy("graph").agg(F.countDistinct("component").alias("n")).where("n > 1").count() == 0
+
+
 def test_enrichment_value(spark):
     modules = spark.createDataFrame([(1, f"g{k}") for k in range(8)], "module int, gene string")
     sets = spark.createDataFrame([("S", f"g{k}") for k in list(range(4, 8)) + list(range(20, 26))] + [("outside", "x1"), ("outside", "x2"), ("none", "g20"), ("none", "g21")], "set_name string, gene string")

@@ -29,6 +29,13 @@ def folder(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """A written table in the shared folder, read back: for long loops, as a checkpoint keeps a plan's constraints, which pile up."""
+    path = folder(df.sparkSession, "stored")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def log_factorials(n: int) -> np.ndarray:
     return np.concatenate([[0.0], np.cumsum(np.log(np.arange(1, n + 1)))])
 
@@ -39,10 +46,12 @@ def hypergeometric_tail(x: pd.Series, m: pd.Series, n: pd.Series, total: pd.Seri
     if not len(x):
         return pd.Series([], dtype="float64")
     lf = log_factorials(int(total.max()))
-    out = np.ones(len(x))
-    for k, (a, b, c, t) in enumerate(zip(x.to_numpy(), m.to_numpy(), n.to_numpy(), total.to_numpy(), strict=True)):
-        if a > 0:
-            j = np.arange(a, min(b, c) + 1)
-            j = j[t - b - c + j >= 0]
-            out[k] = min(1.0, float(np.exp(lf[b] - lf[j] - lf[b - j] + lf[t - b] - lf[c - j] - lf[t - b - c + j] - lf[t] + lf[c] + lf[t - c]).sum()))
+    cases, which = np.unique(np.stack([c.to_numpy(np.int64) for c in (m, n, total)], 1), axis=0, return_inverse=True)
+    x, out = x.to_numpy(np.int64), np.ones(len(x))
+    for k, (b, c, t) in enumerate(cases):  # all tails of one distribution at once
+        j = np.arange(max(0, b + c - t), min(b, c) + 1)
+        p = np.exp(lf[b] - lf[j] - lf[b - j] + lf[t - b] - lf[c - j] - lf[t - b - c + j] - lf[t] + lf[c] + lf[t - c])
+        tails = np.append(np.cumsum(p[::-1])[::-1], 0.0)
+        mine = which.ravel() == k
+        out[mine] = np.where(x[mine] > 0, np.minimum(1.0, tails[np.clip(x[mine] - j[0], 0, len(j))]), 1.0)
     return pd.Series(out)

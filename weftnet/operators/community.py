@@ -1,8 +1,12 @@
 """Communities by modularity: Louvain and Leiden per connected component, refinement of large modules.
 
 Communities never span components, so each component is one group; its share of the whole graph's weight
-comes along, so that gains are those of the whole graph. A component is searched in one task, as the method
-is sequential; the largest component bounds the task.
+comes along, so that gains are those of the whole graph. A component of at most `TASK_EDGES` edges is searched in
+one task, as the method is sequential. A larger one is first made smaller by moves over tables: in each round
+every community has one of two colours, and vertices only move from communities of the first to those of the
+second, so no community gains and loses at once and neighbours in different communities never move together.
+When moves no longer help, communities (for Leiden: their connected pieces) become vertices, until what is left
+of the component fits a task or nothing moves any more.
 """
 
 from __future__ import annotations
@@ -11,10 +15,15 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftnet.functions.scratch import cut
+from weftnet.functions.scratch import cut, stored
 from weftnet.operators.graph import components, induced, mcode
 
 
+#: Edges of a component that one task searches; the least rise of modularity that makes a round worth it, and
+#: how many rounds without one end the moves.
+TASK_EDGES, RISE, PATIENCE = 500_000, 1e-4, 3
+
+
 def _move(adj: list[dict[int, float]], k: list[float], two_m: float, resolution: float, label: list[int]) -> bool:
     """Local moves in fixed order until none gains."""
     total: dict[int, float] = {}
@@ -109,13 +118,87 @@ def partition(edges: list[tuple[int, int, float]], n: int, two_m: float, resolut
     return [label[x] for x in where]
 
 
-def communities(edges: DataFrame, method: str = "leiden", resolution: float = 1.0, least_size: int = 3, weight: str | None = None) -> DataFrame:
+def _moved(both: DataFrame, nodes: DataFrame, resolution: float) -> DataFrame:
+    """(graph, v, component, k, two_m, c): communities c of vertices after rounds of coloured moves from those in `nodes`."""
+    best, best_q, idle, turn = nodes, float("-inf"), 0, 0
+    now = nodes
+    while True:
+        total = now.groupBy("graph", F.col("c").alias("d")).agg(F.sum("k").alias("total"))
+        to = both.where("v <> u").join(now.select("graph", F.col("v").alias("u"), F.col("c").alias("d")), ["graph", "u"]).groupBy("graph", "v", "d").agg(F.sum("w").alias("w"))
+        own = now.join(total.withColumnsRenamed({"d": "c", "total": "own"}), ["graph", "c"])
+        seen = own.join(to.join(total, ["graph", "d"]), ["graph", "v"], "left")
+        colour = lambda c: F.pmod(F.xxhash64(F.lit(turn), F.col(c).cast("string")), F.lit(2))  # noqa: B023, E731
+        other = (F.col("d") != F.col("c")) & (colour("d") == 1)
+        gain = F.col("w") - resolution * F.col("k") * F.col("total") / F.col("two_m")
+        keys = ["graph", "v", "component", "k", "two_m", "c", "own"]
+        stay = F.coalesce(F.max(F.when(F.col("d") == F.col("c"), F.col("w"))), F.lit(0.0))
+        pick = seen.groupBy(*keys).agg(stay.alias("inside"), F.max(F.when(other, F.struct(F.round(gain, 12).alias("gain"), "d"))).alias("to"))
+        held = F.col("inside") - resolution * F.col("k") * (F.col("own") - F.col("k")) / F.col("two_m")
+        goes = (colour("c") == 0) & F.col("to").isNotNull() & (F.col("to.gain") > F.round(held, 12) + 1e-12)
+        pick = stored(pick.select(*keys, "inside", F.coalesce(goes, F.lit(False)).alias("goes"), "to"))
+        # modularity before the moves, but for the weight inside vertices, which no move changes
+        q, moves = pick.agg(F.sum((F.col("inside") - resolution * F.col("k") * F.col("own") / F.col("two_m")) / F.col("two_m")), F.count_if("goes")).first()
+        if q is None:
+            return nodes
+        idle = 0 if q > best_q + RISE else idle + 1
+        if q > best_q:
+            best, best_q = now, q
+        if idle >= PATIENCE or (not moves and idle):
+            return best
+        now = pick.select("graph", "v", "component", "k", "two_m", F.when(F.col("goes"), F.col("to.d")).otherwise(F.col("c")).alias("c"))
+        turn += 1
+
+
+def _shrunk(e: DataFrame, method: str, resolution: float, task_edges: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Components that are too large for a task, made smaller: e(graph, component, a, b, w, two_m).
+
+    Gives the same table over merged vertices, for those that fit a task now; (graph, v, x): the merged vertex of each
+    vertex; and (graph, v, seed): communities of merged vertices where nothing moves any more.
+    """
+    both = stored(e.select("graph", "component", "two_m", "w", F.explode(F.array(F.struct(F.col("a").alias("v"), F.col("b").alias("u")), F.struct(F.col("b").alias("v"), F.col("a").alias("u")))).alias("e")).select("graph", "component", "two_m", "e.v", "e.u", "w"))
+    nodes = stored(both.groupBy("graph", "v", "component", "two_m").agg(F.sum("w").alias("k")).select("graph", "v", "component", "k", "two_m", F.col("v").alias("c")))
+    where = nodes.select("graph", "v", F.col("v").alias("x"))
+    fits = done = None
+    while True:
+        moved = stored(_moved(both, nodes, resolution))
+        if method == "leiden":
+            named = moved.select("graph", "v", "c")
+            inner = both.join(named, ["graph", "v"]).join(named.withColumnsRenamed({"v": "u", "c": "d"}), ["graph", "u"]).where("c = d and v < u")
+            pieces = components(inner.select("graph", F.col("v").alias("a"), F.col("u").alias("b")))
+            moved = stored(moved.drop("c").join(pieces.withColumnRenamed("component", "c"), ["graph", "v"], "left").withColumn("c", F.coalesce("c", "v")))
+        # a name for each merged vertex: its smallest one
+        least = moved.groupBy("graph", "c").agg(F.min("v").alias("x"))
+        to = stored(moved.join(least, ["graph", "c"]).select("graph", "v", "x"))
+        counts = nodes.groupBy("graph", "component").agg(F.count("*").alias("before")).join(moved.groupBy("graph", "component").agg(F.countDistinct("c").alias("after")), ["graph", "component"])
+        where = stored(where.withColumnRenamed("x", "v0").join(to.withColumnRenamed("v", "v0"), ["graph", "v0"], "left").select("graph", "v", F.coalesce("x", "v0").alias("x")))
+        ends = both.join(to, ["graph", "v"]).join(to.withColumnsRenamed({"v": "u", "x": "y"}), ["graph", "u"])
+        both = stored(ends.groupBy("graph", "component", "two_m", F.col("x").alias("v"), F.col("y").alias("u")).agg(F.sum("w").alias("w")))
+        nodes = stored(both.groupBy("graph", "v", "component", "two_m").agg(F.sum("w").alias("k")).select("graph", "v", "component", "k", "two_m", F.col("v").alias("c")))
+        size = both.groupBy("graph", "component").agg(F.count("*").alias("edges")).join(counts, ["graph", "component"])
+        state = stored(size.select("graph", "component", (F.col("edges") <= 2 * task_edges).alias("fits"), (F.col("after") == F.col("before")).alias("still")))
+        mine = lambda rows, which: rows.join(state.where(which).select("graph", "component"), ["graph", "component"], "left_semi")  # noqa: B023, E731
+        small, stuck = mine(both, "fits"), mine(nodes, "still and not fits").select("graph", "v", F.col("v").alias("seed"))
+        fits, done = (small, stuck) if fits is None else (fits.union(small), done.union(stuck))
+        if not state.where("not fits and not still").limit(1).count():
+            break
+        both, nodes = stored(mine(both, "not fits and not still")), stored(mine(nodes, "not fits and not still"))
+    # either direction of an edge is one row; weight inside a vertex counts twice in its degree, as for sequential merging
+    fits = fits.where("v <= u").select("graph", "component", F.col("v").alias("a"), F.col("u").alias("b"), F.when(F.col("v") == F.col("u"), F.col("w") / 2).otherwise(F.col("w")).alias("w"), "two_m")
+    return stored(fits), where, stored(done)
+
+
+def communities(edges: DataFrame, method: str = "leiden", resolution: float = 1.0, least_size: int = 3, weight: str | None = None, task_edges: int = TASK_EDGES) -> DataFrame:
     """(graph, module, v), modules numbered by falling size, then smallest name."""
     w = F.col(weight).cast("double") if weight else F.lit(1.0)
     e = edges.where("a <> b").select("graph", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), w.alias("w")).groupBy("graph", "a", "b").agg(F.max("w").alias("w"))
     comp = components(e)
     total = e.groupBy("graph").agg((2 * F.sum("w")).alias("two_m"))
-    rows = e.join(comp.select("graph", F.col("v").alias("a"), "component"), ["graph", "a"]).join(total, "graph")
+    rows = cut(e.join(comp.select("graph", F.col("v").alias("a"), "component"), ["graph", "a"]).join(total, "graph").select("graph", "component", "a", "b", "w", "two_m"))
+    large = cut(rows.groupBy("graph", "component").count().where(F.col("count") > task_edges).select("graph", "component"))
+    where = done = None
+    if large.limit(1).count():
+        fits, where, done = _shrunk(rows.join(large, ["graph", "component"], "left_semi"), method, resolution, task_edges)
+        rows = rows.join(large, ["graph", "component"], "left_anti").union(fits)
 
     def run(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(["a", "b"])
@@ -129,6 +212,11 @@ def communities(edges: DataFrame, method: str = "leiden", resolution: float = 1.
 
     kind = {c: e.schema[c].dataType.simpleString() for c in ("graph", "a")}
     found = rows.groupBy("graph", "component").applyInPandas(run, f"graph {kind['graph']}, v {kind['a']}, seed {kind['a']}")
+    if where is not None:
+        found = cut(found.union(done))
+        merged = where.join(found.withColumnRenamed("v", "x"), ["graph", "x"])
+        whole = found.join(where.select("graph", F.col("x").alias("v")), ["graph", "v"], "left_anti")  # of components that fit a task at once
+        found = cut(merged.select("graph", "v", "seed").union(whole.select("graph", "v", "seed")))
     size = found.groupBy("graph", "seed").agg(F.count("*").alias("size")).where(F.col("size") >= least_size)
     ids = size.select("graph", "seed", (F.row_number().over(Window.partitionBy("graph").orderBy(F.col("size").desc(), "seed")) - 1).alias("module"))
     return found.join(ids, ["graph", "seed"]).select("graph", "module", "v")

@@ -12,7 +12,7 @@ PARTS = {
     "counts": "SELECT l_partkey AS gene, l_suppkey AS run, sum(l_quantity) AS count FROM lineitem GROUP BY 1, 2",
     "meta": "SELECT s_suppkey AS run, n_name AS project FROM supplier JOIN nation ON s_nationkey = n_nationkey",
     "sets": "SELECT 'brands' AS library, p_brand AS set_name, p_partkey AS gene FROM part UNION ALL SELECT 'types', p_type, p_partkey FROM part UNION ALL SELECT 'sizes', 'size ' || p_size, p_partkey FROM part",
-    "mods": "SELECT DISTINCT l_suppkey AS module, l_partkey AS gene FROM lineitem WHERE l_quantity >= 25",
+    "mods": "SELECT DISTINCT l_suppkey AS module, l_partkey AS gene FROM lineitem",
     "libs": "SELECT run, sum(count) AS lib_size FROM counts GROUP BY run",
     "rle_genes": "SELECT gene, avg(ln(count)) AS log_mean FROM counts WHERE count > 0 GROUP BY gene HAVING count(*) = (SELECT count(DISTINCT run) FROM dense)",
     "dense": "SELECT gene % 40 AS gene, run % 25 AS run, sum(count) AS count FROM counts GROUP BY 1, 2",
@@ -79,6 +79,7 @@ def core_sql(adj: str, out: str) -> dict[str, str]:
 
 PARTS |= core_sql("adj", "cons_core") | core_sql("near_adj", "near_core")
 PARTS |= {
+    "near_reach": "SELECT v, v AS c FROM near_adj UNION SELECT near_adj.u, near_reach.c FROM near_reach JOIN near_adj ON near_adj.v = near_reach.v WHERE near_reach.c < near_adj.u",
     "near_deg": "SELECT v, count(*) AS degree FROM near_adj GROUP BY 1",
     "near_tri": "SELECT x.v, count(*) AS triangles FROM near_adj x JOIN near_adj y ON y.v = x.v AND x.u < y.u JOIN near_adj z ON z.v = x.u AND z.u = y.u GROUP BY 1",
     "near_weight": "SELECT v, core * (degree + coalesce(triangles, 0)) / (degree * (degree + 1) / 2) AS weight FROM near_core JOIN near_deg USING (v) LEFT JOIN near_tri USING (v)",

@@ -308,10 +308,12 @@ def edge_weights_scaled(spark, d):
     return consensus.edge_weights(_edges(spark, d), "neglog10p", (1, 3), True).select(*EDGE, r6("edge_weight"), r6("weight"))
 
 
-@query("common_genes", "SELECT gene FROM counts JOIN meta USING (run) GROUP BY gene HAVING count(DISTINCT project) = (SELECT count(DISTINCT project) FROM meta JOIN counts USING (run))")
+@query("common_genes", "SELECT gene FROM (SELECT DISTINCT r_name AS study, l_partkey AS gene FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey) GROUP BY gene HAVING count(*) = (SELECT count(DISTINCT n_regionkey) FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey)")
 def common_genes(spark, d):
-    x = t.counts(spark, d).join(t.metadata(spark, d), "run").select(F.col("project").alias("study"), "gene")
-    return consensus.common_genes(x)
+    """Parts that suppliers of every region have delivered."""
+    li, s, n, r = (t.table(spark, d, name) for name in ("lineitem", "supplier", "nation", "region"))
+    x = li.join(s, F.col("l_suppkey") == F.col("s_suppkey")).join(n, F.col("s_nationkey") == F.col("n_nationkey")).join(r, F.col("n_regionkey") == F.col("r_regionkey"))
+    return consensus.common_genes(x.select(F.col("r_name").alias("study"), F.col("l_partkey").alias("gene")).distinct())
 
 
 @query("reindex_edges", "SELECT study, gene_a, gene_b FROM sig WHERE gene_a < 'G40' AND gene_b < 'G40'")
@@ -355,6 +357,11 @@ def local_density(spark, d):
     return graph.local_density(_graph(spark, d)).select(F.col("v").alias("gene"), "degree", "triangles", r6("density"))
 
 
+@query("components_suppliers", "SELECT v AS supplier, min(c) AS component FROM near_reach GROUP BY v")
+def components_suppliers(spark, d):
+    return graph.components(_near_suppliers(spark, d)).select(F.col("v").alias("supplier"), "component")
+
+
 @query("components", """SELECT v, component FROM (SELECT DISTINCT a AS v FROM top_parts UNION SELECT b FROM top_parts) JOIN (
   SELECT v, min(c) AS component FROM reach GROUP BY v) USING (v)""", part=True)
 def components(spark, d):
@@ -419,6 +426,16 @@ def leiden(spark, d):
     return community.communities(_graph(spark, d), "leiden").select("module", F.col("v").alias("gene"))
 
 
+@query("louvain_spread", "SELECT 0 AS graph, true AS as_good_as_nations, round(inside / m - squares / (4 * m * m), 6) AS of_nations FROM (SELECT count(*) AS m, count(*) FILTER (x.s_nationkey = y.s_nationkey) AS inside FROM near_edges JOIN supplier x ON x.s_suppkey = a JOIN supplier y ON y.s_suppkey = b), (SELECT sum(k * k)::DOUBLE AS squares FROM (SELECT sum(degree) AS k FROM near_deg JOIN supplier ON s_suppkey = v GROUP BY s_nationkey))")
+def louvain_spread(spark, d):
+    """Communities by moves over tables alone have at least the modularity of nations, which SQL gives."""
+    e = _near_suppliers(spark, d)
+    nations = t.table(spark, d, "supplier").select(F.lit(0).alias("graph"), F.col("s_nationkey").alias("module"), F.col("s_suppkey").alias("v"))
+    found = community.modularity(e, community.communities(e, "louvain", least_size=1, task_edges=0))
+    both = community.modularity(e, nations).withColumnRenamed("modularity", "of_nations").join(found, "graph")
+    return both.select("graph", (F.col("modularity") >= 0.98 * F.col("of_nations")).alias("as_good_as_nations"), r6("of_nations"))
+
+
 @query("refine_modules")
 def refine_modules(spark, d):
     """Connected suppliers split into their dense parts: parent and child sizes, which of them were split."""
@@ -481,14 +498,14 @@ def hit_manifest(spark, d):
     return enrich.hit_manifest(hits, enrich.manifest(s)).select("library", "n_sets", "n_hits", "n_modules")
 
 
-@query("genes_in_terms", "SELECT module, set_name, string_agg(gene::VARCHAR, ';' ORDER BY gene::VARCHAR) AS genes FROM mods JOIN sets USING (gene) WHERE library = 'types' GROUP BY 1, 2")
+@query("genes_in_terms", "SELECT module, set_name, string_agg(DISTINCT gene::VARCHAR, ';' ORDER BY gene::VARCHAR) AS genes FROM mods JOIN sets USING (gene) GROUP BY 1, 2")
 def genes_in_terms(spark, d):
-    return enrich.genes_in_terms(t.modules(spark, d), t.gene_sets(spark, d).where("library = 'types'"))
+    return enrich.genes_in_terms(t.modules(spark, d), t.gene_sets(spark, d))
 
 
-@query("ortholog_map", "SELECT module, count(DISTINCT m.gene) AS n_source, count(DISTINCT CASE WHEN p_name <> '' THEN p.p_partkey END) AS n_mapped, count(DISTINCT p_name) AS n_target FROM mods m LEFT JOIN (SELECT * FROM part WHERE p_partkey % 3 > 0) p ON p.p_partkey = m.gene GROUP BY module")
+@query("ortholog_map", "SELECT module, count(DISTINCT m.gene) AS n_source, count(DISTINCT CASE WHEN p_name <> '' THEN p.p_partkey END) AS n_mapped, count(DISTINCT p_name) AS n_target FROM mods m LEFT JOIN part p ON p.p_partkey = m.gene GROUP BY module")
 def ortholog_map(spark, d):
-    m = enrich.tidy_map(t.table(spark, d, "part").where("p_partkey % 3 > 0"), "p_partkey", "p_name")
+    m = enrich.tidy_map(t.table(spark, d, "part"), "p_partkey", "p_name")
     mods = t.modules(spark, d).withColumn("gene", F.col("gene").cast("string"))
     return enrich.mapping_summary(mods, m)
 
@@ -590,11 +607,12 @@ def edge_table_read_back(spark, d):
     return readers.edge_list(spark, path).select(F.col("study").cast("int").alias("study"), "gene_a", "gene_b", r6("mi"), r6("p_value"))
 
 
-@query("bh_table_read_back", "SELECT study, count(*) AS n FROM sig_all GROUP BY 1")
+@query("bh_table_read_back", """SELECT study, gene_a, gene_b, round(mi, 6) AS mi, round(p_value, 6) AS p_value, round(least(1, p_value * m / rk), 6) AS p_adjusted FROM (SELECT *, max(CASE WHEN p_value <= rk / m * 0.3 THEN p_value END) OVER (PARTITION BY study) AS cutoff
+  FROM (SELECT *, row_number() OVER (PARTITION BY study ORDER BY p_value, gene_a, gene_b) AS rk, count(*) OVER (PARTITION BY study) AS m FROM sig_all)) WHERE p_value <= cutoff""")
 def bh_table_read_back(spark, d):
     path = _folder(spark, "bh")
-    writers.tsv(significance.bh_edges(_tested(spark, d), 1.0), path, by="study")
-    return readers.edge_list(spark, path).groupBy(F.col("study").cast("int").alias("study")).agg(F.count("*").alias("n"))
+    writers.tsv(significance.bh_edges(_tested(spark, d), 0.3), path, by="study")
+    return readers.edge_list(spark, path).select(F.col("study").cast("int").alias("study"), "gene_a", "gene_b", r6("mi"), r6("p_value"), F.round(F.col("p_adjusted").cast("double"), 6).alias("p_adjusted"))
 
 
 @query("matrix_market_read_back", "SELECT gene_a, gene_b, n_studies::DOUBLE AS value FROM cons UNION ALL SELECT gene_b, gene_a, n_studies FROM cons")
@@ -612,13 +630,15 @@ def module_table_read_back(spark, d):
     return readers.modules(spark, path).select(F.col("module").cast("long").alias("module"), "gene")
 
 
-@query("module_graphml_read_back", "SELECT module, count(*) FILTER (kind = 'node') AS n_nodes, count(*) FILTER (kind = 'edge') AS n_edges FROM (SELECT s_nationkey AS module, 'node' AS kind FROM supplier UNION ALL SELECT x.s_nationkey, 'edge' FROM near_edges JOIN supplier x ON x.s_suppkey = a JOIN supplier y ON y.s_suppkey = b AND y.s_nationkey = x.s_nationkey) GROUP BY 1")
+@query("module_graphml_read_back", "SELECT s_nationkey AS module, s_suppkey::VARCHAR AS source, NULL AS target FROM supplier UNION ALL SELECT x.s_nationkey, a::VARCHAR, b::VARCHAR FROM near_edges JOIN supplier x ON x.s_suppkey = a JOIN supplier y ON y.s_suppkey = b AND y.s_nationkey = x.s_nationkey")
 def module_graphml_read_back(spark, d):
     path = _folder(spark, "graphml")
     modules = t.table(spark, d, "supplier").select(F.col("s_nationkey").alias("module"), F.col("s_suppkey").alias("gene"))
     writers.module_graphs(_near_suppliers(spark, d).select(F.col("a").alias("gene_a"), F.col("b").alias("gene_b")), modules, path)
     lines = spark.read.text(path)
-    return lines.groupBy(F.col("module").cast("int").alias("module")).agg(F.count_if(F.col("value").startswith("<node")).alias("n_nodes"), F.count_if(F.col("value").startswith("<edge")).alias("n_edges"))
+    found = lambda text: F.nullif(F.regexp_extract("value", text, 1), F.lit(""))
+    rows = lines.select(F.col("module").cast("int").alias("module"), F.coalesce(found('^<node id="([^"]*)"'), found('^<edge source="([^"]*)"')).alias("source"), found('target="([^"]*)"').alias("target"))
+    return rows.where("source is not null")
 
 
 @query("gene_sets_read_back", "SELECT library, set_name, count(DISTINCT gene) AS n_genes FROM sets GROUP BY 1, 2")
@@ -669,11 +689,11 @@ def score_cache_read_back(spark, d):
     return scored(x, s, path)[0].select(*EDGE, r6("mi"))
 
 
-@query("network_comparison", "SELECT 4 AS n_lines, 'edges in both: ' || count(*) FILTER (a AND b) AS first_line FROM (SELECT gene_a, gene_b, bool_or(s = 0) AS a, bool_or(s = 1) AS b FROM (SELECT gene_a, gene_b, study % 2 AS s FROM sig) GROUP BY 1, 2)")
+@query("network_comparison", """SELECT o, line FROM (SELECT unnest([0, 1, 2, 3]) AS o, unnest(['edges in both: ' || x, 'edges in a alone: ' || y, 'edges in b alone: ' || z, 'Jaccard index: ' || printf('%.4f', x / (x + y + z))]) AS line FROM (
+  SELECT count(*) FILTER (a AND b) AS x, count(*) FILTER (a AND NOT b) AS y, count(*) FILTER (b AND NOT a) AS z FROM (SELECT gene_a, gene_b, bool_or(s = 0) AS a, bool_or(s = 1) AS b FROM (SELECT gene_a, gene_b, study % 2 AS s FROM sig) GROUP BY 1, 2)))""")
 def network_comparison(spark, d):
     e = _edges(spark, d)
-    lines = writers.comparison(e.where("study % 2 = 0"), e.where("study % 2 = 1"))
-    return lines.agg(F.count("*").alias("n_lines"), F.min_by("line", "o").alias("first_line"))
+    return writers.comparison(e.where("study % 2 = 0"), e.where("study % 2 = 1")).select("o", "line")
 
 
 @query("prescreened_scores", "SELECT mi.study, mi.gene_a, mi.gene_b, round(mi, 6) AS mi FROM mi JOIN pear ON pear.study = mi.study AND pear.gene_a = mi.gene_a AND pear.gene_b = mi.gene_b WHERE abs(r) > 0.15")

@@ -45,6 +45,5 @@ def gene_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def modules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parts that a supplier delivers, in large orders: one module for each supplier."""
-    li = table(spark, sf_dir, "lineitem").where("l_quantity >= 25")
-    return li.select(F.col("l_suppkey").alias("module"), F.col("l_partkey").alias("gene")).distinct()
+    """Parts that a supplier delivers: one module for each supplier."""
+    return table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("module"), F.col("l_partkey").alias("gene")).distinct()
