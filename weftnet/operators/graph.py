@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftnet.functions.scratch import cut
+from weftnet.functions.scratch import cut, stored
 
 
 def both_ways(edges: DataFrame) -> DataFrame:
@@ -41,23 +41,30 @@ def local_density(edges: DataFrame) -> DataFrame:
     return d.select("graph", "v", "degree", "triangles", ((F.col("degree") + F.col("triangles")) / (F.col("degree") * (F.col("degree") + 1) / 2)).alias("density"))
 
 
-def coreness(edges: DataFrame) -> DataFrame:
+def coreness(edges: DataFrame, touched: list[int] | None = None) -> DataFrame:
     """The fixpoint of h-indices over neighbours' values, which is the core level.
 
-    Neighbours are counted by value first, so a hub is as many rows as its neighbours have levels. Levels only
-    fall, so the loop ends at the fixpoint.
+    Levels only fall, so after the first round only vertices are looked at again of which a neighbour fell below their
+    own level; the others' h-index cannot have changed. Neighbours are counted by value first, so a hub is as many rows
+    as its neighbours have levels. `touched` gets the number of vertices that each round looked at.
     """
-    both = cut(both_ways(edges))
-    level = cut(both.groupBy("graph", "v").agg(F.count("*").alias("core")))
+    both = stored(both_ways(edges))
+    level = stored(both.groupBy("graph", "v").agg(F.count("*").cast("long").alias("core")))
+    again = level.select("graph", "v")
     while True:
-        seen = both.join(level.select("graph", F.col("v").alias("u"), F.col("core").alias("c")), ["graph", "u"]).groupBy("graph", "v", "c").agg(F.count("*").alias("n"))
+        of = both.join(again, ["graph", "v"], "left_semi").join(level.select("graph", F.col("v").alias("u"), F.col("core").alias("c")), ["graph", "u"])
+        seen = of.groupBy("graph", "v", "c").agg(F.count("*").alias("n"))
         at_least = F.sum("n").over(Window.partitionBy("graph", "v").orderBy(F.col("c").desc()))
-        now = seen.withColumn("rank", at_least).groupBy("graph", "v").agg(F.max(F.least("c", "rank")).alias("core"))
-        now = cut(now.select("graph", "v", F.col("core").cast("long").alias("core")))
-        moved = now.join(level.withColumnRenamed("core", "old"), ["graph", "v"]).where("core <> old").limit(1).count()
-        level = now
-        if not moved:
+        now = seen.withColumn("rank", at_least).groupBy("graph", "v").agg(F.max(F.least("c", "rank")).cast("long").alias("now"))
+        now = stored(now)
+        if touched is not None:
+            touched.append(now.count())
+        fell = stored(now.join(level, ["graph", "v"]).where("now < core").select("graph", "v", "now"))
+        if not fell.limit(1).count():
             return level
+        level = stored(level.join(fell, ["graph", "v"], "left").select("graph", "v", F.coalesce("now", "core").alias("core")))
+        near = both.join(fell.select("graph", F.col("v").alias("u"), "now"), ["graph", "u"]).join(level, ["graph", "v"]).where("now < core")
+        again = near.select("graph", "v").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -533,6 +533,11 @@ def sample_spearman(spark, d):
     return qc.sample_spearman(t.expression(spark, d)).select("run_a", "run_b", r6("r"), r6("distance"))
 
 
+@query("sample_linkage", "SELECT study, (row_number() OVER (PARTITION BY study ORDER BY height))::INTEGER AS step, round(height, 6) AS height FROM (SELECT study, it, min(d) AS height FROM merging GROUP BY 1, 2)")
+def sample_linkage(spark, d):
+    return qc.sample_linkage(t.expression(spark, d)).select("study", "step", r6("height"))
+
+
 @query("rolling_diagnostics", """SELECT event_type, pos, CASE WHEN n >= least_n THEN round(med, 6) END AS median, CASE WHEN n >= least_n THEN round(q1, 6) END AS q10, CASE WHEN n >= least_n THEN round(q9, 6) END AS q90 FROM (
   SELECT a.event_type, a.pos, count(*) AS n, greatest(3, floor(any_value(a.w) / 5)) AS least_n, quantile_cont(b.value, 0.5) AS med, quantile_cont(b.value, 0.1) AS q1, quantile_cont(b.value, 0.9) AS q9
   FROM ev a JOIN ev b ON a.event_type = b.event_type AND abs(a.pos - b.pos) <= a.w // 2 GROUP BY 1, 2)""")

@@ -89,8 +89,10 @@ def sniffed(spark: SparkSession, path: str) -> DataFrame:
 def matrix_market(spark: SparkSession, path: str, genes: DataFrame | None = None) -> DataFrame:
     """(i, j, value), 1-based; with genes(ord, gene) the names of both ends."""
     lines = spark.read.text(path).where("value not like '\\%%' and trim(value) <> ''")
-    f = lines.select(F.split(F.trim("value"), r"\s+").alias("f"), F.monotonically_increasing_id().alias("n"))
-    rows = f.where(F.col("n") > f.agg(F.min("n")).first()[0]).select(F.col("f")[0].cast("long").alias("i"), F.col("f")[1].cast("long").alias("j"), F.coalesce(F.expr("try_element_at(f, 3)").cast("double"), F.lit(1.0)).alias("value"))
+    place = F.struct(F.col("_metadata.file_name").alias("file"), F.monotonically_increasing_id().alias("n"))  # the size line is the first of the first part
+    f = lines.select(F.split(F.trim("value"), r"\s+").alias("f"), place.alias("at"))
+    first = f.agg(F.min("at").alias("at")).first()["at"]
+    rows = f.where((F.col("at.file") > first["file"]) | ((F.col("at.file") == first["file"]) & (F.col("at.n") > first["n"]))).select(F.col("f")[0].cast("long").alias("i"), F.col("f")[1].cast("long").alias("j"), F.coalesce(F.expr("try_element_at(f, 3)").cast("double"), F.lit(1.0)).alias("value"))
     if genes is None:
         return rows
     a, b = (genes.select(F.col("ord").alias(o), F.col("gene").alias(g)) for o, g in (("i", "gene_a"), ("j", "gene_b")))

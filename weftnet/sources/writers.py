@@ -21,7 +21,10 @@ def wide(x: DataFrame, path: str, value: str = "x") -> None:
 
 
 def matrix_market(edges: DataFrame, genes: DataFrame, path: str, value: str | None = None) -> None:
-    """K3: header, size line and 1-based (i, j, value) of both triangles; genes(gene, ord) count from 1."""
+    """K3: header, size line and 1-based (i, j, value) of both triangles; genes(gene, ord) count from 1.
+
+    The parts are ranges of the sorted lines, with the header in the first: joined in order of name they are one file.
+    """
     a, b = (genes.select(F.col("gene").alias(f"gene_{k}"), F.col("ord").alias(o)) for k, o in (("a", "i"), ("b", "j")))
     e = edges.join(a, "gene_a").join(b, "gene_b").select("i", "j", (F.col(value) if value else F.lit(1)).alias("v"))
     both = e.union(e.select(F.col("j"), F.col("i"), "v"))
@@ -29,7 +32,7 @@ def matrix_market(edges: DataFrame, genes: DataFrame, path: str, value: str | No
     head = size.select(F.lit(0).alias("o"), F.lit(0).cast("long").alias("i"), F.lit(0).cast("long").alias("j"), F.concat_ws(" ", "n", "n", "nnz").alias("value"))
     top = head.select(F.lit(-1).alias("o"), "i", "j", F.lit("%%MatrixMarket matrix coordinate real general").alias("value"))
     body = both.select(F.lit(1).alias("o"), F.col("i").cast("long"), F.col("j").cast("long"), F.concat_ws(" ", "i", "j", "v").alias("value"))
-    top.union(head).union(body).orderBy("o", "j", "i").coalesce(1).select("value").write.mode("overwrite").text(path)
+    top.union(head).union(body).orderBy("o", "j", "i").select("value").write.mode("overwrite").text(path)
 
 
 def _escape(c: Column) -> Column:
@@ -39,7 +42,10 @@ def _escape(c: Column) -> Column:
 
 
 def graphml(edges: DataFrame, path: str, nodes: DataFrame | None = None, weight: str | None = None, name: str = "network") -> None:
-    """GraphML of an undirected network; nodes(gene) adds those without edges."""
+    """GraphML of an undirected network; nodes(gene) adds those without edges.
+
+    The parts are ranges of the sorted lines, from head to tail: joined in order of name they are one document.
+    """
     ends = edges.select(F.explode(F.array("gene_a", "gene_b")).alias("gene"))
     ends = (ends if nodes is None else ends.union(nodes.select("gene"))).distinct()
     spark = edges.sparkSession
@@ -49,7 +55,7 @@ def graphml(edges: DataFrame, path: str, nodes: DataFrame | None = None, weight:
     node = ends.select(F.lit(1).alias("o"), F.col("gene").cast("string").alias("k"), F.concat(F.lit('<node id="'), _escape(F.col("gene").cast("string")), F.lit('"/>')).alias("value"))
     data = F.concat(F.lit('"><data key="w">'), F.col(weight).cast("string"), F.lit("</data></edge>")) if weight else F.lit('"/>')
     edge = edges.select(F.lit(2).alias("o"), F.concat_ws("\t", "gene_a", "gene_b").alias("k"), F.concat(F.lit('<edge source="'), _escape(F.col("gene_a").cast("string")), F.lit('" target="'), _escape(F.col("gene_b").cast("string")), data).alias("value"))
-    line(0, head).union(node).union(edge).union(line(3, "</graph></graphml>")).orderBy("o", "k").coalesce(1).select("value").write.mode("overwrite").text(path)
+    line(0, head).union(node).union(edge).union(line(3, "</graph></graphml>")).orderBy("o", "k").select("value").write.mode("overwrite").text(path)
 
 
 def module_graphs(edges: DataFrame, modules: DataFrame, path: str) -> None:
@@ -114,7 +120,7 @@ def first_generation(modules: DataFrame, submodules: DataFrame, ids: DataFrame,
 
 def module_table(modules: DataFrame, path: str) -> None:
     """Gene and Module (M and the id)."""
-    tsv(modules.select(F.col("gene").alias("Gene"), F.concat(F.lit("M"), F.col("module").cast("string")).alias("Module")).orderBy("Module", "Gene"), path, one_file=True)
+    tsv(modules.select(F.col("gene").alias("Gene"), F.concat(F.lit("M"), F.col("module").cast("string")).alias("Module")).orderBy("Module", "Gene"), path)
 
 
 def enrichment(hits: DataFrame, path: str) -> None:
