@@ -371,6 +371,26 @@ def test_neural_information(spark):
     assert mi["g01"] > 0.7 > 0.4 > mi["g02"] >= 0
 
 
+def test_training_is_written_once_and_taken_apart(spark, tmp_path):
+    rng = np.random.default_rng(7)
+    a = rng.normal(size=60)
+    x = long_table(spark, np.array([a, a + 0.1 * rng.normal(size=60), rng.normal(size=60)]))
+    z = prep.zscores(x.union(x.withColumn("study", F.lit("t"))))
+    p = spark.createDataFrame([(s, "g00", g) for s in "st" for g in ("g01", "g02")], "study string, gene_a string, gene_b string")
+    records = pairs.neural_records(z, p, epochs=80)
+    scores = writers.training(records, str(tmp_path))
+    assert {tuple(r)[:3] for r in scores.collect()} == {tuple(r) for r in p.collect()}
+    curve = spark.read.csv(f"{tmp_path}/loss_curve", sep="\t", header=True, inferSchema=True)
+    assert curve.groupBy("study").agg(F.count("*").alias("n"), F.min("epoch"), F.max("epoch")).select("n", "min(epoch)", "max(epoch)").distinct().collect() == [(80, 0, 79)]
+    assert curve.where("epoch = 79").agg(F.max("mean_loss")).first()[0] < curve.where("epoch = 0").agg(F.min("mean_loss")).first()[0]
+    summary = spark.read.csv(f"{tmp_path}/batch_summary", sep="\t", header=True, inferSchema=True)
+    assert summary.groupBy("study").agg(F.sum("n_pairs").alias("n")).select("n").distinct().collect() == [(2,)] and summary.where("seconds <= 0").count() == 0
+    assert all(r["loss_reduction"] == pytest.approx(r["initial_loss"] - r["final_loss"]) for r in summary.collect())
+    raw = spark.read.json(f"{tmp_path}/raw_diagnostics")
+    assert {len(r["losses"]) for r in raw.collect()} == {80} and raw.count() == summary.count()
+    assert pairs.neural_records(z, p.limit(0)).collect() == []
+
+
 def test_regulators(spark):
     rng = np.random.default_rng(8)
     m = rng.normal(size=(6, 60))

@@ -7,11 +7,12 @@ with a matrix product, so that a task holds two blocks whatever the number of ge
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftnet.functions import ranks
@@ -165,10 +166,15 @@ def sparsify(pairs: DataFrame, col: str, share: float = 0.95) -> DataFrame:
 
 
 def _neural(width: int, epochs: int, rate: float, seed: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
-    """Donsker-Varadhan bound by one small network per pair; a batch of pairs trains at once."""
+    """Donsker-Varadhan bound by one small network per pair; a batch of pairs trains at once.
+
+    Gives a row for each pair, and one for the batch, named by its first pair: losses and bounds of each epoch (means
+    over its pairs), seconds, and the mean, deviation and largest of its results.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
+            began, losses = time.time(), []
             x, y = (np.array(rows[c].tolist()) for c in ("va", "vb"))
             p, n = x.shape
             rng = np.random.default_rng(seed)
@@ -201,6 +207,7 @@ def _neural(width: int, epochs: int, rate: float, seed: int) -> Callable[[Iterat
                 joint = forward(np.stack([x, y], 2))
                 apart = forward(np.stack([x, shuffled(y)], 2))
                 e = np.exp(np.clip(apart[-1][..., 0], -20, 20))
+                losses.append(float((np.log(e.mean(1)) - joint[-1][..., 0].mean(1)).mean()))
                 ema = e.mean(1, keepdims=True) if step == 1 else 0.99 * ema + 0.01 * e.mean(1, keepdims=True)
                 up = backward(joint, np.full((p, n, 1), -1 / n))
                 down = backward(apart, (e / n / np.maximum(ema, 1e-6))[..., None])
@@ -214,13 +221,28 @@ def _neural(width: int, epochs: int, rate: float, seed: int) -> Callable[[Iterat
                     q -= rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-8)
             t = forward(np.stack([x, y], 2))[-1][..., 0].mean(1)
             bounds = [t - np.log(np.exp(np.clip(forward(np.stack([x, shuffled(y)], 2))[-1][..., 0], -20, 20)).mean(1)) for _ in range(5)]
-            yield rows[["study", "gene_a", "gene_b"]].assign(mi=np.maximum(0, np.mean(bounds, 0)))
+            mi = np.maximum(0, np.mean(bounds, 0))
+            yield rows[["study", "gene_a", "gene_b"]].assign(mi=mi, n_pairs=None, seconds=None, mi_std=None, mi_max=None, losses=None)
+            about = {"mi": mi.mean(), "n_pairs": p, "seconds": time.time() - began, "mi_std": mi.std(), "mi_max": mi.max(), "losses": [losses]}
+            yield rows[["study", "gene_a", "gene_b"]].iloc[:1].assign(**about)
 
     return run
 
 
 def neural_information(z: DataFrame, pairs: DataFrame, width: int = 16, epochs: int = 100, rate: float = 0.01, seed: int = 42) -> DataFrame:
     """A neural lower bound of mutual information for given pairs of standardised genes (study, gene, run, z)."""
+    return neural_scores(neural_records(z, pairs, width, epochs, rate, seed))
+
+
+def neural_scores(records: DataFrame) -> DataFrame:
+    return records.where("n_pairs is null").select("study", "gene_a", "gene_b", "mi")
+
+
+def neural_records(z: DataFrame, pairs: DataFrame, width: int = 16, epochs: int = 100, rate: float = 0.01, seed: int = 42) -> DataFrame:
+    """Scores of pairs, and a row for each batch that was trained together (n_pairs is not null there).
+
+    Training is what costs, so both kinds come from one run: write the records once, and take them apart after that.
+    """
     vec = z.groupBy("study", "gene").agg(F.sort_array(F.collect_list(F.struct("run", "z"))).alias("s")).select("study", "gene", F.col("s.z").alias("v"))
     a, b = (vec.select("study", F.col("gene").alias(f"gene_{k}"), F.col("v").alias(f"v{k}")) for k in "ab")
     rows = pairs.select("study", "gene_a", "gene_b").join(a, ["study", "gene_a"]).join(b, ["study", "gene_b"]).select("study", "gene_a", "gene_b", "va", "vb")
@@ -235,4 +257,21 @@ def neural_information(z: DataFrame, pairs: DataFrame, width: int = 16, epochs:
                     yield from one(iter([group.iloc[lo : lo + 512]]))
 
     study = z.schema["study"].dataType.simpleString()
-    return parts.mapInPandas(same_length, f"study {study}, gene_a string, gene_b string, mi double")
+    return parts.mapInPandas(same_length, f"study {study}, gene_a string, gene_b string, mi double, n_pairs int, seconds double, mi_std double, mi_max double, losses array<double>")
+
+
+def batches_of(records: DataFrame) -> DataFrame:
+    """K7: (study, batch, n_pairs, seconds, losses and bounds before and after, results) of each batch, numbered by first pair."""
+    nth = F.row_number().over(Window.partitionBy("study").orderBy("gene_a", "gene_b")) - 1
+    first, last = F.element_at("losses", 1), F.element_at("losses", -1)
+    return records.where("n_pairs is not null").select(
+        "study", nth.alias("batch"), "n_pairs", "seconds", first.alias("initial_loss"), last.alias("final_loss"), (first - last).alias("loss_reduction"),
+        (-first).alias("initial_train_mi"), (-last).alias("final_train_mi"), F.col("mi").alias("mi_mean"), "mi_std", "mi_max", "losses",
+    )
+
+
+def loss_curve(records: DataFrame) -> DataFrame:
+    """Mean and deviation over batches of the loss and the bound after each epoch; values that are no numbers don't count."""
+    each = records.where("n_pairs is not null").select("study", F.posexplode("losses").alias("epoch", "loss"))
+    loss = F.when(~F.isnan("loss"), F.col("loss"))
+    return each.groupBy("study", "epoch").agg(F.avg(loss).alias("mean_loss"), F.stddev_pop(loss).alias("std_loss"), F.avg(-loss).alias("mean_train_mi"), F.stddev_pop(-loss).alias("std_train_mi"))

@@ -140,6 +140,22 @@ def cache(df: DataFrame, path: str, fingerprint: str) -> None:
     df.withColumn("fingerprint", F.lit(fingerprint)).write.mode("overwrite").parquet(path)
 
 
+def training(records: DataFrame, path: str) -> DataFrame:
+    """K7: the scores of neural estimates; batch summaries, loss curves and raw records (JSON) are written beside them.
+
+    `records` are written first, so the training runs once.
+    """
+    from weftnet.operators import pairs
+
+    records.write.mode("overwrite").parquet(f"{path}/records")
+    records = records.sparkSession.read.schema(records.schema).parquet(f"{path}/records")
+    batches = pairs.batches_of(records)
+    tsv(batches.drop("losses").orderBy("batch"), f"{path}/batch_summary", by="study")
+    tsv(pairs.loss_curve(records).orderBy("epoch"), f"{path}/loss_curve", by="study")
+    batches.write.mode("overwrite").partitionBy("study").json(f"{path}/raw_diagnostics")
+    return pairs.neural_scores(records)
+
+
 def null_report(summary: DataFrame, bars: DataFrame, width: int = 50) -> DataFrame:
     """K5: lines of a null distribution's report with a histogram of text bars."""
     top = bars.groupBy("study").agg(F.max("n").alias("top"))
