@@ -95,6 +95,26 @@ PARTS |= {
     "kept_ids": "SELECT component, row_number() OVER (ORDER BY round(top, 9) DESC, component) - 1 AS module FROM kept_good",
 }
 
+
+def axis_sql(matrix: str, out: str) -> dict[str, str]:
+    """Named parts: the first eigenvector of a symmetric matrix (a list of rows), by 30 squarings scaled to trace 1."""
+    diagonal = "list_transform(range(1, len(m) + 1), lambda i: m[i][i])"
+    return {
+        f"{out}_power": f"SELECT 0 AS k, m FROM {matrix} UNION ALL SELECT k + 1, list_transform(m, lambda r: list_transform(r, lambda x: x / t)) FROM (SELECT k, m, list_sum({diagonal}) AS t FROM (SELECT k, list_transform(m, lambda r: list_transform(m, lambda s: list_dot_product(r, s))) AS m FROM {out}_power WHERE k < 30))",
+        out: f"SELECT list_transform(r, lambda x: x / sqrt(list_dot_product(r, r))) AS v FROM (SELECT m[list_position(d, list_max(d))] AS r FROM (SELECT m, {diagonal} AS d FROM {out}_power WHERE k = 30))",
+    }
+
+
+PARTS |= {
+    "zs": "SELECT gene, run, (x - avg(x) OVER (PARTITION BY gene)) / stddev_samp(x) OVER (PARTITION BY gene) AS z FROM expr",
+    "gram": "SELECT a.gene AS g, b.gene AS h, sum(a.z * b.z) AS v FROM zs a JOIN zs b ON a.run = b.run GROUP BY 1, 2",
+    "gram_rows": "SELECT list(r ORDER BY g) AS m FROM (SELECT g, list(v ORDER BY h) AS r FROM gram GROUP BY g)",
+    **axis_sql("gram_rows", "axis_one"),
+    "gram_less": "SELECT list_transform(range(1, len(m) + 1), lambda i: list_transform(range(1, len(m) + 1), lambda j: m[i][j] - l * v[i] * v[j])) AS m FROM (SELECT m, v, list_dot_product(list_transform(m, lambda r: list_dot_product(r, v)), v) AS l FROM gram_rows, axis_one)",
+    **axis_sql("gram_less", "axis_two"),
+    "on_axes": "SELECT run, sum(z * one.v[i]) AS a, sum(z * two.v[i]) AS b FROM (SELECT run, z, dense_rank() OVER (ORDER BY gene) AS i FROM zs), axis_one one, axis_two two GROUP BY run",
+    "coordinates": "SELECT run, round(a * sign(first_value(a) OVER (ORDER BY round(abs(a), 9) DESC, run DESC)), 6) + 0.0 AS pc1, round(b * sign(first_value(b) OVER (ORDER BY round(abs(b), 9) DESC, run DESC)), 6) + 0.0 AS pc2 FROM on_axes",
+}
 ORDER = list(PARTS)
 
 

@@ -561,7 +561,7 @@ def windowed_diagnostics(spark, d):
     return windowed_summary(t.table(spark, d, "events")).select("start", "event_type", "n", r6("mean"), r6("std"), "max")
 
 
-@query("pca")
+@query("pca", "SELECT run, pc1, pc2 FROM coordinates")
 def pca(spark, d):
     return qc.principal_components(t.expression(spark, d))[0].select("run", r6("pc1"), r6("pc2"))
 
@@ -573,12 +573,12 @@ def flagship(spark, d):
     return n.where("n_studies >= 2").select("gene_a", "gene_b", "n_studies", r6("mean_mi"), r6("mean_neglog10p"))
 
 
-@query("pca_metadata", "SELECT DISTINCT label AS study, count(DISTINCT vec_id) AS n FROM embeddings GROUP BY label")
+@query("pca_metadata", "SELECT label AS study, run, pc1, pc2 FROM coordinates JOIN embeddings ON vec_id = run")
 def pca_metadata(spark, d):
-    """Coordinates joined with their samples' metadata; SQL has the number of samples of each study."""
+    """Coordinates joined with their samples' metadata."""
     about = t.table(spark, d, "embeddings").select(F.col("vec_id").alias("run"), F.col("label").alias("study"))
     joined = qc.described(qc.principal_components(t.expression(spark, d))[0], about)
-    return joined.where("pc1 is not null and pc2 is not null").groupBy("study").agg(F.countDistinct("run").alias("n"))
+    return joined.select("study", "run", r6("pc1"), r6("pc2"))
 
 
 @query("pca_variance", "SELECT round(sum(z * z) / count(DISTINCT gene), 6) AS total FROM (SELECT gene, (x - avg(x) OVER (PARTITION BY gene)) / stddev_samp(x) OVER (PARTITION BY gene) AS z FROM expr)")
