@@ -324,6 +324,38 @@ def greedy(far, method):
     return steps
 
 
+def test_rules_in_order(spark):
+    rows = spark.createDataFrame([(1, "P10", "x"), (2, "P1", "y"), (3, None, "y"), (4, "Q", None)], "run int, project string, title string")
+    rules = [("project", "P1", {"a": "one", "b": "B1"}), ("title", "^y$", {"a": "two"}), ("project", "P1$", {"b": "B2"}), ("project", "P10", {"a": "three"})]
+    got = {r["run"]: (r["a"], r["b"], r["c"]) for r in enrich.relabelled(rows, rules, {"a": "A", "b": "B", "c": "C"}).collect()}
+    assert got == {1: ("three", "B1", "C"), 2: ("two", "B2", "C"), 3: ("two", "B", "C"), 4: ("A", "B", "C")}
+
+
+def test_run_log(spark, tmp_path):
+    import logging
+
+    from weftnet.plans.runlog import RunLog
+
+    log = logging.getLogger("weftnet.resume")
+    before = logging.getLogger("weftnet").level
+    with RunLog("weftnet") as run:
+        with run.step("score"):
+            log.info("3 of %d studies", 5)
+        log.debug("not this")
+        try:
+            with run.step("score"):
+                raise ValueError
+        except ValueError:
+            pass
+        run.save(spark, str(tmp_path), {"genes": 7})
+    log.info("after the run")
+    assert logging.getLogger("weftnet").level == before
+    text = [r[0] for r in spark.read.text(f"{tmp_path}/log").collect()]
+    assert len(text) == 5 and "3 of 5 studies" in text[1] and "starting: score" in text[0]
+    facts = [r[0] for r in spark.read.text(f"{tmp_path}/report").collect()]
+    assert facts[0] == "genes: 7" and facts[1].startswith("score\t") and facts[1].endswith("100.0 %") and len(facts) == 2
+
+
 def test_core_levels_look_at_fewer_and_fewer(spark):
     """A long path falls from its ends: only neighbours of what fell are looked at again."""
     n = 40

@@ -109,6 +109,21 @@ def labelled(metadata: DataFrame, rules: DataFrame, key: str = "project", column
     return metadata.join(last, key, "left").withColumn(column, F.coalesce(column, F.lit(default)))
 
 
+def relabelled(metadata: DataFrame, rules: list[tuple[str, str, dict[str, str]]], defaults: dict[str, str]) -> DataFrame:
+    """label columns by ordered rules (column, pattern, labels): of the rules whose pattern the column holds, the last sets a label.
+
+    Rules are settings, tens of them: they become one expression for each label, without a join. Null columns match none.
+    """
+    out = {}
+    for label, default in defaults.items():
+        value = F.lit(default)
+        for column, pattern, labels in rules:  # later rules wrap earlier ones
+            if label in labels:
+                value = F.when(F.coalesce(F.col(column).cast("string").rlike(pattern), F.lit(False)), F.lit(labels[label])).otherwise(value)
+        out[label] = value
+    return metadata.select("*", *(v.alias(k) for k, v in out.items()))
+
+
 def parents(modules: DataFrame, table: DataFrame) -> DataFrame:
     """Each module's parent, itself without one; table(parent_module, child_module)."""
     return modules.join(table.select(F.col("child_module").alias("module"), "parent_module"), "module", "left").withColumn("parent_module", F.coalesce("parent_module", "module"))

@@ -16,7 +16,7 @@ def _each(df: DataFrame, other: DataFrame, by: tuple[str, ...]) -> DataFrame:
 
 def zero_filled(counts: DataFrame) -> DataFrame:
     """Every (gene, run) of the matrix, 0 where a run lacks the gene."""
-    grid = counts.select("gene").distinct().crossJoin(F.broadcast(counts.select("run").distinct()))  # runs: samples of a study
+    grid = counts.select("gene").distinct().crossJoin(counts.select("run").distinct())
     return grid.join(counts, ["gene", "run"], "left").select("gene", "run", F.coalesce("count", F.lit(0.0)).alias("count"))
 
 

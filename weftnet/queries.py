@@ -119,6 +119,26 @@ def metadata_labels(spark, d):
     return enrich.labelled(t.metadata(spark, d), rules).select("run", "project", "label")
 
 
+_RULES = [
+    ("project", "NATION_1", {"tissue": "blood", "style": "control"}), ("project", "NATION_1[0-9]$", {"tissue": "lung", "age": "4 weeks"}), ("project", "^NATION_2$", {"style": "control,disease"}),
+    ("region", "^(ASIA|EUROPE)$|_[13]$", {"age": "adult"}), ("project", "NATION_12", {"tissue": "pbmc", "style": "vaccine"}),
+]
+_DEFAULTS = {"style": "Control", "tissue": "none", "age": "unknown"}
+
+
+def _rules_sql(label: str) -> str:
+    cases = [f"WHEN regexp_matches({c}, '{p}') THEN '{v[label]}'" for c, p, v in reversed(_RULES) if label in v]
+    return f"CASE {' '.join(cases)} ELSE '{_DEFAULTS[label]}' END AS {label}"
+
+
+@query("metadata_rules", f"SELECT run, {', '.join(map(_rules_sql, _DEFAULTS))} FROM (SELECT s_suppkey AS run, n_name AS project, r_name AS region FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)")
+def metadata_rules(spark, d):
+    """several labels by ordered rules over several columns, the last one wins."""
+    n, r = t.table(spark, d, "nation"), t.table(spark, d, "region")
+    about = t.metadata(spark, d).join(n, F.col("project") == F.col("n_name")).join(r, F.col("n_regionkey") == F.col("r_regionkey"))
+    return enrich.relabelled(about.select("run", "project", F.col("r_name").alias("region")), _RULES, _DEFAULTS).select("run", *_DEFAULTS)
+
+
 @query("zscore", "SELECT study, gene, run, round((x - mean) / CASE WHEN sd > 0 THEN sd ELSE 1 END, 6) + 0.0 AS z FROM expr JOIN stats USING (study, gene)")
 def zscore(spark, d):
     return prep.zscores(t.expression(spark, d)).select("study", "gene", "run", r6("z"))
