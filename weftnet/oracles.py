@@ -106,6 +106,9 @@ def axis_sql(matrix: str, out: str) -> dict[str, str]:
 
 
 PARTS |= {
+    "sig_adj": "SELECT study, gene_a AS v, gene_b AS u FROM sig UNION SELECT study, gene_b, gene_a FROM sig",
+    "sig_reach": "SELECT study, v, v AS c FROM sig_adj UNION SELECT sig_adj.study, sig_adj.u, sig_reach.c FROM sig_reach JOIN sig_adj ON sig_adj.study = sig_reach.study AND sig_adj.v = sig_reach.v WHERE sig_reach.c < sig_adj.u",
+    "sig_comp": "SELECT study, component, count(*) AS size FROM (SELECT study, v, min(c) AS component FROM sig_reach GROUP BY 1, 2) GROUP BY 1, 2",
     "zs": "SELECT gene, run, (x - avg(x) OVER (PARTITION BY gene)) / stddev_samp(x) OVER (PARTITION BY gene) AS z FROM expr",
     "gram": "SELECT a.gene AS g, b.gene AS h, sum(a.z * b.z) AS v FROM zs a JOIN zs b ON a.run = b.run GROUP BY 1, 2",
     "gram_rows": "SELECT list(r ORDER BY g) AS m FROM (SELECT g, list(v ORDER BY h) AS r FROM gram GROUP BY g)",

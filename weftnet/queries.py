@@ -362,6 +362,13 @@ def _ordered_together(spark, d):
     return li.join(b, "l_orderkey").where("l_partkey < b").select(F.lit(0).alias("graph"), F.col("l_partkey").alias("a"), "b").distinct()
 
 
+def _order_stars(spark, d):
+    """The components of `_ordered_together` from fewer edges: each part of an order is linked with its smallest."""
+    li = t.table(spark, d, "lineitem").select("l_orderkey", F.col("l_partkey").alias("b"))
+    least = li.groupBy("l_orderkey").agg(F.min("b").alias("a"))
+    return li.join(least, "l_orderkey").where("a < b").select(F.lit(0).alias("graph"), "a", "b").distinct()
+
+
 @query("degree", "SELECT v AS gene, degree FROM deg")
 def degree(spark, d):
     return graph.degrees(_graph(spark, d)).select(F.col("v").alias("gene"), "degree")
@@ -385,7 +392,7 @@ def components_suppliers(spark, d):
 @query("components", """SELECT v, component FROM (SELECT DISTINCT a AS v FROM top_parts UNION SELECT b FROM top_parts) JOIN (
   SELECT v, min(c) AS component FROM reach GROUP BY v) USING (v)""", part=True)
 def components(spark, d):
-    return graph.components(_ordered_together(spark, d)).select("v", "component")
+    return graph.components(_order_stars(spark, d)).select("v", "component")
 
 
 PART_ORACLES["components"] = PART_ORACLES["components"].replace(" SELECT v, component FROM (SELECT DISTINCT", ", e2 AS (SELECT a, b FROM top_parts UNION SELECT b, a FROM top_parts), reach AS (SELECT a AS v, a AS c FROM e2 UNION SELECT e2.b, reach.c FROM reach JOIN e2 ON e2.a = reach.v WHERE reach.c < e2.b) SELECT v, component FROM (SELECT DISTINCT", 1)
@@ -538,6 +545,21 @@ def gene_metadata_collapse(spark, d):
     return enrich.with_metadata(genes, both, "key", ["p_type", "p_brand"])
 
 
+@query("enrichment_read_back", "SELECT l.library AS slug, module, a.set_name, overlap, round(p_adjusted, 6) AS p_adjusted FROM annotated a JOIN (SELECT DISTINCT set_name, library FROM sets) l ON l.set_name = a.set_name")
+def enrichment_read_back(spark, d):
+    """Hits in a folder for each library."""
+    path = _folder(spark, "hits")
+    writers.enrichment(enrich.with_library(_hits(spark, d), t.gene_sets(spark, d)), path)
+    back = spark.read.csv(path, sep="\t", header=True)
+    return back.select("slug", F.col("module").cast("long").alias("module"), "set_name", F.col("overlap").cast("long").alias("overlap"), F.round(F.col("p_adjusted").cast("double"), 6).alias("p_adjusted"))
+
+
+@query("first_symbols", "SELECT p_brand AS brand, min_by(p_type, p_partkey) AS symbol FROM part WHERE trim(p_type) <> '' AND upper(trim(p_type)) <> 'NA' GROUP BY 1")
+def first_symbols(spark, d):
+    """The first symbol of each key in a given order."""
+    return enrich.first_symbols(t.table(spark, d, "part"), "p_brand", "p_type", "p_partkey").select(F.col("p_brand").alias("brand"), F.col("p_type").alias("symbol"))
+
+
 # ------------------------------------------------------------------ diagnostics
 @query("sample_quantile_curves", "SELECT run, p AS point, round(quantile_cont(x, p / 10), 6) + 0.0 AS value FROM expr, (SELECT unnest(range(0, 11)) AS p) GROUP BY run, p")
 def sample_quantile_curves(spark, d):
@@ -640,6 +662,31 @@ def bh_table_read_back(spark, d):
     return readers.edge_list(spark, path).select(F.col("study").cast("int").alias("study"), "gene_a", "gene_b", r6("mi"), r6("p_value"), F.round(F.col("p_adjusted").cast("double"), 6).alias("p_adjusted"))
 
 
+@query("study_stats_read_back", """SELECT g.study::VARCHAR AS study, g AS n_nodes, coalesce(e, 0) AS n_edges, round(coalesce(e, 0) / (g * (g - 1) / 2), 6) AS density, coalesce(k, 0) + g - coalesce(t, 0) AS n_components, coalesce(top, 1) AS giant_size, round(coalesce(top, 1) / g, 6) AS giant_fraction, g - coalesce(t, 0) AS n_singletons
+  FROM gsize g LEFT JOIN (SELECT study, count(*) AS e FROM sig GROUP BY 1) n ON n.study = g.study LEFT JOIN (SELECT study, count(*) AS k, sum(size)::BIGINT AS t, max(size) AS top FROM sig_comp GROUP BY 1) c ON c.study = g.study""")
+def study_stats_read_back(spark, d):
+    """K8: the topology of every study's network, written sorted and read back."""
+    path = _folder(spark, "stats")
+    e = _edges(spark, d).select(F.col("study").alias("graph"), F.col("gene_a").alias("a"), F.col("gene_b").alias("b"))
+    genes = t.expression(spark, d).select(F.col("study").alias("graph"), F.col("gene").alias("v")).distinct()
+    writers.tsv(graph.topology(e, genes).orderBy("graph"), path)
+    back = spark.read.csv(path, sep="\t", header=True)
+    count = lambda c: F.col(c).cast("long").alias(c)
+    share = lambda c: F.round(F.col(c).cast("double"), 6).alias(c)
+    return back.select(F.col("graph").alias("study"), count("n_nodes"), count("n_edges"), share("density"), count("n_components"), count("giant_size"), share("giant_fraction"), count("n_singletons"))
+
+
+@query("master_read_back", "SELECT gene_a, gene_b, n_studies, round(mean_nlp, 6) AS edge_weight FROM cons")
+def master_read_back(spark, d):
+    """K9: of the consensus' outputs, the sorted edges with the weights that the weighted list has."""
+    path = _folder(spark, "master")
+    genes = t.expression(spark, d).select("gene").distinct().withColumn("ord", F.row_number().over(Window.orderBy("gene")))
+    writers.master(consensus.consensus(consensus.edge_weights(_edges(spark, d)), 2, "weight"), genes, path)
+    weights = spark.read.csv(f"{path}/master_weighted_edges", sep="\t", header=True)
+    back = spark.read.csv(f"{path}/master_edges", sep="\t", header=True).drop("edge_weight").join(weights, ["gene_a", "gene_b"])
+    return back.select("gene_a", "gene_b", F.col("n_studies").cast("long").alias("n_studies"), F.round(F.col("edge_weight").cast("double"), 6).alias("edge_weight"))
+
+
 @query("matrix_market_read_back", "SELECT gene_a, gene_b, n_studies::DOUBLE AS value FROM cons UNION ALL SELECT gene_b, gene_a, n_studies FROM cons")
 def matrix_market_read_back(spark, d):
     path = _folder(spark, "mtx")
