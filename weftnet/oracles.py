@@ -20,6 +20,14 @@ PARTS = {
     "dense_genes": "SELECT gene, avg(ln(count)) AS log_mean FROM dense WHERE count > 0 GROUP BY gene HAVING count(*) = (SELECT count(DISTINCT run) FROM dense)",
     "rle_raw": "SELECT run, lib_size, median(exp(ln(count) - log_mean)) / any_value(lib_size) AS raw FROM dense JOIN dense_genes USING (gene) JOIN dense_libs USING (run) WHERE count > 0 GROUP BY run, lib_size",
     "rle": "SELECT run, lib_size, raw / exp(avg(ln(raw)) OVER ()) AS factor FROM rle_raw",
+    "tmm_rank": "SELECT run, count, row_number() OVER (PARTITION BY run ORDER BY count DESC, gene) AS rk FROM dense WHERE count > 0",
+    "tmm_place": "SELECT floor(p) AS p, p - floor(p) AS part FROM (SELECT 1 + (count(DISTINCT gene) - 1) * 0.25 AS p FROM dense WHERE count > 0)",
+    "tmm_quart": "SELECT l.run, any_value(lib_size) AS n, (coalesce(max(count) FILTER (rk = p), 0) * (1 - any_value(part)) + coalesce(max(count) FILTER (rk = p + 1), 0) * any_value(part)) / any_value(lib_size) AS q FROM dense_libs l LEFT JOIN tmm_rank r ON r.run = l.run, tmm_place GROUP BY l.run",
+    "tmm_ref": "SELECT run AS ref, n AS ref_n FROM tmm_quart ORDER BY abs(q - (SELECT avg(q) FROM tmm_quart)), run LIMIT 1",
+    "tmm_both": "SELECT d.run, round(log2((d.count / lib_size) / (b.count / ref_n)), 10) AS m, round((log2(d.count / lib_size) + log2(b.count / ref_n)) / 2, 10) AS a, (lib_size - d.count) / lib_size / d.count + (ref_n - b.count) / ref_n / b.count AS v FROM tmm_ref JOIN dense b ON b.run = ref JOIN dense d ON d.gene = b.gene JOIN dense_libs l ON l.run = d.run WHERE d.count > 0 AND b.count > 0",
+    "tmm_kept": "SELECT run, m, v FROM (SELECT *, rank() OVER (PARTITION BY run ORDER BY m) + (count(*) OVER (PARTITION BY run, m) - 1) / 2 AS rm, rank() OVER (PARTITION BY run ORDER BY a) + (count(*) OVER (PARTITION BY run, a) - 1) / 2 AS ra, count(*) OVER (PARTITION BY run) AS k FROM tmm_both) WHERE rm BETWEEN floor(k * 0.3) + 1 AND k - floor(k * 0.3) AND ra BETWEEN floor(k * 0.05) + 1 AND k - floor(k * 0.05)",
+    "tmm_raw": "SELECT l.run, 2 ** coalesce(w, 0) AS raw FROM dense_libs l LEFT JOIN (SELECT run, sum(m / v) / sum(1 / v) AS w FROM tmm_kept GROUP BY 1) k ON k.run = l.run",
+    "tmm": "SELECT run, raw / exp(avg(ln(raw)) OVER ()) AS factor FROM tmm_raw",
     "stats": "SELECT study, gene, avg(x) AS mean, stddev_pop(x) AS sd FROM expr GROUP BY 1, 2",
     "edges_q": "SELECT study, gene, list_distinct(list_filter(q, lambda e: e > lo AND e < hi)) AS edges FROM (SELECT study, gene, quantile_cont(x, [0.2, 0.4, 0.6, 0.8]) AS q, min(x) AS lo, max(x) AS hi FROM expr GROUP BY 1, 2)",
     "bins": "SELECT study, gene, run, len(list_filter(edges, lambda e: e <= x)) AS bin FROM expr JOIN edges_q USING (study, gene)",

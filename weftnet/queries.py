@@ -72,7 +72,7 @@ def rle_factors(spark, d):
     return normalise.rle_factors(_dense(spark, d)).select("run", "lib_size", r6("factor"))
 
 
-@query("tmm_factors")
+@query("tmm_factors", "SELECT tmm.run, round(CASE WHEN (SELECT max(factor) / min(factor) FROM tmm) > 5 THEN rle.factor ELSE tmm.factor END, 6) AS factor FROM tmm LEFT JOIN rle ON rle.run = tmm.run")
 def tmm_factors(spark, d):
     return normalise.norm_factors(_dense(spark, d)).select("run", r6("factor"))
 
