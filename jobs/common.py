@@ -11,7 +11,6 @@ from dataclasses import fields
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
@@ -35,13 +34,12 @@ def known(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
         raise
 
 
-def write_parts(df: DataFrame, path: str, by: tuple[str, ...], files: int = 1, spread: str | None = None) -> None:
-    """Replace the partitions that df has rows of and leave all others alone; up to `files` files for each.
+def write_parts(df: DataFrame, path: str, by: tuple[str, ...]) -> None:
+    """Replace the partitions that df has rows of and leave all others alone.
 
-    A large partition is spread over tasks by the column `spread`.
+    Rows meet by partition, so small ones are one file; those that outgrow the advisory size are split over tasks.
     """
-    key = [*map(F.col, by)] + ([F.pmod(F.xxhash64(spread), F.lit(files))] if spread else [])
-    df.repartition(*key).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
+    df.hint("rebalance", *by).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
 
 
 def command(doc: str, arguments: dict[str, str], work: Callable[[SparkSession, argparse.Namespace], object]) -> None:

@@ -51,16 +51,15 @@ WORD = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
 
 @dataclass(frozen=True)
 class Settings:
-    """Samples with a count above `above` that a gene needs; words that a sample needs; files of a study and of a batch."""
+    """Samples with a count above `above` that a gene needs; words that a sample needs; files of a batch."""
 
     least_samples: int = 3
     above: float = 1
     least_library: float = 100
-    files: int = 4
     files_per_batch: int = 1000
 
     def fingerprint(self) -> str:
-        values = {k: v for k, v in asdict(self).items() if not k.startswith("files")}
+        values = {k: v for k, v in asdict(self).items() if k != "files_per_batch"}
         return hashlib.md5(json.dumps(values, sort_keys=True).encode()).hexdigest()
 
 
@@ -96,7 +95,7 @@ def run(spark: SparkSession, documents: str, output: str, checkpoint: str, setti
     files = spark.readStream.schema(schema).option("maxFilesPerTrigger", settings.files_per_batch).option("maxFileAge", "36500d").parquet(itself)
 
     def take(batch: DataFrame, number: int) -> None:
-        common.write_parts(term_counts(batch).withColumn("batch", F.lit(number).cast("long")), f"{output}/counts", ("batch",), settings.files, "gene")
+        common.write_parts(term_counts(batch).withColumn("batch", F.lit(number).cast("long")), f"{output}/counts", ("batch",))
 
     stream = files.select("text", "lang", "source").writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     stream.awaitTermination()
@@ -111,7 +110,7 @@ def run(spark: SparkSession, documents: str, output: str, checkpoint: str, setti
         log.info("nothing new: the matrices stay as they are")
     else:
         new = counts.where(F.col("batch") > after).select("study").distinct()
-        common.write_parts(matrix(counts.join(new, "study", "left_semi"), settings), f"{output}/matrix", ("study",), settings.files, "gene")
+        common.write_parts(matrix(counts.join(new, "study", "left_semi"), settings), f"{output}/matrix", ("study",))
         spark.createDataFrame([(last, made)], MARK).coalesce(1).write.mode("overwrite").parquet(f"{output}/mark")
         log.info("wrote the matrices of %d studies to %s/matrix, up to batch %d", new.count(), output, last)
     return common.known(spark, f"{output}/matrix", MATRIX)

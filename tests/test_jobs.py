@@ -23,7 +23,7 @@ TEXTS = [
     (7, "no language the cat", None, "a"),
 ]
 MORE = [(8, "the cat the cat and and dog dog dog", "en", "d"), (None, "the and", "en", "a"), (8, "the cat the cat and and dog dog dog", "en", "d")]
-SMALL = term_counts.Settings(least_samples=2, above=0, least_library=2, files=2)
+SMALL = term_counts.Settings(least_samples=2, above=0, least_library=2)
 
 
 def save(spark, rows, path, schema="doc_id long, text string, lang string, source string"):

@@ -62,7 +62,7 @@ def versions(x: DataFrame, made_with: str) -> DataFrame:
 
 
 def _write(df: DataFrame, path: str, *by: str) -> None:
-    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
+    df.hint("rebalance", *by).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
 
 
 @dataclass

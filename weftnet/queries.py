@@ -208,11 +208,11 @@ def clr_threshold(spark, d):
     return likelihood.edges(_bins(spark, d)).select(*EDGE, r6("clr"))
 
 
-@query("sparsify", """SELECT study, gene, count(*) AS n_kept, round(sum(mi), 5) AS total FROM (SELECT study, gene, mi, quantile_cont(mi, 0.95) OVER (PARTITION BY study, gene) AS cut
-  FROM (SELECT study, gene, other, round(mi, 9) AS mi FROM mi_both UNION ALL SELECT DISTINCT study, gene, gene, 0 FROM mi_both)) WHERE mi >= cut AND mi > 0 GROUP BY 1, 2""")
+@query("sparsify", """SELECT study, gene, other, round(mi, 6) AS value FROM (SELECT study, gene, other, mi, quantile_cont(mi, 0.95) OVER (PARTITION BY study, gene) AS cut
+  FROM (SELECT study, gene, other, round(mi, 9) AS mi FROM mi_both UNION ALL SELECT DISTINCT study, gene, gene, 0 FROM mi_both)) WHERE mi >= cut AND mi > 0""")
 def sparsify(spark, d):
     s = pairs.sparsify(_mi(spark, d).withColumn("mi", F.round("mi", 9)), "mi").where("value > 0")
-    return s.groupBy("study", "gene").agg(F.count("*").alias("n_kept"), F.round(F.sum("value"), 5).alias("total"))
+    return s.select("study", "gene", "other", r6("value"))
 
 
 @query("neural_mi")
@@ -493,9 +493,10 @@ def gmt_merge(spark, d):
     return enrich.merged_sets(s).groupBy("set_name", "library").agg(F.countDistinct("gene").alias("n_genes")).join(order, "library").select("set_name", "library", F.col("ordinal").alias("o"), "n_genes")
 
 
-@query("library_manifest", "SELECT library, count(DISTINCT set_name) AS n_sets, count(DISTINCT gene) AS n_genes, library AS slug FROM sets GROUP BY library")
+@query("library_manifest", "SELECT ' Parts: ' || library || ' (No. 1)!' AS library, count(DISTINCT set_name) AS n_sets, count(DISTINCT gene) AS n_genes, 'parts_' || library || '_no._1' AS slug FROM sets GROUP BY sets.library")
 def library_manifest(spark, d):
-    return enrich.manifest(t.gene_sets(spark, d))
+    """Names that cannot be those of files get a slug."""
+    return enrich.manifest(t.gene_sets(spark, d).withColumn("library", F.concat(F.lit(" Parts: "), "library", F.lit(" (No. 1)!"))))
 
 
 @query("module_sizes", "SELECT module, count(*) AS size FROM mods GROUP BY module")
