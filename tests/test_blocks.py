@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from weftnet.operators import graph, likelihood, pairs, prep, significance
+from weftnet.operators import graph, likelihood, pairs, prep, qc, significance
 
 
 @pytest.fixture(scope="module")
@@ -54,6 +54,21 @@ def test_neighbours(spark):
         assert {tuple(r) for r in graph.neighbours(x, 5, block).collect()} == want
 
 
+def test_components_by_subspace_iteration(spark):
+    """Beyond the limit of the Gram matrix: the same coordinates and shares."""
+    rng = np.random.default_rng(12)
+    m = rng.normal(size=(30, 2)) @ (rng.normal(size=(2, 45)) * [[3], [2]]) + rng.normal(size=(30, 45))
+    m[4] = 1.0  # constant
+    for rows in (m, m[:2], m[:, :2]):
+        x = spark.createDataFrame([(f"g{i:02d}", j, float(v)) for i, r in enumerate(rows) for j, v in enumerate(r)], "gene string, run long, x double")
+        (a, share_a), (b, share_b) = qc.principal_components(x), qc.principal_components(x, most=1)
+        got, want = (s.orderBy("run").toPandas() for s in (b, a))
+        assert np.allclose(got["pc1"], want["pc1"], atol=1e-6)
+        assert np.allclose(share_b.orderBy("component").toPandas()["share"][:1], share_a.orderBy("component").toPandas()["share"][:1], atol=1e-8)
+        if rows is m:
+            assert np.allclose(got["pc2"], want["pc2"], atol=1e-4) and np.allclose(share_b.orderBy("component").toPandas(), share_a.orderBy("component").toPandas(), atol=1e-8)
+
+
 def test_pair_tests(spark, bins):
     scored = pairs.mutual_information(bins).drop("mi_mm")
     null = significance.pair_null(bins, scored, 12, 5)
