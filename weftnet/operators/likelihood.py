@@ -82,20 +82,20 @@ def edges(bins: DataFrame, share: float = 0.95, block: int = BLOCK) -> DataFrame
 
     def kept(study: object, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(b):
-            return pd.DataFrame(columns=["study", "gene_a", "gene_b", "mi", "clr", "bin"])
+            return pd.DataFrame(columns=["study", "gene_a", "gene_b", "mi", "clr", "place", "bin"])
         mi, clr, use = _likelihood(a, b)
-        clr = np.round(clr, PLACES)
-        i, j = np.nonzero(use & (_bin(clr) >= a["first"].iloc[0]))
+        place = np.round(clr, PLACES)
+        i, j = np.nonzero(use & (_bin(place) >= a["first"].iloc[0]))
         ga, gb = a["gene"].to_numpy()[i], b["gene"].to_numpy()[j]
         swap = ga > gb
-        return pd.DataFrame({"study": study, "gene_a": np.where(swap, gb, ga), "gene_b": np.where(swap, ga, gb), "mi": mi[i, j], "clr": clr[i, j], "bin": _bin(clr[i, j])})
+        return pd.DataFrame({"study": study, "gene_a": np.where(swap, gb, ga), "gene_b": np.where(swap, ga, gb), "mi": mi[i, j], "clr": clr[i, j], "place": place[i, j], "bin": _bin(place[i, j])})
 
-    near = cut(fold(cells.join(hit.select("study", "first"), "study"), kept, "gene_a string, gene_b string, mi double, clr double, bin long"))
+    near = cut(fold(cells.join(hit.select("study", "first"), "study"), kept, "gene_a string, gene_b string, mi double, clr double, place double, bin long"))
     # the exact percentile, between two ranks of the few values in its bins
-    inside = near.join(hit, "study").where("bin <= last").groupBy("study", "clr", "before", "at").agg(F.count("*").alias("n"))
-    ahead = F.col("before") + F.sum("n").over(of.orderBy("clr")) - F.col("n")
-    inside = inside.select("study", "clr", "at", "n", ahead.alias("ahead"))
-    at = lambda k: F.max(F.when((F.col("ahead") <= k(F.col("at"))) & (k(F.col("at")) < F.col("ahead") + F.col("n")), F.col("clr")))
+    inside = near.join(hit, "study").where("bin <= last").groupBy("study", "place", "before", "at").agg(F.count("*").alias("n"))
+    ahead = F.col("before") + F.sum("n").over(of.orderBy("place")) - F.col("n")
+    inside = inside.select("study", "place", "at", "n", ahead.alias("ahead"))
+    at = lambda k: F.max(F.when((F.col("ahead") <= k(F.col("at"))) & (k(F.col("at")) < F.col("ahead") + F.col("n")), F.col("place")))
     limit = inside.groupBy("study", "at").agg(at(F.floor).alias("low"), at(F.ceil).alias("high"))
     limit = limit.select("study", (F.col("low") + (F.col("high") - F.col("low")) * (F.col("at") - F.floor("at"))).alias("cut"))
-    return near.join(limit, "study").where(F.col("clr") >= F.col("cut")).select("study", "gene_a", "gene_b", "mi", "clr")
+    return near.join(limit, "study").where(F.col("place") >= F.col("cut")).select("study", "gene_a", "gene_b", "mi", "clr")
