@@ -87,8 +87,7 @@ def core_sql(adj: str, out: str) -> dict[str, str]:
 
 PARTS |= core_sql("adj", "cons_core") | core_sql("near_adj", "near_core")
 PARTS |= {
-    "run_ranks": "SELECT study, run, gene, rank() OVER (PARTITION BY study, run ORDER BY x) + (count(*) OVER (PARTITION BY study, run, x) - 1) / 2 AS k FROM expr",
-    "run_pairs": "SELECT a.study, a.run AS a, b.run AS b, greatest(0, least(2, 1 - corr(a.k, b.k))) AS d FROM run_ranks a JOIN run_ranks b ON a.study = b.study AND a.gene = b.gene AND a.run < b.run GROUP BY 1, 2, 3",
+    "run_pairs": "SELECT a.study, a.run AS a, b.run AS b, greatest(0, least(2, 1 - corr(a.x, b.x))) AS d FROM expr a JOIN expr b ON a.study = b.study AND a.gene = b.gene AND a.run < b.run GROUP BY 1, 2, 3",
     # average linkage: the nearest two become cluster -it - 1; distances to it are means weighted by size
     "merging": "SELECT study, 0 AS it, a::BIGINT AS a, b::BIGINT AS b, d, 1::BIGINT AS na, 1::BIGINT AS nb FROM run_pairs UNION ALL SELECT study, it, lo, hi, sum(d * w) / sum(w), any_value(CASE WHEN lo = -it THEN nboth WHEN lo = x THEN na ELSE nb END), any_value(CASE WHEN hi = -it THEN nboth WHEN hi = x THEN na ELSE nb END) FROM (SELECT *, least(x, y) AS lo, greatest(x, y) AS hi FROM (SELECT study, it + 1 AS it, d, m.na + m.nb AS nboth, CASE WHEN a IN (m.a, m.b) THEN -it - 1 ELSE a END AS x, CASE WHEN b IN (m.a, m.b) THEN -it - 1 ELSE b END AS y, na, nb, CASE WHEN a IN (m.a, m.b) THEN na WHEN b IN (m.a, m.b) THEN nb ELSE 1 END AS w FROM (SELECT *, first_value({'a': a, 'b': b, 'na': na, 'nb': nb}) OVER (PARTITION BY study ORDER BY d, a, b) AS m FROM merging) WHERE NOT (a IN (m.a, m.b) AND b IN (m.a, m.b)))) GROUP BY study, it, lo, hi",
     "near_reach": "SELECT v, v AS c FROM near_adj UNION SELECT near_adj.u, near_reach.c FROM near_reach JOIN near_adj ON near_adj.v = near_reach.v WHERE near_reach.c < near_adj.u",

@@ -578,7 +578,8 @@ def sample_spearman(spark, d):
 
 @query("sample_linkage", "SELECT study, (row_number() OVER (PARTITION BY study ORDER BY height))::INTEGER AS step, round(height, 6) AS height FROM (SELECT study, it, min(d) AS height FROM merging GROUP BY 1, 2)")
 def sample_linkage(spark, d):
-    return qc.sample_linkage(t.expression(spark, d)).select("study", "step", r6("height"))
+    """Of plain correlations, as equal ones have no single answer; those of ranks are in `sample_spearman`."""
+    return qc.sample_linkage(t.expression(spark, d), correlation="pearson").select("study", "step", r6("height"))
 
 
 @query("rolling_diagnostics", """SELECT event_type, pos, CASE WHEN n >= least_n THEN round(med, 6) END AS median, CASE WHEN n >= least_n THEN round(q1, 6) END AS q10, CASE WHEN n >= least_n THEN round(q9, 6) END AS q90 FROM (
