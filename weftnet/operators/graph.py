@@ -56,9 +56,8 @@ def coreness(edges: DataFrame, touched: list[int] | None = None) -> DataFrame:
         seen = of.groupBy("graph", "v", "c").agg(F.count("*").alias("n"))
         at_least = F.sum("n").over(Window.partitionBy("graph", "v").orderBy(F.col("c").desc()))
         now = seen.withColumn("rank", at_least).groupBy("graph", "v").agg(F.max(F.least("c", "rank")).cast("long").alias("now"))
-        now = stored(now)
         if touched is not None:
-            touched.append(now.count())
+            touched.append(again.count())
         fell = stored(now.join(level, ["graph", "v"]).where("now < core").select("graph", "v", "now"))
         if not fell.limit(1).count():
             return level
