@@ -118,18 +118,31 @@ def test_unspaced_text_is_read_to_its_end():
     assert toxicity.words_of("a\u00a0B\u3000c".encode()) == [b"a", b"b", b"c"]
 
 
+def grams_of(word):
+    """Buckets of a word's n-grams, byte by byte."""
+    w, out = b"<%b>" % word, []
+    for n in toxicity.GRAMS:
+        for k in range(len(w) - n + 1):
+            h = 0
+            for b in w[k : k + n]:
+                h = (h * 16777619 ^ b) & 0xFFFFFFFF
+            h = ((h ^ (n * 2654435 & 0xFFFF)) * 2246822519) & 0xFFFFFFFF
+            out.append((h >> 12) % toxicity.CHAR_BUCKETS)
+    return out or [0]
+
+
 def test_grams():
     """Means and gradients of trigram vectors equal those word by word."""
     rng = np.random.default_rng(1)
     words = [b"", b"a", b"abc", b"abcabcabc", b"zebra"]
     grams, vectors = toxicity.Grams(words), rng.normal(size=(toxicity.CHAR_BUCKETS, 3))
-    assert np.allclose(grams.means(vectors), [vectors[toxicity.trigrams(w)].mean(0) for w in words])
+    assert np.allclose(grams.means(vectors), [vectors[grams_of(w)].mean(0) for w in words])
     pick = np.array([3, 1, 4])
     assert np.allclose(grams.some(pick).means(vectors), grams.means(vectors)[pick])
     d, want = rng.normal(size=(3, 3)), np.zeros_like(vectors)
     for g, k in zip(d, pick, strict=True):
-        for gram in toxicity.trigrams(words[k]):
-            want[gram] += g / len(toxicity.trigrams(words[k]))
+        for gram in grams_of(words[k]):
+            want[gram] += g / len(grams_of(words[k]))
     assert np.allclose(grams.some(pick).spread(d, toxicity.CHAR_BUCKETS), want)
 
 
@@ -138,7 +151,7 @@ def slow_logit(net, words):
     p, h = net.p, toxicity.HIDDEN
     x = []
     for w in words:
-        x.append(np.concatenate([p["word"][net.vocabulary.get(w, 0)], p["char"][toxicity.trigrams(w)].mean(0)]))
+        x.append(np.concatenate([p["word"][net.vocabulary.get(w, 0)], p["char"][grams_of(w)].mean(0)]))
     states = {}
     for way in "fb":
         s, out = np.zeros(h), {}
@@ -164,7 +177,7 @@ def test_query_equals_a_slow_twin(corpus):
     want = []
     for doc_id, text in texts[::5] + texts[-5:]:
         words = toxicity.words_of((text or "").encode())
-        ends = sorted({min(k + toxicity.WINDOW, len(words)) for k in range(0, max(1, len(words) - toxicity.WINDOW + toxicity.STRIDE), toxicity.STRIDE)})
+        ends = range(min(toxicity.WINDOW, len(words)), len(words) + 1)
         best = max(slow_logit(net, words[max(0, e - toxicity.WINDOW) : e] or [b""]) if words else net.logits(np.zeros((2, 1, 3 * toxicity.HIDDEN), np.float32), np.zeros((1, toxicity.WINDOW), int), np.array([0]))[0] for e in ends)
         want.append((doc_id, 1 / (1 + np.exp(-(slope * best + shift)))))
     scores = {}
@@ -173,6 +186,40 @@ def test_query_equals_a_slow_twin(corpus):
     assert want and all(min(abs(x - s) for x in scores[d]) < 1e-4 for d, s in want)
 
 
+def test_every_start_equals_single_windows():
+    """Windows that step together have the logits of windows taken one by one, whatever the chunk."""
+    rng = np.random.default_rng(0)
+    net = toxicity.Network({b"a": 1, b"b": 2}, np.array([0.5, -0.5]))
+    for p in net.p.values():
+        p += rng.normal(0, 0.5, p.shape)
+    table, rows, width = net.projections([b"zz", b"a", b"b", b"q1"]), rng.integers(0, 4, 300), toxicity.WINDOW
+    want = net.logits(table, rows[np.arange(300 - width + 1)[:, None] + np.arange(width)], np.full(300 - width + 1, width))
+    for size in (7, 289, 1000):
+        assert np.abs(net.every(table, rows, size=size) - want).max() < 1e-4
+    assert len(net.every(table, rows[: width - 1])) == 0
+
+
+def test_short_passages_are_found_wherever_they_stand():
+    """Passages of three words whose order is toxic, at every place of clean texts, some near their ends."""
+    rng = np.random.default_rng(9)
+    vocabulary = ["".join(rng.choice(list("aeioulnrst"), rng.integers(3, 9))) for _ in range(300)]
+    texts, toxic = [], np.arange(900) % 3 == 0
+    for k, y in enumerate(toxic):
+        words = list(rng.choice(vocabulary, 20 + k % 60))
+        at = int(rng.integers(len(words) + 1))
+        texts.append(" ".join(words[:at] + ["zog", "vexik", "brukk"] * bool(y) + words[at:]).encode())
+    scorer = toxicity.Scorer(toxicity.train(texts, toxic))
+    plain = [" ".join(rng.choice(vocabulary, 60)).encode() for _ in range(60)]
+    planted = []
+    for k, x in enumerate(plain):
+        words = x.split()
+        planted.append(b" ".join(words[:k] + [b"zog", b"vexik", b"brukk"] + words[k:]))
+    cut = scorer(plain).max()
+    assert (scorer(planted) > cut).mean() >= 0.95
+    slow = [scorer([x])[0] for x in planted[:20]]
+    assert np.allclose(scorer(planted)[:20], slow, atol=1e-4)  # neighbours in a slice don't matter
+
+
 def test_sample_is_bounded(corpus, monkeypatch):
     docs, labels, _ = corpus
     whole = toxicity.sample(docs, labels)[0]

@@ -1,9 +1,10 @@
 """Toxicity: a bidirectional gated recurrent network with attention pooling, in numpy.
 
 A word's input joins a learned vector of the word (for the words that training kept) and the mean of learned
-vectors of its hashed character trigrams. Two gated recurrent passes, one each way, read every overlapping
-window of a text; attention pools their states into one logit per window, and a text's score comes from its
-highest window. The network is trained on the driver on a bounded sample of labelled rows (`MOST_TOXIC`,
+vectors of its hashed character n-grams. Two gated recurrent passes, one each way, read every window of
+`WINDOW` words of a text, whatever word it starts at; attention pools their states into one logit per window,
+and a text's score comes from its highest window. Training picks its windows among those that start at every second word.
+The network is trained on the driver on a bounded sample of labelled rows (`MOST_TOXIC`,
 `MOST_CLEAN`, `MOST_BYTES` in all, none longer than `MOST_TEXT`; of rows with one doc_id the first by text),
 where a text stands for its highest window (multiple-instance learning), and calibrated on a
 part of that sample with weights that restore the share of toxic rows. Scoring goes over all windows of all
@@ -23,7 +24,6 @@ import re
 import uuid
 import zlib
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -39,8 +39,10 @@ from weftnet.llm.quality import HELD_OUT, fold, labelled
 MOST_TOXIC, MOST_CLEAN = 2500, 3500
 #: Most bytes of all texts that training reads, and of one.
 MOST_BYTES, MOST_TEXT = 24 << 20, 256 << 10
-HIDDEN, WORD_DIM, CHAR_DIM, CHAR_BUCKETS = 8, 8, 6, 1024
-WINDOW, STRIDE = 24, 12
+HIDDEN, WORD_DIM, CHAR_DIM, CHAR_BUCKETS = 8, 8, 6, 1 << 14
+#: Bytes of the character n-grams, borders of words included.
+GRAMS = (3, 4, 5, 6)
+WINDOW, APART = 12, 2
 MOST_WORDS, LEAST_DOCS = 4000, 3
 EPOCHS, BATCH, RATE, SEED = 8, 128, 0.02, 11
 THRESHOLD = 0.5
@@ -64,24 +66,18 @@ def words_of(text: bytes) -> list[bytes]:
     return [x for w in words for x in (PIECE.findall(w) if len(w) > LONGEST else (w,))]
 
 
-def trigrams(word: bytes) -> list[int]:
-    """Buckets of the character trigrams of a word with its borders."""
-    w = b"<%b>" % word
-    return [zlib.crc32(w[k : k + 3]) % CHAR_BUCKETS for k in range(len(w) - 2)] or [0]
-
-
 class Grams:
-    """The trigrams of many words, flat, with where each word's begin."""
+    """The buckets of many words' character n-grams, flat, with where each word's begin; a word has one at least."""
 
     def __init__(self, words: list[bytes]) -> None:
-        sizes, parts = [], []
+        sizes, parts = [np.zeros(0, np.int32)], [np.zeros(0, np.uint16)]
         for k in range(0, len(words), 10_000):
-            per = list(map(trigrams, words[k : k + 10_000]))
-            sizes.append(np.fromiter(map(len, per), np.int32, len(per)))
-            parts.append(np.fromiter(chain.from_iterable(per), np.uint16))
-        self.size = np.concatenate(sizes) if sizes else np.zeros(0, np.int32)
+            size, flat = _hashed(words[k : k + 10_000])
+            sizes.append(size)
+            parts.append(flat)
+        self.size = np.concatenate(sizes)
         self.start = np.cumsum(self.size, dtype=np.int64) - self.size
-        self.flat = np.concatenate(parts) if parts else np.zeros(0, np.uint16)
+        self.flat = np.concatenate(parts)
 
     def some(self, words: np.ndarray) -> "Grams":
         """Those of the words with these numbers."""
@@ -95,20 +91,47 @@ class Grams:
         return np.add.reduceat(vectors[self.flat], self.start) / self.size[:, None] if len(self.size) else np.zeros((0, vectors.shape[1]))
 
     def spread(self, grads: np.ndarray, buckets: int) -> np.ndarray:
-        """Gradients of the trigram vectors from those of the means."""
+        """Gradients of the n-gram vectors from those of the means."""
         each = np.repeat(grads / self.size[:, None], self.size, axis=0)
         return np.stack([np.bincount(self.flat, each[:, k], buckets) for k in range(grads.shape[1])], 1)
 
 
+def _hashed(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """How many n-grams each of some words has, and their buckets."""
+    raw = np.frombuffer(b"".join(b"<%b>" % w for w in words), np.uint8).astype(np.uint32)
+    long = np.fromiter(map(len, words), np.int64, len(words)) + 2
+    word = np.repeat(np.arange(len(words)), long)
+    room = np.cumsum(long)[word] - np.arange(len(raw))  # bytes to the end of the word
+    hashed, owner, held = [], [], np.zeros(len(raw), np.uint32)
+    for n in range(1, max(GRAMS) + 1):
+        held = held[: len(raw) - n + 1] * np.uint32(16777619) ^ raw[n - 1 :]
+        if n in GRAMS:
+            at = np.flatnonzero(room[: len(held)] >= n)
+            h = (held[at] ^ np.uint32(n * 2654435 & 0xFFFF)) * np.uint32(2246822519)
+            hashed.append((h >> np.uint32(12)) % np.uint32(CHAR_BUCKETS))
+            owner.append(word[at])
+    for k in np.flatnonzero(long < min(GRAMS)):  # the empty word
+        hashed.append(np.zeros(1, np.uint32))
+        owner.append(np.array([k]))
+    owner = np.concatenate(owner)
+    order = np.argsort(owner, kind="stable")
+    return np.bincount(owner, minlength=len(words)).astype(np.int32), np.concatenate(hashed)[order].astype(np.uint16)
+
+
 def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
 # ---------------------------------------------------------------- the network
+def _halved(u: np.ndarray) -> np.ndarray:
+    """The matrix that gives u @ s from (1 - s) / 2 with a row of ones below."""
+    return np.hstack([-2 * u, u.sum(1, keepdims=True)])
+
+
 class Network:
     """Weights and passes. Gates are in the order update, reset, candidate."""
 
-    def __init__(self, vocabulary: dict[bytes, int], prior: np.ndarray, seed: int = SEED) -> None:
+    def __init__(self, vocabulary: dict[bytes, int], prior: np.ndarray, grams: np.ndarray | None = None, seed: int = SEED) -> None:
         rng = np.random.default_rng(seed)
         d = WORD_DIM + CHAR_DIM
         self.vocabulary = vocabulary
@@ -118,13 +141,15 @@ class Network:
         }
         self.p["word"][1:, 0] = prior
         self.p["word"][0] = 0
+        if grams is not None:
+            self.p["char"][:, 0] = grams
         for way in "fb":
             self.p["x" + way] = rng.normal(0, 1 / np.sqrt(d), (d, 3 * HIDDEN))
             self.p["u" + way] = rng.normal(0, 1 / np.sqrt(HIDDEN), (HIDDEN, 3 * HIDDEN))
             self.p["c" + way] = np.zeros(3 * HIDDEN)
 
     def inputs(self, rows: np.ndarray, grams: "Grams") -> np.ndarray:
-        """Vectors of words with these word rows and trigrams."""
+        """Vectors of words with these word rows and n-grams."""
         return np.hstack([self.p["word"][rows], grams.means(self.p["char"])])
 
     def projections(self, words: list[bytes]) -> np.ndarray:
@@ -237,12 +262,53 @@ class Network:
         return (a * (both @ p["out"])).sum(0) + p["bias"]
 
 
+    def every(self, table: np.ndarray, rows: np.ndarray, width: int = WINDOW, size: int = 2048) -> np.ndarray:
+        """Logits of the windows at every start of a run of word rows, each with states of its own.
+
+        The windows of a chunk take their steps together, so a step's gate inputs are one slice of the chunk's.
+        States are held as (1 - state) / 2 with a row of ones below, so that signs and scales are in the weights.
+        """
+        h, out = HIDDEN, np.empty(max(0, len(rows) - width + 1), np.float32)
+        sign = np.repeat(np.float32([-1, -1, 2]), h)[:, None]  # of update and reset, of the candidate
+        steps = [_halved(self.p["u" + way].T.astype(np.float32) * sign) for way in "fb"]
+        read = [_halved(np.stack([self.p[k][w * h : (w + 1) * h] for k in ("query", "out")]).astype(np.float32)) for w in range(2)]
+        for at in range(0, len(out), size):
+            n = min(size, len(out) - at)
+            part = rows[at : at + n + width - 1]
+            seen = np.zeros((width, 2, n), np.float32)  # attention and output of each step's states
+            su, zr, q, one = (np.empty((k, n), np.float32) for k in (3 * h, 2 * h, h, 2))
+            for w in range(2):
+                g = table[w][part].T * sign
+                s = np.full((h + 1, n), 0.5, np.float32)
+                s[h] = 1
+                half = s[:h]
+                for k in range(width) if w == 0 else range(width - 1, -1, -1):
+                    np.matmul(steps[w], s, out=su)
+                    np.add(su[: 2 * h], g[: 2 * h, k : k + n], out=zr)
+                    np.exp(zr, out=zr)
+                    zr += 1
+                    np.reciprocal(zr, out=zr)
+                    np.multiply(zr[h:], su[2 * h :], out=q)
+                    q += g[2 * h :, k : k + n]
+                    np.exp(q, out=q)
+                    q += 1
+                    np.reciprocal(q, out=q)
+                    half -= q
+                    half *= zr[:h]
+                    half += q
+                    np.matmul(read[w], s, out=one)
+                    seen[k] += one
+            a = np.exp(seen[:, 0] - seen[:, 0].max(0))
+            out[at : at + n] = (a * seen[:, 1]).sum(0) / a.sum(0)
+        return out + np.float32(self.p["bias"][0])
+
+
 def windows(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text, first word, length) of all overlapping windows of texts with so many words."""
-    per = np.maximum(1, -(-(counts - WINDOW) // STRIDE) + 1)
+    """(text, first word, length) of the windows that training looks at, of texts with so many words."""
+    per = np.maximum(1, -(-(counts - WINDOW) // APART) + 1)
     text = np.repeat(np.arange(len(counts)), per)
     nth = np.arange(len(text)) - np.repeat(np.cumsum(per) - per, per)
-    first = np.maximum(0, np.minimum(nth * STRIDE, counts[text] - WINDOW))
+    first = np.maximum(0, np.minimum(nth * APART, counts[text] - WINDOW))
     return text, first, np.minimum(WINDOW, counts[text])
 
 
@@ -254,7 +320,7 @@ class Scorer:
         self.known: dict[bytes, int] = {}
         self.table = np.zeros((2, 1, 3 * HIDDEN), np.float32)
 
-    def __call__(self, texts: list[bytes], size: int = 4096) -> np.ndarray:
+    def __call__(self, texts: list[bytes], size: int = 2048) -> np.ndarray:
         words: list[bytes] = []
         ends = [0]
         for x in texts:
@@ -272,18 +338,38 @@ class Scorer:
             if room > 0:
                 self.known.update(list(new.items())[:room])
                 self.table = table[:, : len(self.known) + 1].copy()
-        rows = np.array([*found, *[0] * WINDOW], np.int64)
-        counts = np.diff(ends)
-        text, first, lengths = windows(counts)
-        first = first + np.array(ends[:-1])[text]
-        best = np.full(len(texts), -np.inf)
-        for k in range(0, len(text), size):
-            index = rows[first[k : k + size, None] + np.arange(WINDOW)]
-            np.maximum.at(best, text[k : k + size], self.net.logits(table, index, lengths[k : k + size]))
+        rows = np.array(found, np.int64)
+        counts, best = np.diff(ends), np.full(len(texts), -np.inf)
+        short = np.flatnonzero(counts < WINDOW)
+        if len(short):
+            index = np.zeros((len(short), WINDOW), np.int64)
+            for k, t in enumerate(short):
+                index[k, : counts[t]] = rows[ends[t] : ends[t + 1]]
+            best[short] = self.net.logits(table, index, counts[short])
+        whole = np.flatnonzero(counts >= WINDOW)
+        if len(whole):
+            run = rows[np.repeat(counts >= WINDOW, counts)]
+            level = np.concatenate([self.net.every(table, run, WINDOW, size), np.full(1, -np.inf, np.float32)])
+            first = np.cumsum(counts[whole]) - counts[whole]
+            # windows across two texts lie between the pairs of bounds
+            bounds = np.stack([first, first + counts[whole] - WINDOW + 1], 1).ravel()
+            best[whole] = np.maximum.reduceat(level, bounds)[::2]
         return best
 
 
 # ---------------------------------------------------------------- training
+def _gram_odds(grams: Grams, kinds: list[list[np.ndarray]], toxic: np.ndarray) -> np.ndarray:
+    """Damped log odds of toxic texts by the buckets of their words' n-grams, to start from."""
+    clean, bad = np.zeros(CHAR_BUCKETS), np.zeros(CHAR_BUCKETS)
+    for counts, texts in zip((clean, bad), kinds, strict=True):
+        for words in texts:
+            counts[np.unique(grams.some(words).flat)] += 1
+    held = clean + bad
+    odds = (np.log((bad + 0.5) / (toxic.sum() + 2)) - np.log((clean + 0.5) / ((~toxic).sum() + 2))) * held / (held + 8)
+    odds[held < LEAST_DOCS] = 0
+    return np.clip(odds, -3, 6) / 2
+
+
 def train(texts: list[bytes], toxic: np.ndarray, epochs: int = EPOCHS) -> Network:
     """Fit the network; each text stands for its highest window under the network so far."""
     rng = np.random.default_rng(SEED)
@@ -301,7 +387,8 @@ def train(texts: list[bytes], toxic: np.ndarray, epochs: int = EPOCHS) -> Networ
     odds[held < LEAST_DOCS] = 0
     known = np.flatnonzero(held >= LEAST_DOCS).tolist()
     chosen = sorted(known, key=lambda k: (-abs(odds[k]) * np.sqrt(held[k]), distinct[k]))[:MOST_WORDS]
-    net = Network({distinct[k]: i + 1 for i, k in enumerate(chosen)}, np.clip(odds[chosen], -3, 6) / 2)
+    grams = Grams(distinct)
+    net = Network({distinct[k]: i + 1 for i, k in enumerate(chosen)}, np.clip(odds[chosen], -3, 6) / 2, _gram_odds(grams, kinds, toxic))
     flat = np.concatenate([*parts, np.zeros(WINDOW, np.int32)])
     counts = np.array(list(map(len, parts)))
     del parts, kinds
@@ -312,7 +399,7 @@ def train(texts: list[bytes], toxic: np.ndarray, epochs: int = EPOCHS) -> Networ
     del run
     moments: dict[str, list[np.ndarray]] = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in net.p.items()}
     step = 0
-    grams, rows_of = Grams(distinct), net.rows_of(distinct)
+    rows_of = net.rows_of(distinct)
     table = np.zeros((2, len(distinct), 3 * HIDDEN), np.float32)
     del distinct
     starts = np.flatnonzero(np.concatenate([[True], text[1:] != text[:-1]]))
