@@ -3,7 +3,7 @@
 Piece lengths are whole numbers up to the capacity, so the packing problem is its histogram: at most
 `capacity` counts, whatever the input's size. The driver solves that and hands back patterns (fillings
 with a number of repeats); each pattern uses up at least one length, so there are at most `capacity`
-patterns, of at most about sqrt(2 * capacity) lengths each. Pieces then find their place by their rank
+patterns, of at most about sqrt(2 * capacity) lengths each (a little more where the search stops a pattern early). Pieces then find their place by their rank
 among the pieces of their length, which is counted in hashed buckets so that no length is one task.
 
 Null and empty texts are one piece with only the end id. A null doc_id is packed like any other, repeated
@@ -26,10 +26,12 @@ from weftnet.llm.common import arrow_map, as_bytes, persist, text_slices
 from weftnet.llm.tokens import END_ID, encode_texts
 
 CAPACITY = 4096
-#: Search nodes after which the best packing found is kept.
-NODES = 60_000
-#: Fillings tried at each node, and lengths looked at when one is extended.
+#: Work after which the best packing found is kept: a node is 1, one that looks k times as far k squared.
+NODES = 3000
+#: Fillings that a node tries first, and lengths looked at when one is extended; both double whenever they are used up.
 WIDTH, REACH = 6, 24
+#: Incumbents of the first round: how many of their bins plain best fit fills before bins are completed with least waste.
+INCUMBENTS = 17
 
 #: Chunks that a worker remembers the ids of, and text bytes that are encoded at once.
 MEMO, SLICE_BYTES = 100_000, 1 << 19
@@ -39,7 +41,11 @@ Pattern = tuple[tuple[tuple[int, int], ...], int]
 
 # ---------------------------------------------------------------- the histogram's packing
 def lower_bound(counts: dict[int, int], capacity: int) -> int:
-    """Martello and Toth's L2: bins that the total, and the large pieces with what fits beside them, need."""
+    """Bins that are needed at least.
+
+    Martello and Toth's L2: by the total, and by the large pieces with what fits beside them. And by weights of
+    `b + a * size` for the pieces from some size up, where no bin may hold pieces of more than weight 1 together.
+    """
     n = np.zeros(capacity + 1, np.int64)
     for size, c in counts.items():
         n[size] = c
@@ -52,6 +58,21 @@ def lower_bound(counts: dict[int, int], capacity: int) -> int:
         free = half * capacity - int(total[capacity - k] - total[capacity // 2])
         small = int(total[capacity // 2] - (total[k - 1] if k else 0))
         best = max(best, alone + half + max(0, -(-(small - free) // capacity)))
+    top = max(counts)
+    for least in sorted(counts):
+        most = capacity // least
+        if most > 6:
+            continue
+        pieces, sizes = (int(x[-1] - x[least - 1]) if least else int(x[-1]) for x in (many, total))
+        full = [(k, min(capacity, k * top)) for k in range(1, most + 1)]  # pieces in a bin, and their size at most
+        best = max(best, -(-pieces // most))
+        for x, (k, room) in enumerate(full):
+            for j, other in full[:x]:
+                d, a, b = j * room - k * other, j - k, room - other  # both at weight 1
+                if d < 0:
+                    d, a, b = -d, -a, -b
+                if d and a >= 0 and all(n * b + r * a <= d for n, r in full):
+                    best = max(best, -(-(pieces * b + sizes * a) // d))
     return best
 
 
@@ -150,6 +171,78 @@ def completions(sizes: _Sizes, capacity: int, width: int = WIDTH, reach: int = R
     return [(f, w) for f, w, _ in kept]
 
 
+def lazily(sizes: _Sizes, capacity: int, work: list[int]) -> Iterator[tuple[dict[int, int], int]]:
+    """The fillings around the largest piece, a few at first and more whenever the search comes back for them."""
+    width, reach, seen = WIDTH, REACH, set()
+    while True:
+        work[0] += (reach // REACH) ** 2
+        for filling, waste in completions(sizes, capacity, width, reach):
+            key = tuple(sorted(filling.items()))
+            if key not in seen:
+                seen.add(key)
+                yield filling, waste
+        if reach >= len(sizes.order):
+            return
+        width, reach = 2 * width, 2 * reach
+
+
+def incumbent(counts: dict[int, int], capacity: int, first: int) -> list[tuple[dict[int, int], int]]:
+    """A packing: `first` bins by best fit, then the largest piece of each bin with the two that waste least."""
+    n = np.zeros(capacity + 1, np.int64)
+    for size, c in counts.items():
+        n[size] = c
+    found, bins = [], 0
+    while len(have := np.flatnonzero(n)):
+        filling = {int(have[-1]): 1}
+        room = capacity - int(have[-1])
+
+        def put(size: int, filling: dict[int, int] = filling) -> int:
+            filling[size] = filling.get(size, 0) + 1
+            return size
+
+        n[have[-1]] -= 1
+        if bins >= first and len(one := have[: bisect_right(have, room)][n[have[: bisect_right(have, room)]] > 0]):
+            at = np.searchsorted(one, room - one, side="right") - 1  # the largest second piece beside each first one
+            at -= (at >= 0) & (one[at] == one) & (n[one] < 2)
+            two = np.where(at >= 0, one[at], 0)
+            k = int(np.lexsort((np.abs(one - two), room - one - two))[0])
+            for size in (int(one[k]), int(two[k])):
+                if size:
+                    room -= put(size)
+                    n[size] -= 1
+        while room and len(fits := np.flatnonzero(n[: room + 1])):
+            size = int(fits[-1])
+            room -= put(size)
+            n[size] -= 1
+        for size, k in filling.items():
+            n[size] += k
+        times = int(min(n[size] // k for size, k in filling.items()))
+        if bins < first:
+            times = min(times, first - bins)
+        for size, k in filling.items():
+            n[size] -= k * times
+        found.append((filling, times))
+        bins += times
+    return found
+
+
+def _incumbents(counts: dict[int, int], capacity: int, need: int, best: list[tuple[dict[int, int], int]]) -> list[tuple[dict[int, int], int]]:
+    """The best of packings with more and more bins by best fit, tried more finely around the best of them."""
+    bins = lambda x: sum(t for _, t in x)
+    step = max(1, bins(best) // (INCUMBENTS - 1))
+    tried, middle = {}, None
+    while bins(best) > need and step:
+        starts = range(0, bins(best) + 1, step) if middle is None else (middle - step, middle + step)
+        for first in starts:
+            if first >= 0 and first not in tried and bins(best) > need:
+                made = incumbent(counts, capacity, first)
+                tried[first] = bins(made)
+                best = min(best, made, key=bins)
+        middle = min(tried, key=lambda k: (tried[k], k))
+        step //= 2
+    return best
+
+
 def pack_counts(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = NODES) -> list[Pattern]:
     """Patterns ((length, copies)..., repeats) that pack all pieces into as few bins as the search finds."""
     counts = {int(s): int(c) for s, c in counts.items() if c > 0}
@@ -163,13 +256,17 @@ def pack_counts(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = N
         times = sizes.repeats(filling)
         best.append((filling, times))
         sizes.take(filling, times)
+    if sum(t for _, t in best) > need:
+        best = _incumbents(counts, capacity, need, best)
     least = sum(t for _, t in best)
     total = sum(s * c for s, c in counts.items())
-    sizes, path, seen = _Sizes(counts), [], 0
-    stack: list[list] = [completions(sizes, capacity)] if least > need else []
+    sizes, path = _Sizes(counts), []
+    work = [0]
+    stack: list[Iterator] = [lazily(sizes, capacity, work)] if least > need else []
     wasted = used = 0
-    while stack and least > need and seen < nodes:
-        if not stack[-1]:
+    while stack and least > need and work[0] < nodes:
+        filling, waste = next(stack[-1], (None, 0))
+        if filling is None:
             stack.pop()
             if path:
                 filling, times, waste = path.pop()
@@ -177,9 +274,7 @@ def pack_counts(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = N
                 wasted -= waste * times
                 used -= times
             continue
-        filling, waste = stack[-1].pop(0)
         times = sizes.repeats(filling)
-        seen += 1
         # waste that a packing with one bin fewer than the incumbent may have
         if wasted + waste * times > (least - 1) * capacity - total:
             # a filling that wastes too much when repeated may be right a few times
@@ -193,9 +288,9 @@ def pack_counts(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = N
         if not sizes.order:
             if used < least:
                 least, best = used, [(f, t) for f, t, _ in path]
-            stack.append([])
+            stack.append(iter(()))
             continue
-        stack.append(completions(sizes, capacity))
+        stack.append(lazily(sizes, capacity, work))
     return [(tuple(sorted(f.items(), reverse=True)), t) for f, t in best]
 
 
