@@ -2,6 +2,7 @@ import hashlib
 import re
 import zlib
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from weftnet.llm import license_scan as ls
@@ -82,6 +83,91 @@ def test_published_wording():
     assert automata["mit-text"].find(words(other))
 
 
+def as_regex(template):
+    """The template as a regular expression over words that each end in a blank."""
+    out = ""
+    for mark in re.findall(r"\[\[|\]\]|\{\{\d+-\d+\}\}|\{[^{}]+\}|\||[^\s\[\]{}|]+", template):
+        if mark.startswith("{{"):
+            out += "(?:[^ ]+ ){%s}" % mark[2:-2].replace("-", ",")
+        elif mark.startswith("{"):
+            out += "(?:" + "|".join(map(re.escape, mark[1:-1].split("|"))) + ") "
+        else:
+            out += {"[[": "(?:", "]]": ")?", "|": "|"}.get(mark) or re.escape(mark) + " "
+    return re.compile("(?:^|(?<= ))" + out)
+
+
+def sampled(template, rng):
+    """Words that the template accepts, by chance choices in its regions."""
+    out, skip = [], 0
+    for mark in re.findall(r"\[\[|\]\]|\{\{\d+-\d+\}\}|\{[^{}]+\}|\||[^\s\[\]{}|]+", template):
+        if mark == "[[":
+            skip += 1 if skip else rng.integers(2)
+        elif mark == "]]":
+            skip = max(0, skip - 1)
+        elif mark == "|":
+            skip = skip or 1
+        elif not skip and mark.startswith("{{"):
+            least, most = map(int, mark[2:-2].split("-"))
+            out += ["xyzzy", "the", "0"][: least] + ["w"] * int(rng.integers(0, most - least + 1)) if least <= 3 else ["w"] * least
+        elif not skip:
+            out.append(str(rng.choice(mark.strip("{}").split("|"))))
+    return out
+
+
+def test_labels_equal_a_brute_force(spark):
+    """Labels of texts that templates accept, of texts a word away and of none, against regular expressions tried at every word."""
+    rng = np.random.default_rng(4)
+    texts = []
+    for template in ls.TEMPLATES.values():
+        for _ in range(6):
+            words = ["before", "it", *sampled(template, rng), "after"]
+            texts.append(" ".join(words))
+            k = int(rng.integers(2, len(words)))
+            texts.append(", ".join(words[:k] + words[k + 1 :]))
+            texts.append("\n".join([*words[:k], "other", *words[k:]]).upper())
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in ls.scan(docs).collect()}
+    regexes, seen = {k: as_regex(t) for k, t in ls.TEMPLATES.items()}, set()
+    for k, text in enumerate(texts):
+        line = " ".join(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text.lower())) + " "
+        want = {label for label, x in regexes.items() if x.search(line)}
+        assert set(filter(None, got[k]["labels"].split(","))) - set(ls.PHRASES.values()) == want - set(ls.PHRASES.values()), text
+        assert {s["label"] for s in got[k]["spans"]} == want
+        seen |= want
+    assert seen == set(ls.TEMPLATES)
+
+
+def test_long_and_repeated_texts(spark):
+    """A text of a million words with a licence at its end, and rows that repeat it."""
+    text = "word " * 1_000_000 + WORDING["isc"]
+    rows = ls.scan(spark.createDataFrame([(1, text), (1, text), (2, None)], "doc_id long, text string")).collect()
+    assert [r["labels"] for r in rows] == ["isc", "isc", ""] and rows[0]["spans"][0]["first"] == 1_000_000 and rows[0]["n_words"] == rows[1]["n_words"]
+
+
+def test_media_equal_a_brute_force(spark, odd_docs):
+    """The stored form's digest and the feature, sample by sample."""
+    from collections import Counter
+    from math import log2, sqrt
+
+    docs = odd_docs.select("doc_id", "text").union(spark.createDataFrame([(900, "é" * 300_000), (901, "same"), (902, "same")], "doc_id long, text string"))
+    stored = media.store(docs)
+    placed = media.resolve(media.sequences(media.document_pages(stored), "key"), media.features(stored), "key").collect()
+    want = []
+    for r in docs.collect():
+        data = (r["text"] or "").encode()
+        while len(data) % 64 or not data:
+            data += b"\0"
+        pgm = f"P5\n64 {len(data) // 64}\n255\n".encode() + data
+        counts, n = Counter(data), len(data)
+        mean = sum(v * c for v, c in counts.items()) / n
+        std = sqrt(sum(c * (v - mean) ** 2 for v, c in counts.items()) / n)
+        entropy = -sum(c / n * log2(c / n) for c in counts.values())
+        peak = min(v for v, c in counts.items() if c == max(counts.values()))
+        want.append((hashlib.sha256(pgm).hexdigest(), len(pgm), f"{n // 64}x64;mean={mean:.4f};std={std:.4f};entropy={entropy + 0.0:.4f};peak={peak}"))
+    got = sorted((r["media_sha256"], r["media_bytes"], r["feature"].replace("entropy=-0.0000", "entropy=0.0000")) for r in placed)
+    assert got == sorted((a, b, c.replace("entropy=-0.0000", "entropy=0.0000")) for a, b, c in want)
+
+
 def test_store_round_trip(spark, odd_docs):
     stored = media.store(odd_docs)
     placed = media.resolve(media.sequences(media.document_pages(stored), "key"), media.features(stored), "key").collect()

@@ -29,6 +29,8 @@ PHRASES = {"gnu general public license": "gpl", "apache license": "apache", "cc
 _BSD_CONDITIONS = "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met [[1]] redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer [[2]] redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"
 _BSD_DISCLAIMER = "this software is provided by {{2-12}} as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed in no event shall {{2-12}} be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services loss of use data or profits or business interruption however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such damage"
 
+_AS_IS = "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose"
+
 #: Published licence wording with markup.
 TEMPLATES = {
     "mit-notice": "[[this work is]] {released|licensed|distributed|available} under the [[terms of the]] [[expat]] mit license",
@@ -44,7 +46,12 @@ TEMPLATES = {
     "bsd-2-clause": f"{_BSD_CONDITIONS} {_BSD_DISCLAIMER}",
     "bsd-3-clause": f"{_BSD_CONDITIONS} [[3]] neither the name of {{{{1-12}}}} nor the names of {{{{1-4}}}} contributors may be used to endorse or promote products derived from this software without specific prior written permission {_BSD_DISCLAIMER}",
     "mpl-2.0": "this source code form is subject to the terms of the mozilla public license v 2 0",
+    "mpl-2.0-notice": "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at {{1-8}} mpl 2 0",
+    "gpl-file-notice": "this {{1-4}} is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version {{1-2}} of the license or at your option any later version this {{1-4}} is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu general public license for more details you should have received a copy of the gnu general public license along with this {{1-4}} if not {see|write} {{1-24}}",
     "unlicense": "this is free and unencumbered software released into the public domain",
+    "unlicense-text": f"this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means in jurisdictions that recognize copyright laws the author or authors of this software dedicate any and all copyright interest in the software to the public domain we make this dedication for the benefit of the public at large and to the detriment of our heirs and successors we intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law {_AS_IS} and noninfringement in no event shall the authors be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software [[for more information please refer to {{{{1-6}}}}]]",
+    "zlib": "this software is provided as is without any express or implied warranty in no event will {{2-12}} be held liable for any damages arising from the use of this software permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions [[1]] the origin of this software must not be misrepresented you must not claim that you wrote the original software if you use this software in a product an {acknowledgment|acknowledgement} in the product documentation would be appreciated but is not required [[2]] altered source versions must be plainly marked as such and must not be misrepresented as being the original software [[3]] this notice may not be removed or altered from any source distribution",
+    "bsl-1.0": f"permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license the software to use reproduce display distribute execute and transmit the software and to prepare derivative works of the software and to permit third parties to whom the software is furnished to do so all subject to the following the copyright notices in the software and this entire statement including the above license grant this restriction and the following disclaimer must be included in all copies of the software in whole or in part and all derivative works of the software unless such copies or derivative works are solely in the form of machine executable object code generated by a source language processor {_AS_IS} title and non infringement in no event shall the copyright holders or anyone distributing the software be liable for any damages or other liability whether in contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software",
 }
 
 #: Other bytes than word bytes become spaces; A-Z are lowered.
