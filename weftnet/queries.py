@@ -775,3 +775,30 @@ def prescreened_scores(spark, d):
     """Information of the prescreen's candidates alone."""
     wanted = pairs.prescreen(t.expression(spark, d), "pearson", 0.15).select(*EDGE)
     return pairs.mutual_information(_bins(spark, d), wanted=wanted).select(*EDGE, r6("mi"))
+
+
+@query("likelihood_read_back", """SELECT 'edge' AS part, gene_a, gene_b, n_studies::DOUBLE AS weight, NULL AS module FROM cons UNION ALL SELECT 'matrix', gene_a, gene_b, n_studies, NULL FROM cons UNION ALL SELECT 'matrix', gene_b, gene_a, n_studies, NULL FROM cons
+  UNION ALL SELECT 'module', gene::VARCHAR, NULL, NULL, 'M' || module FROM mods""")
+def likelihood_read_back(spark, d):
+    """The weighted edges, the sparse matrix and the module table of a whole network, each row read back."""
+    path = _folder(spark, "likelihood")
+    genes = t.expression(spark, d).select("gene").distinct().withColumn("ord", F.row_number().over(Window.orderBy("gene")))
+    writers.likelihood(consensus.consensus(_edges(spark, d), 2), t.modules(spark, d), genes, path, "n_studies")
+    none = lambda c, kind="string": F.lit(None).cast(kind).alias(c)
+    edges = spark.read.csv(f"{path}/likelihood_weighted_edges", sep="\t", header=True)
+    rows = edges.select(F.lit("edge").alias("part"), "gene_a", "gene_b", F.col("edge_weight").cast("double").alias("weight"), none("module"))
+    matrix = readers.matrix_market(spark, f"{path}/likelihood_mtx", genes.select("ord", "gene"))
+    rows = rows.union(matrix.select(F.lit("matrix"), "gene_a", "gene_b", "value", none("module")))
+    modules = spark.read.csv(f"{path}/likelihood_modules", sep="\t", header=True)
+    return rows.union(modules.select(F.lit("module"), "Gene", none("gene_b"), none("weight", "double"), "Module"))
+
+
+@query("first_generation_read_back", """SELECT 'size' AS part, module::VARCHAR AS name, count(*)::VARCHAR AS value FROM mods GROUP BY module UNION ALL SELECT 'submodule', 'M' || module || '.' || gene % 3, gene::VARCHAR FROM mods UNION ALL SELECT 'gene', p_partkey::VARCHAR, p_name FROM part""")
+def first_generation_read_back(spark, d):
+    """Module sizes, submodules and the map of gene names, each row read back."""
+    path, modules = _folder(spark, "first"), t.modules(spark, d)
+    sub = modules.select(F.concat(F.lit("M"), F.col("module").cast("string"), F.lit("."), (F.col("gene") % 3).cast("string")).alias("name"), "gene")
+    writers.first_generation(modules, sub, t.table(spark, d, "part").select(F.col("p_partkey").alias("gene"), F.col("p_name").alias("symbol")), path)
+    read = lambda name: spark.read.csv(f"{path}/{name}", sep="\t", header=True)
+    rows = read("module_sizes").select(F.lit("size").alias("part"), F.col("module").alias("name"), F.col("size").alias("value"))
+    return rows.union(read("submodules").select(F.lit("submodule"), "name", "gene")).union(read("gene_ids").select(F.lit("gene"), "gene", "symbol"))
