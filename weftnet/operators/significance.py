@@ -20,6 +20,8 @@ from weftnet.functions.scratch import cut
 PLACES = 9
 #: Distinct null values that may be broadcast; beyond, bins of values count them.
 MOST_BROADCAST = 5_000_000
+#: Rows of trials, one for each run of each, that a task has on average.
+TRIAL_ROWS = 100_000
 
 
 def _pick(seed: int, *parts: str | Column) -> Column:
@@ -45,19 +47,33 @@ def _information(cells: DataFrame, *keys: str) -> DataFrame:
 
 
 def global_null(bins: DataFrame, n: int, seed: int = 42, self_pairs: bool = False) -> DataFrame:
-    """Information of random gene pairs of which one is shuffled: (study, perm, mi)."""
-    names = bins.select("study", "gene").distinct()
+    """Information of random gene pairs of which one is shuffled: (study, perm, mi).
+
+    A run has one row with its values of the genes that any trial picks, and gives one row for each trial. These meet by
+    study and trial, never by study alone, so a task holds some trials of a study and not all of its runs n times.
+    """
+    names = cut(bins.groupBy("study", "gene").agg(F.count("*").alias("n_runs")))
     ordinal = names.select("study", "gene", (F.row_number().over(Window.partitionBy("study").orderBy("gene")) - 1).cast("long").alias("ord"))
     t = trials(names, n, seed, self_pairs)
-    runs = bins.select("study", "run").distinct()
-    place = runs.select("study", "run", F.row_number().over(Window.partitionBy("study").orderBy("run")).alias("place"))
-    order = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("study").cast("string"), F.col("perm").cast("string"), F.col("run").cast("string")).cast("binary"))
-    mixed = runs.join(t.select("study", "perm").distinct(), "study").select("study", "perm", "run", F.row_number().over(Window.partitionBy("study", "perm").orderBy(order, "run")).alias("place"))
-    values = bins.join(ordinal, ["study", "gene"]).join(place, ["study", "run"]).select("study", "ord", "place", "run", "bin")
-    left = t.join(values.select("study", F.col("ord").alias("i"), "place", F.col("bin").alias("bi")), ["study", "i"])
-    right = values.select("study", F.col("ord").alias("j"), "run", F.col("bin").alias("bj"))
-    cells = left.join(mixed, ["study", "perm", "place"]).join(right, ["study", "j", "run"])
-    return _information(cells, "study", "perm")
+    cells = n * (names.groupBy("study").agg(F.max("n_runs").alias("n_runs")).agg(F.sum("n_runs")).first()[0] or 0)
+    picked = t.select("study", F.explode(F.array("i", "j")).alias("ord")).distinct()
+    picked = picked.withColumn("at", F.row_number().over(Window.partitionBy("study").orderBy("ord")))
+    at = lambda k: picked.select("study", F.col("ord").alias(k), F.col("at").alias(f"at_{k}"))
+    plan = t.join(at("i"), ["study", "i"]).join(at("j"), ["study", "j"]).groupBy("study").agg(F.collect_list(F.struct("perm", "at_i", "at_j")).alias("trials"))
+    plan = plan.join(picked.groupBy("study").agg(F.count("*").cast("int").alias("n_picked")), "study")
+    own = bins.join(ordinal.join(picked, ["study", "ord"]).select("study", "gene", "at"), ["study", "gene"], "left")
+    rows = own.groupBy("study", "run").agg(F.sort_array(F.collect_list(F.when(F.col("at").isNotNull(), F.struct("at", "bin")))).alias("s")).join(plan, "study")
+    # a run may lack genes
+    values = F.when(F.size("s") == F.col("n_picked"), F.col("s.bin")).otherwise(F.expr("transform(sequence(1, n_picked), k -> get(filter(s, e -> e.at = k), 0).bin)"))
+    each = rows.select("study", "run", values.alias("v"), "trials").select("study", "run", "v", F.explode("trials").alias("t"))
+    each = each.select("study", "t.perm", "run", F.expr("get(v, t.at_i - 1)").alias("bi"), F.expr("get(v, t.at_j - 1)").alias("bj")).repartition(cells // TRIAL_ROWS + 1, "study", "perm")
+    order = F.unhex(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("study").cast("string"), F.col("perm").cast("string"), F.col("run").cast("string")).cast("binary")))
+    by = Window.partitionBy("study", "perm")
+    each = each.select("study", "perm", "bi", "bj", F.row_number().over(by.orderBy("run")).alias("first"), F.row_number().over(by.orderBy(order, "run")).alias("second"))
+    # the value at a place in the order of names meets the one at that place in the trial's order
+    ends = F.array(F.struct(F.col("first").alias("nth"), F.col("bi"), F.lit(None).alias("bj")), F.struct(F.col("second").alias("nth"), F.lit(None).alias("bi"), F.col("bj")))
+    met = each.select("study", "perm", F.explode(ends).alias("e")).groupBy("study", "perm", "e.nth").agg(F.max("e.bi").alias("bi"), F.max("e.bj").alias("bj"))
+    return _information(met.where("bi is not null and bj is not null"), "study", "perm")
 
 
 def pair_null(bins: DataFrame, pairs: DataFrame, n: int, seed: int = 42) -> DataFrame:
