@@ -8,6 +8,9 @@ from xml.sax.saxutils import quoteattr
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Lines of the graphs of modules that a task has on average.
+GRAPH_LINES = 500_000
+
 
 def tsv(df: DataFrame, path: str, one_file: bool = False, by: str | None = None) -> None:
     """A tab-separated table, optionally a folder per value of a column."""
@@ -59,7 +62,10 @@ def graphml(edges: DataFrame, path: str, nodes: DataFrame | None = None, weight:
 
 
 def module_graphs(edges: DataFrame, modules: DataFrame, path: str) -> None:
-    """The GraphML of each module's induced network, a folder per module."""
+    """The GraphML of each module's induced network, a folder per module.
+
+    Lines are dealt in ranges, so that a large module is several tasks' work: its parts, joined in order of name, are one document.
+    """
     ends = [modules.select("module", F.col("gene").alias(f"gene_{k}")) for k in "ab"]
     inside = edges.select("gene_a", "gene_b").join(ends[0], "gene_a").join(ends[1], ["module", "gene_b"])
     ids = modules.select("module").distinct()
@@ -69,7 +75,8 @@ def module_graphs(edges: DataFrame, modules: DataFrame, path: str) -> None:
     rows = rows.union(modules.select("module", F.lit(1), F.col("gene").cast("string"), F.concat(F.lit('<node id="'), name("gene"), F.lit('"/>'))))
     rows = rows.union(inside.select("module", F.lit(2), F.concat_ws("\t", "gene_a", "gene_b"), F.concat(F.lit('<edge source="'), name("gene_a"), F.lit('" target="'), name("gene_b"), F.lit('"/>'))))
     rows = rows.union(ids.select("module", F.lit(3), F.lit(""), F.lit("</graph></graphml>")))
-    rows.repartition("module").sortWithinPartitions("module", "o", "k").select("module", "value").write.mode("overwrite").partitionBy("module").text(path)
+    tasks = (edges.count() + modules.count()) // GRAPH_LINES + 1
+    rows.repartitionByRange(tasks, "module", "o", "k").sortWithinPartitions("module", "o", "k").select("module", "value").write.mode("overwrite").partitionBy("module").text(path)
 
 
 def master(edges: DataFrame, genes: DataFrame, path: str) -> None:
