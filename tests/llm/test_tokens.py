@@ -27,6 +27,17 @@ def test_memo_equals_whole_texts(texts):
     assert [np.frombuffer(x, "<u4").tolist() for x in tokens.encode_texts(PATH, [t.encode() for t in texts])] == whole
 
 
+def test_punctuation_after_letters():
+    """Letters with any run of ASCII punctuation after them are encoded with the other words, not one by one."""
+    tails = ["", ",", "!!", "***", "$$$", "'", "'!", "..'", ",%%%", "<", "_-", '")']
+    words = ["letters", "la\u00e8auxon", "\u03c3\u03bf\u03c6\u03cc\u03c2", "na\u0308chste", "don't", "7", "a=\u0338"]
+    text = " ".join(w + x for w in words for x in tails)
+    encoder, alone = tokens.ChunkEncoder(PATH), []
+    whole, encoder._ids = encoder._ids, lambda texts: alone.extend(texts) or whole(texts)
+    assert encoder.encode([text.encode()]) == whole([text]) == encoder.encode([text.encode()])
+    assert not [x for x in alone if x.startswith(("letters", "la"))] and len(alone) == len(set(alone))
+
+
 def brute(rows):
     t = Tokenizer.from_file(PATH)
     return [(r["doc_id"], t.encode(r["text"] or "", add_special_tokens=False).ids + [1]) for r in rows]

@@ -34,7 +34,7 @@ WIDTH, REACH = 6, 24
 INCUMBENTS = 17
 
 #: Chunks that a worker remembers the ids of, and text bytes that are encoded at once.
-MEMO, SLICE_BYTES = 100_000, 1 << 19
+MEMO, SLICE_BYTES = 200_000, 1 << 19
 
 Pattern = tuple[tuple[tuple[int, int], ...], int]
 

@@ -16,6 +16,8 @@ rows are kept in any order among equals. Extra columns are ignored; an empty tab
 
 from __future__ import annotations
 
+import os
+import string
 import struct
 import zlib
 from collections.abc import Iterator
@@ -39,6 +41,7 @@ SELECTORS = ((60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8
 ESCAPE = 15
 MAGIC = b"S8B1"
 HEADER = struct.Struct("<4sIQII")
+PUNCTUATION = string.punctuation.encode()
 
 
 # ---------------------------------------------------------------- ids of texts
@@ -46,15 +49,16 @@ class ChunkEncoder:
     """Ids of texts as little-endian unsigned 32-bit integers, with a bounded memo of frequent chunks.
 
     New chunks of letters only are encoded many at a time: each is one word, whose last id is one that ends
-    a word. They are lowered and composed here, so that only the vocabulary's merges are left to do. A comma
-    or full stop after letters is a word of its own.
+    a word. They are lowered and composed here, so that only the vocabulary's merges are left to do. A run of
+    ASCII punctuation after letters is a word of its own, of which there are few.
     """
 
-    longest, together, at_once = 64, 1000, 16
+    longest, together, at_once, most_marks = 64, 1000, 16, 1000
 
     def __init__(self, path: str, most: int = 600_000) -> None:
         from tokenizers import Tokenizer, pre_tokenizers
 
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core; threads cost it more than they save
         self.most = most
         self.tokenizer = Tokenizer.from_file(path)
         self.merges = Tokenizer.from_file(path)
@@ -64,7 +68,7 @@ class ChunkEncoder:
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[k for x, k in vocab.items() if x.endswith("</w>")]] = True
         self.known: dict[bytes, bytes] = {}
-        self.mark = {x: self._ids([x.decode()])[0] for x in (b",", b".")}
+        self.marks: dict[bytes, bytes] = {}
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -85,14 +89,20 @@ class ChunkEncoder:
 
     def _new(self, chunks: list[bytes]) -> dict[bytes, bytes]:
         """Ids of chunks that the memo lacks."""
-        bare = [x[:-1] if x[-1] in b",." else x for x in chunks]
+        bare = [x.rstrip(PUNCTUATION) for x in chunks]
         texts = list(dict.fromkeys(bare))
         words = b" ".join(texts).decode("utf-8", "replace").split(" ")
         plain = [x.isalpha() for x in words]
         ids = dict(zip(compress(texts, plain), self._words(list(compress(words, plain))), strict=True))
+        tails = list({c[len(b) :] for c, b in zip(chunks, bare, strict=True) if len(b) < len(c) and b in ids})
+        found = {x: self.marks[x] for x in tails if x in self.marks}
+        lacking = [x for x in tails if x not in found]
+        made = dict(zip(lacking, self._ids([x.decode() for x in lacking]), strict=True))
+        self.marks.update((x, made[x]) for x in lacking[: max(0, self.most_marks - len(self.marks))] if len(x) <= self.longest)
+        found |= made | {b"": b""}
         other = [c for c, b in zip(chunks, bare, strict=True) if b not in ids]
         rest = dict(zip(other, self._ids([x.decode("utf-8", "replace") for x in other]), strict=True))
-        return {c: rest[c] if c in rest else ids[b] if len(b) == len(c) else ids[b] + self.mark[c[-1:]] for c, b in zip(chunks, bare, strict=True)}
+        return {c: ids[b] + found[c[len(b) :]] if b in ids else rest[c] for c, b in zip(chunks, bare, strict=True)}
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         chunks: list[bytes] = []
