@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftnet.functions.scratch import hypergeometric_tail
+from weftnet.functions.scratch import hypergeometric_tail, stored
 from weftnet.operators.significance import bh_adjusted
 
 
@@ -31,18 +31,22 @@ def annotate(modules: DataFrame, sets: DataFrame, background: DataFrame | None =
 
     Modules of fewer than `least_ids` background genes (by default `least`) are not tested.
 
-    The smaller side of the overlap comes from an equi-join on genes, so pairs without overlap never exist.
-    Adjusted over the rows with enough overlap.
+    Pairs without overlap never exist: a gene of a module meets the list of its sets, as one row until all rows of a module
+    are together. Tests are written once, as the adjustment, over the rows with enough overlap, reads them several times.
     """
-    bg = (modules if background is None else background).select("gene").distinct()
+    m = stored(modules.select("module", "gene").distinct())
+    if background is not None:
+        m = m.join(background.select("gene").distinct(), "gene", "left_semi")
+    bg = (m if background is None else background).select("gene").distinct()
     total = bg.agg(F.count("*").alias("n_background"))
-    m = modules.select("module", "gene").distinct().join(bg, "gene", "left_semi")
-    m = m.withColumn("n_module", F.count("*").over(Window.partitionBy("module"))).where(F.col("n_module") >= (least if least_ids is None else least_ids))
-    s = sets.select("set_name", "gene").distinct().join(bg, "gene", "left_semi")
-    s = s.withColumn("n_set", F.count("*").over(Window.partitionBy("set_name")))
-    hit = m.join(s, "gene").groupBy("module", "set_name", "n_module", "n_set").agg(F.count("*").alias("overlap"), F.array_join(F.array_sort(F.collect_list(F.col("gene").cast("string"))), ";").alias("genes"))
-    hit = hit.where(F.col("overlap") >= least).crossJoin(F.broadcast(total))
-    tested = hit.withColumn("p_value", hypergeometric_tail("overlap", "n_set", "n_module", "n_background"))
+    sizes = m.groupBy("module").agg(F.count("*").alias("n_module")).where(F.col("n_module") >= (least if least_ids is None else least_ids))
+    s = sets.groupBy("gene").agg(F.collect_set(F.struct("set_name")).alias("names")).join(bg, "gene", "left_semi")  # a null name is one too
+    n_set = s.select(F.explode("names.set_name").alias("set_name")).groupBy("set_name").agg(F.count("*").alias("n_set"))
+    met = m.join(s, "gene").select("module", F.col("gene").cast("string").alias("gene"), "names").repartition("module")
+    hit = met.select("module", F.explode("names.set_name").alias("set_name"), "gene").groupBy("module", "set_name").agg(F.collect_list("gene").alias("genes"))
+    hit = hit.select("module", "set_name", F.size("genes").cast("long").alias("overlap"), F.array_join(F.sort_array("genes"), ";").alias("genes")).where(F.col("overlap") >= least)
+    hit = hit.join(sizes.withColumnRenamed("module", "m"), F.col("module").eqNullSafe(F.col("m"))).join(n_set.withColumnRenamed("set_name", "s"), F.col("set_name").eqNullSafe(F.col("s"))).select("module", "set_name", "n_module", "n_set", "overlap", "genes").crossJoin(F.broadcast(total))
+    tested = stored(hit.withColumn("p_value", hypergeometric_tail("overlap", "n_set", "n_module", "n_background")))
     return bh_adjusted(tested).where(F.col("p_adjusted") < fdr)
 
 
